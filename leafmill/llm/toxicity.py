@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its lower-cased words of letters, each once, hashed to 2^24 buckets. The machine scores
+A text's terms are its lower-cased words of letters and their first 4 and 5 letters, which word forms share,
+each once, hashed to 2^24 buckets. The machine scores
 w0 + sum of w_i + sum over pairs of <v_i, v_j>: the weights w add up like those of a linear model, and the
 factors v let two terms together mean more than each alone, such as an insult with the naming of a group.
 
@@ -36,12 +37,12 @@ class Settings:
     #: Of a sampled text, at most so many different terms by hash order.
     sample_terms: int = 20_000
     bits: int = 24
-    features: int = 2048
+    features: int = 512
     least_rows: int = 4
     factors: int = 6
-    epochs: int = 25
+    epochs: int = 30
     batch: int = 256
-    rate: float = 0.1
+    rate: float = 0.5
     l2: float = 2e-5
     l2_factors: float = 2e-4
     seed: int = 7
@@ -52,12 +53,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def _hashes(word: str, mask: int) -> set[int]:
+    """Buckets of a word's terms; its beginnings are marked, so that they are not words."""
+    return {zlib.crc32(x.encode()) & mask for x in (word, *(f"{word[:k]}*" for k in (4, 5) if len(word) >= k))}
+
+
 def terms(text: str | None, bits: int = 24) -> np.ndarray:
     """Different buckets of the text's terms, ascending."""
     if not text:
         return np.empty(0, np.int64)
     mask = (1 << bits) - 1
-    return np.unique(np.fromiter((zlib.crc32(w.encode()) & mask for w in set(_FIND(text.lower()))), np.int64))
+    return np.unique(np.fromiter((x for w in set(_FIND(text.lower())) for x in _hashes(w, mask)), np.int64))
 
 
 @dataclass(frozen=True)
@@ -150,8 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return fit(got.label.to_numpy(float), rows.astype(np.int64), np.concatenate(parts) if parts else np.empty(0, np.int64), settings)
 
 
-def _scores(texts: list[str | None], machine: Machine, memo: dict[str, int], most: int = 400_000) -> np.ndarray:
-    """memo: the model's column of each word met, -1 if it has none; emptied when full."""
+def _scores(texts: list[str | None], machine: Machine, memo: dict[str, tuple[int, ...]], most: int = 400_000) -> np.ndarray:
+    """memo: the model's columns of each word met; emptied when full."""
     mask = (1 << machine.bits) - 1
     column = {int(b): i for i, b in enumerate(machine.buckets)}
     rows, columns = [], []
@@ -165,9 +171,8 @@ def _scores(texts: list[str | None], machine: Machine, memo: dict[str, int], mos
                 memo.clear()
                 new = own
             for w in new:
-                memo[w] = column.get(zlib.crc32(w.encode()) & mask, -1)
-        found = set(map(memo.__getitem__, own))
-        found.discard(-1)
+                memo[w] = tuple(column[b] for b in _hashes(w, mask) if b in column)
+        found = {c for hit in map(memo.__getitem__, own) if hit for c in hit}
         rows += [k] * len(found)
         columns += found
     return machine.score(np.array(rows, np.int64), np.array(columns, np.int64), len(texts))
@@ -183,7 +188,7 @@ def scored(docs: DataFrame, machine: Machine, below: float | None = None) -> Dat
     """
     frame = docs if below is not None else docs.drop("score")
     schema = frame.schema if below is not None else StructType([*frame.schema.fields]).add("score", DoubleType())
-    memo: dict[str, int] = {}
+    memo: dict[str, tuple[int, ...]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
