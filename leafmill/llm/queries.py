@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import bpe, decontaminate, licenses, linededup, media, secrets, simhash, tokenfiles, toxicity
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -41,13 +41,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = tokenfiles.write_tokens(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+    manifest = tokenfiles.write_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
     return tokenfiles.read_tokens(spark, manifest)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return bpe.encode_documents(docs, _tokenizer("word_bpe_49k.json"), digests=True)
+    return bpe.encode_documents(docs, tokenizer("word_bpe_49k.json"), digests=True)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
