@@ -11,6 +11,7 @@ the manifest: a lost executor leaves files that nothing refers to.
 
 from __future__ import annotations
 
+import array
 import os
 import re
 import uuid
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import filesystem, fresh_path, pieces
 
 MANIFEST = "first bigint, path string, n_docs bigint, n_tokens bigint"
@@ -42,9 +44,18 @@ class ByteBpe:
         self.whole = Tokenizer.from_file(path)
         size = self.whole.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.tokenize, self.symbols, self.code = self.whole.model.tokenize, byte_symbols(), "H" if self.dtype.itemsize == 2 else "I"
         self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         self.cache, self.young, self.old = cache, {}, {}
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of the split; the library's model takes it in the symbols of its bytes."""
+        if word.isascii() and word[1:].isprintable() and (word[0] == " " or word[0].isprintable()):
+            symbols = "Ġ" + word[1:] if word[0] == " " else word
+        else:
+            symbols = "".join(map(self.symbols.__getitem__, word.encode()))
+        return array.array(self.code, [t.id for t in self.tokenize(symbols)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, in the bytes of `dtype`."""
         split: list[list[str] | None] = []
@@ -55,16 +66,15 @@ class ByteBpe:
             except UnicodeEncodeError:
                 plain = False
             split.append(_SPLIT(text) if plain else None)
-        missing = {w for found in split if found for w in found} - self.young.keys()
+        met: set[str] = set()
+        for found in split:
+            met.update(found or ())
+        missing = met - self.young.keys()
         if len(self.young) + len(missing) > self.cache:
-            self.young, self.old = {}, self.young
-            missing = {w for found in split if found for w in found}
-        for w in [w for w in missing if w in self.old]:
-            self.young[w] = self.old[w]
-            missing.discard(w)
-        new = list(missing)
-        for w, e in zip(new, self.whole.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.young[w] = np.array(e.ids, self.dtype).tobytes()
+            self.young, self.old, missing = {}, self.young, met
+        young, old = self.young, self.old
+        for w in missing:
+            young[w] = old.get(w) or self._word(w)
         get = self.young.__getitem__
         return [
             np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes() if found is None else b"".join(map(get, found))
