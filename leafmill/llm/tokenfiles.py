@@ -50,7 +50,7 @@ class ByteBpe:
 
     def _word(self, word: str) -> bytes:
         """Ids of one word of the split; the library's model takes it in the symbols of its bytes."""
-        if word.isascii() and word[1:].isprintable() and (word[0] == " " or word[0].isprintable()):
+        if word.isascii() and word.isprintable() and " " not in word[1:]:
             symbols = "Ġ" + word[1:] if word[0] == " " else word
         else:
             symbols = "".join(map(self.symbols.__getitem__, word.encode()))
