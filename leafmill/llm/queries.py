@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, linededup, media, secrets, simhash, tokenfiles, toxicity
+from . import bpe, decontaminate, licenses, linededup, media, pii, secrets, simhash, tokenfiles, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -45,6 +45,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_tokens(spark, manifest)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.scan(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return bpe.encode_documents(docs, tokenizer("word_bpe_49k.json"), digests=True)
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_line_dedup": op4_line_dedup,
         "op5_token_files": op5_token_files,
+        "op6_pii": op6_pii,
         "op7_bpe": op7_bpe,
         "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
