@@ -69,9 +69,9 @@ class ByteBpe:
         met: set[str] = set()
         for found in split:
             met.update(found or ())
-        missing = met - self.young.keys()
+        missing = [w for w in met if w not in self.young]
         if len(self.young) + len(missing) > self.cache:
-            self.young, self.old, missing = {}, self.young, met
+            self.young, self.old, missing = {}, self.young, list(met)
         young, old = self.young, self.old
         for w in missing:
             young[w] = old.get(w) or self._word(w)

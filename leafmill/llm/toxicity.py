@@ -165,7 +165,7 @@ def _scores(texts: list[str | None], machine: Machine, memo: dict[str, tuple[int
         if not text:
             continue
         own = set(_FIND(text.lower()))
-        new = own - memo.keys()
+        new = [w for w in own if w not in memo]
         if new:
             if len(memo) + len(new) > most:
                 memo.clear()
