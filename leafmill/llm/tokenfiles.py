@@ -34,10 +34,22 @@ _SPLIT = re.compile(
 ).findall
 
 
+class _Memo(dict):
+    """What a function makes of words, made when first asked for, or taken over from the memo before."""
+
+    def __init__(self, make, before: dict):
+        super().__init__()
+        self.make, self.before = make, dict(before)
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.before.get(word) or self.make(word)
+        return found
+
+
 class ByteBpe:
     """Ids of the tokenizers library for a byte-level BPE file, each word encoded by it once while it is kept."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,7 +58,7 @@ class ByteBpe:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.tokenize, self.symbols, self.code = self.whole.model.tokenize, byte_symbols(), "H" if self.dtype.itemsize == 2 else "I"
         self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
-        self.cache, self.young, self.old = cache, {}, {}
+        self.cache, self.memo = cache, _Memo(self._word, {})
 
     def _word(self, word: str) -> bytes:
         """Ids of one word of the split; the library's model takes it in the symbols of its bytes."""
@@ -58,28 +70,20 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, in the bytes of `dtype`."""
-        split: list[list[str] | None] = []
+        if len(self.memo) > self.cache:
+            self.memo = _Memo(self._word, self.memo)
+        get, out = self.memo.__getitem__, []
         for text in texts:
             plain = not any(x in text for x in self.added)
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
                 plain = False
-            split.append(_SPLIT(text) if plain else None)
-        met: set[str] = set()
-        for found in split:
-            met.update(found or ())
-        missing = [w for w in met if w not in self.young]
-        if len(self.young) + len(missing) > self.cache:
-            self.young, self.old, missing = {}, self.young, list(met)
-        young, old = self.young, self.old
-        for w in missing:
-            young[w] = old.get(w) or self._word(w)
-        get = self.young.__getitem__
-        return [
-            np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes() if found is None else b"".join(map(get, found))
-            for text, found in zip(texts, split, strict=True)
-        ]
+            if plain:
+                out.append(b"".join(map(get, _SPLIT(text))))
+            else:
+                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
+        return out
 
 
 _LOADED: dict[str, ByteBpe] = {}
