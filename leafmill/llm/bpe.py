@@ -3,7 +3,7 @@
 The merges are compiled, in their order, into a deterministic automaton whose arcs carry tokens. It starts
 with one state per base symbol and an arc from every state for every symbol. Merge number i, (u, v) -> w,
 adds one gadget: wherever u then v could be read, an arc w bypasses them, and arc v leaves the state behind
-u. A state is thus named by the token read last. The new state w starts with the arcs that state v has
+u; where they never could, nothing changes. A state is thus named by the token read last. The new state w starts with the arcs that state v has
 then, and the new arc w starts at the states that have arc u then; later gadgets change each on its own.
 `MergeAutomaton` keeps these as tables: for each token the states it inherits its arcs from and the arcs
 it inherits its origins from, with the number of the gadget that parted them. An arc b at state a is there
@@ -53,16 +53,25 @@ class MergeAutomaton:
         arcs = dict(states)
         cuts: dict[tuple[int, int], int] = {}
         made: dict[int, int] = {}
+        #: Tokens whose two parts never stand side by side when their merge comes; no arc carries them.
+        dead: set[int] = set()
         for i, (left, right) in enumerate(merges):
             u, v, w = vocabulary[left], vocabulary[right], vocabulary[left + right]
             if w in made or w in (u, v) or (u, v) in cuts:
                 raise ValueError(f"merge {i} makes {left + right!r} again")
+            if u in dead or v in dead or any((c := cuts.get((x, y))) is not None and c < parted and c <= begun for x, parted in states[u] for y, begun in arcs[v]):
+                dead.add(w)
+                made[w] = i
+                continue
             cuts[u, v] = made[w] = i
             states[w] = ((w, _END), (v, i), *((x, g) for x, g in states[v][1:]))
             arcs[w] = ((w, _END), (u, i), *((x, g) for x, g in arcs[u][1:]))
-        for (u, v), i in cuts.items():
+        for i, (left, right) in enumerate(merges):
+            u, v = vocabulary[left], vocabulary[right]
             if made.get(u, -1) >= i or made.get(v, -1) >= i:
                 raise ValueError(f"merge {i} comes before its parts")
+        if dead:
+            self.vocabulary = {t: i for t, i in vocabulary.items() if i not in dead}
         self.cuts = {u * n + v: i for (u, v), i in cuts.items()}
         self.states, self.arcs, self.n = states, arcs, n
         self.begins = {t[:k] for x in vocabulary for t in [x.removesuffix(end) if end else x] for k in range(1, len(t) + 1)}
