@@ -103,10 +103,12 @@ class Windows:
 
 def _keys(rows: np.ndarray) -> np.ndarray:
     """Rows of big-endian numbers as byte strings that sort like them. A last byte keeps trailing zeros."""
-    n = len(rows)
-    out = np.full((n, rows.shape[1] * 4 + 1), 1, np.uint8)
-    out[:, :-1] = np.ascontiguousarray(rows).view(np.uint8).reshape(n, -1)
-    return out.reshape(-1).view(f"S{out.shape[1]}") if n else np.empty(0, f"S{out.shape[1]}")
+    n, width = len(rows), rows.shape[1] * 4
+    if not n:
+        return np.empty(0, f"S{width + 1}")
+    out = np.full((n, width + 1), 1, np.uint8)
+    out[:, :-1] = np.ascontiguousarray(rows).view(np.uint8).reshape(n, width)
+    return out.reshape(-1).view(f"S{width + 1}")
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
