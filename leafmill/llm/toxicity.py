@@ -33,7 +33,7 @@ _FIND = re.compile(r"[^\W\d_]+").findall
 @dataclass(frozen=True)
 class Settings:
     #: About so many labelled rows are fitted on, at most.
-    sample: int = 12_000
+    sample: int = 6_000
     #: Of a sampled text, at most so many different terms by hash order.
     sample_terms: int = 20_000
     bits: int = 24
@@ -151,9 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     got = texts.mapInArrow(run, "doc_id bigint, label double, terms binary").toPandas() if total else pd.DataFrame({"doc_id": [], "label": [], "terms": []})
     got = got.sort_values(["doc_id", "label", "terms"], kind="stable")
-    parts = [np.frombuffer(x, "<u4").astype(np.int64) for x in got.terms]
-    rows = np.repeat(np.arange(len(parts)), [len(x) for x in parts]) if parts else np.empty(0, np.int64)
-    return fit(got.label.to_numpy(float), rows.astype(np.int64), np.concatenate(parts) if parts else np.empty(0, np.int64), settings)
+    parts = [np.frombuffer(x, "<u4") for x in got.terms]
+    rows = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
+    buckets = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
+    labels = got.label.to_numpy(float)
+    del got, parts
+    return fit(labels, rows, buckets, settings)
 
 
 def _scores(texts: list[str | None], machine: Machine, memo: dict[str, tuple[int, ...]], most: int = 400_000) -> np.ndarray:
