@@ -30,14 +30,16 @@ def grams(c: Column) -> Column:
 
 
 def term_counts(rows: DataFrame, key: str, terms: Column) -> DataFrame:
-    return rows.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf). Rows are dealt by key once, before they become terms; what follows by key needs no other shuffle."""
+    return rows.select(key, "text").repartition(key).select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 class TfIdf:
     """Fitted on documents; weighs them and any other rows by the vocabulary and IDF of the fit.
 
     The vocabulary is the `most` commonest grams of the corpus, ties by the gram; idf is
-    ln((1 + n) / (1 + df)) + 1; rows of weights have length 1.
+    ln((1 + n) / (1 + df)) + 1; rows of weights have length 1. The vocabulary is bounded by `most`, so it is
+    broadcast.
     """
 
     def __init__(self, docs: DataFrame, most: int = 60_000):
@@ -51,44 +53,51 @@ class TfIdf:
         for table in (self.counts, self.idf):
             table.unpersist()
 
+    def _raw(self, rows: DataFrame | None, key: str) -> DataFrame:
+        counts = self.counts if rows is None else term_counts(rows, key, grams(F.col("text")))
+        return counts.join(F.broadcast(self.idf), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+
     def weights(self, rows: DataFrame | None = None, key: str = "doc") -> DataFrame:
         """(key, term, weight) of the documents, or of other rows (key, text)."""
-        counts = self.counts if rows is None else term_counts(rows, key, grams(F.col("text")))
-        raw = counts.join(self.idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+        raw = self._raw(rows, key)
         length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
         return raw.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("weight"))
 
     def scores(self, queries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
         """Cosines of the queries (qid, text) and the documents, or other rows (doc, text)."""
         q = self.weights(queries.select("qid", "text"), "qid").withColumnRenamed("weight", "wq")
-        d = self.weights(docs) if docs is not None else self.weights()
-        return d.join(q, "term").groupBy("qid", "doc").agg(F.sum(F.col("weight") * F.col("wq")).alias("score"))
+        raw = self._raw(docs, "doc")
+        length = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+        sums = raw.join(q, "term").groupBy("doc", "qid").agg(F.sum(F.col("w") * F.col("wq")).alias("s"))
+        return sums.join(length, "doc").select("qid", "doc", (F.col("s") / F.col("length")).alias("score"))
 
 
 class Bm25:
     """Okapi BM25 over tokens of normalised texts, in the case they have, punctuation included.
 
     idf is ln(n - df + 0.5) - ln(df + 0.5); negative ones become epsilon times the mean of all, taken
-    before. A token that a query repeats counts each time.
+    before. A token that a query repeats counts each time. Tokens are kept as one array a document; only
+    those that queries ask for become rows.
     """
 
     def __init__(self, docs: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
-        tokens = docs.select("doc", T.tokens(T.normalized(F.coalesce("text", F.lit("")))).alias("t"))
-        postings = tokens.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf")).persist()
-        size = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_len"))
-        df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(size)
-        raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "mean_len")
+        self.tokens = docs.select("doc", "text").repartition("doc").select("doc", T.tokens(T.normalized(F.coalesce("text", F.lit("")))).alias("t")).persist()
+        size = self.tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_len"))
+        df = self.tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(size)
+        raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "mean_len").persist()
         mean = raw.agg(F.avg("raw").alias("mean"))
-        self.idf = raw.crossJoin(mean).select("term", "mean_len", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf")).persist()
-        self.postings, self.k1, self.b = postings, k1, b
+        self.idf = raw.crossJoin(mean).select("term", "mean_len", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+        self.kept, self.k1, self.b = (self.tokens, raw), k1, b
 
     def close(self) -> None:
-        for table in (self.postings, self.idf):
+        for table in self.kept:
             table.unpersist()
 
     def scores(self, queries: DataFrame) -> DataFrame:
-        """Scores of the queries (qid, text). The queries' terms are weighed first, so that documents' postings meet each once."""
-        asked = term_counts(queries, "qid", T.tokens(T.normalized(F.coalesce("text", F.lit(""))))).withColumnRenamed("tf", "nq").join(self.idf, "term")
+        """Scores of the queries (qid, text). Their terms are weighed first, and meet each document's once."""
+        asked = queries.select("qid", F.explode(T.tokens(T.normalized(F.coalesce("text", F.lit(""))))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("nq")).join(self.idf, "term").persist()
         k1, b, tf = self.k1, self.b, F.col("tf")
+        known = asked.select("term").distinct()
+        postings = self.tokens.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).join(known, "term", "left_semi").groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
         gain = F.col("idf") * F.col("nq") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-        return self.postings.join(asked, "term").groupBy("qid", "doc").agg(F.sum(gain).alias("score"))
+        return postings.join(asked, "term").groupBy("doc", "qid").agg(F.sum(gain).alias("score")).select("qid", "doc", "score")
