@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -41,3 +41,12 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     context.addPyFile(target)
     context._leafmill_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than the cluster has cores, dealt out to all of them; larger ones as they are.
+
+    Such a table is small, so the shuffle is too, and without it a single task would do all the work on it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import spread
 
 GOLD = "id string, expected_contains array<string>, forbidden_contains array<string>, expected_regex array<string>, expect_json boolean, json_required_keys array<string>, json_array_key_len map<string, int>, expected_int_list array<int>, pass_threshold double"
 
@@ -106,7 +107,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as pages: (doc_key, page, text)."""
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc_key"), F.col("doc_id").alias("page"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("source").alias("doc_key"), F.col("doc_id").alias("page"), "text")
 
 
 def questions_table(spark: SparkSession, sf_dir: str) -> DataFrame:
