@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import bpe, decontaminate, licenses, linededup, media, pii, secrets, simhash, tokenfiles, toxicity
 
 
@@ -17,7 +18,7 @@ def tokenizer(name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
