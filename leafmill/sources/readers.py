@@ -28,8 +28,8 @@ def jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
 
 
 def jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors): the lines that parse, and (line, raw) of those that don't. Lines count within a file, from 1, blank ones too."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("i", "raw"))
+    """(rows, errors): the lines that parse, and (line, raw) of those that don't. Lines count within a file, from 1, blank ones too; for that a file is read whole, so this is for small ones."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "raw"))
     lines = lines.where(T.strip(F.col("raw")) != "").select((F.col("i") + 1).alias("line"), "raw", F.from_json("raw", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("x"))
     good = lines.where(F.col("x").isNotNull() & F.col("x._bad").isNull()).select("line", "x.*").drop("_bad")
     return good, lines.where(F.col("x").isNull() | F.col("x._bad").isNotNull()).select("line", "raw")
