@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import bpe, decontaminate, licenses, linededup, media, pii, secrets, simhash, tokenfiles, toxicity
+from . import bpe, decontaminate, licenses, linededup, media, pii, secrets, simhash, sql, tokenfiles, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -88,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_licenses": sql.licenses(), "op3_decontamination": sql.decontamination()}
