@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructType
 from tokenizers import Tokenizer
 
-from .common import pieces
+from .common import mapped, pieces
 
 _END = 1 << 60
 
@@ -225,4 +225,4 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", digests: bo
             rest = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*rest, *own], names=[*kept, *names])
 
-    return frame.mapInArrow(run, schema)
+    return mapped(frame, run, schema)

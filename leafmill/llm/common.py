@@ -62,6 +62,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch, unless the session sets others: what a task holds outside the heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with small batches, so that long texts and many rows take bounded memory."""
+    conf = df.sparkSession.conf
+    given = conf.getAll
+    for key, value in BATCH.items():
+        if key not in given:
+            conf.set(key, value)
+    return df.mapInArrow(run, schema)
+
+
 def clear_saved(spark: SparkSession) -> None:
     """Deletes all that this subpackage has written to the shared folder, through Hadoop's file system."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafmill")

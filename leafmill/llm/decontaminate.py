@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import pieces, words
+from .common import mapped, pieces, words
 
 SHARD_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -226,7 +226,7 @@ def contamination(docs: DataFrame, tests: DataFrame, size: int = 10, block_chars
     for k, items in enumerate(sets):
         last, first = k == len(sets) - 1, k == 0
         schema = StructType([*rest.fields, *own.fields, *([] if last else [frame.schema["__text"]])])
-        frame = frame.mapInArrow(_pass(items, size, kept, first, last), schema)
+        frame = mapped(frame, _pass(items, size, kept, first, last), schema)
     return frame
 
 
@@ -266,7 +266,7 @@ def decontaminated(docs: DataFrame, tests: DataFrame, size: int = 10, block_char
     """The rows of `docs` (with a text column) in which no window of a test item occurs."""
     out = docs
     for items in blocks(tests, size, block_chars):
-        out = out.mapInArrow(_clean(items, size), docs.schema)
+        out = mapped(out, _clean(items, size), docs.schema)
     return out
 
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, saved
+from .common import mapped, pieces, saved
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -120,7 +120,7 @@ def found(docs: DataFrame, window: int = 6) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "doc_id", "hash", "spans", "near"])
 
     schema = "id bigint, doc_id bigint, hash bigint, spans array<struct<start: bigint, rank: int, end: bigint>>, near array<struct<entity: bigint, term: string, start: bigint, end: bigint>>"
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), run, schema)
 
 
 def document_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
@@ -143,7 +143,7 @@ def document_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
         if counts:
             yield out()
 
-    return docs.select("text").mapInArrow(run, "term string, n bigint").where(F.length("term") >= 3).groupBy("term").agg(F.sum("n").alias("n"))
+    return mapped(docs.select("text"), run, "term string, n bigint").where(F.length("term") >= 3).groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosing(rows: DataFrame, docs: DataFrame, generalise: float = 0.8) -> DataFrame:
@@ -204,7 +204,7 @@ def sanitise(docs: DataFrame, **settings) -> DataFrame:
             texts = [None if t is None else sanitised(t, [tuple(x.values()) for x in s or []]) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return joined.mapInArrow(run, joined.select("doc_id", "text").schema)
+    return mapped(joined, run, joined.select("doc_id", "text").schema)
 
 
 def joined(spans: Column) -> Column:

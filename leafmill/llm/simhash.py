@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, pieces, saved
+from .common import ascii_lower, mapped, pieces, saved
 
 SEGMENTS, WIDTH, WITHIN = 16, 4, 2
 
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
             own = np.array([fingerprint(t.as_py(), k) for t in batch.column("text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("hash"), pa.array(own)], names=["doc_id", "hash", "fp"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id bigint, hash bigint, fp bigint")
+    return mapped(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), run, "doc_id bigint, hash bigint, fp bigint")
 
 
 def _nibble(fp: Column, i: int) -> Column:

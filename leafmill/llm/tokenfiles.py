@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import filesystem, fresh_path, pieces
+from .common import filesystem, fresh_path, mapped, pieces
 
 MANIFEST = "first bigint, path string, n_docs bigint, n_tokens bigint"
 _LATIN_LETTERS, _LATIN_NUMBERS, _LATIN_SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r\x20\x85\xa0"
@@ -194,7 +194,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, len
                 x.close()
             yield pa.RecordBatch.from_pydict({"first": pa.array([first], pa.int64()), "path": [f"{folder}/{os.path.basename(at)}"], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([offset], pa.int64())})
 
-    found = dealt.mapInArrow(run, MANIFEST).collect()
+    found = mapped(dealt, run, MANIFEST).collect()
     base, out = 0, []
     for x in sorted(found, key=lambda x: (x.first is not None, x.first)):
         out.append((base, x.path, x.n_docs, x.n_tokens))
@@ -230,4 +230,4 @@ def read_tokens(spark: SparkSession, manifest: list) -> DataFrame:
                         )
                 tokens.close()
 
-    return spark.range(0, n, 1, max(n, 1)).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return mapped(spark.range(0, n, 1, max(n, 1)), run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import pieces
+from .common import mapped, pieces
 
 _FIND = re.compile(r"[^\W\d_]+").findall
 
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
             found = [terms(t.as_py(), bits)[:most].astype("<u4").tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "terms"])
 
-    got = texts.mapInArrow(run, "doc_id bigint, label double, terms binary").toPandas() if total else pd.DataFrame({"doc_id": [], "label": [], "terms": []})
+    got = mapped(texts, run, "doc_id bigint, label double, terms binary").toPandas() if total else pd.DataFrame({"doc_id": [], "label": [], "terms": []})
     got = got.sort_values(["doc_id", "label", "terms"], kind="stable")
     parts = [np.frombuffer(x, "<u4") for x in got.terms]
     rows = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
@@ -198,4 +198,4 @@ def scored(docs: DataFrame, machine: Machine, below: float | None = None) -> Dat
             scores = _scores(batch.column("text").to_pylist(), machine, memo)
             yield batch.filter(pa.array(scores < below)) if below is not None else pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return frame.mapInArrow(run, schema)
+    return mapped(frame, run, schema)
