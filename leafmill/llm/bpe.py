@@ -64,8 +64,8 @@ class MergeAutomaton:
                 made[w] = i
                 continue
             cuts[u, v] = made[w] = i
-            states[w] = ((w, _END), (v, i), *((x, g) for x, g in states[v][1:]))
-            arcs[w] = ((w, _END), (u, i), *((x, g) for x, g in arcs[u][1:]))
+            states[w] = ((w, _END), (v, i), *states[v][1:])
+            arcs[w] = ((w, _END), (u, i), *arcs[u][1:])
         for i, (left, right) in enumerate(merges):
             u, v = vocabulary[left], vocabulary[right]
             if made.get(u, -1) >= i or made.get(v, -1) >= i:
@@ -82,7 +82,7 @@ class MergeAutomaton:
         key = state * self.n + label
         known = self.seen.get(key)
         if known is None:
-            if len(self.seen) >= 1_000_000:
+            if len(self.seen) >= 250_000:
                 self.seen.clear()
             cuts, n = self.cuts, self.n
             known = self.seen[key] = not any(
@@ -130,7 +130,7 @@ class WordBpe:
     """Reads a tokenizer file of the tokenizers library of this kind: NFC, white space to one blank, lower
     case, words by a pattern, bytes as symbols, BPE with a mark at each word's end, no decoder."""
 
-    def __init__(self, path: str, cache: int = 150_000):
+    def __init__(self, path: str, cache: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]

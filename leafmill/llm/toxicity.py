@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return fit(labels, rows, buckets, settings)
 
 
-def _scores(texts: list[str | None], machine: Machine, memo: dict[str, tuple[int, ...]], most: int = 400_000) -> np.ndarray:
+def _scores(texts: list[str | None], machine: Machine, memo: dict[str, tuple[int, ...]], most: int = 200_000) -> np.ndarray:
     """memo: the model's columns of each word met; emptied when full."""
     mask = (1 << machine.bits) - 1
     column = {int(b): i for i, b in enumerate(machine.buckets)}
