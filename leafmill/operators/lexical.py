@@ -44,17 +44,23 @@ class TfIdf:
 
     def __init__(self, docs: DataFrame, most: int = 60_000):
         self.counts = term_counts(docs, "doc", grams(F.col("text"))).persist()
+        self.kept = [self.counts]
         known = self.counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
         n = docs.agg(F.count("*").alias("n"))
         chosen = known.orderBy(F.desc("total"), "term").limit(most)
         self.idf = chosen.crossJoin(n).select("term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")).persist()
+        self.kept.append(self.idf)
 
     def close(self) -> None:
-        for table in (self.counts, self.idf):
+        for table in self.kept:
             table.unpersist()
 
     def _raw(self, rows: DataFrame | None, key: str) -> DataFrame:
-        counts = self.counts if rows is None else term_counts(rows, key, grams(F.col("text")))
+        counts = self.counts
+        if rows is not None:
+            # read twice, for lengths and for scores
+            counts = term_counts(rows, key, grams(F.col("text"))).persist()
+            self.kept.append(counts)
         return counts.join(F.broadcast(self.idf), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
 
     def weights(self, rows: DataFrame | None = None, key: str = "doc") -> DataFrame:

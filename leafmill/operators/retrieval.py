@@ -62,13 +62,12 @@ def hybrid(dense: DataFrame, lexical: DataFrame, k: int = 5, dense_weight: float
     return normal.select("qid", "doc", (F.col("d") * dense_weight + F.col("l") * lexical_weight).alias("score"))
 
 
-def within_parents(scores: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
-    """Child scores of the children (doc, parent) of each query's parents (qid, parent); of a query none of
-    whose parents has children, all."""
+def pairs_within(queries: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
+    """(qid, doc): the children (doc, parent) of each query's parents (qid, parent); for a query none of whose
+    parents has children, all children."""
     allowed = children.select("doc", "parent").join(parents.select("qid", "parent"), "parent").select("qid", "doc")
-    inside = scores.join(allowed, ["qid", "doc"], "left_semi")
-    without = scores.select("qid").distinct().join(allowed.select("qid").distinct(), "qid", "left_anti")
-    return inside.unionByName(scores.join(without, "qid", "left_semi"))
+    without = queries.select("qid").join(allowed, "qid", "left_anti")
+    return allowed.unionByName(without.crossJoin(children.select("doc")))
 
 
 def sub_chunks(pages: DataFrame, size: int = 300, overlap: int = 100) -> DataFrame:

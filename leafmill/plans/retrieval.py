@@ -63,8 +63,8 @@ def tree_rankings(parents: DataFrame, children: DataFrame, questions: DataFrame,
     index = L.TfIdf(parents.select("doc", "text"))
     best = R.top_k(R.with_zeros(index.scores(questions), questions, parents, parent_k), parent_k).select("qid", F.col("doc").alias("parent"))
     docs = children.select("doc", "text")
-    all_pairs = lambda s: docs.select("doc").crossJoin(questions.select("qid")).join(s, ["qid", "doc"], "left").select("qid", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
-    dense = R.within_parents(all_pairs(index.scores(questions, docs)), children, best)
+    pairs = R.pairs_within(questions, children, best)
+    dense = pairs.join(index.scores(questions, docs), ["qid", "doc"], "left").select("qid", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
     if kind == "dense":
         return R.top_k(dense, k)
     lexical = R.with_zeros(L.Bm25(docs).scores(questions), questions, docs, max(50, 10 * k))
