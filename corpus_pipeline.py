@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines are cut, then passages within lines; documents left without any line by that go."""
-    return passages.deduplicated(saved(linededup.deduplicated(docs), "lines-cut"))
+    return passages.deduplicated(saved(linededup.deduplicated(docs, whole=True), "lines-cut"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

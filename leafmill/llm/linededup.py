@@ -46,14 +46,16 @@ def _runs(least_words: int) -> Column:
     return F.expr(f"if(greatest(shift, 0) > least(size(d), size(c) + shift) - 1, cast(array() as array<struct<b: int, e: int>>), aggregate({equal}, {zero}, {step}, a -> {close}))")
 
 
-def cuts(docs: DataFrame, window: int = 4, least_words: int = 10) -> DataFrame:
+def cuts(docs: DataFrame, window: int = 4, least_words: int = 10, whole: bool = False) -> DataFrame:
     """(doc_id, hash, cuts) of the documents that lose lines: hash is the text's XXH64, cuts are (b, e) of line numbers, both inclusive."""
     frame = docs.select("doc_id", F.xxhash64("text").alias("hash"), _lines(F.coalesce("text", F.lit(""))).alias("lines")).where(F.size("lines") > 0)
     lines = saved(frame, "lines")
     key = ["doc_id", "hash"]
     if lines.groupBy(*key).count().where("count > 1").limit(1).count():
         lines = saved(lines.dropDuplicates(key), "lines")
-    chosen = lines.select(*key, "lines", F.explode(fingerprints(window, least_words)).alias("p")).select(*key, F.expr("lines[p].h").alias("h"), "p")
+    single = F.transform(fingerprints(window, least_words), lambda p: F.struct(F.col("lines")[p]["h"].alias("h"), p.alias("p")))
+    several = F.expr(f"transform(if(size(lines) < {window}, cast(array() as array<int>), sequence(0, size(lines) - {window})), s -> named_struct('h', xxhash64(transform(slice(lines, s + 1, {window}), x -> x.h)), 'p', s))")
+    chosen = lines.select(*key, F.explode(F.concat(single, several) if whole else single).alias("x")).select(*key, "x.h", "x.p")
     by_doc = saved(chosen.groupBy(*key, "h").agg(F.array_sort(F.collect_list("p")).alias("ps")), "fingerprints")
     source = by_doc.groupBy("h").agg(F.min(F.struct("doc_id", "hash", F.col("ps")[0].alias("p"))).alias("source"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("sh"), "source")
     met = by_doc.select(*key, "h", F.col("ps")[0].alias("p")).join(source, F.col("h") == F.col("sh"))
@@ -69,15 +71,16 @@ def cuts(docs: DataFrame, window: int = 4, least_words: int = 10) -> DataFrame:
     return runs.groupBy(*key).agg(F.collect_set("run").alias("cuts"))
 
 
-def deduplicated(docs: DataFrame, window: int = 4, least_words: int = 10, report: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = 4, least_words: int = 10, report: bool = False, whole: bool = False) -> DataFrame:
     """`docs` with later repeated runs cut from their texts; with `report`, n_lines, n_cut and n_left too.
 
     Without `report`, documents that lose lines and have none left but blank ones go; documents that were
-    empty before stay. Runs count in the order of doc_id, null first, then of the text's hash. Rows that
+    empty before stay. With `whole`, hashes of `window` lines are fingerprints too, so that no repeated run of
+    that many lines is missed because a line of it stands elsewhere before. Runs count in the order of doc_id, null first, then of the text's hash. Rows that
     repeat both doc_id and text are one document and fare alike. Lines are compared without outer blanks,
     blank lines within a cut run go with it. A null text stays null. An empty table gives an empty one.
     """
-    found = saved(cuts(docs, window, least_words).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__h"), F.col("cuts").alias("__cuts")), "cuts")
+    found = saved(cuts(docs, window, least_words, whole).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__h"), F.col("cuts").alias("__cuts")), "cuts")
     marked = docs.withColumn("__x", F.xxhash64("text"))
     joined = marked.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__h")), "left")
     split = joined.withColumn("__lines", F.when(F.col("__cuts").isNotNull() | F.lit(report), F.split(F.coalesce("text", F.lit("")), "\n")))

@@ -38,7 +38,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = saved(linededup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"), report=True), "lines-cut")
+    lines = saved(linededup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"), report=True, whole=True), "lines-cut")
     cut = passages.deduplicated(lines, drop=False)
     return cut.select("doc_id", "n_lines", "n_cut", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 

@@ -1,0 +1,36 @@
+import random
+
+from leafmill.llm import linededup
+
+
+def test_copies_whose_lines_stand_elsewhere_before(frame):
+    """Each line of the passage stands in an earlier document in another context."""
+    passage = [" ".join(f"p{k}w{j}" for j in range(9)) for k in range(7)]
+    docs = [(k, f"a{k}\n{x}\nb{k}") for k, x in enumerate(passage)]
+    docs += [(i, "\n".join([f"c{i}", *passage, f"d{i}"])) for i in (20, 21)]
+    got = {r.doc_id: r.text for r in linededup.deduplicated(frame(docs), whole=True).collect()}
+    assert got[20] == docs[-2][1] and got[21] == "c21\nd21"
+
+
+def test_every_repeated_window_goes(frame):
+    """Brute force over all earlier documents and places."""
+    rng = random.Random(6)
+    pool = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.choice([3, 4, 6]))) for _ in range(12)]
+    docs = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randint(0, 11)
+            lines += pool[at : at + rng.randint(1, 7)] + [f"own {i} {rng.random()}"] * rng.randint(0, 1)
+        docs.append((i, "\n".join(lines)))
+    got = {r.doc_id: (r.text or "").split("\n") for r in linededup.deduplicated(frame(docs), report=True, whole=True).collect()}
+    seen = set()
+    for i, text in docs:
+        lines, gone = text.split("\n"), set()
+        for s in range(len(lines) - 3):
+            part = tuple(lines[s : s + 4])
+            gone |= set(range(s, s + 4)) if part in seen else set()
+            seen.add(part)
+        least = [x for k, x in enumerate(lines) if k not in gone]
+        rest = iter(least)
+        assert all(any(x == y for y in rest) for x in got[i] if x), i
