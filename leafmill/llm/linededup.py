@@ -1,16 +1,17 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
-A document is the sequence of its lines' hashes, blank lines aside. Of every `window` consecutive lines the
-one of the smallest hash is a fingerprint (the last of equal ones), and so is every line of `least_words`
-words or more: any run of `window` lines, and any long line, that two documents share has a fingerprint in
-common. A fingerprint's source is its first place in the order of doc_id. Every document that has it later
-is laid beside the source so that the two places meet, and the match is extended both ways, as far as the
-lines go on being equal. A fingerprint that a document repeats is laid beside its place before in the same
-document. Runs of `least_words` words or more are cut from the later place; each line cut still stands
-earlier in the order, and so in the end at its first place.
-
-Joins run over one row for each document and fingerprint against one source, never over pairs of
-documents; sources that many documents share are split by the skew join.
+A document is the sequence of its lines' hashes, blank lines aside. A window is the fewest consecutive lines
+that hold `least_words` words, from each line on, and the smallest hash in it is a fingerprint: any run of
+so many words that stands in two places has a fingerprint in common, whatever stands around it. Where a
+fingerprint repeats, its positions are joined to the documents' lines, and the windows around it are laid
+out in both directions, forwards from each line and backwards from each line. A window whose lines don't
+stand there for the first time, in the order of doc_id, is deleted; overlapping ones make up the longest
+repeated runs. So a line goes exactly if it lies in a run of `least_words` words or more that stands earlier
+in any document, or further up in its own. Each line cut still stands earlier, and so in the end somewhere.
+
+`passages` does the same for words within lines. Both find their cuts in the texts as they came, and both
+are applied at once. Rows are windows, never pairs of documents or places, and their number grows with the
+input. Equality is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,77 +19,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import passages
 from .common import saved
-
-_BLANK = r"^\s*$"
+from .passages import KEY, WHITE, merged, repeated, same
 
 
 def _lines(text: Column) -> Column:
-    """Lines that aren't blank: i, their number; h, their hash without outer blanks; n, their words."""
-    trimmed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x")))
-    full = F.filter(trimmed, lambda x: F.length(x["x"]) > 0)
-    return F.transform(full, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["x"]).alias("h"), (F.length(x["x"]) - F.length(F.replace(x["x"], F.lit(" "), F.lit(""))) + 1).alias("n")))
-
-
-def fingerprints(window: int, least_words: int) -> Column:
-    """Positions in the array `lines` that winnowing selects."""
-    minima = f"transform(sequence(0, greatest(size(lines) - {window}, 0)), s -> -array_min(transform(slice(lines, s + 1, {window}), (x, k) -> named_struct('h', x.h, 'p', -s - k))).p)"
-    long = f"filter(transform(lines, (x, k) -> if(x.n >= {least_words}, k, -1)), k -> k >= 0)"
-    return F.expr(f"if(size(lines) = 0, cast(array() as array<int>), array_distinct(concat({minima}, {long})))")
-
+    """Lines that aren't blank: i, their number; h, their hash without outer white space; n, their words.
 
-def _runs(least_words: int) -> Column:
-    """Of d, the document's lines, and c, the source's, shifted by `shift`: the runs (b, e) of equal lines, as line numbers."""
-    equal = "filter(sequence(greatest(shift, 0), least(size(d), size(c) + shift) - 1), i -> d[i].h = c[i - shift].h)"
-    zero = "named_struct('runs', cast(array() as array<struct<b: int, e: int>>), 'b', 0, 'e', -2, 'n', 0)"
-    close = f"if(a.n >= {least_words}, array_append(a.runs, named_struct('b', d[a.b].i, 'e', d[a.e].i)), a.runs)"
-    step = f"(a, i) -> if(i = a.e + 1, named_struct('runs', a.runs, 'b', a.b, 'e', i, 'n', a.n + d[i].n), named_struct('runs', {close}, 'b', i, 'e', i, 'n', d[i].n))"
-    return F.expr(f"if(greatest(shift, 0) > least(size(d), size(c) + shift) - 1, cast(array() as array<struct<b: int, e: int>>), aggregate({equal}, {zero}, {step}, a -> {close}))")
+    Text without blanks between words counts by its bytes beyond ASCII, six to a word.
+    """
+    trimmed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(WHITE)).alias("x")))
+    full = F.filter(trimmed, lambda x: F.length(x["x"]) > 0)
+    plain = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    odd = lambda x: (F.instr(x, "  ") > 0) | (F.length(F.translate(x, WHITE[1:], "")) < F.length(x))
+    words = lambda x: F.when(odd(x), F.size(F.split(x, r"\s+"))).otherwise(plain(x))
+    beyond = lambda x: F.floor((F.octet_length(x) - F.length(x)) / 6).cast("int")
+    return F.transform(full, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["x"]).alias("h"), F.greatest(words(x["x"]), beyond(x["x"])).alias("n")))
 
 
-def cuts(docs: DataFrame, window: int = 4, least_words: int = 10, whole: bool = False) -> DataFrame:
-    """(doc_id, hash, cuts) of the documents that lose lines: hash is the text's XXH64, cuts are (b, e) of line numbers, both inclusive."""
+def cuts(docs: DataFrame, least_words: int = 10) -> DataFrame:
+    """(doc_id, hash, cuts, all) of the documents that lose lines: hash is the text's XXH64, cuts are (b, e) of
+    line numbers, both inclusive, with the blank lines up to the next, and `all` tells that no line is left but
+    blank ones."""
     frame = docs.select("doc_id", F.xxhash64("text").alias("hash"), _lines(F.coalesce("text", F.lit(""))).alias("lines")).where(F.size("lines") > 0)
-    lines = saved(frame, "lines")
-    key = ["doc_id", "hash"]
-    if lines.groupBy(*key).count().where("count > 1").limit(1).count():
-        lines = saved(lines.dropDuplicates(key), "lines")
-    single = F.transform(fingerprints(window, least_words), lambda p: F.struct(F.col("lines")[p]["h"].alias("h"), p.alias("p")))
-    several = F.expr(f"transform(if(size(lines) < {window}, cast(array() as array<int>), sequence(0, size(lines) - {window})), s -> named_struct('h', xxhash64(transform(slice(lines, s + 1, {window}), x -> x.h)), 'p', s))")
-    chosen = lines.select(*key, F.explode(F.concat(single, several) if whole else single).alias("x")).select(*key, "x.h", "x.p")
-    by_doc = saved(chosen.groupBy(*key, "h").agg(F.array_sort(F.collect_list("p")).alias("ps")), "fingerprints")
-    source = by_doc.groupBy("h").agg(F.min(F.struct("doc_id", "hash", F.col("ps")[0].alias("p"))).alias("source"), F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("sh"), "source")
-    met = by_doc.select(*key, "h", F.col("ps")[0].alias("p")).join(source, F.col("h") == F.col("sh"))
-    later = ~(F.col("doc_id").eqNullSafe(F.col("source.doc_id")) & (F.col("hash") == F.col("source.hash")))
-    across = met.where(later).select(*key, F.col("source.doc_id").alias("of_id"), F.col("source.hash").alias("of_hash"), (F.col("p") - F.col("source.p")).alias("shift"))
-    within = by_doc.where(F.size("ps") > 1).select(*key, F.col("doc_id").alias("of_id"), F.col("hash").alias("of_hash"), F.explode(F.expr("array_distinct(transform(slice(ps, 2, size(ps) - 1), (p, k) -> p - ps[k]))")).alias("shift"))
-    pairs = across.unionByName(within).distinct()
-    same = lambda a, b, c, d: F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
-    own = lines.select(F.col("doc_id").alias("d_id"), F.col("hash").alias("d_hash"), F.col("lines").alias("d"))
-    other = lines.select(F.col("doc_id").alias("c_id"), F.col("hash").alias("c_hash"), F.col("lines").alias("c"))
-    beside = pairs.join(own, same("doc_id", "d_id", "hash", "d_hash")).join(other, same("of_id", "c_id", "of_hash", "c_hash"))
-    runs = beside.select(*key, F.explode(_runs(least_words)).alias("run"))
-    return runs.groupBy(*key).agg(F.collect_set("run").alias("cuts"))
-
-
-def deduplicated(docs: DataFrame, window: int = 4, least_words: int = 10, report: bool = False, whole: bool = False) -> DataFrame:
-    """`docs` with later repeated runs cut from their texts; with `report`, n_lines, n_cut and n_left too.
-
-    Without `report`, documents that lose lines and have none left but blank ones go; documents that were
-    empty before stay. With `whole`, hashes of `window` lines are fingerprints too, so that no repeated run of
-    that many lines is missed because a line of it stands elsewhere before. Runs count in the order of doc_id, null first, then of the text's hash. Rows that
-    repeat both doc_id and text are one document and fare alike. Lines are compared without outer blanks,
-    blank lines within a cut run go with it. A null text stays null. An empty table gives an empty one.
+    lines = saved(frame.select(*KEY, F.col("lines.i").alias("i"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n")), "lines")
+    if lines.groupBy(*KEY).count().where("count > 1").limit(1).count():
+        lines = saved(lines.dropDuplicates(KEY), "lines")
+    enough = least_words * 1000
+    reach = lambda part: f"aggregate({part}, 0L, (a, x) -> if(a >= {enough}, a, a + x * 1000L + 1))"
+    #: From each line on, and back from each line: 1000 times the words of the window, plus its lines.
+    ahead = F.expr(f"transform(sequence(0, size(n) - 1), s -> {reach(f'slice(n, s + 1, {least_words})')})")
+    back = F.expr(f"transform(sequence(0, size(n) - 1), t -> {reach(f'reverse(slice(n, greatest(t - {least_words} + 2, 1), least({least_words}, t + 1)))')})")
+    minima = F.expr(f"transform(ahead, (a, s) -> if(a >= {enough}, array_min(slice(h, s + 1, cast(a % 1000 as int))), null))")
+    chosen = lines.withColumn("ahead", ahead).withColumn("f", minima)
+    places = repeated(chosen.select(*KEY, (F.size(F.array_distinct("h")) < F.size("h")).alias("own"), F.array_distinct(F.array_compact("f")).alias("fs")), "line")
+    found = lines.alias("d").join(places.alias("p"), same("d", "p")).select("d.doc_id", "d.hash", "i", "h", "n", "fs")
+    found = found.withColumn("ahead", ahead).withColumn("f", minima).withColumn("back", back)
+    window = "named_struct('r', xxhash64(slice(h, {s} + 1, {t} - {s} + 1)), 'b', i[{s}], 'e', coalesce(get(i, {t} + 1) - 1, i[{t}]))"
+    forward = f"transform(filter(transform(ahead, (a, s) -> named_struct('s', s, 't', s + cast(a % 1000 as int) - 1)), x -> ahead[x.s] >= {enough} and array_contains(fs, f[x.s])), x -> {window.format(s='x.s', t='x.t')})"
+    backward = f"transform(filter(transform(back, (a, t) -> named_struct('s', t - cast(a % 1000 as int) + 1, 't', t)), x -> back[x.t] >= {enough} and x.s + ahead[x.s] % 1000 - 1 <> x.t and array_contains(fs, f[x.s])), x -> {window.format(s='x.s', t='x.t')})"
+    runs = found.select(*KEY, F.element_at("i", 1).alias("top"), F.element_at("i", -1).alias("end"), F.explode(F.concat(F.expr(forward), F.expr(backward))).alias("x"))
+    return merged(runs.select(*KEY, "top", "end", "x.*"), "line", ["top", "end"]).select(*KEY, "cuts", F.expr("size(cuts) = 1 and cuts[0].b = top and cuts[0].e = end").alias("all"))
+
+
+def deduplicated(docs: DataFrame, least_words: int = 10, passage: int | None = 50, report: bool = False, drop: bool = True) -> DataFrame:
+    """`docs` with later repeated runs cut from their texts: of whole lines with `least_words` words or more,
+    and, unless `passage` is None, of `passage` words or more wherever they begin and end. With `report`,
+    n_lines, n_cut (lines that are gone), n_left and n_chars_cut replace columns of these names.
+
+    With `drop` and without `report`, documents that lose lines or words and have none left go; documents
+    that were empty before stay. Runs count in the order of doc_id, null first, then of the text's hash.
+    Rows that repeat both doc_id and text are one document and fare alike. Lines are compared without outer
+    white space, words without regard to any. Blank lines up to the next line go with a line that is cut; a
+    passage that ends a line further down than it began leaves its line break. A null text stays null, other columns
+    stay as they are. An empty table gives an empty one.
     """
-    found = saved(cuts(docs, window, least_words, whole).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__h"), F.col("cuts").alias("__cuts")), "cuts")
-    marked = docs.withColumn("__x", F.xxhash64("text"))
-    joined = marked.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__h")), "left")
-    split = joined.withColumn("__lines", F.when(F.col("__cuts").isNotNull() | F.lit(report), F.split(F.coalesce("text", F.lit("")), "\n")))
-    left = F.when(F.col("__cuts").isNull(), F.col("__lines")).otherwise(F.expr("filter(__lines, (x, i) -> not exists(__cuts, c -> i between c.b and c.e))"))
-    split = split.withColumn("__left", left)
-    text = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.array_join("__left", "\n"))
-    out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    if report:
-        count = lambda c: F.size(c).cast("bigint")
-        return split.select(*out, count("__lines").alias("n_lines"), (count("__lines") - count("__left")).alias("n_cut"))
-    return split.where(F.col("__cuts").isNull() | F.exists("__left", lambda x: ~x.rlike(_BLANK))).select(*out)
+    lines = saved(cuts(docs, least_words), "line-cuts")
+    kind = "array<struct<b: int, e: int>>"
+    found = lines.select(*KEY, "cuts", F.lit(None).cast(kind).alias("words"))
+    if passage is not None:
+        inside = passages.cuts(docs, passage, lines).select(*KEY, F.lit(None).cast(kind).alias("cuts"), F.col("cuts").alias("words"))
+        found = found.union(inside).groupBy(*KEY).agg(F.first("cuts", True).alias("cuts"), F.first("words", True).alias("words"))
+    return passages.without(docs, saved(found, "cuts"), report, drop)

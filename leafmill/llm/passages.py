@@ -1,12 +1,13 @@
 """Passages that repeat word for word, wherever they begin and end, with DataFrame functions only.
 
 A word that lies in `least` consecutive words that stand earlier, in a document before or further up in the
-same one, is cut. Two steps find them all. First, texts are cut into phrases, which end in punctuation. From
-each phrase on, as many as hold `UNIT` words are a fingerprint, and phrases of `LONG` words or more are
-winnowed: of every `LONG` - `SPAN` + 1 positions in a row the one of the smallest hash is a fingerprint too.
-Of 50 words, either `LONG` in a row lie in one phrase, or whole phrases of `UNIT` words lie between the
-outer two, so where a run repeats, a fingerprint does. Then only the runs of `least` words that hold a
-repeated fingerprint are hashed, and each that isn't the first place of its hash is cut.
+same one, is cut. Two steps find them all. First, texts are cut into units of at most `MOST` words, by what
+stands there alone: at the ends of sentences, longer ones at commas, and what is longer still at the window
+minima of its words' hashes. A passage loses `MOST` words at most on either side until whole units begin, so
+it holds `least` - 2 `MOST` words of whole units, and at least two of them. A window is the fewest units that
+hold so many words, from each unit on; the smallest hash of two units side by side in it is a fingerprint.
+Then only the runs of `least` words around a repeated fingerprint are hashed, and each that isn't the first
+place of its hash is cut.
 
 Nothing is laid beside anything else: rows are places, and their number grows with the input.
 """
@@ -18,9 +19,38 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-#: Words of phrases together, of a long phrase, and that a hash in it spans; bits of a position in the low end of the long.
-UNIT, LONG, SPAN, BITS = 12, 19, 13, 30
-_PIECES = r"regexp_extract_all({}, '\\s*\\S+\\s*', 0)"
+#: Words of a unit at most; words of a window in which the smallest hash ends a unit.
+MOST, INSIDE = 13, 7
+WHITE = " \t\r\x0b\f"
+KEY = ["doc_id", "hash"]
+_CUT = "array<struct<b: int, e: int>>"
+
+
+def same(a: str, b: str) -> Column:
+    """Whether both sides are one document."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.hash") == F.col(f"{b}.hash"))
+
+
+def repeated(chosen: DataFrame, name: str) -> DataFrame:
+    """Of fingerprints `fs` by document: (doc_id, hash, fs) with those that repeat. All of a document count
+    as repeated that repeats something itself, as `own` tells."""
+    marks = saved(chosen.select(*KEY, "own", F.explode("fs").alias("f")), f"{name}-fingerprints")
+    often = marks.groupBy("f").agg(F.sum(F.when(F.col("own"), 2).otherwise(1)).alias("n")).where("n > 1").select("f")
+    return saved(marks.join(often, "f", "left_semi").groupBy(*KEY).agg(F.collect_set("f").alias("fs")), f"{name}-places")
+
+
+def merged(runs: DataFrame, name: str, rest: list[str]) -> DataFrame:
+    """Of runs (doc_id, hash, r, b, e), r their hash: (doc_id, hash, cuts), all but the first place of each
+    joined into ranges (b, e) that neither touch nor overlap. Columns of `rest` are a document's own."""
+    runs = saved(runs, f"{name}-runs")
+    first = runs.groupBy("r").agg(F.min(F.struct(*KEY, "b")).alias("first"), F.count("*").alias("n")).where("n > 1").select("r", "first")
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")) & (F.col("b") == F.col("first.b"))
+    own = [F.first(c).alias(c) for c in rest]
+    later = runs.join(first, "r").where(~here).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("b", "e"))).alias("at"), *own)
+    zero = f"named_struct('runs', cast(array() as {_CUT}), 'b', 0, 'e', -2)"
+    close = "if(a.e < 0, a.runs, array_append(a.runs, named_struct('b', a.b, 'e', a.e)))"
+    step = f"(a, x) -> if(a.e >= 0 and x.b <= a.e + 1, named_struct('runs', a.runs, 'b', a.b, 'e', greatest(a.e, x.e)), named_struct('runs', {close}, 'b', x.b, 'e', x.e))"
+    return later.select(*KEY, F.expr(f"aggregate(at, {zero}, {step}, a -> {close})").alias("cuts"), *rest)
 
 
 def _plain(text: Column) -> Column:
@@ -34,43 +64,81 @@ def _count(x: str) -> str:
     return f"(length({x}) - length(replace({x}, ' ', '')) + 1)"
 
 
-def _marks(least: int) -> Column:
-    """Of the text `t`: the fingerprints (f), each with its phrase (j), the words before it there (o) and its words (n)."""
-    phrases = f"transform(split(t, '[.!?,;:] '), (x, j) -> named_struct('j', j, 't', if({_count('x')} >= {LONG}, x, null), 'h', xxhash64(x), 'n', {_count('x')}))"
-    more = f"(a, y) -> if(a.n >= {UNIT}, a, named_struct('h', xxhash64(a.h, y.h), 'n', a.n + y.n))"
-    unit = f"if(x.n >= {UNIT}, named_struct('h', x.h, 'n', x.n), aggregate(slice(q, j + 2, {UNIT}), named_struct('h', x.h, 'n', x.n), {more}))"
-    units = f"filter(transform(q, (x, j) -> transform(array({unit}), u -> named_struct('f', u.h, 'j', j, 'o', 0, 'n', u.n))[0]), u -> u.n between {UNIT} and {least})"
-    hashed = ", ".join(f"ws[i + {k}]" for k in (0, 2, 5, 7, 10, 12))
-    grams = f"transform(sequence(0, size(ws) - {SPAN}), i -> (xxhash64({hashed}) & {-1 << BITS}) | i)"
-    minima = f"array_distinct(transform(sequence(0, size(g) - {LONG - SPAN + 1}), s -> array_min(slice(g, s + 1, {LONG - SPAN + 1}))))"
-    within = f"flatten(transform(array(split(x.t, ' ')), ws -> flatten(transform(array({grams}), g -> {minima}))))"
-    winnowed = f"flatten(transform(filter(q, x -> x.t is not null), x -> transform({within}, m -> named_struct('f', shiftright(m, {BITS}), 'j', x.j, 'o', cast(m & {(1 << BITS) - 1} as int), 'n', {SPAN}))))"
-    return F.expr(f"if({_count('t')} < {least}, null, flatten(transform(array({phrases}), q -> concat({units}, {winnowed}))))")
-
-
-def cuts(docs: DataFrame, least: int = 50) -> DataFrame:
-    """(doc_id, hash, cuts) of the documents that lose words: hash is the text's XXH64, cuts are (b, e) of word numbers, both inclusive."""
-    if least < UNIT + 2 * (LONG - 1):
-        raise ValueError(f"passages of under {UNIT + 2 * (LONG - 1)} words can be missed")
-    key = ["doc_id", "hash"]
-    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.hash") == F.col(f"{b}.hash"))
+def _units(t: str) -> Column:
+    """The units of plain text: h, their hash; n, their words."""
+    low = (1 << 24) - 1
+    minima = f"transform(sequence(0, size(p) - {INSIDE}), s -> cast(array_min(slice(p, s + 1, {INSIDE})) & {low} as int))"
+    starts = f"array_sort(array_distinct(concat(array(0), {minima})))"
+    parts = f"transform(at, (b, k) -> array_join(slice(ws, b + 1, coalesce(get(at, k + 1), size(ws)) - b), ' '))"
+    inner = f"transform(array(split(y, ' ')), ws -> transform(array(transform(ws, (w, i) -> (xxhash64(w) & {-1 - low}) | i)), p -> transform(array({starts}), at -> {parts})[0])[0])[0]"
+    phrases = f"flatten(transform(split(x, '(?<=,) '), y -> if({_count('y')} <= {MOST}, array(y), {inner})))"
+    units = f"flatten(transform(split({t}, '(?<=[.!?;:]) '), x -> if({_count('x')} <= {MOST}, array(x), {phrases})))"
+    return F.expr(f"transform({units}, x -> named_struct('h', xxhash64(x), 'n', {_count('x')}))")
+
+
+def _words(text: str) -> str:
+    """Words with the white space around them, a blank line as one; i, the line; j, their number in it; m, of how many."""
+    inside = "if(l rlike '\\\\S', regexp_extract_all(l, '\\\\s*\\\\S+\\\\s*', 0), array(l))"
+    return f"flatten(transform(split({text}, '\\n'), (l, i) -> transform(array({inside}), ws -> transform(ws, (x, j) -> named_struct('i', i, 'j', j, 'm', size(ws), 'x', x)))[0]))"
+
+
+def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None) -> DataFrame:
+    """(doc_id, hash, cuts) of the documents that lose words: hash is the text's XXH64, cuts are (b, e) of
+    word numbers, both inclusive, where a blank line counts as a word.
+
+    Lines that `gone` (doc_id, hash, cuts, all) lists as cut are passed over: what lies within them stands
+    earlier in any case, so no first place is among it.
+    """
+    whole = least - 2 * MOST
+    if whole <= MOST:
+        raise ValueError(f"passages of {3 * MOST} words or fewer can be missed")
     texts = docs.where(F.length("text") >= 2 * least - 1).select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    marks = saved(texts.select(*key, _plain(F.col("text")).alias("t")).select(*key, F.explode(_marks(least)).alias("m")).select(*key, "m.*"), "marks")
-    often = marks.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    places = saved(marks.join(often, "f", "left_semi").groupBy(*key).agg(F.collect_set(F.struct("j", "o", "n")).alias("ps")), "places")
-    found = texts.alias("t").join(places.alias("s"), same("t", "s")).select("t.doc_id", "t.hash", "ps", F.split(_plain(F.col("text")), " ").alias("w"))
-    begins = "filter(sequence(0, size(w) - 1), i -> i = 0 or instr('.!?,;:', right(w[i - 1], 1)) > 0)"
-    found = found.select(*key, F.transform("w", lambda x: F.xxhash64(x)).alias("w"), F.expr(f"flatten(transform(array({begins}), at -> transform(ps, p -> named_struct('b', at[p.j] + p.o, 'e', at[p.j] + p.o + p.n))))").alias("ps"))
-    starts = f"array_distinct(flatten(transform(ps, p -> sequence(greatest(p.e - {least}, 0), array_min(array(p.b, size(w) - {least}))))))"
-    runs = f"transform({starts}, i -> named_struct('i', i, 'r', xxhash64(slice(w, i + 1, {least}))))"
-    runs = saved(found.select(*key, F.explode(F.expr(runs)).alias("x")).select(*key, "x.i", "x.r"), "runs")
-    first = runs.groupBy("r").agg(F.min(F.struct("doc_id", "hash", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").select("r", "first")
-    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")) & (F.col("i") == F.col("first.i"))
-    later = runs.join(first, "r").where(~here).groupBy(*key).agg(F.array_sort(F.collect_set("i")).alias("at"))
-    zero = "named_struct('runs', cast(array() as array<struct<b: int, e: int>>), 'b', 0, 'e', -1)"
-    close = "if(a.e < 0, a.runs, array_append(a.runs, named_struct('b', a.b, 'e', a.e)))"
-    merge = f"(a, i) -> if(a.e >= 0 and i <= a.e + 1, named_struct('runs', a.runs, 'b', a.b, 'e', i + {least - 1}), named_struct('runs', {close}, 'b', i, 'e', i + {least - 1}))"
-    return later.select(*key, F.expr(f"aggregate(at, {zero}, {merge}, a -> {close})").alias("cuts"))
+    frame = texts.select(*KEY, _plain(F.col("text")).alias("t")).where(f"{_count('t')} >= {least}").select(*KEY, _units("t").alias("u"))
+    # arrays that lambdas index are bound by a lambda of their own, or they would be made again for each element
+    reach = f"aggregate(slice(v.n, s + 1, {whole}), 0, (a, x) -> if(a >= {whole * 1000}, a, a + x * 1000 + 1))"
+    minima = f"transform(if(size(v.g) > 0, sequence(0, size(v.g) - 1), array()), s -> transform(array({reach}), a -> if(a >= {whole * 1000}, array_min(slice(v.g, s + 1, a % 1000 - 1)), null))[0])"
+    both = "named_struct('n', u.n, 'g', zip_with(slice(u.h, 1, size(u) - 1), slice(u.h, 2, size(u)), (x, y) -> xxhash64(x, y)))"
+    marks = f"transform(array({both}), v -> named_struct('own', size(array_distinct(v.g)) < size(v.g), 'fs', array_distinct(array_compact({minima}))))[0]"
+    chosen = frame.select(*KEY, F.expr(marks).alias("v")).select(*KEY, "v.*")
+    places = repeated(chosen, "passage")
+    if gone is None:
+        gone = places.select(*KEY, F.lit(None).cast(_CUT).alias("cuts"), F.lit(False).alias("all")).limit(0)
+    places = places.alias("p").join(gone.alias("l"), same("p", "l"), "left").where("not coalesce(l.all, false)").select("p.doc_id", "p.hash", "fs", F.col("cuts").alias("lost"))
+    found = texts.alias("t").join(places.alias("s"), same("t", "s")).select("t.doc_id", "t.hash", "text", "fs", "lost")
+    word = "(y, o) -> named_struct('o', o, 'h', nullif(xxhash64(btrim(y.x, ' \\t\\r\\u000b\\f')), xxhash64('')), 'left', lost is null or not exists(lost, c -> y.i between c.b and c.e))"
+    found = found.select(*KEY, "fs", _plain(F.col("text")).alias("t"), F.expr(f"filter(transform({_words('text')}, {word}), y -> y.h is not null)").alias("w")).select(*KEY, "fs", "w", _units("t").alias("u"))
+    places = "named_struct('o', w.o, 'h', w.h, 'left', w.left, 'u', u.h, 'at', aggregate(u.n, array(0), (a, x) -> array_append(a, element_at(a, -1) + x)))"
+    pairs = "filter(sequence(0, size(v.u) - 2), k -> array_contains(fs, xxhash64(v.u[k], v.u[k + 1])))"
+    around = f"transform({pairs}, k -> sequence(greatest(v.at[k + 2] - {least}, 0), least(v.at[k], size(v.h) - {least})))"
+    starts = f"filter(array_distinct(flatten({around})), i -> array_contains(slice(v.left, i + 1, {least}), true))"
+    windows = f"transform({starts}, i -> named_struct('r', xxhash64(slice(v.h, i + 1, {least})), 'b', v.o[i], 'e', v.o[i + {least - 1}]))"
+    runs = found.select(*KEY, F.explode(F.expr(f"transform(array({places}), v -> if(size(v.u) < 2 or size(v.h) < {least}, null, {windows}))[0]")).alias("x"))
+    return merged(runs.select(*KEY, "x.*"), "passage", [])
+
+
+def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> DataFrame:
+    """`docs` without what `found` (doc_id, hash, cuts of lines, words) lists, one row there for a document."""
+    named = found.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__h"), F.col("cuts").alias("__lines"), F.col("words").alias("__words"))
+    joined = docs.withColumn("__x", F.xxhash64("text")).join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__h")), "left")
+    hit = "(__lines is not null or __words is not null)"
+    line = "(__lines is not null and exists(__lines, c -> y.i between c.b and c.e))"
+    word = "(__words is not null and exists(__words, c -> o between c.b and c.e))"
+    rest = "(__words is not null and exists(__words, c -> c.b <= o - y.j and o <= c.e))"
+    #: Each word left, and the line breaks of lines that aren't gone as a whole.
+    left = f"transform(__all, (y, o) -> case when {line} then '' when not {word} then if(y.j = y.m - 1, concat(y.x, '\\n'), y.x) when y.j = y.m - 1 and not {rest} then '\\n' else '' end)"
+    split = joined.withColumn("__all", F.expr(f"if({hit}, {_words('text')}, null)")).withColumn("__left", F.expr(f"if({hit}, array_join({left}, ''), null)"))
+    text = F.expr(f"if({hit}, left(__left, greatest(length(__left) - 1, 0)), text)")
+    added = {"n_lines", "n_cut", "n_left", "n_chars_cut"} if report else set()
+    kept = [c for c in docs.columns if c not in added]
+    cut = split.withColumn("__text", text)
+    out = [F.col("__text").alias("text") if c == "text" else F.col(c) for c in kept]
+    if report:
+        lines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+        before = (lines(F.coalesce("text", F.lit(""))) + 1).cast("bigint")
+        after = F.when(F.expr(hit), lines(F.col("__left"))).otherwise(before).cast("bigint")
+        chars = F.coalesce(F.length("text") - F.length("__text"), F.lit(0)).cast("bigint")
+        return cut.select(*out, before.alias("n_lines"), (before - after).alias("n_cut"), after.alias("n_left"), chars.alias("n_chars_cut"))
+    return (cut.where(~F.expr(hit) | F.col("__text").rlike(r"\S")) if drop else cut).select(*out)
 
 
 def deduplicated(docs: DataFrame, least: int = 50, drop: bool = True) -> DataFrame:
@@ -81,11 +149,5 @@ def deduplicated(docs: DataFrame, least: int = 50, drop: bool = True) -> DataFra
     lies between white space, which stays as it is but for that after the words cut: a passage that ends a
     line further down than it began leaves its line break. A null text stays null, other columns stay.
     """
-    found = saved(cuts(docs, least).select(F.col("doc_id").alias("__id"), F.col("hash").alias("__h"), F.col("cuts").alias("__cuts")), "passages")
-    joined = docs.withColumn("__x", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__h")), "left")
-    split = joined.withColumn("__pieces", F.expr(f"if(__cuts is null, null, {_PIECES.format('text')})"))
-    ends = "exists(__cuts, c -> c.e = i and c.b > 0 and contains(x, '\\n') and not contains(__pieces[c.b - 1], '\\n'))"
-    left = f"transform(__pieces, (x, i) -> case when not exists(__cuts, c -> i between c.b and c.e) then x when {ends} then '\\n' else '' end)"
-    text = F.coalesce(F.array_join(F.expr(left), ""), F.col("text"))
-    out = split.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], "__cuts")
-    return (out.where(F.col("__cuts").isNull() | F.col("text").rlike(r"\S")) if drop else out).drop("__cuts")
+    found = cuts(docs, least).select(*KEY, F.lit(None).cast(_CUT).alias("cuts"), F.col("cuts").alias("words"))
+    return without(docs, saved(found, "cuts"), False, drop)

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import bpe, decontaminate, licenses, linededup, media, passages, pii, secrets, simhash, sql, tokenfiles, toxicity
-from .common import saved
+from . import bpe, decontaminate, licenses, linededup, media, pii, secrets, simhash, sql, tokenfiles, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -38,9 +37,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = saved(linededup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"), report=True, whole=True), "lines-cut")
-    cut = passages.deduplicated(lines, drop=False)
-    return cut.select("doc_id", "n_lines", "n_cut", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    cut = linededup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"), report=True)
+    return cut.select("doc_id", "n_lines", "n_cut", "n_left", "n_chars_cut", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
