@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import bpe, decontaminate, linededup, passages, simhash, toxicity
-from leafmill.llm.common import fresh_path, saved
+from leafmill.llm import bpe, decontaminate, linededup, simhash, toxicity
+from leafmill.llm.common import fresh_path
 from leafmill.llm.queries import documents, tokenizer
 
 ORACLE_SQL = None
@@ -23,8 +23,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines are cut, then passages within lines; documents left without any line by that go."""
-    return passages.deduplicated(saved(linededup.deduplicated(docs, whole=True), "lines-cut"))
+    """Later repeated runs of lines and passages within lines are cut; documents left without a word by that go.
+
+    Null and empty texts stay; ties and repeated rows go by doc_id, null first, then the text's hash.
+    """
+    return linededup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
