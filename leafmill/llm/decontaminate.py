@@ -40,22 +40,23 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE)]))
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of UTF-8 bytes: the words' 64-bit hashes, and where they begin and end. Works through slices that end between words."""
+def word_hashes(data: np.ndarray, is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of UTF-8 bytes: the words' 64-bit hashes, and where they begin and end; A-Z count as a-z unless other bytes
+    than letters and digits make words. Works through slices that end between words."""
     hashes, begins, ends, at = [], [], [], 0
     while at < len(data):
         end = min(at + SLICE_BYTES, len(data))
-        while end < len(data) and _IS_WORD[data[end - 1]] and _IS_WORD[data[end]]:
-            more = np.flatnonzero(~_IS_WORD[data[end : end + SLICE_BYTES]])
+        while end < len(data) and is_word[data[end - 1]] and is_word[data[end]]:
+            more = np.flatnonzero(~is_word[data[end : end + SLICE_BYTES]])
             end = end + int(more[0]) if len(more) else min(end + SLICE_BYTES, len(data))
         part = data[at:end]
-        inside = np.concatenate([[False], _IS_WORD[part], [False]])
+        inside = np.concatenate([[False], is_word[part], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         b, e = edges[::2], edges[1::2]
         if len(b):
             lengths = e - b
             first = np.cumsum(lengths) - lengths
-            chars = _LOW[part[inside[1:-1]]].astype(np.uint64) + np.uint64(1)
+            chars = (_LOW[part[inside[1:-1]]] if is_word is _IS_WORD else part[inside[1:-1]]).astype(np.uint64) + np.uint64(1)
             place = np.arange(len(chars)) - np.repeat(first, lengths)
             sums = np.add.reduceat(chars * _powers(int(lengths.max()))[place], first)
             sums ^= sums >> np.uint64(31)

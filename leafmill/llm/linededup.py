@@ -29,13 +29,24 @@ def _lines(text: Column) -> Column:
 
     Text without blanks between words counts by its bytes beyond ASCII, six to a word.
     """
-    trimmed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(WHITE)).alias("x")))
-    full = F.filter(trimmed, lambda x: F.length(x["x"]) > 0)
+
+    def lines(trim, words, beyond) -> Column:
+        trimmed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), trim(x).alias("x")))
+        full = F.filter(trimmed, lambda x: F.length(x["x"]) > 0)
+        return F.transform(full, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["x"]).alias("h"), F.greatest(words(x["x"]), beyond(x["x"])).alias("n")))
+
     plain = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    odd = lambda x: (F.instr(x, "  ") > 0) | (F.length(F.translate(x, WHITE[1:], "")) < F.length(x))
-    words = lambda x: F.when(odd(x), F.size(F.split(x, r"\s+"))).otherwise(plain(x))
     beyond = lambda x: F.floor((F.octet_length(x) - F.length(x)) / 6).cast("int")
-    return F.transform(full, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["x"]).alias("h"), F.greatest(words(x["x"]), beyond(x["x"])).alias("n")))
+    odd = F.lit(False)
+    for c in ("  ", *WHITE[1:]):
+        odd = odd | (F.instr(text, c) > 0)
+    return F.when(odd, lines(lambda x: F.btrim(x, F.lit(WHITE)), lambda x: F.size(F.split(x, r"\s+")), beyond)).otherwise(lines(F.trim, plain, beyond))
+
+
+def _fingerprints(hashes: str, fs: str) -> str:
+    """SQL for the fingerprints `fs` of a document: f, and n, 2 if it stands in `hashes`, of which they are, twice or more, else 1."""
+    twice = f"transform(array(array_sort({hashes})), q -> array_distinct(filter(q, (x, i) -> i > 0 and x = q[greatest(i - 1, 0)])))[0]"
+    return f"transform(array({twice}), q -> transform(array_distinct(array_compact({fs})), x -> named_struct('f', x, 'n', if(array_contains(q, x), 2, 1))))[0]"
 
 
 def cuts(docs: DataFrame, least_words: int = 10) -> DataFrame:
@@ -53,13 +64,13 @@ def cuts(docs: DataFrame, least_words: int = 10) -> DataFrame:
     back = F.expr(f"transform(sequence(0, size(n) - 1), t -> {reach(f'reverse(slice(n, greatest(t - {least_words} + 2, 1), least({least_words}, t + 1)))')})")
     minima = F.expr(f"transform(ahead, (a, s) -> if(a >= {enough}, array_min(slice(h, s + 1, cast(a % 1000 as int))), null))")
     chosen = lines.withColumn("ahead", ahead).withColumn("f", minima)
-    places = repeated(chosen.select(*KEY, (F.size(F.array_distinct("h")) < F.size("h")).alias("own"), F.array_distinct(F.array_compact("f")).alias("fs")), "line")
+    places = repeated(chosen.select(*KEY, F.explode_outer(F.expr(_fingerprints("h", "f"))).alias("x")).where("x is not null").select(*KEY, "x.f", "x.n"), "line")
     found = lines.alias("d").join(places.alias("p"), same("d", "p")).select("d.doc_id", "d.hash", "i", "h", "n", "fs")
     found = found.withColumn("ahead", ahead).withColumn("f", minima).withColumn("back", back)
     window = "named_struct('r', xxhash64(slice(h, {s} + 1, {t} - {s} + 1)), 'b', i[{s}], 'e', coalesce(get(i, {t} + 1) - 1, i[{t}]))"
     forward = f"transform(filter(transform(ahead, (a, s) -> named_struct('s', s, 't', s + cast(a % 1000 as int) - 1)), x -> ahead[x.s] >= {enough} and array_contains(fs, f[x.s])), x -> {window.format(s='x.s', t='x.t')})"
     backward = f"transform(filter(transform(back, (a, t) -> named_struct('s', t - cast(a % 1000 as int) + 1, 't', t)), x -> back[x.t] >= {enough} and x.s + ahead[x.s] % 1000 - 1 <> x.t and array_contains(fs, f[x.s])), x -> {window.format(s='x.s', t='x.t')})"
-    runs = found.select(*KEY, F.element_at("i", 1).alias("top"), F.element_at("i", -1).alias("end"), F.explode(F.concat(F.expr(forward), F.expr(backward))).alias("x"))
+    runs = found.select(*KEY, F.element_at("i", 1).alias("top"), F.element_at("i", -1).alias("end"), F.explode_outer(F.concat(F.expr(forward), F.expr(backward))).alias("x"))
     return merged(runs.select(*KEY, "top", "end", "x.*"), "line", ["top", "end"]).select(*KEY, "cuts", F.expr("size(cuts) = 1 and cuts[0].b = top and cuts[0].e = end").alias("all"))
 
 

@@ -1,29 +1,38 @@
-"""Passages that repeat word for word, wherever they begin and end, with DataFrame functions only.
+"""Passages that repeat word for word, wherever they begin and end.
 
 A word that lies in `least` consecutive words that stand earlier, in a document before or further up in the
-same one, is cut. Two steps find them all. First, texts are cut into units of at most `MOST` words, by what
-stands there alone: at the ends of sentences, longer ones at commas, and what is longer still at the window
-minima of its words' hashes. A passage loses `MOST` words at most on either side until whole units begin, so
-it holds `least` - 2 `MOST` words of whole units, and at least two of them. A window is the fewest units that
-hold so many words, from each unit on; the smallest hash of two units side by side in it is a fingerprint.
-Then only the runs of `least` words around a repeated fingerprint are hashed, and each that isn't the first
-place of its hash is cut.
+same one, is cut. Two steps find them all. First, texts are winnowed: of every `least` - `gram` + 1
+consecutive hashes of `gram` words the smallest is a fingerprint, so two places of `least` equal words have one
+in common. Then only the runs of `least` words around a repeated fingerprint are hashed, and each that isn't
+the first place of its hash is cut. Hashes of runs are differences of running sums, for all words of a
+shard of texts at once; they are made in Arrow batches, as DataFrame functions take too long for that (see the
+README). What repeats, and which place is first, is found by DataFrame joins.
 
 Nothing is laid beside anything else: rows are places, and their number grows with the input.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import saved
+from .common import mapped, pieces, saved
+from .decontaminate import word_hashes
 
-#: Words of a unit at most; words of a window in which the smallest hash ends a unit.
-MOST, INSIDE = 13, 7
 WHITE = " \t\r\x0b\f"
 KEY = ["doc_id", "hash"]
+_WHITE = r"' \t\r\u000b\f'"
 _CUT = "array<struct<b: int, e: int>>"
+_SHARD = 4 << 20
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+_BASE = 0x9E3779B97F4A7C15
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def same(a: str, b: str) -> Column:
@@ -32,17 +41,16 @@ def same(a: str, b: str) -> Column:
 
 
 def repeated(chosen: DataFrame, name: str) -> DataFrame:
-    """Of fingerprints `fs` by document: (doc_id, hash, fs) with those that repeat. All of a document count
-    as repeated that repeats something itself, as `own` tells."""
-    marks = saved(chosen.select(*KEY, "own", F.explode("fs").alias("f")), f"{name}-fingerprints")
-    often = marks.groupBy("f").agg(F.sum(F.when(F.col("own"), 2).otherwise(1)).alias("n")).where("n > 1").select("f")
+    """Of fingerprints (doc_id, hash, f, n), once for a document: (doc_id, hash, fs) with those that repeat."""
+    marks = saved(chosen, f"{name}-fingerprints")
+    often = marks.groupBy("f").agg(F.sum("n").alias("n")).where("n > 1").select("f")
     return saved(marks.join(often, "f", "left_semi").groupBy(*KEY).agg(F.collect_set("f").alias("fs")), f"{name}-places")
 
 
 def merged(runs: DataFrame, name: str, rest: list[str]) -> DataFrame:
     """Of runs (doc_id, hash, r, b, e), r their hash: (doc_id, hash, cuts), all but the first place of each
     joined into ranges (b, e) that neither touch nor overlap. Columns of `rest` are a document's own."""
-    runs = saved(runs, f"{name}-runs")
+    runs = saved(runs.where("r is not null"), f"{name}-runs")
     first = runs.groupBy("r").agg(F.min(F.struct(*KEY, "b")).alias("first"), F.count("*").alias("n")).where("n > 1").select("r", "first")
     here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")) & (F.col("b") == F.col("first.b"))
     own = [F.first(c).alias(c) for c in rest]
@@ -53,35 +61,96 @@ def merged(runs: DataFrame, name: str, rest: list[str]) -> DataFrame:
     return later.select(*KEY, F.expr(f"aggregate(at, {zero}, {step}, a -> {close})").alias("cuts"), *rest)
 
 
-def _plain(text: Column) -> Column:
-    """The words with one blank between them."""
-    for c in "\n\t\x0b\f\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.trim(F.transform(F.array(text), lambda t: F.when(F.instr(t, "  ") > 0, F.regexp_replace(t, " {2,}", " ")).otherwise(t))[0])
-
-
-def _count(x: str) -> str:
-    return f"(length({x}) - length(replace({x}, ' ', '')) + 1)"
-
-
-def _units(t: str) -> Column:
-    """The units of plain text: h, their hash; n, their words."""
-    low = (1 << 24) - 1
-    minima = f"transform(sequence(0, size(p) - {INSIDE}), s -> cast(array_min(slice(p, s + 1, {INSIDE})) & {low} as int))"
-    starts = f"array_sort(array_distinct(concat(array(0), {minima})))"
-    parts = f"transform(at, (b, k) -> array_join(slice(ws, b + 1, coalesce(get(at, k + 1), size(ws)) - b), ' '))"
-    inner = f"transform(array(split(y, ' ')), ws -> transform(array(transform(ws, (w, i) -> (xxhash64(w) & {-1 - low}) | i)), p -> transform(array({starts}), at -> {parts})[0])[0])[0]"
-    phrases = f"flatten(transform(split(x, '(?<=,) '), y -> if({_count('y')} <= {MOST}, array(y), {inner})))"
-    units = f"flatten(transform(split({t}, '(?<=[.!?;:]) '), x -> if({_count('x')} <= {MOST}, array(x), {phrases})))"
-    return F.expr(f"transform({units}, x -> named_struct('h', xxhash64(x), 'n', {_count('x')}))")
-
-
 def _words(text: str) -> str:
     """Words with the white space around them, a blank line as one; i, the line; j, their number in it; m, of how many."""
-    inside = "if(l rlike '\\\\S', regexp_extract_all(l, '\\\\s*\\\\S+\\\\s*', 0), array(l))"
+    inside = f"case when btrim(l, {_WHITE}) = '' then array(l) when l rlike '^\\\\s' then regexp_extract_all(l, '\\\\s*\\\\S+\\\\s*', 0) else split(l, '(?<=\\\\s)(?=\\\\S)') end"
     return f"flatten(transform(split({text}, '\\n'), (l, i) -> transform(array({inside}), ws -> transform(ws, (x, j) -> named_struct('i', i, 'j', j, 'm', size(ws), 'x', x)))[0]))"
 
 
+class Shard:
+    """Texts with the hashes of their words."""
+
+    def __init__(self, texts: list[str | None]):
+        coded = [(t or "").encode() for t in texts]
+        self.data = np.frombuffer(b"\n".join(coded), np.uint8)
+        self.hashes, self.begins, _ = word_hashes(self.data, _IS_WORD)
+        self.offsets = np.cumsum([0, *(len(x) + 1 for x in coded)])
+        #: Of each text the number of its first word, one more for the end; of each word its text.
+        self.first = np.searchsorted(self.begins, self.offsets)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(self.hashes), _BASE, np.uint64)]))
+        self.powers, self.sums = powers, np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * powers[:-1])])
+
+    def runs(self, n: int) -> np.ndarray:
+        """Hashes of the runs of n words from each word on, those beyond the end of a text too."""
+        m = max(len(self.hashes) - n + 1, 0)
+        # the sums grow by powers of the base, so its inverse powers make runs comparable
+        back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(m - 1, 0), pow(_BASE, -1, 1 << 64), np.uint64)]))[:m]
+        h = (self.sums[n : n + m] - self.sums[:m]) * back
+        return (h ^ (h >> np.uint64(32))) * _MIX
+
+    def inside(self, n: int) -> np.ndarray:
+        """Whether the run of n words from a word on ends in its text."""
+        m = max(len(self.hashes) - n + 1, 0)
+        return np.arange(m) + n <= self.first[self.doc[:m] + 1]
+
+    def own(self, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Hashes told apart by text."""
+        return (hashes ^ (doc.astype(np.uint64) * np.uint64(_BASE))) * _MIX
+
+
+def winnowed(shard: Shard, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, fingerprint, 2 if it stands there more than once, else 1) of a shard's fingerprints."""
+    hashes, width = shard.runs(gram), least - gram + 1
+    inside = shard.inside(least)
+    if not inside.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+    low, reach = hashes, 1
+    while 2 * reach <= width:
+        low, reach = np.minimum(low[:-reach], low[reach:]), 2 * reach
+    minima = np.minimum(low[: len(inside)], low[width - reach :][: len(inside)])[inside]
+    doc = shard.doc[: len(inside)][inside]
+    _, at = np.unique(shard.own(minima, doc), return_index=True)
+    at.sort()
+    whole = shard.inside(gram)
+    keys, counts = np.unique(shard.own(hashes[whole], shard.doc[: len(whole)][whole]), return_counts=True)
+    n = counts[np.searchsorted(keys, shard.own(minima[at], doc[at]))]
+    return doc[at], minima[at].view(np.int64), np.minimum(n, 2).astype(np.int32)
+
+
+def around(shard: Shard, least: int, gram: int, prints: list, lost: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, b, e) of the runs of `least` words that hold one of the text's repeated fingerprints, but
+    for those within the lines lost: b and e number words, a blank line counting as one."""
+    hashes, inside = shard.runs(gram), shard.inside(least)
+    of = np.repeat(np.arange(len(prints)), [len(x) for x in prints])
+    known = np.unique(shard.own(np.concatenate([np.asarray(x, np.int64) for x in prints] or [np.empty(0, np.int64)]).view(np.uint64), of))
+    mine = shard.own(hashes, shard.doc[: len(hashes)])
+    at = np.searchsorted(known, mine)
+    at[at == len(known)] = 0
+    hit = np.flatnonzero((known[at] == mine) & shard.inside(gram)) if len(known) and len(mine) else np.empty(0, np.int64)
+    marks = np.zeros(len(shard.hashes) + 1, np.int64)
+    np.add.at(marks, np.maximum(hit + gram - least, 0), 1)
+    np.add.at(marks, hit + 1, -1)
+    breaks = np.concatenate([[0], np.cumsum(shard.data == 10)])
+    line = (breaks[shard.begins] - breaks[shard.offsets[:-1]][shard.doc]) if len(shard.begins) else shard.begins
+    gone = np.zeros(len(line) + 1, np.int64)
+    for k, ranges in enumerate(lost):
+        own = line[shard.first[k] : shard.first[k + 1]]
+        for c in ranges or ():
+            gone[shard.first[k] + np.searchsorted(own, c["b"], "left")] += 1
+            gone[shard.first[k] + np.searchsorted(own, c["e"], "right")] -= 1
+    left = np.concatenate([[0], np.cumsum(np.cumsum(gone[:-1]) == 0)])
+    m = len(inside)
+    start = np.flatnonzero((np.cumsum(marks)[:m] > 0) & inside & (left[least : least + m] > left[:m]))
+    begins = np.ones(len(line), bool)
+    begins[1:] = (line[1:] != line[:-1]) | (shard.doc[1:] != shard.doc[:-1])
+    filled = np.cumsum(begins)
+    head = shard.first[:-1][shard.doc]
+    # lines without a word before this one: its line's number, less the lines with words before
+    order = np.arange(len(line)) - head + line - (filled - filled[head]) if len(line) else line
+    return shard.doc[start], shard.runs(least)[start].view(np.int64), order[start], order[start + least - 1]
+
+
 def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None) -> DataFrame:
     """(doc_id, hash, cuts) of the documents that lose words: hash is the text's XXH64, cuts are (b, e) of
     word numbers, both inclusive, where a blank line counts as a word.
@@ -89,31 +158,30 @@ def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None) -> Dat
     Lines that `gone` (doc_id, hash, cuts, all) lists as cut are passed over: what lies within them stands
     earlier in any case, so no first place is among it.
     """
-    whole = least - 2 * MOST
-    if whole <= MOST:
-        raise ValueError(f"passages of {3 * MOST} words or fewer can be missed")
+    gram = max(2 * least // 5, 1)
     texts = docs.where(F.length("text") >= 2 * least - 1).select("doc_id", F.xxhash64("text").alias("hash"), "text")
-    frame = texts.select(*KEY, _plain(F.col("text")).alias("t")).where(f"{_count('t')} >= {least}").select(*KEY, _units("t").alias("u"))
-    # arrays that lambdas index are bound by a lambda of their own, or they would be made again for each element
-    reach = f"aggregate(slice(v.n, s + 1, {whole}), 0, (a, x) -> if(a >= {whole * 1000}, a, a + x * 1000 + 1))"
-    minima = f"transform(if(size(v.g) > 0, sequence(0, size(v.g) - 1), array()), s -> transform(array({reach}), a -> if(a >= {whole * 1000}, array_min(slice(v.g, s + 1, a % 1000 - 1)), null))[0])"
-    both = "named_struct('n', u.n, 'g', zip_with(slice(u.h, 1, size(u) - 1), slice(u.h, 2, size(u)), (x, y) -> xxhash64(x, y)))"
-    marks = f"transform(array({both}), v -> named_struct('own', size(array_distinct(v.g)) < size(v.g), 'fs', array_distinct(array_compact({minima}))))[0]"
-    chosen = frame.select(*KEY, F.expr(marks).alias("v")).select(*KEY, "v.*")
-    places = repeated(chosen, "passage")
+
+    def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", _SHARD):
+            doc, f, n = winnowed(Shard(batch.column("text").to_pylist()), least, gram)
+            doc = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(doc), batch.column("hash").take(doc), pa.array(f), pa.array(n)], names=[*KEY, "f", "n"])
+
+    key = [texts.schema["doc_id"], texts.schema["hash"]]
+    places = repeated(mapped(texts, winnow, StructType([*key]).add("f", LongType()).add("n", IntegerType())), "passage").alias("p")
     if gone is None:
-        gone = places.select(*KEY, F.lit(None).cast(_CUT).alias("cuts"), F.lit(False).alias("all")).limit(0)
-    places = places.alias("p").join(gone.alias("l"), same("p", "l"), "left").where("not coalesce(l.all, false)").select("p.doc_id", "p.hash", "fs", F.col("cuts").alias("lost"))
+        places = places.withColumn("lost", F.lit(None).cast(_CUT))
+    else:
+        places = places.join(gone.alias("l"), same("p", "l"), "left").where("not coalesce(l.all, false)").select("p.doc_id", "p.hash", "fs", F.col("cuts").alias("lost"))
     found = texts.alias("t").join(places.alias("s"), same("t", "s")).select("t.doc_id", "t.hash", "text", "fs", "lost")
-    word = "(y, o) -> named_struct('o', o, 'h', nullif(xxhash64(btrim(y.x, ' \\t\\r\\u000b\\f')), xxhash64('')), 'left', lost is null or not exists(lost, c -> y.i between c.b and c.e))"
-    found = found.select(*KEY, "fs", _plain(F.col("text")).alias("t"), F.expr(f"filter(transform({_words('text')}, {word}), y -> y.h is not null)").alias("w")).select(*KEY, "fs", "w", _units("t").alias("u"))
-    places = "named_struct('o', w.o, 'h', w.h, 'left', w.left, 'u', u.h, 'at', aggregate(u.n, array(0), (a, x) -> array_append(a, element_at(a, -1) + x)))"
-    pairs = "filter(sequence(0, size(v.u) - 2), k -> array_contains(fs, xxhash64(v.u[k], v.u[k + 1])))"
-    around = f"transform({pairs}, k -> sequence(greatest(v.at[k + 2] - {least}, 0), least(v.at[k], size(v.h) - {least})))"
-    starts = f"filter(array_distinct(flatten({around})), i -> array_contains(slice(v.left, i + 1, {least}), true))"
-    windows = f"transform({starts}, i -> named_struct('r', xxhash64(slice(v.h, i + 1, {least})), 'b', v.o[i], 'e', v.o[i + {least - 1}]))"
-    runs = found.select(*KEY, F.explode(F.expr(f"transform(array({places}), v -> if(size(v.u) < 2 or size(v.h) < {least}, null, {windows}))[0]")).alias("x"))
-    return merged(runs.select(*KEY, "x.*"), "passage", [])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", _SHARD):
+            doc, r, b, e = around(Shard(batch.column("text").to_pylist()), least, gram, batch.column("fs").to_pylist(), batch.column("lost").to_pylist())
+            doc = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(doc), batch.column("hash").take(doc), pa.array(r), pa.array(b, pa.int32()), pa.array(e, pa.int32())], names=[*KEY, "r", "b", "e"])
+
+    return merged(mapped(found, lay, StructType([*key]).add("r", LongType()).add("b", IntegerType()).add("e", IntegerType())), "passage", [])
 
 
 def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> DataFrame:
@@ -126,7 +194,8 @@ def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> Data
     rest = "(__words is not null and exists(__words, c -> c.b <= o - y.j and o <= c.e))"
     #: Each word left, and the line breaks of lines that aren't gone as a whole.
     left = f"transform(__all, (y, o) -> case when {line} then '' when not {word} then if(y.j = y.m - 1, concat(y.x, '\\n'), y.x) when y.j = y.m - 1 and not {rest} then '\\n' else '' end)"
-    split = joined.withColumn("__all", F.expr(f"if({hit}, {_words('text')}, null)")).withColumn("__left", F.expr(f"if({hit}, array_join({left}, ''), null)"))
+    whole = "array_join(transform(filter(transform(split(text, '\\n'), (l, i) -> named_struct('l', l, 'i', i)), x -> not exists(__lines, c -> x.i between c.b and c.e)), x -> concat(x.l, '\\n')), '')"
+    split = joined.withColumn("__all", F.expr(f"if(__words is not null, {_words('text')}, null)")).withColumn("__left", F.expr(f"case when __words is not null then array_join({left}, '') when __lines is not null then {whole} end"))
     text = F.expr(f"if({hit}, left(__left, greatest(length(__left) - 1, 0)), text)")
     added = {"n_lines", "n_cut", "n_left", "n_chars_cut"} if report else set()
     kept = [c for c in docs.columns if c not in added]
@@ -134,9 +203,9 @@ def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> Data
     out = [F.col("__text").alias("text") if c == "text" else F.col(c) for c in kept]
     if report:
         lines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-        before = (lines(F.coalesce("text", F.lit(""))) + 1).cast("bigint")
-        after = F.when(F.expr(hit), lines(F.col("__left"))).otherwise(before).cast("bigint")
-        chars = F.coalesce(F.length("text") - F.length("__text"), F.lit(0)).cast("bigint")
+        before = (lines(F.coalesce("text", F.lit(""))) + 1).cast(LongType())
+        after = F.when(F.expr(hit), lines(F.col("__left"))).otherwise(before).cast(LongType())
+        chars = F.coalesce(F.length("text") - F.length("__text"), F.lit(0)).cast(LongType())
         return cut.select(*out, before.alias("n_lines"), (before - after).alias("n_cut"), after.alias("n_left"), chars.alias("n_chars_cut"))
     return (cut.where(~F.expr(hit) | F.col("__text").rlike(r"\S")) if drop else cut).select(*out)
 
