@@ -53,8 +53,9 @@ def cuts(docs: DataFrame, least_words: int = 10) -> DataFrame:
     """(doc_id, hash, cuts, all) of the documents that lose lines: hash is the text's XXH64, cuts are (b, e) of
     line numbers, both inclusive, with the blank lines up to the next, and `all` tells that no line is left but
     blank ones."""
-    frame = docs.select("doc_id", F.xxhash64("text").alias("hash"), _lines(F.coalesce("text", F.lit(""))).alias("lines")).where(F.size("lines") > 0)
-    lines = saved(frame.select(*KEY, F.col("lines.i").alias("i"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n")), "lines")
+    frame = docs.select("doc_id", F.xxhash64("text").alias("hash"), _lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    # no filter before it is saved: it would be pushed down, and the lines made twice
+    lines = saved(frame.select(*KEY, F.col("lines.i").alias("i"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n")), "lines").where(F.size("h") > 0)
     if lines.groupBy(*KEY).count().where("count > 1").limit(1).count():
         lines = saved(lines.dropDuplicates(KEY), "lines")
     enough = least_words * 1000
