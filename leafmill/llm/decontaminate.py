@@ -3,12 +3,12 @@
 The training texts are taken in shards. A shard's suffix array holds its word positions in the order of
 the words that follow, and every suffix of the test items is looked up in it by binary search: the
 positions that begin with a suffix's window lie side by side. Only positions whose first two words follow
-each other in some test item can be found by such a search, so only they are sorted. Matches that go on
-are joined into the longest verbatim ones, with their places in item and document.
+each other in some test item can be found by such a search, so only they are sorted. From the places found
+follow the longest verbatim matches of each item, with their places in item and document.
 
 Each shard lies within a task, so nothing is shuffled, and a document's answer doesn't depend on others.
-Test items are a query set: they are taken in blocks of `block_chars` characters, and each block passes
-over the shards, so what a task holds of them is bounded.
+Test items are a query set: they are written to the shared folder in blocks of about `block_chars` characters,
+and each block passes over the shards, so what a task holds of them is bounded and the driver holds none.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import mapped, pieces, words
+from .common import filesystem, fresh_path, mapped, pieces, words
 
 SHARD_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -79,13 +79,13 @@ class Windows:
                 places[tuple(own[at : at + size])].append((k, at))
         self.names = [name for name, _ in items]
         self.windows = sorted(places)
-        #: (item, start) of each window; of one that repeats within an item over 8 times, the first.
-        self.places: list[list[tuple[int, int]]] = []
-        for w in self.windows:
-            by_item = defaultdict(list)
+        #: The items of each window, and the windows of each item in its order.
+        self.items: list[list[int]] = [sorted({k for k, _ in places[w]}) for w in self.windows]
+        self.rows: list[dict[int, int]] = [{} for _ in items]
+        for n, w in enumerate(self.windows):
             for k, at in places[w]:
-                by_item[k].append(at)
-            self.places.append([(k, at) for k, starts in by_item.items() for at in (starts if len(starts) <= 8 else starts[:1])])
+                self.rows[k][at] = n
+        self.texts: dict[int, Repeats] = {}
         vocabulary = sorted({w for window in self.windows for w in window})
         hashes = word_hashes(np.frombuffer(" ".join(vocabulary).encode(), np.uint8))[0]
         self.known = np.sort(np.unique(hashes))
@@ -101,6 +101,63 @@ class Windows:
         self.singles = np.unique(np.array([number[w[0]] for w in self.windows if len(w) == 1], np.int64))
         self.bytes = [tuple(x.encode() for x in w) for w in self.windows]
 
+    def item(self, k: int) -> Repeats:
+        """The automaton of an item's windows, made when a text first holds one of them."""
+        if k not in self.texts:
+            self.texts[k] = Repeats([self.rows[k][at] for at in range(len(self.rows[k]))])
+        return self.texts[k]
+
+
+class Repeats:
+    """All substrings of a sequence (a suffix automaton), to find the longest that ends at each place of another."""
+
+    def __init__(self, sequence: list[int]):
+        self.next: list[dict[int, int]] = [{}]
+        #: Of each state: where its substrings first end, the length of the longest, and the state of the next shorter ones.
+        self.end, self.length, self.shorter = [-1], [0], [-1]
+        last = 0
+        for at, x in enumerate(sequence):
+            state = self._add(at, self.length[last] + 1, {})
+            while last >= 0 and x not in self.next[last]:
+                self.next[last][x] = state
+                last = self.shorter[last]
+            if last < 0:
+                self.shorter[state] = 0
+            else:
+                met = self.next[last][x]
+                if self.length[met] > self.length[last] + 1:
+                    copy = self._add(self.end[met], self.length[last] + 1, dict(self.next[met]), self.shorter[met])
+                    while last >= 0 and self.next[last].get(x) == met:
+                        self.next[last][x] = copy
+                        last = self.shorter[last]
+                    self.shorter[met] = copy
+                    met = copy
+                self.shorter[state] = met
+            last = state
+
+    def _add(self, end: int, length: int, following: dict[int, int], shorter: int = 0) -> int:
+        self.next.append(following)
+        self.end.append(end)
+        self.length.append(length)
+        self.shorter.append(shorter)
+        return len(self.next) - 1
+
+    def longest(self, sequence: list[int]) -> list[tuple[int, int, int]]:
+        """(end there, end here, length) of the longest match that ends at each place, where it doesn't go on; each value of the sequence is known."""
+        out, state, n = [], 0, 0
+        for at, x in enumerate([*sequence, None]):
+            if x is not None and x in self.next[state]:
+                state, n = self.next[state][x], n + 1
+                continue
+            if n:
+                out.append((at - 1, self.end[state], n))
+            while state > 0 and x not in self.next[state]:
+                state = self.shorter[state]
+            if x is not None:
+                n = self.length[state] + 1 if state else 1
+                state = self.next[state][x]
+        return out
+
 
 def _keys(rows: np.ndarray) -> np.ndarray:
     """Rows of big-endian numbers as byte strings that sort like them. A last byte keeps trailing zeros."""
@@ -179,39 +236,58 @@ def scan(texts: list[str | None], test: Windows) -> tuple[np.ndarray, np.ndarray
     doc = np.searchsorted(shard.first, place, "right") - 1
     names: list[list[str]] = [[] for _ in texts]
     spans: list[list[dict]] = [[] for _ in texts]
-    lines: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-    for p, w, d in zip((place - shard.first[doc]).tolist(), window.tolist(), doc.tolist(), strict=True):
-        for item, at in test.places[w]:
-            lines[d, item, p - at].append((p, p + int(test.lengths[w])))
-    for (d, item, shift), own in lines.items():
-        own.sort()
-        start, end = own[0]
-        for a, b in [*own[1:], (1 << 62, 0)]:
-            if a > end or a == 1 << 62:
-                spans[d].append({"item_id": test.names[item], "item_start": start - shift, "doc_start": start, "n_words": end - start})
-                start, end = a, b
-            end = max(end, b)
+    order = np.argsort(place, kind="stable")
+    met: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for p, w, d in zip((place - shard.first[doc])[order].tolist(), window[order].tolist(), doc[order].tolist(), strict=True):
+        for item in test.items[w]:
+            met[d, item].append((p, w))
+    for (d, item), own in met.items():
+        size, at = int(test.lengths[own[0][1]]), 0
+        for k in range(1, len(own) + 1):
+            if k < len(own) and own[k][0] == own[k - 1][0] + 1:
+                continue
+            for here, there, n in test.item(item).longest([w for _, w in own[at:k]]):
+                spans[d].append({"item_id": test.names[item], "item_start": there - n + 1, "doc_start": own[at][0] + here - n + 1, "n_words": n + size - 1})
+            at = k
     for d, own in enumerate(spans):
         own.sort(key=lambda x: (x["doc_start"], x["item_id"], x["item_start"]))
         names[d] = sorted({x["item_id"] for x in own})
     return shard.n_words, n_hit, names, spans
 
 
-def blocks(tests: DataFrame, size: int, block_chars: int) -> list[list[tuple[str, str | None]]]:
-    """The test items in blocks: [(item_id as text, text)]. Null ids count as empty; null texts have no windows."""
+def blocks(tests: DataFrame, block_chars: int) -> list[str]:
+    """Folders of the shared folder, each with a block of the test items (item_id as text, text) as Parquet. Null ids count as empty."""
+    spark = tests.sparkSession
     named = tests.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     total = named.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    n = max(1, math.ceil(total / block_chars))
-    if n == 1:
-        return [[(x.item_id, x.text) for x in named.collect()]]
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(x.item_id, x.text) for x in named.where(block == b).collect()] for b in range(n)]
+    n, path = max(1, math.ceil(total / block_chars)), fresh_path(spark, "items")
+    block = named.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    block.repartition(n, "block").write.partitionBy("block").parquet(path)
+    return [f"{path}/block={b}" for b in range(n)]
+
+
+def _windows(path: str, size: int) -> Windows:
+    """The windows of a block, read by a task; a worker keeps the last ones."""
+    if (path, size) not in _LOADED:
+        import pyarrow.parquet as pq
+        from pyarrow.fs import FileSelector
+
+        fs, at = filesystem(path)
+        found = [x.path for x in fs.get_file_info(FileSelector(at, allow_not_found=True)) if x.path.endswith(".parquet")]
+        items = [row for f in sorted(found) for row in pq.ParquetFile(fs.open_input_file(f)).read().to_pylist()]
+        _LOADED.clear()
+        _LOADED[path, size] = Windows(sorted((x["item_id"], x["text"]) for x in items if x["text"] is not None), size)
+    return _LOADED[path, size]
+
+
+_LOADED: dict[tuple[str, int], Windows] = {}
 
 
 def contamination(docs: DataFrame, tests: DataFrame, size: int = 10, block_chars: int = 8_000_000) -> DataFrame:
     """The columns of `docs` but text, with n_words, n_hit (words inside any occurrence of a window of a test
-    item), item_ids (sorted; those with a window there) and spans (the longest verbatim matches: item_id,
-    item_start, doc_start, n_words, counted in words from 0).
+    item), item_ids (sorted; those with a window there) and spans (item_id, item_start, doc_start, n_words, in
+    words from 0): for each item and place of the document, the longest verbatim match that ends there, with
+    the item's first place of it, unless the match goes on with the next word.
 
     A window is `size` consecutive words of an item, or all of a shorter one. Null and empty texts have no
     words, neither here nor there. Every row stands alone, so ties and repeated rows need no rule, and an
@@ -223,24 +299,21 @@ def contamination(docs: DataFrame, tests: DataFrame, size: int = 10, block_chars
     kept = [c for c in docs.columns if c not in ("text", *own.names)]
     frame = docs.select(*[docs[c] for c in kept], docs["text"].alias("__text"))
     rest = StructType([f for f in frame.schema.fields if f.name != "__text"])
-    sets = blocks(tests, size, block_chars)
-    for k, items in enumerate(sets):
+    sets = blocks(tests, block_chars)
+    for k, path in enumerate(sets):
         last, first = k == len(sets) - 1, k == 0
         schema = StructType([*rest.fields, *own.fields, *([] if last else [frame.schema["__text"]])])
-        frame = mapped(frame, _pass(items, size, kept, first, last), schema)
+        frame = mapped(frame, _pass(path, size, kept, first, last), schema)
     return frame
 
 
-def _pass(items, size, kept, first, last):
-    made = []
+def _pass(path, size, kept, first, last):
     types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Windows(items, size))
         for batch in pieces(batches, "__text", SHARD_BYTES):
             texts = batch.column("__text").to_pylist()
-            n_words, n_hit, names, spans = scan(texts, made[0])
+            n_words, n_hit, names, spans = scan(texts, _windows(path, size))
             if not first:
                 before = batch.column("spans").to_pylist()
                 spans = [sorted([*a, *b], key=lambda x: (x["doc_start"], x["item_id"], x["item_start"])) for a, b in zip(before, spans, strict=True)]
@@ -266,19 +339,15 @@ def _union(spans: list[dict]) -> int:
 def decontaminated(docs: DataFrame, tests: DataFrame, size: int = 10, block_chars: int = 8_000_000) -> DataFrame:
     """The rows of `docs` (with a text column) in which no window of a test item occurs."""
     out = docs
-    for items in blocks(tests, size, block_chars):
-        out = mapped(out, _clean(items, size), docs.schema)
+    for path in blocks(tests, block_chars):
+        out = mapped(out, _clean(path, size), docs.schema)
     return out
 
 
-def _clean(items, size):
-    made = []
-
+def _clean(path, size):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Windows(items, size))
         for batch in pieces(batches, "text", SHARD_BYTES):
-            yield batch.filter(pa.array(scan(batch.column("text").to_pylist(), made[0])[1] == 0))
+            yield batch.filter(pa.array(scan(batch.column("text").to_pylist(), _windows(path, size))[1] == 0))
 
     return run
 

@@ -62,6 +62,36 @@ def test_spans_are_the_longest_matches(spark, frame):
     assert [tuple(x) for x in spans] == [("7", 5, 2, 25), ("7", 0, 28, 12)]
 
 
+def longest(text, item, size=10):
+    """Of each place where a match of `size` words or more ends, the longest, unless it goes on."""
+    w, v = words(text), words(item)
+    least, out, before = min(size, len(v)), [], {}
+    for p in range(len(w)):
+        now = {q: before.get(q - 1, 0) + 1 for q in range(len(v)) if w[p] == v[q]}
+        here = max(now.values(), default=0)
+        then = max((n for q, n in now.items() if p + 1 < len(w) and q + 1 < len(v) and w[p + 1] == v[q + 1]), default=0)
+        if here >= least and then < here:
+            q = min(q for q, n in now.items() if n == here)
+            out.append((q - here + 1, p - here + 1, here))
+        before = now
+    return out
+
+
+def test_longest_matches_and_their_places(spark, frame, cases):
+    """Phrases that repeat within an item, over 8 times too."""
+    items = [(1, "alpha beta gamma " * 12), (2, " ".join(f"r{k % 10}" for k in range(120))), (3, "again " * 40), (4, " ".join(f"w{k}" for k in range(60)))]
+    rng = random.Random(2)
+    texts = [(1, items[1][1]), (2, "x " + items[0][1] + "y " + items[0][1][17:90]), (3, "again " * 25 + "z " + "again " * 70)]
+    for i in range(10, 40):
+        parts = [words(rng.choice(items)[1]) for _ in range(4)]
+        texts.append((i, " ".join(w for p in parts for at in [rng.randint(0, len(p) - 1)] for w in [*p[at : at + rng.randint(5, 50)], f"own{rng.randint(0, 3)}"])))
+    rows = decontaminate.contamination(frame(texts), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    for r in rows:
+        want = sorted((str(i), *x) for i, t in items for x in longest(dict(texts)[r.doc_id], t))
+        assert sorted(tuple(x) for x in r.spans) == want, r.doc_id
+    assert [tuple(x) for x in rows[0].spans] == [("2", 0, 0, 120)]
+
+
 def test_empty_tables(spark, frame, odd):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert {r.n_hit for r in decontaminate.contamination(frame(odd), none).collect()} == {0}
