@@ -9,7 +9,9 @@ reaches `remove` of it is removed, wherever it stands beside e. Counts are over
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +30,6 @@ _IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORDS = re.compile(r"[^\W\d_]+")
-_NEAR = 160
 
 
 def luhn(digits: str) -> bool:
@@ -77,49 +78,45 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def contexts(text: str, spans: list[tuple[int, int, int, str]], window: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end): up to `window` words on either side of each span, three letters or more, lower-cased, not in a span."""
-    taken = [(a, b) for a, _, b, _ in spans]
-    out = []
-    for a, rank, b, value in spans:
-        before = [m for m in _WORDS.finditer(text, max(0, a - _NEAR), a) if m.start() > max(0, a - _NEAR) or a <= _NEAR][-window:]
-        after = [m for m in _WORDS.finditer(text, b, min(len(text), b + _NEAR)) if m.end() < b + _NEAR][:window]
-        for m in (*before, *after):
-            if m.end() - m.start() >= 3 and not any(x < m.end() and m.start() < y for x, y in _beside(taken, a)):
-                out.append((f"{KINDS[rank]}:{value}", m[0].lower(), m.start(), m.end()))
-    return out
-
-
-def _beside(taken: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
-    """Spans that reach into the neighbourhood of `at`; they are sorted by start."""
-    from bisect import bisect_left
-
-    lo = bisect_left(taken, (at - 4 * _NEAR,))
-    hi = bisect_left(taken, (at + 4 * _NEAR,))
-    return taken[max(0, lo - 4) : hi]
+    """(entity, term, start, end): the `window` words nearest on either side of each span, however far they
+    stand off, lower-cased; words that a span reaches into are left out."""
+    found = [m.span() for m in _WORDS.finditer(text)]
+    begins, ends = [x for x, _ in found], [x for _, x in found]
+    beside = {}
+    taken: set[int] = set()
+    for a, _, b, _ in spans:
+        # words up to `before` end at a or earlier, those from `after` on begin at b or later
+        before, after = bisect_right(ends, a), bisect_left(begins, b)
+        taken.update(range(before, after))
+        beside[a, b] = [*range(max(before - window, 0), before), *range(after, min(after + window, len(found)))]
+    return [(f"{KINDS[rank]}:{value}", text[slice(*found[k])].lower(), *found[k]) for a, rank, b, value in spans for k in beside[a, b] if k not in taken]
 
 
 def found(docs: DataFrame, window: int = 6) -> DataFrame:
-    """For every row of `docs` (doc_id, text): id (of the row), doc_id, hash (of the text), spans (start, rank,
-    end) of base kinds, and near (entity, term, start, end), entities as hashes."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64())])), pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))]
+    """For every row of `docs` (doc_id, text): id (of the row), doc_id, hash (of the text), its text if it has
+    spans, else its sha256, spans (start, rank, end) of base kinds, and near (entity, term, start, end),
+    entities as hashes."""
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64())])), pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         row = TaskContext.get().partitionId() << 40
         for batch in pieces(batches, "text"):
-            spans, near = [], []
+            spans, near, texts, digests = [], [], [], []
             for t in batch.column("text"):
                 text = t.as_py() or ""
                 own = base_spans(text)
+                texts.append(text if own else None)
+                digests.append(None if own else hashlib.sha256(text.encode()).hexdigest())
                 spans.append([{"start": a, "rank": k, "end": b} for a, k, b, _ in own])
                 near.append([{"entity": xxhash.xxh64_intdigest(e) - (1 << 63), "term": w, "start": a, "end": b} for e, w, a, b in contexts(text, own, window)] if own else [])
             ids = pa.array(range(row, row + len(spans)), types[0])
             row += len(spans)
-            arrays = [ids, batch.column("doc_id").cast(types[1]), batch.column("hash"), pa.array(spans, types[3]), pa.array(near, types[4])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "doc_id", "hash", "spans", "near"])
+            arrays = [ids, batch.column("doc_id").cast(types[1]), batch.column("hash"), *(pa.array(x, t) for x, t in zip((texts, digests, spans, near), types[3:], strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "doc_id", "hash", "text", "sha256", "spans", "near"])
 
-    schema = "id bigint, doc_id bigint, hash bigint, spans array<struct<start: bigint, rank: int, end: bigint>>, near array<struct<entity: bigint, term: string, start: bigint, end: bigint>>"
+    schema = "id bigint, doc_id bigint, hash bigint, text string, sha256 string, spans array<struct<start: bigint, rank: int, end: bigint>>, near array<struct<entity: bigint, term: string, start: bigint, end: bigint>>"
     return mapped(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")), run, schema)
 
 
@@ -143,7 +140,7 @@ def document_counts(docs: DataFrame, most: int = 200_000) -> DataFrame:
         if counts:
             yield out()
 
-    return mapped(docs.select("text"), run, "term string, n bigint").where(F.length("term") >= 3).groupBy("term").agg(F.sum("n").alias("n"))
+    return mapped(docs.select("text"), run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def disclosing(rows: DataFrame, docs: DataFrame, generalise: float = 0.8) -> DataFrame:
@@ -158,13 +155,15 @@ def disclosing(rows: DataFrame, docs: DataFrame, generalise: float = 0.8) -> Dat
 
 
 def scan(docs: DataFrame, window: int = 6, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
-    """For every row of `docs` (doc_id, text): doc_id, hash (the text's XXH64) and spans (start, rank, end,
-    action) in code points, end exclusive, by start and rank, with base matches first among terms. Ranks number
+    """For every row of `docs` (doc_id, text): doc_id, hash (the text's XXH64), spans (start, rank, end,
+    action) in code points, end exclusive, by start and rank, with base matches first among terms, and
+    text, for rows with spans, or sha256, the digest of other texts. Ranks number
     KINDS. The action is mask for base spans, generalise or remove for terms.
 
     A null text is an empty one and has no spans. Repeated rows are rows of their own, which count as
     documents; that a term stands beside an entity in copies of one text alone proves nothing. An empty
-    table gives an empty one. Columns other than doc_id and text are left aside.
+    table gives an empty one. doc_id must be a whole number or null. Columns other than doc_id and text are
+    left aside.
     """
     rows = saved(found(docs, window), "pii")
     pairs = saved(disclosing(rows, docs, generalise), "disclosing").select(F.col("entity").alias("e"), F.col("term").alias("t"), "share")
@@ -177,7 +176,7 @@ def scan(docs: DataFrame, window: int = 6, generalise: float = 0.8, remove: floa
     # of two entities beside a term, removal prevails: one span for each place
     once = F.expr("filter(terms, x -> x.action = 'remove' or not exists(terms, y -> y.start = x.start and y.action = 'remove'))")
     both = F.when(F.col("terms").isNull(), base).otherwise(F.concat(base, once))
-    return rows.join(terms, F.col("id") == F.col("of"), "left").select("doc_id", "hash", F.array_sort(both).alias("spans"))
+    return rows.join(terms, F.col("id") == F.col("of"), "left").select("doc_id", "hash", F.array_sort(both).alias("spans"), "text", "sha256")
 
 
 def sanitised(text: str, spans: list) -> str:
@@ -193,18 +192,19 @@ def sanitised(text: str, spans: list) -> str:
     return "".join([*out, text[at:]])
 
 
+def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with their texts sanitised by their spans."""
+    for batch in pieces(batches, "text"):
+        texts = [None if t is None else sanitised(t, [tuple(x.values()) for x in s or []]) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+
 def sanitise(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, text) with texts sanitised: the spans are joined to the rows by doc_id and the text's hash."""
     spans = scan(docs, **settings).dropDuplicates(["doc_id", "hash"]).select(F.col("doc_id").alias("of"), F.col("hash").alias("h"), "spans")
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
     joined = rows.join(spans, rows.doc_id.eqNullSafe(F.col("of")) & (F.col("hash") == F.col("h"))).select("doc_id", "text", "spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            texts = [None if t is None else sanitised(t, [tuple(x.values()) for x in s or []]) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
-
-    return mapped(joined, run, joined.select("doc_id", "text").schema)
+    return mapped(joined, _replaced, joined.schema).select("doc_id", "text")
 
 
 def joined(spans: Column) -> Column:
@@ -214,5 +214,8 @@ def joined(spans: Column) -> Column:
 
 def digests(scanned: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda x: x["rank"] == k)).cast("bigint").alias(f"n_{KINDS[k]}")
+    done = lambda action: F.size(F.filter("spans", lambda x: x["action"] == action)).cast("bigint").alias(f"n_{action}d")
     base = F.filter("spans", lambda x: x["rank"] < KINDS.index("term"))
-    return scanned.select("doc_id", *map(count, range(4)), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    rows = mapped(scanned, _replaced, scanned.schema)
+    clean = F.when(F.col("text").isNull(), F.col("sha256")).otherwise(F.sha2("text", 256)).alias("sanitised_sha256")
+    return rows.select("doc_id", *map(count, range(4)), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), done("generalise"), done("remove"), clean)

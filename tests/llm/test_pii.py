@@ -70,6 +70,73 @@ def test_sanitised_texts(frame, cases):
     assert got[140].startswith("[IP] [EMAIL] [PHONE], [CARD]") and got[200] == dict(cases)[200]
 
 
+def informative(docs, window=6, generalise=0.8):
+    """(entity, term) to the share of the entity's information that the term gives, by the definition."""
+    import math
+
+    near, having, texts = {}, {}, {}
+    for k, (_, text) in enumerate(docs):
+        text = text or ""
+        words = list(re.finditer(r"[^\W\d_]+", text))
+        for w in {m[0].lower() for m in words}:
+            having.setdefault(w, set()).add(k)
+        own = pii.base_spans(text)
+        free = [m for m in words if not any(a < m.end() and m.start() < b for a, _, b, _ in own)]
+        for a, rank, b, value in own:
+            sides = [m for m in words if m.end() <= a][-window:] + [m for m in words if m.start() >= b][:window]
+            for m in sides:
+                if m in free:
+                    near.setdefault((rank, value), {}).setdefault(m[0].lower(), set()).add(k)
+                    texts.setdefault(((rank, value), m[0].lower()), set()).add(text)
+    out = {}
+    for e, by in near.items():
+        n_e = len(set().union(*by.values()))
+        for w, rows in by.items():
+            if len(texts[e, w]) > 1 and n_e < len(docs):
+                share = math.log2(len(rows) * len(docs) / (n_e * len(having[w]))) / math.log2(len(docs) / n_e)
+                if round(share, 9) >= generalise:
+                    out[e, w] = share
+    return out
+
+
+def test_terms_against_the_definition(frame):
+    """Entities beside long words, short terms, terms of one letter, and beside each other."""
+    rng = random.Random(12)
+    pool = [f"{'abcdefghij'[k % 10] * (k % 4 + 1)}{'xyz'[k % 3]}" for k in range(40)] + ["q" * 80, "r" * 95, "z", "李"]
+    people = ["jo@ex.org", "1.2.3.4", "ann@ex.org", "+49 30 1234567"]
+    docs = []
+    for i in range(120):
+        words = [rng.choice(pool) for _ in range(rng.randint(5, 40))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            k = rng.randint(0, 3)
+            at = rng.randint(0, len(words))
+            words[at:at] = [people[k], *rng.sample([f"friend{'abcd'[k]}", "q" * 80, "vwmn"[k]], 2)]
+        docs.append((i, " ".join(words)))
+    want = informative(docs)
+    rows = pii.digests(pii.scan(frame(docs))).collect()
+    assert len(want) > 3 and {w for _, w in want} & {"v", "w"}
+    for r in rows:
+        text, terms, actions = dict(docs)[r.doc_id], set(), {}
+        own = pii.base_spans(text)
+        words = [m for m in re.finditer(r"[^\W\d_]+", text)]
+        for a, rank, b, value in own:
+            for m in [m for m in words if m.end() <= a][-6:] + [m for m in words if m.start() >= b][:6]:
+                share = want.get(((rank, value), m[0].lower()))
+                if share is not None and not any(x < m.end() and m.start() < y for x, _, y, _ in own):
+                    terms.add((m.start(), m.end()))
+                    actions[m.span()] = max(actions.get(m.span(), 0), share)
+        assert {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term")} == terms
+        removed = sum(round(x, 9) >= 0.95 for x in actions.values())
+        assert (r.n_generalised, r.n_removed) == (len(actions) - removed, removed)
+        spans = sorted([(a, k, b, "mask") for a, k, b, _ in own] + [(*x[:1], 4, x[1], "remove" if round(v, 9) >= 0.95 else "generalise") for x, v in actions.items()])
+        assert r.sanitised_sha256 == hashlib.sha256(pii.sanitised(text, spans).encode()).hexdigest()
+
+
+def test_words_however_far_off():
+    text = f"name {'x' * 200} {'y' * 300} me@ex.org é"
+    assert {w for _, w, _, _ in pii.contexts(text, pii.base_spans(text), 6)} == {"name", "x" * 200, "y" * 300, "é"}
+
+
 def test_document_counts(frame):
     got = {r.term: r.n for r in pii.document_counts(frame([(1, "One two two"), (2, "two three"), (3, None)]), most=1).collect()}
     assert got == {"one": 1, "two": 2, "three": 1}
