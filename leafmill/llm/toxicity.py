@@ -5,10 +5,12 @@ each once, hashed to 2^24 buckets. The machine scores
 w0 + sum of w_i + sum over pairs of <v_i, v_j>: the weights w add up like those of a linear model, and the
 factors v let two terms together mean more than each alone, such as an insult with the naming of a group.
 
-It is fitted on a sample of labelled rows of at most about `Settings.sample` rows, whatever the size of the
-table: rows are taken by a hash of doc_id below a threshold. Buckets are chosen by how far their rows depend
-on the label (chi-square), then weights and factors are fitted by AdaGrad on the log loss. The model is a
-few thousand buckets, so its size is bounded too, and it is sent with the tasks that score.
+It is fitted on a sample of `Settings.sample` labelled rows at most, whatever the size of the table: those of
+the smallest hashes. Of the `Settings.vocabulary` buckets that most of them hold, two kinds are chosen: those
+on which the label depends most by themselves (chi-square), and, among the `Settings.candidates` most common
+ones, those of the pairs whose rows differ most from what the two say each by itself, so that terms which
+matter together only are there for the factors. Weights and factors are fitted by AdaGrad on the log loss.
+The model is some hundred buckets, so its size is bounded too, and it is sent with the tasks that score.
 """
 
 from __future__ import annotations
@@ -19,25 +21,28 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import mapped, pieces
+from .common import mapped, pieces, saved
 
 _FIND = re.compile(r"[^\W\d_]+").findall
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: About so many labelled rows are fitted on, at most.
+    #: So many labelled rows are fitted on, at most.
     sample: int = 6_000
-    #: Of a sampled text, at most so many different terms by hash order.
-    sample_terms: int = 20_000
+    #: So many buckets, held by most rows of the sample, are looked at, at most; those of whole texts count.
+    vocabulary: int = 1 << 16
     bits: int = 24
     features: int = 512
+    #: So many of them are looked at in pairs; of these, buckets of so many pairs are chosen at most, each at least so many deviations off.
+    candidates: int = 2048
+    pairs: int = 64
+    deviations: float = 7.0
     least_rows: int = 4
     factors: int = 6
     epochs: int = 30
@@ -86,6 +91,36 @@ class Machine:
         return self.bias + linear + 0.5 * ((sums * sums).sum(axis=1) - squares), sums
 
 
+def telling_pairs(labels: np.ndarray, rows: np.ndarray, columns: np.ndarray, n: int, settings: Settings) -> np.ndarray:
+    """Columns, of n, of the pairs whose texts' labels differ most from what both columns say by themselves."""
+    if n < 2:
+        return np.empty(0, np.int64)
+    held = np.zeros((len(labels), n), np.float32)
+    held[rows, columns] = 1
+    p = labels.mean()
+    both = held.T @ held
+    off = held.T @ (held * (labels - p).astype(np.float32)[:, None])
+    alone = np.diag(off) / np.maximum(np.diag(both), 1)
+    z = np.abs(off - both * (alone[:, None] + alone[None, :])) / np.sqrt(np.maximum(both, 1) * p * (1 - p))
+    # terms that stand together only are one term
+    z[(both < settings.least_rows) | (both > 0.9 * np.minimum(np.diag(both)[:, None], np.diag(both)[None, :]))] = 0
+    z = np.triu(z, 1)
+    at = np.argsort(-z, axis=None, kind="stable")[: settings.pairs]
+    at = at[z.reshape(-1)[at] >= settings.deviations]
+    return np.unique(np.stack(np.unravel_index(at, z.shape)))
+
+
+def _gradients(machine: Machine, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, settings: Settings) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of the mean log loss with its penalties: by the bias, the weights and the factors."""
+    d, k = machine.factors.shape
+    raw, sums = machine._raw(rows, columns, len(labels))
+    error = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - labels) / len(labels)
+    own, per = machine.factors[columns], error[rows]
+    dw = np.bincount(columns, per, d) + settings.l2 * machine.weights
+    dv = np.stack([np.bincount(columns, per * (sums[rows, f] - own[:, f]), d) for f in range(k)], axis=1) + settings.l2_factors * machine.factors
+    return float(error.sum()), dw, dv
+
+
 def fit(labels: np.ndarray, rows: np.ndarray, buckets: np.ndarray, settings: Settings) -> Machine:
     """labels of the texts; a (row, bucket) for each different term in them."""
     n = len(labels)
@@ -96,7 +131,13 @@ def fit(labels: np.ndarray, rows: np.ndarray, buckets: np.ndarray, settings: Set
     seen, bad = np.bincount(inverse), np.bincount(inverse, labels[rows])
     p = labels.mean()
     chi = np.where(seen >= settings.least_rows, (bad - p * seen) ** 2 / (p * (1 - p) * seen), -1)
-    chosen = np.sort(np.argsort(-chi, kind="stable")[: min(settings.features, int((chi >= 0).sum()))])
+    chosen = np.argsort(-chi, kind="stable")[: min(settings.features, int((chi >= 0).sum()))]
+    common = np.argsort(-seen, kind="stable")[: min(settings.candidates, int((seen >= settings.least_rows).sum()))]
+    rank = np.full(len(known), -1)
+    rank[common] = np.arange(len(common))
+    looked = rank[inverse] >= 0
+    paired = telling_pairs(labels, rows[looked], rank[inverse][looked], len(common), settings)
+    chosen = np.union1d(chosen, common[paired])
     place = np.full(len(known), -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[inverse] >= 0
@@ -116,18 +157,13 @@ def fit(labels: np.ndarray, rows: np.ndarray, buckets: np.ndarray, settings: Set
             index = np.repeat(begin[part] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
             r, c = np.repeat(np.arange(len(part)), sizes), columns[index]
             now = Machine(settings.bits, machine.buckets, bias, machine.weights, machine.factors)
-            raw, sums = now._raw(r, c, len(part))
-            error = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - labels[part]) / len(part)
-            own = machine.factors[c]
-            per = error[r]
-            dw = np.bincount(c, per, d) + settings.l2 * machine.weights
-            dv = np.stack([np.bincount(c, per * (sums[r, f] - own[:, f]), d) for f in range(k)], axis=1) + settings.l2_factors * machine.factors
+            db, dw, dv = _gradients(now, r, c, labels[part], settings)
             gw += dw * dw
             gv += dv * dv
-            gb += error.sum() ** 2
+            gb += db**2
             machine.weights[:] -= settings.rate * dw / np.sqrt(gw)
             machine.factors[:] -= 0.2 * settings.rate * dv / np.sqrt(gv)
-            bias -= settings.rate * error.sum() / np.sqrt(gb)
+            bias -= settings.rate * db / np.sqrt(gb)
     return Machine(settings.bits, machine.buckets, bias, machine.weights, machine.factors)
 
 
@@ -138,22 +174,29 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     several labels counts with each. With labels of one kind only, every score is their share.
     """
     usable = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__of"), F.col("toxic").cast("double").alias("label"))
-    total = usable.count()
-    share = F.pmod(F.xxhash64("__of"), F.lit(1 << 20)) < F.lit(min(1 << 20, settings.sample * (1 << 20) // max(total, 1)))
-    sampled = usable.where(share)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sampled), F.col("doc_id") == F.col("__of")).select("label", "doc_id", "text")
-    bits, most = settings.bits, settings.sample_terms
+    sampled = saved(usable.orderBy(F.xxhash64("__of"), "__of", "label").limit(settings.sample), "sample")
+    rows = F.broadcast(sampled)
+    texts = docs.select("doc_id", "text").join(rows, F.col("doc_id") == F.col("__of")).select("label", "text", F.xxhash64("text", "doc_id").alias("at"))
+    bits = settings.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            found = [terms(t.as_py(), bits)[:most].astype("<u4").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("at"), pa.array([terms(t.as_py(), bits) for t in batch.column("text")], pa.list_(pa.int32()))], names=["label", "at", "terms"])
+
+    # a doc_id may repeat without end: the bound on rows holds for texts too
+    found = saved(mapped(texts, run, "label double, at bigint, terms array<int>").orderBy("at", "label").limit(settings.sample), "terms")
+    often = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= settings.least_rows)
+    known = np.sort(np.array([x.term for x in often.orderBy(F.col("n").desc(), "term").limit(settings.vocabulary).select("term").collect()], np.int32))
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [np.intersect1d(x.values.to_numpy(), known, assume_unique=True).astype("<i4").tobytes() for x in batch.column("terms")]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("at"), pa.array(kept, pa.binary())], names=["label", "at", "terms"])
 
-    got = mapped(texts, run, "doc_id bigint, label double, terms binary").toPandas() if total else pd.DataFrame({"doc_id": [], "label": [], "terms": []})
-    got = got.sort_values(["doc_id", "label", "terms"], kind="stable")
-    parts = [np.frombuffer(x, "<u4") for x in got.terms]
+    got = mapped(found, looked_up, "label double, at bigint, terms binary").toPandas().sort_values(["at", "label", "terms"], kind="stable")
+    parts = [np.frombuffer(x, "<i4") for x in got.terms]
     rows = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
-    buckets = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
+    buckets = np.concatenate(parts) if parts else np.empty(0, np.int32)
     labels = got.label.to_numpy(float)
     del got, parts
     return fit(labels, rows, buckets, settings)

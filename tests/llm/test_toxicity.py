@@ -54,3 +54,54 @@ def test_score_is_the_sum_over_pairs():
     pairs = sum(machine.factors[a] @ machine.factors[b] for i, a in enumerate(own) for b in own[i + 1 :])
     raw = 0.3 + machine.weights[own].sum() + pairs
     assert np.isclose(machine.score(np.zeros(3, int), np.array(own), 1)[0], 1 / (1 + np.exp(-raw)))
+
+
+def test_pairs_survive_the_choice_of_terms(spark, frame):
+    """Toxic is what has both words or neither: neither tells anything alone, among thousands of others."""
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "nu", "pe", "ra", "so", "ti", "vu", "ze") for b in "bdfgklmnprst" for c in ("an", "el", "ir", "os", "ut", "ay", "ew", "oy")]
+    docs, labels = [], []
+    for i in range(4000):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        words = [rng.choice(vocabulary) for _ in range(60)] + ["quibbler"] * one + ["wexford"] * two
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(one == two)))
+    table = frame(docs)
+    machine = toxicity.train(table, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    rows = toxicity.scored(table, machine).where(toxicity.held_out()).collect()
+    assert np.mean([(r.score >= 0.5) == dict(labels)[r.doc_id] for r in rows]) > 0.95
+
+
+def test_gradients_against_differences_of_the_loss():
+    rng = np.random.default_rng(3)
+    labels = (rng.random(30) < 0.4).astype(float)
+    rows, columns = np.nonzero(rng.random((30, 8)) < 0.4)
+    settings = toxicity.Settings(l2=0.01, l2_factors=0.02)
+    machine = toxicity.Machine(24, np.arange(8), 0.2, rng.normal(size=8), rng.normal(size=(8, 6)))
+
+    def loss(bias, weights, factors):
+        p = toxicity.Machine(24, np.arange(8), bias, weights, factors).score(rows, columns, 30)
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)) + 0.005 * (weights**2).sum() + 0.01 * (factors**2).sum()
+
+    db, dw, dv = toxicity._gradients(machine, rows, columns, labels, settings)
+    h = 1e-6
+    assert np.isclose(db, (loss(0.2 + h, machine.weights, machine.factors) - loss(0.2 - h, machine.weights, machine.factors)) / (2 * h), atol=1e-6)
+    for i in range(8):
+        step = np.zeros(8)
+        step[i] = h
+        assert np.isclose(dw[i], (loss(0.2, machine.weights + step, machine.factors) - loss(0.2, machine.weights - step, machine.factors)) / (2 * h), atol=1e-6)
+        for f in range(6):
+            step = np.zeros((8, 6))
+            step[i, f] = h
+            assert np.isclose(dv[i, f], (loss(0.2, machine.weights, machine.factors + step) - loss(0.2, machine.weights, machine.factors - step)) / (2 * h), atol=1e-6)
+
+
+def test_rows_are_bounded_even_if_doc_ids_repeat(spark, frame, monkeypatch):
+    sizes = []
+    real = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda labels, *rest: sizes.append(len(labels)) or real(labels, *rest))
+    docs = frame([(1, f"text {k}") for k in range(200)] + [(2, "other")] * 100)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)] * 20, "doc_id bigint, toxic int")
+    toxicity.train(docs, labels, toxicity.Settings(sample=50))
+    assert sizes == [50]
