@@ -1,9 +1,11 @@
 """Secret scans with DataFrame functions only.
 
 Base kinds are found by patterns. Beyond them, runs of characters that secrets are written in are scored by
-two character Markov models, one of random strings and one of ordinary identifiers: the mean log-likelihood
-ratio of their transitions tells which of the two a run looks like. The models are counted from labelled
-samples; their ratios are one table of 67 x 67 numbers, a literal of the plan.
+two character Markov models, one of random strings and one of ordinary identifiers: the log-likelihood ratios
+of their transitions tell which of the two a run looks like. They are added up, each within `CLIP` of 0, so
+that no single odd pair decides, and the best stretch of a run counts, so that a secret behind an ordinary
+prefix is found. The models are counted from labelled samples; their ratios are one table of 67 x 67 numbers, a
+literal of the plan.
 """
 
 from __future__ import annotations
@@ -22,54 +24,78 @@ RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 _SPANS = "array<struct<start: bigint, rank: int, end: bigint, kind: string>>"
 
+#: Bounds of a transition's ratio; the share of the characters' own frequencies in that of a transition.
+CLIP, SMOOTH = 2.5, 0.1
+
 #: Parts of ordinary identifiers, for samples.
 _PARTS = (
     "get set user name file path data list index count value table column row key map node edge tree graph "
     "page text word line token parse build read write open close start stop begin end first last next prev "
     "total size length width height color style class object field method import export module package test "
     "check error warning message request response server client session account address number order item "
-    "product customer service version update delete create insert select query filter group sort join merge"
+    "product customer service version update delete create insert select query filter group sort join merge "
+    "about after again always because before between change different example family follow government house "
+    "important language large little might mother never other people place point question right school sentence "
+    "should small something sound spell still story study think thought three through together under until "
+    "water where which while white without world would young xml json http html utf api url sql cpu gpu pdf "
+    "zip max min avg buffer queue stack cache proxy shadow pixel vector matrix kernel thread socket "
+    "exchange quick jump job year window yellow fix box zero lazy wrap"
 ).split()
+_ENDINGS = ("", "", "", "", "", "", "", "", "s", "ed", "er", "ing", "ly", "ment", "able", "ic", "al", "ive", "ish", "ous")
+_RUNS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01234567890123456789", "qwertyuiopasdfghjklzxcvbnm")
 
 
-def default_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(random, text): n random strings, from digests in hex, base 64 and mixed alphabets, and n identifiers
-    in snake, kebab, camel and path case, some with a number behind. All follow from the row number."""
+def default_samples(spark: SparkSession, n: int = 20_000) -> DataFrame:
+    """(random, text): n random strings, from digests, in hex, base 64, letters and digits, and letters alone, in
+    either case or both, and n ordinary ones: identifiers in snake, kebab, camel, constant and path case or
+    without any, some with endings or a number, long numbers, and runs of the alphabet. All follow from the row number."""
     digest = lambda salt: F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
     packed = F.translate(F.base64(F.unhex(digest("b"))), "\r\n", "")
-    random = F.when(F.col("id") % 4 == 0, F.substring(digest("a"), 1, 40)).when(F.col("id") % 4 == 1, packed).when(F.col("id") % 4 == 2, F.regexp_replace(packed, "[+/=]", "")).otherwise(F.regexp_replace(F.upper(packed), "[+/=]", ""))
+    only = lambda x, kept: F.regexp_replace(x, f"[^{kept}]", "")
+    case = lambda kinds: F.element_at(F.array(*kinds), (F.col("id") % len(kinds) + 1).cast("int"))
+    hexed = F.substring(digest("a"), 1, 40)
+    random = case([hexed, F.upper(hexed), hexed, packed, only(packed, "A-Za-z0-9"), only(packed, "A-Za-z"), only(F.lower(packed), "a-z"), only(F.upper(packed), "A-Z"), only(F.lower(packed), "a-z0-9"), only(F.upper(packed), "A-Z0-9")])
     parts = F.array(*map(F.lit, _PARTS))
-    part = lambda k: F.element_at(parts, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(_PARTS))) + 1).cast("int"))
-    snake = F.concat_ws("_", *[part(k) for k in range(4)])
-    camel = F.concat(part(0), *[F.initcap(part(k)) for k in range(1, 4)])
-    number = F.when(F.col("id") % 5 == 0, (F.pmod(F.xxhash64("id"), F.lit(100))).cast("string")).otherwise("")
-    ordinary = F.when(F.col("id") % 5 == 0, snake).when(F.col("id") % 5 == 1, F.translate(snake, "_", "-")).when(F.col("id") % 5 == 2, camel).when(F.col("id") % 5 == 3, F.translate(snake, "_", "/")).otherwise(F.concat_ws("", *[part(k) for k in range(3)]))
+    drawn = lambda k, of: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(of))
+    ending = lambda k: F.element_at(F.array(*map(F.lit, _ENDINGS)), (drawn(k + 10, len(_ENDINGS)) + 1).cast("int"))
+    part = lambda k: F.concat(F.element_at(parts, (drawn(k, len(_PARTS)) + 1).cast("int")), ending(k))
+    snake = F.concat_ws("_", *[part(k) for k in range(5)])
+    camel = F.concat(part(0), *[F.initcap(part(k)) for k in range(1, 5)])
+    number = F.when(F.col("id") % 3 == 0, drawn(20, 1000).cast("string")).otherwise("")
+    figures = F.regexp_replace(digest("n"), "[a-f]", "")
+    along = F.element_at(F.array(*map(F.lit, _RUNS)), (drawn(21, len(_RUNS)) + 1).cast("int"))
+    repeated = F.repeat(F.substring(F.lit(ALPHABET), (drawn(22, len(ALPHABET)) + 1).cast("int"), F.lit(1)), 20)
+    ordinary = case([snake, F.translate(snake, "_", "-"), camel, F.initcap(camel), F.translate(snake, "_", "/"), F.concat_ws("", *[part(k) for k in range(4)]), F.upper(snake), F.upper(F.concat_ws("", *[part(k) for k in range(4)])), figures, F.when(F.col("id") % 2 == 0, along).otherwise(repeated), snake])
     rows = spark.range(0, n, 1, 2)
     return rows.select(F.lit(True).alias("random"), random.alias("text")).union(rows.select(F.lit(False), F.concat(ordinary, number)))
 
 
 def train(samples: DataFrame) -> list[float]:
     """The log-likelihood ratios of all transitions, row by row, from samples (random, text), with one added
-    to each count. Null texts, null labels and characters outside the alphabet don't count. What comes to
+    to each count and smoothed, within CLIP of 0, and 0 at most for a character after itself: that says nothing. Null texts, null labels and characters outside the alphabet don't count. What comes to
     the driver is two rows at most for each pair of the alphabet's characters."""
     n = len(ALPHABET)
     at = F.explode(F.sequence(F.lit(1), F.length("text") - 1))
     pairs = samples.where(F.col("random").isNotNull() & (F.length("text") > 1)).select("random", "text", at.alias("i")).select("random", F.expr("substr(text, i, 2)").alias("pair"))
     counts = {(r.random, r.pair): r["count"] for r in pairs.where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("random", "pair").count().collect()}
-    out = []
-    for a in ALPHABET:
-        rows = [[counts.get((kind, a + b), 0) + 1 for b in ALPHABET] for kind in (True, False)]
-        sums = [sum(r) for r in rows]
-        out += [math.log(x / sums[0]) - math.log(y / sums[1]) for x, y in zip(*rows, strict=True)]
+    def model(kind: bool) -> list[list[float]]:
+        rows = [[counts.get((kind, a + b), 0) + 1 for b in ALPHABET] for a in ALPHABET]
+        total = sum(map(sum, rows))
+        every = [sum(column) / total for column in zip(*rows, strict=True)]
+        return [[(1 - SMOOTH) * x / sum(row) + SMOOTH * p for x, p in zip(row, every, strict=True)] for row in rows]
+
+    pairs = [(a == b, x, y) for a, *rows in zip(ALPHABET, model(True), model(False), strict=True) for b, x, y in zip(ALPHABET, *rows, strict=True)]
+    out = [max(-CLIP, min(0.0 if same else CLIP, math.log(x) - math.log(y))) for same, x, y in pairs]
     assert len(out) == n * n
     return out
 
 
 def ratio(text: str, table: list[float]) -> str:
-    """SQL for the mean log-likelihood ratio of a run; `text` is SQL for it."""
+    """SQL for the log-likelihood ratio of the best stretch of a run, 0 at least; `text` is SQL for it."""
     values = f"cast(split('{','.join(f'{x:.4f}' for x in table)}', ',') as array<double>)"
     code = lambda at: f"instr('{ALPHABET}', substr({text}, {at}, 1))"
-    return f"aggregate(sequence(2, length({text})), 0D, (sum, i) -> sum + element_at({values}, (({code('i - 1')}) - 1) * {len(ALPHABET)} + {code('i')})) / (length({text}) - 1)"
+    step = f"(a, i) -> transform(array(greatest(a.now, 0D) + element_at({values}, (({code('i - 1')}) - 1) * {len(ALPHABET)} + {code('i')})), now -> named_struct('now', now, 'best', greatest(a.best, now)))[0]"
+    return f"aggregate(sequence(2, length({text})), named_struct('now', 0D, 'best', 0D), {step}, a -> a.best)"
 
 
 def _spans(text: str, kind: str, pattern: Column, matches: str, accepted: str) -> Column:
@@ -89,11 +115,10 @@ def _spans(text: str, kind: str, pattern: Column, matches: str, accepted: str) -
     return F.when(F.exists(accepted, lambda x: x), found).otherwise(F.array().cast(_SPANS))
 
 
-def scan(docs: DataFrame, table: list[float], least: float = 0.9) -> DataFrame:
+def scan(docs: DataFrame, table: list[float], least: float = 8.0) -> DataFrame:
     """The columns of `docs` with spans: (start, rank, end, kind), in code points, end exclusive, by start and kind.
 
-    Runs that are all letters or all digits are never of kind random, nor those whose mean ratio is below
-    `least`. A null text has no spans. Rows stand alone: repeated rows have the same spans, an empty table
+    Runs of 20 characters or more are of kind random if the ratio of their best stretch is `least` or more. A null text has no spans. Rows stand alone: repeated rows have the same spans, an empty table
     gives an empty one, and a text of any length is one value. An older column named spans is replaced.
     """
     frame = docs.drop("spans").withColumn("__t", F.coalesce("text", F.lit("")))
@@ -101,7 +126,7 @@ def scan(docs: DataFrame, table: list[float], least: float = 0.9) -> DataFrame:
         "assign": (ASSIGN, None),
         "access": (ACCESS, None),
         "hex": (HEX, None),
-        "random": (RUN, F.expr(f"transform(__m_random, x -> x rlike '[0-9]' and x rlike '[A-Za-z]' and {ratio('x', table)} >= {least}D)")),
+        "random": (RUN, F.expr(f"transform(__m_random, x -> {ratio('x', table)} >= {least}D)")),
     }
     frame = frame.select("*", *[F.regexp_extract_all("__t", F.lit(p), F.lit(0)).alias(f"__m_{k}") for k, (p, _) in found.items()])
     yes = lambda k: F.transform(f"__m_{k}", lambda x: F.lit(True))
