@@ -10,8 +10,11 @@ it inherits its origins from, with the number of the gadget that parted them. An
 unless some gadget cut it between such an ancestor of a and such an ancestor of b before they parted.
 
 A token sequence is what BPE makes of its text exactly if the automaton accepts it, and each prefix of a
-word has one accepted path, so a word is encoded by one sweep that follows arcs from the states reached.
-Decoding emits the labels of the arcs.
+word has one accepted path. So a word is encoded by one sweep over its symbols that never turns back: a table
+of tokens' symbols (goto, fall-back and the tokens that end there) says which labels could end at a place, and
+the arc from the state where such a label begins says whether it does; just one has its arc. All arcs of a
+vocabulary of 49,000 tokens would be 2.4 billion table entries, so the table of arcs holds those that words
+asked for, each worked out from its gadgets once. Decoding emits the labels of the arcs that the ids name.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +33,7 @@ from tokenizers import Tokenizer
 from .common import mapped, pieces
 
 _END = 1 << 60
+_FIRST, _SECOND, _THIRD = map(itemgetter, range(3))
 
 
 def byte_symbols() -> list[str]:
@@ -74,15 +79,48 @@ class MergeAutomaton:
             self.vocabulary = {t: i for t, i in vocabulary.items() if i not in dead}
         self.cuts = {u * n + v: i for (u, v), i in cuts.items()}
         self.states, self.arcs, self.n = states, arcs, n
-        self.begins = {t[:k] for x in vocabulary for t in [x.removesuffix(end) if end else x] for k in range(1, len(t) + 1)}
         self.seen: dict[int, bool] = {}
+        self._tables()
+
+    def _tables(self) -> None:
+        """goto: from each place of the tokens' symbols the next; fall: the place of the longest other one that
+        ends alike; outs: the tokens that end there and their lengths, longest first. A word's last symbol is
+        one of its own."""
+        self.final = {c: chr(0xF0000 + i) for i, c in enumerate(sorted({t.removesuffix(self.end)[-1:] for t in self.vocabulary} - {""}))} if self.end else {}
+        self.goto: list[dict[str, int]] = [{}]
+        own = [-1]
+        for token, i in self.vocabulary.items():
+            symbols = token
+            if self.end and token.endswith(self.end) and len(token) > len(self.end):
+                symbols = token[: -len(self.end)]
+                symbols = symbols[:-1] + self.final[symbols[-1]]
+            at = 0
+            for c in symbols:
+                if c not in self.goto[at]:
+                    self.goto[at][c] = len(own)
+                    self.goto.append({})
+                    own.append(-1)
+                at = self.goto[at][c]
+            own[at] = i
+        self.fall, self.outs, lengths = [0] * len(own), [()] * len(own), [0] * len(own)
+        queue = [0]
+        for at in queue:
+            for c, to in self.goto[at].items():
+                lengths[to] = lengths[at] + 1
+                back = self.fall[at]
+                while at and back and c not in self.goto[back]:
+                    back = self.fall[back]
+                self.fall[to] = self.goto[back].get(c, 0) if at else 0
+                shorter = self.outs[self.fall[to]]
+                self.outs[to] = ((own[to], lengths[to]), *shorter) if own[to] >= 0 else shorter
+                queue.append(to)
 
     def arc(self, state: int, label: int) -> bool:
         """Whether the automaton has this arc. Of equal merges the leftmost goes first, hence < and <=."""
         key = state * self.n + label
         known = self.seen.get(key)
         if known is None:
-            if len(self.seen) >= 250_000:
+            if len(self.seen) >= 500_000:
                 self.seen.clear()
             cuts, n = self.cuts, self.n
             known = self.seen[key] = not any(
@@ -93,44 +131,57 @@ class MergeAutomaton:
         return known
 
     def encode(self, word: str) -> list[int]:
-        """Ids of a pre-split word that is written in the vocabulary's symbols.
-
-        Follows the longest arcs first and turns back where no arc leads on. The path to each place is the
-        only one, so a place once left is never tried again.
-        """
-        n, vocabulary, begins, arc = len(word), self.vocabulary, self.begins, self.arc
-        at, path, open_, left = 0, [], [], set()
-        while at < n:
-            if len(open_) == len(path):
-                tokens, k = [], at + 1
-                while k < n and (piece := word[at:k]) in begins:
-                    if (token := vocabulary.get(piece)) is not None:
-                        tokens.append((token, k))
-                    k += 1
-                if k == n and (token := vocabulary.get(word[at:] + self.end)) is not None:
-                    tokens.append((token, n))
-                open_.append(tokens)
-            tokens = open_[-1]
-            while tokens:
-                token, k = tokens.pop()
-                if k not in left and (not path or arc(path[-1][0], token)):
-                    path.append((token, at))
-                    at = k
+        """Ids of a pre-split word that is written in the vocabulary's symbols, in one sweep."""
+        goto, fall, outs, seen, n = self.goto, self.fall, self.outs, self.seen, self.n
+        if self.end and word:
+            word = word[:-1] + self.final.get(word[-1], "\U000fffff")
+        #: The label that ends at each place, and its length: the state reached there.
+        last, sizes, at = [-1], [0], 0
+        for k, c in enumerate(word, 1):
+            to = goto[at].get(c)
+            while to is None and at:
+                at = fall[at]
+                to = goto[at].get(c)
+            at = to or 0
+            for token, size in outs[at]:
+                state = last[k - size]
+                if state < 0:
+                    if size == k:
+                        break
+                elif (known := seen.get(state * n + token)) or known is None and self.arc(state, token):
                     break
             else:
-                if not path:
-                    raise ValueError(f"no tokens for {word!r}")
-                open_.pop()
-                left.add(at)
-                at = path.pop()[1]
-        return [token for token, _ in path]
+                # a symbol that starts no token: a merge's part, or one that is unknown
+                token, size = -1, 1
+            last.append(token)
+            sizes.append(size)
+        path, at = [], len(word)
+        while at:
+            if last[at] < 0:
+                raise ValueError(f"no tokens for {word!r}")
+            path.append(last[at])
+            at -= sizes[at]
+        return path[::-1]
+
+
+class Memo(dict):
+    """What a function makes of words: made when first asked for, or taken over from the memo before, whose
+    own is dropped. So the words last used are kept, in two generations."""
+
+    def __init__(self, make, before: dict):
+        super().__init__()
+        self.make, self.before = make, dict(before)
+
+    def __missing__(self, word: str):
+        found = self[word] = self.before.get(word) or self.make(word)
+        return found
 
 
 class WordBpe:
     """Reads a tokenizer file of the tokenizers library of this kind: NFC, white space to one blank, lower
     case, words by a pattern, bytes as symbols, BPE with a mark at each word's end, no decoder."""
 
-    def __init__(self, path: str, cache: int = 100_000):
+    def __init__(self, path: str, cache: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -148,18 +199,12 @@ class WordBpe:
         self.find = re.compile(_latin(split)).findall
         self.symbols = byte_symbols()
         self.bytes = {c: b for b, c in enumerate(self.symbols)}
-        self.cache, self.young, self.old = cache, {}, {}
-
-    def word(self, word: str) -> tuple[int, str, str]:
-        """(number of ids, ids, labels) of a word, joined by blanks; the last words used are kept, in two generations."""
-        found = self.old.get(word)
-        if found is None:
-            ids = self.automaton.encode(word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode())))
-            found = len(ids), " ".join(map(str, ids)), " ".join(map(self.labels.__getitem__, ids))
-        if len(self.young) >= self.cache:
-            self.young, self.old = {}, self.young
-        self.young[word] = found
-        return found
+        self.cache, self.memo = cache, Memo(self._word, {})
+
+    def _word(self, word: str) -> tuple[int, str, str]:
+        """(number of ids, ids, labels) of a word, joined by blanks."""
+        ids = self.automaton.encode(word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode())))
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
     def words(self, text: str) -> list[str]:
         """The words of a text. Beyond U+00FF it depends on the library's Unicode version which characters
@@ -173,18 +218,13 @@ class WordBpe:
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids joined by blanks, decoded text)."""
+        if len(self.memo) > self.cache:
+            self.memo = Memo(self._word, self.memo)
         parts = self.split_added.split(text) if self.split_added and any(x in text for x in self.added) else [text]
         found = []
         for k, part in enumerate(parts):
-            if k % 2:
-                found.append((1, str(self.added[part]), part))
-                continue
-            get, make = self.young.get, self.word
-            found += [get(w) or make(w) for w in self.words(part)]
-        if not found:
-            return 0, "", ""
-        counts, ids, labels = zip(*found, strict=True)
-        return sum(counts), " ".join(ids), " ".join(labels)
+            found += [(1, str(self.added[part]), self.decode([self.added[part]]))] if k % 2 else map(self.memo.__getitem__, self.words(part))
+        return sum(map(_FIRST, found)), " ".join(map(_SECOND, found)), " ".join(map(_THIRD, found))
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs that the ids name, special ones too, joined as without a decoder; ids unknown are skipped."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import byte_symbols
+from .bpe import Memo, byte_symbols
 from .common import filesystem, fresh_path, mapped, pieces
 
 MANIFEST = "first bigint, path string, n_docs bigint, n_tokens bigint"
@@ -34,18 +34,6 @@ _SPLIT = re.compile(
 ).findall
 
 
-class _Memo(dict):
-    """What a function makes of words, made when first asked for, or taken over from the memo before."""
-
-    def __init__(self, make, before: dict):
-        super().__init__()
-        self.make, self.before = make, dict(before)
-
-    def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.before.get(word) or self.make(word)
-        return found
-
-
 class ByteBpe:
     """Ids of the tokenizers library for a byte-level BPE file, each word encoded by it once while it is kept."""
 
@@ -58,7 +46,7 @@ class ByteBpe:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.tokenize, self.symbols, self.code = self.whole.model.tokenize, byte_symbols(), "H" if self.dtype.itemsize == 2 else "I"
         self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
-        self.cache, self.memo = cache, _Memo(self._word, {})
+        self.cache, self.memo = cache, Memo(self._word, {})
 
     def _word(self, word: str) -> bytes:
         """Ids of one word of the split; the library's model takes it in the symbols of its bytes."""
@@ -71,7 +59,7 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, in the bytes of `dtype`."""
         if len(self.memo) > self.cache:
-            self.memo = _Memo(self._word, self.memo)
+            self.memo = Memo(self._word, self.memo)
         get, out = self.memo.__getitem__, []
         for text in texts:
             plain = not any(x in text for x in self.added)

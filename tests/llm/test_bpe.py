@@ -67,6 +67,26 @@ def test_automata_of_random_merges(end):
             assert [automaton.labels[i] for i in automaton.encode(word)] == merged(word, ranks, end), (merges, word)
 
 
+def test_tables_are_deterministic(both):
+    """At each place of a word one label at most has its arc, so no sweep can turn back; and arcs asked for stay."""
+    automaton = both[0].automaton
+    rng = random.Random(9)
+    for _ in range(2000):
+        word = "".join(rng.choice("etaoinshrdlu'1") for _ in range(rng.randint(1, 14)))
+        symbols = word[:-1] + automaton.final[word[-1]]
+        last = [-1]
+        for k in range(1, len(symbols) + 1):
+            at = 0
+            for c in symbols[:k]:
+                while c not in automaton.goto[at] and at:
+                    at = automaton.fall[at]
+                at = automaton.goto[at].get(c, 0)
+            fit = [t for t, n in automaton.outs[at] if (n == k if last[k - n] < 0 else automaton.arc(last[k - n], t))]
+            assert len(fit) == 1, (word, k)
+            last += fit
+        assert automaton.encode(word)[-1] == last[-1]
+
+
 def test_merges_that_make_no_automaton():
     with pytest.raises(ValueError):
         bpe.MergeAutomaton({"a": 0, "b": 1, "ab": 2, "aba": 3}, [("ab", "a"), ("a", "b")])
