@@ -3,8 +3,8 @@
 An archive is a ZIP file of stored PNG members; a payload becomes an image of 8-bit grey samples, 64 to a
 row. The members' names carry what isn't in the image: a running number and the doc_id. `media_archive`
 is the data source's name. Its writer makes one archive after another in each task and lists those of
-the attempts that count in a manifest; its reader plans byte ranges over the archives that the manifest
-lists. A task reads an archive's directory and takes the members whose headers begin in its range. It
+the attempts that count in a manifest of that write, beside those of writes before unless it overwrites them;
+its reader plans byte ranges over the archives that the manifests list. A task reads an archive's directory and takes the members whose headers begin in its range. It
 streams them as Arrow batches of bounded size, and a member that can't be read is tried again on its own,
 at its offset, through a new handle; its neighbours are not read again.
 """
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -94,8 +95,8 @@ class Written(WriterCommitMessage):
 
 
 class MediaWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, archive_bytes: int):
-        self.path, self.most = path, archive_bytes
+    def __init__(self, path: str, archive_bytes: int, overwrite: bool):
+        self.path, self.most, self.overwrite = path, archive_bytes, overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         fs, folder = filesystem(self.path)
@@ -125,13 +126,23 @@ class MediaWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, folder = filesystem(self.path)
         fs.create_dir(folder, recursive=True)
-        with fs.open_output_stream(f"{folder}/manifest.json") as f:
+        before = _manifests(fs, folder) if self.overwrite else []
+        name = f"manifest-{time.time_ns():020d}-{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(f"{folder}/{name}") as f:
             f.write(json.dumps([a for m in messages if m for a in m.archives]).encode())
+        for old in before:
+            fs.delete_file(old)
 
     def abort(self, messages: list) -> None:
         """What a failed write leaves is in no manifest."""
 
 
+def _manifests(fs, folder: str) -> list[str]:
+    """The manifests of a folder, one for each write, in the order they were made."""
+    found = [x.path for x in fs.get_file_info(FileSelector(folder)) if x.base_name.startswith("manifest-")]
+    return sorted(found, key=lambda x: x.rsplit("/", 1)[-1])
+
+
 class MediaReader(DataSourceReader):
     def __init__(self, path: str, options):
         self.path = path
@@ -142,8 +153,10 @@ class MediaReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         fs, folder = filesystem(self.path)
-        with fs.open_input_file(f"{folder}/manifest.json") as f:
-            archives = json.loads(f.read())
+        archives = []
+        for manifest in _manifests(fs, folder):
+            with fs.open_input_file(manifest) as f:
+                archives += json.loads(f.read())
         return [Range(f"{self.path}/{name}", at, min(at + self.range_bytes, size)) for name, size in archives for at in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -226,19 +239,20 @@ class MediaArchives(DataSource):
         return MediaReader(self.options["path"], self.options)
 
     def writer(self, schema, overwrite: bool) -> MediaWriter:
-        return MediaWriter(self.options["path"], int(self.options.get("archivebytes", 48 << 20)))
+        return MediaWriter(self.options["path"], int(self.options.get("archivebytes", 48 << 20)), overwrite)
 
 
 def store(docs: DataFrame, folder: str | None = None) -> str:
     """Writes the texts of `docs` (doc_id, text) as archives and returns their folder.
 
     A null text is an empty one, and a payload has 64 bytes at least. Repeated rows are members of their
-    own, null doc_ids stay null, other columns are left aside. An empty table has an empty manifest.
+    own, null doc_ids stay null, other columns are left aside; doc_ids must be whole numbers or text that reads as
+    such, or the write fails. A folder that has archives gets more. An empty table has an empty manifest.
     """
     spark = docs.sparkSession
     spark.dataSource.register(MediaArchives)
     folder = folder or fresh_path(spark, "media")
-    docs.select("doc_id", "text").write.format("media_archive").mode("append").save(folder)
+    docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").write.format("media_archive").mode("append").save(folder)
     return folder
 
 

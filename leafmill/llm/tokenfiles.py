@@ -1,6 +1,6 @@
 """Token-id output: Arrow files whose batches hold fixed-size lists, for zero-copy access to sequences.
 
-`write_tokens` deals the documents out by ranges of doc_id. Each range becomes two Arrow IPC files in a
+`write_tokens` deals the documents out by ranges of doc_id (and of the text's hash, where doc_ids repeat). Each range becomes two Arrow IPC files in a
 shared folder: NAME.tokens.arrow, with a row for every sequence of `length` ids (`tokens`, a fixed-size
 list of the smallest unsigned type that holds the vocabulary) and a `mask` (a fixed-size list of booleans,
 false behind the last id), and NAME.docs.arrow with doc_id, offset and n_tokens of each document in it.
@@ -20,13 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow.fs import LocalFileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Memo, byte_symbols
 from .common import filesystem, fresh_path, mapped, pieces
 
-MANIFEST = "first bigint, path string, n_docs bigint, n_tokens bigint"
+MANIFEST = "part int, path string, n_docs bigint, n_tokens bigint"
 _LATIN_LETTERS, _LATIN_NUMBERS, _LATIN_SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r\x20\x85\xa0"
 #: The library's byte-level split, with its classes spelt out for characters up to U+00FF.
 _SPLIT = re.compile(
@@ -110,14 +113,11 @@ class _Writer:
 
 class TokenFile:
     """Random access to a token file: `sequence(i)` and `tokens(start, n)`. Sequences are views of the file's
-    bytes where the file system maps them (pass memory_map=True for a local file), else of one batch read."""
+    bytes where the file is on a local file system or a mounted one, else of one batch read."""
 
-    def __init__(self, path: str, memory_map: bool = False):
-        if memory_map:
-            self.source = pa.memory_map(path.removeprefix("file://"))
-        else:
-            fs, at = filesystem(path)
-            self.source = fs.open_input_file(at)
+    def __init__(self, path: str):
+        fs, at = filesystem(path)
+        self.source = pa.memory_map(at) if isinstance(fs, LocalFileSystem) else fs.open_input_file(at)
         self.file = pa.ipc.open_file(self.source)
         self.length = self.file.schema.field("tokens").type.list_size
         self.rows = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
@@ -141,22 +141,38 @@ class TokenFile:
             start += len(out[-1])
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint16)
 
+    def masked(self) -> int:
+        """The number of ids that the masks count; raises ValueError if another id stands before one of them."""
+        n = 0
+        for k in range(self.file.num_record_batches):
+            mask = self._load(k).column("mask").flatten()
+            here = pc.sum(mask).as_py() or 0
+            if here and (n != k * self.rows * self.length or not mask[here - 1].as_py()):
+                raise ValueError(f"masks with a gap in batch {k}")
+            n += here
+        return n
+
     def close(self) -> None:
         self.source.close()
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, length: int = 1024, rows: int = 256, end: int = 0, partitions: int | None = None) -> list:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, length: int = 1024, rows: int = 256, end: int = 0, partitions: int | None = None, file_chars: int = 256 << 20) -> list:
     """Writes the token files of `docs` (doc_id, text) and returns the manifest: rows (base, path, n_docs,
     n_tokens) in ascending doc_id order, `base` counting the ids of the files before.
 
     A null text is an empty one; id `end` closes every document. Null doc_ids come first; rows of equal
-    doc_id are ordered by text, and equal rows are all written. An empty table has an empty manifest. The
-    manifest has a row for each file, two files at most for each of `partitions` ranges.
+    doc_id are ordered by the text's XXH64, and equal rows are all written, dealt to several files if they are
+    many. An empty table has an empty manifest. The manifest has a row for each file: one for each of
+    `partitions` ranges, by default enough for files of about `file_chars` characters.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
-    partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = docs.select("doc_id", "text").repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    if partitions is None:
+        total = docs.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, -(-total // file_chars))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("at")]
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("at"), F.spark_partition_id().alias("from"))
+    dealt = marked.repartitionByRange(partitions, *order, F.col("from")).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _LOADED:
@@ -168,7 +184,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, len
             if out is None:
                 fs, at = filesystem(f"{folder}/{uuid.uuid4().hex}")
                 fs.create_dir(os.path.dirname(at), recursive=True)
-                out, offset, first, n_docs = _Writer(sink := fs.open_output_stream(f"{at}.tokens.arrow"), bpe.dtype, length, rows), 0, batch.column("doc_id")[0].as_py(), 0
+                out, offset, n_docs = _Writer(sink := fs.open_output_stream(f"{at}.tokens.arrow"), bpe.dtype, length, rows), 0, 0
                 index = pa.ipc.new_file(index_sink := fs.open_output_stream(f"{at}.docs.arrow"), _DOCS)
             ids = [x + close for x in bpe.encode([t or "" for t in batch.column("text").to_pylist()])]
             n = np.array([len(x) // bpe.dtype.itemsize for x in ids], np.int64)
@@ -180,11 +196,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, len
         if out is not None:
             for x in (out, index, sink, index_sink):
                 x.close()
-            yield pa.RecordBatch.from_pydict({"first": pa.array([first], pa.int64()), "path": [f"{folder}/{os.path.basename(at)}"], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([offset], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [f"{folder}/{os.path.basename(at)}"], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([offset], pa.int64())})
 
     found = mapped(dealt, run, MANIFEST).collect()
     base, out = 0, []
-    for x in sorted(found, key=lambda x: (x.first is not None, x.first)):
+    for x in sorted(found):
         out.append((base, x.path, x.n_docs, x.n_tokens))
         base += x.n_tokens
     return out
@@ -195,15 +211,18 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens",
 
 def read_tokens(spark: SparkSession, manifest: list) -> DataFrame:
     """One row for each document of the files: doc_id, start (the ids of all documents before it), n_tokens,
-    ids_crc32 (unsigned, of its ids as little-endian 32-bit integers), all read from the files."""
+    ids_crc32 (unsigned, of its ids as little-endian 32-bit integers), all read from the files. The masks of a
+    file must count the ids that the manifest does; ValueError else."""
     n = len(manifest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column("id").to_pylist():
-                base, path, _, _ = manifest[k]
+                base, path, _, n_tokens = manifest[k]
                 fs, at = filesystem(f"{path}.docs.arrow")
                 tokens = TokenFile(f"{path}.tokens.arrow")
+                if tokens.masked() != n_tokens:
+                    raise ValueError(f"{path} has not the ids that its manifest counts")
                 with fs.open_input_file(at) as source:
                     index = pa.ipc.open_file(source)
                     for j in range(index.num_record_batches):

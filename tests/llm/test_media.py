@@ -1,5 +1,8 @@
+import glob
 import hashlib
 import json
+import math
+import zipfile
 import zlib
 
 import pytest
@@ -40,7 +43,7 @@ def test_archives(spark, frame, odd):
 def test_damaged_members_fail_alone(spark, frame):
     folder = media.store(frame([(i, f"text {i} " * 50) for i in range(20)]).coalesce(1))
     path = folder.removeprefix("file://")
-    name = json.load(open(f"{path}/manifest.json"))[0][0]
+    name = json.load(open(glob.glob(f"{path}/manifest-*.json")[0]))[0][0]
     with open(f"{path}/{name}", "r+b") as f:
         f.seek(120)
         f.write(b"\0\0\0\0")
@@ -69,3 +72,36 @@ def test_a_member_is_tried_again(monkeypatch, spark, frame):
 
 def test_empty(spark, frame):
     assert media.load(spark, media.store(frame([]))).collect() == []
+
+
+def test_writes_add_up_unless_they_overwrite(spark, frame):
+    folder = media.store(frame([(1, "a"), (2, "b")]))
+    assert media.store(frame([(3, "c")]), folder) == folder
+    assert sorted(r.doc_id for r in media.load(spark, folder).collect()) == [1, 2, 3]
+    frame([(4, "d")]).select("doc_id", "text").write.format("media_archive").mode("overwrite").save(folder)
+    assert [r.doc_id for r in media.load(spark, folder).collect()] == [4]
+
+
+def described(payload):
+    """The feature, sample by sample."""
+    n = len(payload)
+    mean = sum(payload) / n
+    shares = [payload.count(bytes([v])) / n for v in range(256)]
+    return {"rows": n // 64, "mean": mean * 1000, "dev": 1000 * math.sqrt(sum((v - mean) ** 2 for v in payload) / n), "entropy": -1000 * sum(p * math.log2(p) for p in shares if p), "step": 1000 * sum(abs(a - b) for a, b in zip(payload, payload[1:])) / max(n - 1, 1)}
+
+
+def test_features_and_stored_forms(spark, frame, odd):
+    """Features against their definition; media_sha256 is the digest of members as zipfile reads them."""
+    texts = [x for x in odd if len(x[1] or "") < 2000]
+    folder = media.store(frame(texts))
+    stored = {}
+    for path in glob.glob(folder.removeprefix("file://") + "/*.zip"):
+        with zipfile.ZipFile(path) as z:
+            for name in z.namelist():
+                stored.setdefault(name.split(".")[1], set()).add(hashlib.sha256(z.read(name)).hexdigest())
+    rows = media.digests(media.load(spark, folder)).collect()
+    assert all(r.media_sha256 in stored["null" if r.doc_id is None else str(r.doc_id)] for r in rows)
+    for r in media.load(spark, folder).collect():
+        got = {k: int(v) for k, v in (x.split("=") for x in r.feature.split(";"))}
+        exact = described(bytes(r.payload))
+        assert got.keys() == exact.keys() and all(abs(got[k] - exact[k]) <= 1 for k in got), (r.doc_id, got, exact)
