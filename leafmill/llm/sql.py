@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import WORD
-from .licenses import TEMPLATES, rarest
+from .licenses import TEMPLATES, _key_at, rarest
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{WORD}')"
@@ -26,7 +26,7 @@ def licenses(least: float = 0.5) -> str:
     rows = []
     for t in TEMPLATES:
         w, key = t.words.split(), t.key.split()
-        at = next(i for i in range(len(w)) if w[i : i + len(key)] == key)
+        at = _key_at(w, key)
         total = sum(idf[x] for x in w)
         weights = ", ".join(f"{idf[x] / total:.6f}::DOUBLE" for x in w)
         rows.append(f"('{t.label}', {w!r}, [{weights}], {key!r}, {at}, {t.base})")
