@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import retrieval as R
 
 
 def knn(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """(src, dst, nbr_rank): the k most alike by cosine of every vector (doc, vec), itself aside, ties by doc.
-
-    Exact: vectors are numbered into blocks, every two blocks meet once as arrays, and a block pair keeps k
-    candidates for each row. So no pair of vectors becomes a row, and the work is a matrix product.
-    """
-    n = max(1, -(-vectors.count() // block))
-    dealt = vectors.select("doc", V.normalized(F.col("vec")).alias("vec"), F.pmod(F.xxhash64("doc"), F.lit(n)).alias("b"))
-    grouped = dealt.groupBy("b").agg(F.collect_list(F.struct("doc", "vec")).alias("rows"))
-    pairs = grouped.select(F.col("b").alias("x"), F.col("rows").alias("left")).crossJoin(grouped.select(F.col("b").alias("y"), F.col("rows").alias("right"))).repartition(n * n, "x", "y").select("left", "right")
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                (a, va), (b, vb) = _matrix(left), _matrix(right)
-                sims = np.round(va @ vb.T, 9)
-                sims[a[:, None] == b[None, :]] = -np.inf
-                take = np.lexsort((np.broadcast_to(b, sims.shape), -sims), axis=1)[:, :k]
-                src, dst, s = np.repeat(a, take.shape[1]), b[take].ravel(), np.take_along_axis(sims, take, 1).ravel()
-                ok = np.isfinite(s)
-                yield pa.RecordBatch.from_pydict({"src": src[ok], "dst": dst[ok], "sim": s[ok]})
-
-    found = pairs.mapInArrow(best, "src bigint, dst bigint, sim double")
-    order = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
-    return found.withColumn("nbr_rank", F.row_number().over(order)).where(F.col("nbr_rank") <= k).select("src", "dst", "nbr_rank", "sim")
-
-
-def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
-    values = rows.values
-    vec = values.field("vec")
-    return values.field("doc").to_numpy(), vec.flatten().to_numpy().reshape(len(values), -1)
+    """(src, dst, nbr_rank, sim): the k most alike by cosine of every vector (doc, vec), itself aside, ties by doc; exact."""
+    found = R.nearest(vectors.select(F.col("doc").alias("qid"), "vec"), vectors, k, itself=False, block=block)
+    return found.select(F.col("qid").alias("src"), F.col("doc").alias("dst"), F.col("rank").alias("nbr_rank"), F.col("score").alias("sim"))
 
 
 def expand(seeds: DataFrame, edges: DataFrame, hops: int = 1, per_node: int = 4) -> DataFrame:

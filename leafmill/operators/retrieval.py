@@ -8,12 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vectors as V
 
 
 def ranked(scores: DataFrame) -> DataFrame:
@@ -34,10 +35,44 @@ def with_zeros(scores: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -
     return scores.unionByName(missing.withColumn("score", F.lit(0.0)))
 
 
-def dense_scores(queries: DataFrame, docs: DataFrame, how: str = "cosine") -> DataFrame:
-    """All pairs of query vectors (qid, vec) and document vectors (doc, vec). The queries are a bounded set, sent to all documents by the planner."""
-    match = {"cosine": V.cosine, "dot": V.dot}[how]
-    return docs.crossJoin(queries.select("qid", F.col("vec").alias("q"))).select("qid", "doc", match(F.col("vec"), F.col("q")).alias("score"))
+def nearest(queries: DataFrame, docs: DataFrame, k: int, how: str = "cosine", itself: bool = True, block: int = 4096) -> DataFrame:
+    """(qid, doc, score): the k best documents (doc, vec) of every query vector (qid, vec), by score rounded to
+    nine places and then by doc; without `itself`, a query's own number is no result.
+
+    Exact, and no pair of vectors becomes a row: both sides are numbered into blocks, every two blocks meet
+    once as arrays, and their matrix product leaves k candidates for each query.
+    """
+
+    def blocks(rows: DataFrame, key: str, name: str) -> tuple[int, DataFrame]:
+        n = max(1, -(-rows.count() // block))
+        dealt = rows.select(F.col(key).alias("id"), "vec", F.pmod(F.xxhash64(key), F.lit(n)).alias(name))
+        return n, dealt.groupBy(name).agg(F.collect_list(F.struct("id", "vec")).alias(f"{name}_rows"))
+
+    (n, left), (m, right) = blocks(queries, "qid", "x"), blocks(docs, "doc", "y")
+    pairs = left.crossJoin(right).repartition(n * m, "x", "y").select("x_rows", "y_rows")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column("x_rows"), batch.column("y_rows"), strict=True):
+                (a, va), (b, vb) = _matrix(x, how), _matrix(y, how)
+                sims = np.round(va @ vb.T, 9)
+                if not itself:
+                    sims[a[:, None] == b[None, :]] = -np.inf
+                take = np.lexsort((np.broadcast_to(b, sims.shape), -sims), axis=1)[:, :k]
+                qid, doc, score = np.repeat(a, take.shape[1]), b[take].ravel(), np.take_along_axis(sims, take, 1).ravel()
+                ok = np.isfinite(score)
+                yield pa.RecordBatch.from_pydict({"qid": qid[ok], "doc": doc[ok], "score": score[ok]})
+
+    return top_k(pairs.mapInArrow(best, "qid bigint, doc bigint, score double"), k)
+
+
+def _matrix(rows, how: str) -> tuple[np.ndarray, np.ndarray]:
+    values = rows.values
+    vec = values.field("vec").flatten().to_numpy().astype(float).reshape(len(values), -1)
+    if how == "cosine":
+        norm = np.sqrt((vec * vec).sum(axis=1, keepdims=True))
+        vec = np.divide(vec, norm, out=np.zeros_like(vec), where=norm > 0)
+    return values.field("id").to_numpy(), vec
 
 
 def minmax(c: Column, *by: str) -> Column:
