@@ -1,16 +1,24 @@
 """Lexical indexes as tables: TF-IDF weights and BM25 postings, and scores of many queries in one job.
 
-Documents are rows (doc, text), doc being a key that also breaks ties; queries are rows (qid, text). Scores
-are (qid, doc, score) of the pairs that share a term. An index keeps its tables persisted, in memory or on
-disk, as every search reads them; `close` lets them go.
+Documents are rows (doc, text), doc being a key that also breaks ties; queries are rows (qid, text), a stated
+set that is taken in blocks. `best` holds every document against a block of queries at once: a document is
+one row with the weights of the terms that the block asks for, a task adds up sparse products and passes on
+the k best of each query, so pairs of queries and documents never become rows. `scores_of` scores given pairs, and
+`scores` all pairs that share a term, which grow with documents times queries. An index keeps its tables
+persisted, in memory or on disk, as every search reads them; `close` lets them go.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 
@@ -31,7 +39,72 @@ def grams(c: Column) -> Column:
 
 def term_counts(rows: DataFrame, key: str, terms: Column) -> DataFrame:
     """(key, term, tf). Rows are dealt by key once, before they become terms; what follows by key needs no other shuffle."""
-    return rows.select(key, "text").repartition(key).select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return rows.select(key, "text").repartition(key).select(key, F.explode_outer(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def _first(scores: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best, ties by doc."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+    sure, ties = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
+    if len(sure) + len(ties) > k:
+        ties = ties[np.argsort(docs[ties], kind="stable")[: k - len(sure)]]
+    return np.concatenate([sure, ties])
+
+
+def best_of(queries: DataFrame, asked: DataFrame, weighed: Callable[[DataFrame], DataFrame], k: int, block: int = 512) -> DataFrame:
+    """(qid, doc, score): for each query the k best documents of every task, those that share no term with it at 0.
+
+    asked is (qid, term, wq); weighed makes of terms (term, i) one row (doc, hits of (i, w), length) for each
+    document. Queries go to the tasks in blocks of about `block`, as sparse weights.
+    """
+    n = max(1, -(-queries.count() // block))
+    part = lambda df, b: df.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b)
+    out = []
+    for b in range(n):
+        qids = sorted(r.qid for r in part(queries.select("qid").distinct(), b).collect())
+        number = {q: j for j, q in enumerate(qids)}
+        rows = sorted((r.term, number[r.qid], r.wq) for r in part(asked, b).collect())
+        terms = sorted({t for t, _, _ in rows})
+        place = {t: i for i, t in enumerate(terms)}
+        starts = np.searchsorted([place[t] for t, _, _ in rows], np.arange(len(terms) + 1))
+        of, weights = np.array([j for _, j, _ in rows], np.int64), np.array([w for _, _, w in rows], float)
+        known = queries.sparkSession.createDataFrame([(t, i) for t, i in place.items()], "term string, i int")
+        docs = weighed(known)
+        schema = StructType([StructField("qid", queries.schema["qid"].dataType), StructField("doc", docs.schema["doc"].dataType), StructField("score", DoubleType())])
+        out.append(docs.select("doc", "hits", "length").mapInArrow(_scored(qids, starts, of, weights, k), schema))
+    return reduce(DataFrame.unionAll, out)
+
+
+def _scored(qids: list, starts: np.ndarray, of: np.ndarray, weights: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, np.ndarray]] | None = None
+        types = None
+        for whole in batches:
+            types = whole.schema.field("doc").type
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                hits = batch.column("hits")
+                flat = hits.flatten()
+                i, w = flat.field("i").to_numpy(), flat.field("w").to_numpy()
+                row = np.repeat(np.arange(len(hits)), hits.value_lengths().to_numpy())
+                size = starts[i + 1] - starts[i]
+                index = np.repeat(starts[i] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                sums = np.bincount(np.repeat(row, size) * len(qids) + of[index], np.repeat(w, size) * weights[index], len(hits) * len(qids)).reshape(len(hits), -1)
+                length = batch.column("length").to_numpy(zero_copy_only=False)
+                scores = np.round(np.divide(sums, length[:, None], out=np.zeros_like(sums), where=length[:, None] > 0), 12)
+                docs = np.array(batch.column("doc").to_pylist(), object)
+                found = []
+                for j in range(len(qids)):
+                    s, d = (scores[:, j], docs) if kept is None else (np.concatenate([kept[j][0], scores[:, j]]), np.concatenate([kept[j][1], docs]))
+                    own = _first(np.round(s, 9), d, k)
+                    found.append((s[own], d[own]))
+                kept = found
+        for qid, (s, d) in zip(qids, kept or [], strict=False):
+            yield pa.RecordBatch.from_arrays([pa.array([qid] * len(s)), pa.array(d.tolist(), types), pa.array(s)], names=["qid", "doc", "score"])
+
+    return run
 
 
 class TfIdf:
@@ -45,7 +118,7 @@ class TfIdf:
     def __init__(self, docs: DataFrame, most: int = 60_000):
         self.counts = term_counts(docs, "doc", grams(F.col("text"))).persist()
         self.kept = [self.counts]
-        known = self.counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+        known = self.counts.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
         n = docs.agg(F.count("*").alias("n"))
         chosen = known.orderBy(F.desc("total"), "term").limit(most)
         self.idf = chosen.crossJoin(n).select("term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")).persist()
@@ -69,6 +142,27 @@ class TfIdf:
         length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
         return raw.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("weight"))
 
+    def best(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, doc, score): cosines of every query and at least its k best documents, 0 where they share nothing."""
+        asked = self.weights(queries.select("qid", "text"), "qid").withColumnRenamed("weight", "wq")
+
+        def weighed(known: DataFrame) -> DataFrame:
+            idf = self.idf.join(F.broadcast(known), "term", "left")
+            rows = self.counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
+            hit = F.when(F.col("i").isNotNull(), F.struct("i", "w"))
+            return rows.groupBy("doc").agg(F.collect_list(hit).alias("hits"), F.coalesce(F.sqrt(F.sum(F.col("w") * F.col("w"))), F.lit(0.0)).alias("length"))
+
+        return best_of(queries, asked, weighed, k)
+
+    def scores_of(self, pairs: DataFrame, queries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+        """(qid, doc, score) of the pairs (qid, doc), 0 where they share nothing; docs (doc, text) are other rows than those fitted on."""
+        q = self.weights(queries.select("qid", "text"), "qid").withColumnRenamed("weight", "wq")
+        raw = self._raw(docs, "doc")
+        length = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+        pairs = pairs.select("qid", "doc").distinct()
+        sums = raw.join(pairs, "doc").join(q, ["qid", "term"]).groupBy("qid", "doc").agg(F.sum(F.col("w") * F.col("wq")).alias("s"))
+        return pairs.join(sums.join(length, "doc").select("qid", "doc", (F.col("s") / F.col("length")).alias("score")), ["qid", "doc"], "left").fillna(0.0, ["score"])
+
     def scores(self, queries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
         """Cosines of the queries (qid, text) and the documents, or other rows (doc, text)."""
         q = self.weights(queries.select("qid", "text"), "qid").withColumnRenamed("weight", "wq")
@@ -99,11 +193,41 @@ class Bm25:
         for table in self.kept:
             table.unpersist()
 
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        asked = queries.select("qid", F.explode(T.tokens(T.normalized(F.coalesce("text", F.lit(""))))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("nq")).join(self.idf, "term")
+        asked = asked.select("qid", "term", (F.col("idf") * F.col("nq")).alias("wq"), "mean_len").persist()
+        self.kept = (*self.kept, asked)
+        return asked
+
+    def _gain(self) -> Column:
+        """What a term of a query weighs in a document, before the query's own weight of it."""
+        tf = F.col("tf")
+        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * F.col("len") / F.col("mean_len")))
+
+    def best(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, doc, score): scores of every query and at least its k best documents, 0 where they share nothing."""
+        asked = self._asked(queries)
+
+        def weighed(known: DataFrame) -> DataFrame:
+            mean = asked.select("mean_len").limit(1)
+            terms = self.tokens.select("doc", F.size("t").alias("len"), F.explode_outer("t").alias("term")).join(F.broadcast(known), "term", "left")
+            rows = terms.groupBy("doc", "len", "i").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(mean))
+            hit = F.when(F.col("i").isNotNull(), F.struct("i", self._gain().alias("w")))
+            return rows.groupBy("doc").agg(F.collect_list(hit).alias("hits"), F.lit(1.0).alias("length"))
+
+        return best_of(queries, asked, weighed, k) if asked.limit(1).count() else self.tokens.select("doc").crossJoin(queries.select("qid")).select("qid", "doc", F.lit(0.0).alias("score"))
+
+    def _postings(self, asked: DataFrame) -> DataFrame:
+        known = asked.select("term").distinct()
+        return self.tokens.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).join(known, "term", "left_semi").groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
+
+    def scores_of(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+        """(qid, doc, score) of the pairs (qid, doc), 0 where they share nothing."""
+        asked, pairs = self._asked(queries), pairs.select("qid", "doc").distinct()
+        sums = self._postings(asked).join(pairs, "doc").join(asked, ["qid", "term"]).groupBy("qid", "doc").agg(F.sum(F.col("wq") * self._gain()).alias("score"))
+        return pairs.join(sums, ["qid", "doc"], "left").fillna(0.0, ["score"])
+
     def scores(self, queries: DataFrame) -> DataFrame:
         """Scores of the queries (qid, text). Their terms are weighed first, and meet each document's once."""
-        asked = queries.select("qid", F.explode(T.tokens(T.normalized(F.coalesce("text", F.lit(""))))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("nq")).join(self.idf, "term").persist()
-        k1, b, tf = self.k1, self.b, F.col("tf")
-        known = asked.select("term").distinct()
-        postings = self.tokens.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).join(known, "term", "left_semi").groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
-        gain = F.col("idf") * F.col("nq") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-        return postings.join(asked, "term").groupBy("doc", "qid").agg(F.sum(gain).alias("score")).select("qid", "doc", "score")
+        asked = self._asked(queries)
+        return self._postings(asked).join(asked, "term").groupBy("doc", "qid").agg(F.sum(F.col("wq") * self._gain()).alias("score")).select("qid", "doc", "score")

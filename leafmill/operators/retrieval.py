@@ -82,17 +82,18 @@ def minmax(c: Column, *by: str) -> Column:
     return F.when(hi - lo < 1e-9, F.lit(1.0)).otherwise(F.try_divide(c - lo, hi - lo))
 
 
-def hybrid(dense: DataFrame, lexical: DataFrame, k: int = 5, dense_weight: float = 0.5, lexical_weight: float = 0.5, candidates: int | None = None) -> DataFrame:
+def hybrid(dense: DataFrame, lexical: DataFrame, k: int = 5, dense_weight: float = 0.5, lexical_weight: float = 0.5, candidates: int | None = None, lexical_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(qid, doc, score): both kinds of scores, each brought to 0..1 over the candidates of a query, added up.
 
-    Candidates are the best max(50, 10 k) of either side. A dense score is that of the best `candidates`
-    (as many by default), 0 beyond; a lexical score that is missing is 0.
+    Candidates are the best max(50, 10 k) of either side, which `dense` and `lexical` must hold. A dense score
+    is that of the best `candidates` (as many by default), 0 beyond; lexical scores of all candidates, (qid, doc,
+    score), are what `lexical_of` makes of them; without it `lexical` holds all, and those missing are 0.
     """
     n = max(50, 10 * k)
-    best = top_k(dense, candidates or n)
-    lex = ranked(lexical)
-    both = best.where(F.col("rank") <= n).select("qid", "doc").union(lex.where(F.col("rank") <= n).select("qid", "doc")).distinct()
-    filled = both.join(best.select("qid", "doc", F.col("score").alias("d")), ["qid", "doc"], "left").join(lexical.select("qid", "doc", F.col("score").alias("l")), ["qid", "doc"], "left").fillna(0.0, ["d", "l"])
+    best = top_k(dense, candidates or n).persist()
+    both = best.where(F.col("rank") <= n).select("qid", "doc").union(top_k(lexical, n).select("qid", "doc")).distinct().persist()
+    every = lexical_of(both) if lexical_of else both.join(lexical, ["qid", "doc"], "left").fillna(0.0, ["score"]).select("qid", "doc", "score")
+    filled = every.withColumnRenamed("score", "l").join(best.select("qid", "doc", F.col("score").alias("d")), ["qid", "doc"], "left").fillna(0.0, ["d", "l"])
     normal = filled.select("qid", "doc", minmax(F.round("d", 9), "qid").alias("d"), minmax(F.round("l", 9), "qid").alias("l"))
     return normal.select("qid", "doc", (F.col("d") * dense_weight + F.col("l") * lexical_weight).alias("score"))
 

@@ -41,13 +41,14 @@ def rankings(chunks: DataFrame, questions: DataFrame, config: dict | None = None
         questions = questions.withColumn("text", T.rewritten(F.col("text"), rewriter.get("context_hint", "")))
     docs = chunks.select("doc", "text")
     wanted = int(config.get("candidate_k", max(50, 10 * k)))
-    dense = R.with_zeros(L.TfIdf(docs).scores(questions), questions, docs, wanted) if kind != "bm25" or config.get("reranker") else None
+    dense = L.TfIdf(docs).best(questions, wanted) if kind != "bm25" or config.get("reranker") else None
     if kind == "dense":
         scores = dense
     else:
-        lexical = R.with_zeros(L.Bm25(docs).scores(questions), questions, docs, wanted)
+        index = L.Bm25(docs)
+        lexical = index.best(questions, max(wanted, 50, 10 * k))
         weights = [float(config.get(c, 0.5)) for c in ("dense_weight", "bm25_weight")]
-        scores = lexical if kind == "bm25" else R.hybrid(dense.persist(), lexical.persist(), k, *weights, candidates=wanted)
+        scores = lexical if kind == "bm25" else R.hybrid(dense, lexical, k, *weights, candidates=wanted, lexical_of=lambda pairs: index.scores_of(pairs, questions))
     best = R.top_k(scores, k)
     if config.get("reranker"):
         pool = R.top_k(dense, wanted) if config.get("rerank_on", "candidates") == "candidates" else best
@@ -61,24 +62,25 @@ def tree_rankings(parents: DataFrame, children: DataFrame, questions: DataFrame,
     children. For bm25 all children compete, and for hybrid the lexical side does."""
     parents, children = parents.persist(), children.persist()
     index = L.TfIdf(parents.select("doc", "text"))
-    best = R.top_k(R.with_zeros(index.scores(questions), questions, parents, parent_k), parent_k).select("qid", F.col("doc").alias("parent"))
+    best = R.top_k(index.best(questions, parent_k), parent_k).select("qid", F.col("doc").alias("parent"))
     docs = children.select("doc", "text")
-    pairs = R.pairs_within(questions, children, best)
-    dense = pairs.join(index.scores(questions, docs), ["qid", "doc"], "left").select("qid", "doc", F.coalesce("score", F.lit(0.0)).alias("score"))
+    dense = index.scores_of(R.pairs_within(questions, children, best), questions, docs)
     if kind == "dense":
         return R.top_k(dense, k)
-    lexical = R.with_zeros(L.Bm25(docs).scores(questions), questions, docs, max(50, 10 * k))
-    return R.top_k(lexical if kind == "bm25" else R.hybrid(dense.persist(), lexical.persist(), k), k)
+    found = L.Bm25(docs)
+    lexical = found.best(questions, max(50, 10 * k))
+    return R.top_k(lexical if kind == "bm25" else R.hybrid(dense.persist(), lexical, k, lexical_of=lambda pairs: found.scores_of(pairs, questions)), k)
 
 
 def late_rankings(pages: DataFrame, questions: DataFrame, k: int = 5, page_k: int = 12, size: int = 300, overlap: int = 100) -> DataFrame:
     """(qid, page, sub, score, rank): the best pages by TF-IDF, cut, their pieces ranked by the pages' fit."""
     docs = pages.select(F.col("page").alias("doc"), "text")
     index = L.TfIdf(docs)
-    best = R.top_k(R.with_zeros(index.scores(questions), questions, docs, page_k), page_k).select("qid", "doc").persist()
-    subs = R.sub_chunks(best.join(docs, "doc"), size, overlap).withColumn("doc", F.col("page") * (1 << 20) + F.col("sub"))
-    scores = index.scores(questions, subs.select("doc", "text").distinct())
-    found = subs.select("qid", "doc", "page", "sub").join(scores, ["qid", "doc"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    best = R.top_k(index.best(questions, page_k), page_k).select("qid", "doc").persist()
+    subs = R.sub_chunks(best.join(docs, "doc"), size, overlap).withColumn("doc", F.col("page") * (1 << 20) + F.col("sub")).persist()
+    # a page that several questions found is cut for each; its pieces are weighed once
+    pieces = subs.groupBy("doc").agg(F.first("text").alias("text"))
+    found = index.scores_of(subs, questions, pieces).join(subs.select("qid", "doc", "page", "sub"), ["qid", "doc"])
     return R.top_k(found, k).select("qid", "page", "sub", "score", "rank")
 
 
