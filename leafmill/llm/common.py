@@ -55,10 +55,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
 
 
+#: Removes the shuffle files of a query from the executors' disks when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends in files that outlive any executor."""
+    """df written to the shared folder and read again: its lineage ends in files that outlive any executor.
+
+    What was shuffled on the way goes at once, as nothing reads it any more.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN)
+    conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEAN, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

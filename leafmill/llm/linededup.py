@@ -30,17 +30,19 @@ def _lines(text: Column) -> Column:
     Text without blanks between words counts by its bytes beyond ASCII, six to a word.
     """
 
-    def lines(trim, words, beyond) -> Column:
+    def lines(trim, words) -> Column:
         trimmed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), trim(x).alias("x")))
-        full = F.filter(trimmed, lambda x: F.length(x["x"]) > 0)
-        return F.transform(full, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["x"]).alias("h"), F.greatest(words(x["x"]), beyond(x["x"])).alias("n")))
+        full = F.filter(trimmed, lambda x: x["x"] != F.lit(""))
+        return F.transform(full, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["x"]).alias("h"), words(x["x"]).alias("n")))
 
-    plain = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    blanks = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
     beyond = lambda x: F.floor((F.octet_length(x) - F.length(x)) / 6).cast("int")
     odd = F.lit(False)
     for c in ("  ", *WHITE[1:]):
-        odd = odd | (F.instr(text, c) > 0)
-    return F.when(odd, lines(lambda x: F.btrim(x, F.lit(WHITE)), lambda x: F.size(F.split(x, r"\s+")), beyond)).otherwise(lines(F.trim, plain, beyond))
+        odd = odd | F.contains(text, F.lit(c))
+    split = lines(lambda x: F.btrim(x, F.lit(WHITE)), lambda x: F.greatest(F.size(F.split(x, r"\s+")), beyond(x)))
+    plain, wide = lines(F.trim, blanks), lines(F.trim, lambda x: F.greatest(blanks(x), beyond(x)))
+    return F.when(odd, split).when(F.octet_length(text) == F.length(text), plain).otherwise(wide)
 
 
 def _fingerprints(hashes: str, fs: str) -> str:
@@ -53,10 +55,17 @@ def cuts(docs: DataFrame, least_words: int = 10) -> DataFrame:
     """(doc_id, hash, cuts, all) of the documents that lose lines: hash is the text's XXH64, cuts are (b, e) of
     line numbers, both inclusive, with the blank lines up to the next, and `all` tells that no line is left but
     blank ones."""
+    return _cuts(docs, least_words)[0]
+
+
+def _cuts(docs: DataFrame, least_words: int) -> tuple[DataFrame, bool]:
+    """The cuts, and whether each document with a line has a doc_id of its own, not null."""
     frame = docs.select("doc_id", F.xxhash64("text").alias("hash"), _lines(F.coalesce("text", F.lit(""))).alias("lines"))
     # no filter before it is saved: it would be pushed down, and the lines made twice
     lines = saved(frame.select(*KEY, F.col("lines.i").alias("i"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n")), "lines").where(F.size("h") > 0)
-    if lines.groupBy(*KEY).count().where("count > 1").limit(1).count():
+    ids = lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+    known = ids.agg(F.max("n").alias("rows"), F.expr("bool_or(doc_id is null or low <> high)").alias("shared")).first()
+    if (known["rows"] or 0) > 1:
         lines = saved(lines.dropDuplicates(KEY), "lines")
     enough = least_words * 1000
     reach = lambda part: f"aggregate({part}, 0L, (a, x) -> if(a >= {enough}, a, a + x * 1000L + 1))"
@@ -72,7 +81,8 @@ def cuts(docs: DataFrame, least_words: int = 10) -> DataFrame:
     forward = f"transform(filter(transform(ahead, (a, s) -> named_struct('s', s, 't', s + cast(a % 1000 as int) - 1)), x -> ahead[x.s] >= {enough} and array_contains(fs, f[x.s])), x -> {window.format(s='x.s', t='x.t')})"
     backward = f"transform(filter(transform(back, (a, t) -> named_struct('s', t - cast(a % 1000 as int) + 1, 't', t)), x -> back[x.t] >= {enough} and x.s + ahead[x.s] % 1000 - 1 <> x.t and array_contains(fs, f[x.s])), x -> {window.format(s='x.s', t='x.t')})"
     runs = found.select(*KEY, F.element_at("i", 1).alias("top"), F.element_at("i", -1).alias("end"), F.explode_outer(F.concat(F.expr(forward), F.expr(backward))).alias("x"))
-    return merged(runs.select(*KEY, "top", "end", "x.*"), "line", ["top", "end"]).select(*KEY, "cuts", F.expr("size(cuts) = 1 and cuts[0].b = top and cuts[0].e = end").alias("all"))
+    found = merged(runs.select(*KEY, "top", "end", "x.*"), "line", ["top", "end"])
+    return found.select(*KEY, "cuts", F.expr("size(cuts) = 1 and cuts[0].b = top and cuts[0].e = end").alias("all")), not known["shared"]
 
 
 def deduplicated(docs: DataFrame, least_words: int = 10, passage: int | None = 50, report: bool = False, drop: bool = True) -> DataFrame:
@@ -87,10 +97,11 @@ def deduplicated(docs: DataFrame, least_words: int = 10, passage: int | None = 5
     passage that ends a line further down than it began leaves its line break. A null text stays null, other columns
     stay as they are. An empty table gives an empty one.
     """
-    lines = saved(cuts(docs, least_words), "line-cuts")
+    found, single = _cuts(docs, least_words)
+    lines = saved(found, "line-cuts")
     kind = "array<struct<b: int, e: int>>"
     found = lines.select(*KEY, "cuts", F.lit(None).cast(kind).alias("words"))
     if passage is not None:
-        inside = passages.cuts(docs, passage, lines).select(*KEY, F.lit(None).cast(kind).alias("cuts"), F.col("cuts").alias("words"))
+        inside = passages.cuts(docs, passage, lines, single).select(*KEY, F.lit(None).cast(kind).alias("cuts"), F.col("cuts").alias("words"))
         found = found.union(inside).groupBy(*KEY).agg(F.first("cuts", True).alias("cuts"), F.first("words", True).alias("words"))
     return passages.without(docs, saved(found, "cuts"), report, drop)

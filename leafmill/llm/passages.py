@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
 
 from .common import mapped, pieces, saved
 from .decontaminate import word_hashes
@@ -47,12 +47,21 @@ def repeated(chosen: DataFrame, name: str) -> DataFrame:
     return saved(marks.join(often, "f", "left_semi").groupBy(*KEY).agg(F.collect_set("f").alias("fs")), f"{name}-places")
 
 
-def merged(runs: DataFrame, name: str, rest: list[str]) -> DataFrame:
+def merged(runs: DataFrame, name: str, rest: list[str], single: bool = False) -> DataFrame:
     """Of runs (doc_id, hash, r, b, e), r their hash: (doc_id, hash, cuts), all but the first place of each
-    joined into ranges (b, e) that neither touch nor overlap. Columns of `rest` are a document's own."""
+    joined into ranges (b, e) that neither touch nor overlap. Columns of `rest` are a document's own.
+
+    With `single` no two documents share a doc_id, which then tells which comes first, and a column `again`
+    tells whether the run stands further up in its document: the same result, without sorting to aggregate.
+    """
     runs = saved(runs.where("r is not null"), f"{name}-runs")
-    first = runs.groupBy("r").agg(F.min(F.struct(*KEY, "b")).alias("first"), F.count("*").alias("n")).where("n > 1").select("r", "first")
-    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")) & (F.col("b") == F.col("first.b"))
+    if single:
+        first = runs.groupBy("r").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+        here = (F.col("doc_id") == F.col("first")) & ~F.col("again")
+    else:
+        first = runs.groupBy("r").agg(F.min(F.struct(*KEY, "b")).alias("first"), F.count("*").alias("n"))
+        here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")) & (F.col("b") == F.col("first.b"))
+    first = first.where("n > 1").select("r", "first")
     own = [F.first(c).alias(c) for c in rest]
     later = runs.join(first, "r").where(~here).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("b", "e"))).alias("at"), *own)
     zero = f"named_struct('runs', cast(array() as {_CUT}), 'b', 0, 'e', -2)"
@@ -118,9 +127,10 @@ def winnowed(shard: Shard, least: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return doc[at], minima[at].view(np.int64), np.minimum(n, 2).astype(np.int32)
 
 
-def around(shard: Shard, least: int, gram: int, prints: list, lost: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, b, e) of the runs of `least` words that hold one of the text's repeated fingerprints, but
-    for those within the lines lost: b and e number words, a blank line counting as one."""
+def around(shard: Shard, least: int, gram: int, prints: list, lost: list) -> tuple[np.ndarray, ...]:
+    """(text, hash, b, e, again) of the runs of `least` words that hold one of the text's repeated fingerprints,
+    but for those within the lines lost: b and e number words, a blank line counting as one, and again tells
+    whether the run stands among them further up in its text."""
     hashes, inside = shard.runs(gram), shard.inside(least)
     of = np.repeat(np.arange(len(prints)), [len(x) for x in prints])
     known = np.unique(shard.own(np.concatenate([np.asarray(x, np.int64) for x in prints] or [np.empty(0, np.int64)]).view(np.uint64), of))
@@ -148,15 +158,18 @@ def around(shard: Shard, least: int, gram: int, prints: list, lost: list) -> tup
     head = shard.first[:-1][shard.doc]
     # lines without a word before this one: its line's number, less the lines with words before
     order = np.arange(len(line)) - head + line - (filled - filled[head]) if len(line) else line
-    return shard.doc[start], shard.runs(least)[start].view(np.int64), order[start], order[start + least - 1]
+    doc, found, again = shard.doc[start], shard.runs(least)[start], np.ones(len(start), bool)
+    again[np.unique(shard.own(found, doc), return_index=True)[1]] = False
+    return doc, found.view(np.int64), order[start], order[start + least - 1], again
 
 
-def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None) -> DataFrame:
+def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None, single: bool = False) -> DataFrame:
     """(doc_id, hash, cuts) of the documents that lose words: hash is the text's XXH64, cuts are (b, e) of
     word numbers, both inclusive, where a blank line counts as a word.
 
     Lines that `gone` (doc_id, hash, cuts, all) lists as cut are passed over: what lies within them stands
-    earlier in any case, so no first place is among it.
+    earlier in any case, so no first place is among it. `single` tells that no two documents with words share
+    a doc_id and none is null.
     """
     gram = max(2 * least // 5, 1)
     texts = docs.where(F.length("text") >= 2 * least - 1).select("doc_id", F.xxhash64("text").alias("hash"), "text")
@@ -173,21 +186,22 @@ def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None) -> Dat
         places = places.withColumn("lost", F.lit(None).cast(_CUT))
     else:
         places = places.join(gone.alias("l"), same("p", "l"), "left").where("not coalesce(l.all, false)").select("p.doc_id", "p.hash", "fs", F.col("cuts").alias("lost"))
-    found = texts.alias("t").join(places.alias("s"), same("t", "s")).select("t.doc_id", "t.hash", "text", "fs", "lost")
+    found = texts.alias("t").join(places.alias("s").hint("shuffle_hash"), same("t", "s")).select("t.doc_id", "t.hash", "text", "fs", "lost")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", _SHARD):
-            doc, r, b, e = around(Shard(batch.column("text").to_pylist()), least, gram, batch.column("fs").to_pylist(), batch.column("lost").to_pylist())
+            doc, r, b, e, again = around(Shard(batch.column("text").to_pylist()), least, gram, batch.column("fs").to_pylist(), batch.column("lost").to_pylist())
             doc = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(doc), batch.column("hash").take(doc), pa.array(r), pa.array(b, pa.int32()), pa.array(e, pa.int32())], names=[*KEY, "r", "b", "e"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(doc), batch.column("hash").take(doc), pa.array(r), pa.array(b, pa.int32()), pa.array(e, pa.int32()), pa.array(again)], names=[*KEY, "r", "b", "e", "again"])
 
-    return merged(mapped(found, lay, StructType([*key]).add("r", LongType()).add("b", IntegerType()).add("e", IntegerType())), "passage", [])
+    runs = mapped(found, lay, StructType([*key]).add("r", LongType()).add("b", IntegerType()).add("e", IntegerType()).add("again", BooleanType()))
+    return merged(runs, "passage", [], single)
 
 
 def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> DataFrame:
     """`docs` without what `found` (doc_id, hash, cuts of lines, words) lists, one row there for a document."""
     named = found.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__h"), F.col("cuts").alias("__lines"), F.col("words").alias("__words"))
-    joined = docs.withColumn("__x", F.xxhash64("text")).join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__h")), "left")
+    joined = docs.withColumn("__x", F.xxhash64("text")).join(named.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__h")), "left")
     hit = "(__lines is not null or __words is not null)"
     line = "(__lines is not null and exists(__lines, c -> y.i between c.b and c.e))"
     word = "(__words is not null and exists(__words, c -> o between c.b and c.e))"
