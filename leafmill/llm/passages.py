@@ -221,7 +221,10 @@ def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> Data
         after = F.when(F.expr(hit), lines(F.col("__left"))).otherwise(before).cast(LongType())
         chars = F.coalesce(F.length("text") - F.length("__text"), F.lit(0)).cast(LongType())
         return cut.select(*out, before.alias("n_lines"), (before - after).alias("n_cut"), after.alias("n_left"), chars.alias("n_chars_cut"))
-    return (cut.where(~F.expr(hit) | F.col("__text").rlike(r"\S")) if drop else cut).select(*out)
+    if drop:
+        # in a generator, as the texts would be made a second time for a filter on them
+        cut = split.withColumn("__text", F.explode(F.filter(F.array(text), lambda x: ~F.expr(hit) | x.rlike(r"\S"))))
+    return cut.select(*out)
 
 
 def deduplicated(docs: DataFrame, least: int = 50, drop: bool = True) -> DataFrame:
