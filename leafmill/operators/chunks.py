@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import embed as E
 
 CHUNK = "doc_key string, ord bigint, chunk_id string, text string, page_start bigint, page_end bigint, section_title string, strategy string, chunk_size int, overlap int"
 _COLUMNS = [c.split(" ")[0] for c in CHUNK.split(", ")]
@@ -173,21 +174,26 @@ def term_cosine(before: str, text: str) -> float:
     return sum(n * b[w] for w, n in a.items()) / norm if norm else 0.0
 
 
-def semantic(pages: DataFrame, most: int = 450, least: int = 80, threshold: float = 0.55, similarity: Similarity = term_cosine) -> DataFrame:
+def semantic(pages: DataFrame, most: int = 450, least: int = 80, threshold: float = 0.55, similarity: Similarity = term_cosine, embedder: Callable | None = None) -> DataFrame:
     """Units put together until they would pass `most` tokens or turn to something else, both only from
-    `least` tokens on. A last chunk of under max(20, least // 2) tokens joins the one before."""
+    `least` tokens on. A last chunk of under max(20, least // 2) tokens joins the one before.
+
+    With an `embedder`, which operators.embed describes, units are alike by the product of their vectors, made
+    in batches before the fold; else by `similarity` of their texts.
+    """
+    alike = similarity if embedder is None else lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
 
     def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         def grown() -> Iterator[tuple[list[str], int, int, int]]:
-            held, first, last, n = [], 0, 0, 0
-            for page, _, text, size in rows:
-                if held and n >= least and (n + size > most or similarity(held[-1], text) < threshold):
+            held, first, last, n, before = [], 0, 0, 0, None
+            for page, _, text, size, this in rows:
+                if held and n >= least and (n + size > most or alike(before, this) < threshold):
                     yield held, first, last, n
                     held = []
                 if not held:
                     first, n = page, 0
                 held.append(text)
-                last, n = page, n + size
+                last, n, before = page, n + size, this
             if held:
                 yield held, first, last, n
 
@@ -206,7 +212,8 @@ def semantic(pages: DataFrame, most: int = 450, least: int = 80, threshold: floa
         for chunk in waiting:
             yield row(*chunk)
 
-    return folded(units(pages), ["page", "unit"], fold)
+    known = F.col("text") if embedder is None else E.embedded(F.col("text"), embedder)
+    return folded(units(pages).withColumn("known", known), ["page", "unit"], fold)
 
 
 class Chooser(Protocol):
@@ -286,7 +293,7 @@ def build(pages: DataFrame, config: dict, **plugins) -> DataFrame | tuple[DataFr
     if kind == "tree_parent_child":
         return tree(pages, number("parent_max_tokens", 900), number("child_chunk_size", 450), number("child_overlap", 100))
     if kind in ("semantic", "semantic_similarity"):
-        return semantic(pages, number("max_tokens", 450), number("min_tokens", 80), float(config.get("similarity_threshold", 0.55)), plugins.get("similarity", term_cosine))
+        return semantic(pages, number("max_tokens", 450), number("min_tokens", 80), float(config.get("similarity_threshold", 0.55)), plugins.get("similarity", term_cosine), plugins.get("embedder"))
     if kind in ("llm_boundary", "llm_boundary_summary"):
         return boundary(pages, number("max_tokens", 450), number("min_tokens", 80), number("boundary_window", 6), plugins.get("chooser"))
     raise ValueError(f"no chunker {kind!r}")

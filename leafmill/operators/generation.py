@@ -23,7 +23,9 @@ from ..functions import text as T
 
 
 class Generator(Protocol):
-    def __call__(self, prompts: list[str]) -> list[str]: ...
+    """Answers: texts, or a server's whole payloads with `response`, durations in nanoseconds and token counts."""
+
+    def __call__(self, prompts: list[str]) -> list[str | dict]: ...
 
 
 def stub() -> Generator:
@@ -35,18 +37,21 @@ def stub() -> Generator:
     return lambda prompts: [answer(p) for p in prompts]
 
 
-def http(base_url: str, model: str, timeout: float = 120.0) -> Callable[[], Generator]:
+def http(base_url: str, model: str, timeout: float = 120.0, full: bool = False) -> Callable[[], Generator]:
     """A generator behind POST /api/generate, without streaming, at temperature 0. A base of .../v1 is refused;
-    one of .../api is taken as is. A body that is no JSON is the answer."""
+    one of .../api is taken as is. A body that is no JSON is the answer. With `full` the whole payload is, and a
+    body that is no JSON an error."""
     base = base_url.rstrip("/").removesuffix("/api")
     if base.endswith("/v1"):
         raise ValueError("this speaks the native API, not /v1")
 
-    def one(prompt: str) -> str:
+    def one(prompt: str) -> str | dict:
         body = json.dumps({"model": model, "prompt": prompt, "stream": False, "options": {"temperature": 0}}).encode()
         request = urllib.request.Request(f"{base}/api/generate", body, {"Content-Type": "application/json"})
         with urllib.request.urlopen(request, timeout=timeout) as response:
             raw = response.read().decode("utf-8", "replace")
+        if full:
+            return json.loads(raw)
         try:
             return str(json.loads(raw).get("response", ""))
         except ValueError:
@@ -55,16 +60,31 @@ def http(base_url: str, model: str, timeout: float = 120.0) -> Callable[[], Gene
     return lambda: lambda prompts: [one(p) for p in prompts]
 
 
-_RESULT = "struct<text: string, total_s: double, error: string>"
+_RESULT = "struct<text: string, total_s: double, error: string, load_s: double, prompt_eval_s: double, eval_s: double, prompt_tokens: bigint, tokens: bigint>"
+
+
+def _measured(answer: str | dict | None, elapsed: float, error: str | None) -> tuple:
+    """A row of _RESULT. What a payload doesn't tell is -1 s and no tokens; without its total, time elapsed counts."""
+    own = answer if isinstance(answer, dict) else {}
+    seconds = lambda key: own[key] / 1e9 if own.get(key) is not None else -1.0
+    total = seconds("total_duration")
+    text = str(own.get("response", "")) if own else answer
+    return text, total if total >= 0 else elapsed, error, *map(seconds, ("load_duration", "prompt_eval_duration", "eval_duration")), int(own.get("prompt_eval_count") or 0), int(own.get("eval_count") or 0)
 
 
-def generated(prompt: Column, make: Callable[[], Generator] = stub, batch: int = 16, retries: int = 0, backoff_s: float = 0.8) -> Column:
-    """(text, total_s, error) for each prompt. A prompt that fails after all tries has an error and no text."""
+def generated(prompt: Column, make: Callable[[], Generator] = stub, batch: int = 16, retries: int = 0, backoff_s: float = 0.8, warmup: int = 0) -> Column:
+    """_RESULT for each prompt. A prompt that fails after all tries has an error and no text. Each task first
+    asks its first `warmup` prompts for nothing."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = make()
+        model, cold = make(), warmup
         for prompts in batches:
-            rows = []
+            for p in prompts.fillna("")[:cold]:
+                try:
+                    model([p])
+                except Exception:  # the same prompt comes again, and then it counts
+                    pass
+            rows, cold = [], 0
             for p in prompts.fillna(""):
                 began, text, error = time.perf_counter(), None, None
                 for k in range(retries + 1):
@@ -75,8 +95,8 @@ def generated(prompt: Column, make: Callable[[], Generator] = stub, batch: int =
                         error = f"{type(e).__name__}: {e}"
                         if k < retries:
                             time.sleep(backoff_s * (k + 1))
-                rows.append((text, time.perf_counter() - began, error))
-            yield pd.DataFrame(rows, columns=["text", "total_s", "error"])
+                rows.append(_measured(text, time.perf_counter() - began, error))
+            yield pd.DataFrame(rows, columns=[c.split(":")[0] for c in _RESULT[7:-1].split(", ")])
 
     return F.pandas_udf(run, _RESULT)(prompt)
 
@@ -128,13 +148,15 @@ def summarised(chunks: DataFrame, make: Callable[[], Generator], sentences: int
     return chunks.withColumn("text", T.augmented(F.col("text"), summary))
 
 
-def bench(prompts: DataFrame, models: dict[str, Callable[[], Generator]], repeats: int = 3) -> DataFrame:
-    """(id, model, repeat, text, total_s, error, ok) of every prompt (id, prompt) for every model, `repeats` times."""
+def bench(prompts: DataFrame, models: dict[str, Callable[[], Generator]], repeats: int = 3, warmup: int = 0) -> DataFrame:
+    """(id, model, repeat, the fields of _RESULT, ok, tokens_per_s) of every prompt (id, prompt) for every model,
+    `repeats` times, after `warmup` prompts in each task."""
     asked = prompts.select("id", "prompt", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
     out = None
     for name, make in models.items():
-        got = asked.select("id", F.lit(name).alias("model"), "repeat", generated(F.col("prompt"), make).alias("r"))
-        rows = got.select("id", "model", "repeat", "r.*").withColumn("ok", F.col("error").isNull())
+        got = asked.select("id", F.lit(name).alias("model"), "repeat", generated(F.col("prompt"), make, warmup=warmup).alias("r"))
+        rate = F.when(F.col("eval_s") > 0, F.col("tokens") / F.col("eval_s")).otherwise(-1.0)
+        rows = got.select("id", "model", "repeat", "r.*").withColumn("ok", F.col("error").isNull()).withColumn("tokens_per_s", rate)
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -50,29 +50,40 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int, how: str = "cosine", it
 
     (n, left), (m, right) = blocks(queries, "qid", "x"), blocks(docs, "doc", "y")
     pairs = left.crossJoin(right).repartition(n * m, "x", "y").select("x_rows", "y_rows")
+    return top_k(block_products(pairs, k, how, itself), k)
+
+
+def block_products(pairs: DataFrame, k: int, how: str = "cosine", itself: bool = True) -> DataFrame:
+    """(qid, doc, score): of each row's two blocks (x_rows, y_rows), arrays of (id, vec), the k best of the second
+    for each of the first."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column("x_rows"), batch.column("y_rows"), strict=True):
                 (a, va), (b, vb) = _matrix(x, how), _matrix(y, how)
-                sims = np.round(va @ vb.T, 9)
+                order = np.argsort(b, kind="stable")
+                b, sims = b[order], np.round(va @ vb[order].T, 9)
                 if not itself:
                     sims[a[:, None] == b[None, :]] = -np.inf
-                take = np.lexsort((np.broadcast_to(b, sims.shape), -sims), axis=1)[:, :k]
+                take = np.argsort(-sims, axis=1, kind="stable")[:, :k]
                 qid, doc, score = np.repeat(a, take.shape[1]), b[take].ravel(), np.take_along_axis(sims, take, 1).ravel()
                 ok = np.isfinite(score)
-                yield pa.RecordBatch.from_pydict({"qid": qid[ok], "doc": doc[ok], "score": score[ok]})
+                yield pa.RecordBatch.from_arrays([pa.array(qid[ok], x.type.value_type.field("id").type), pa.array(doc[ok], y.type.value_type.field("id").type), pa.array(score[ok])], ["qid", "doc", "score"])
 
-    return top_k(pairs.mapInArrow(best, "qid bigint, doc bigint, score double"), k)
+    kind = lambda c: pairs.schema[c].dataType.elementType["id"].dataType.simpleString()
+    return pairs.mapInArrow(best, f"qid {kind('x_rows')}, doc {kind('y_rows')}, score double")
 
 
 def _matrix(rows, how: str) -> tuple[np.ndarray, np.ndarray]:
     values = rows.values
-    vec = values.field("vec").flatten().to_numpy().astype(float).reshape(len(values), -1)
-    if how == "cosine":
-        norm = np.sqrt((vec * vec).sum(axis=1, keepdims=True))
-        vec = np.divide(vec, norm, out=np.zeros_like(vec), where=norm > 0)
-    return values.field("id").to_numpy(), vec
+    vec = values.field("vec").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1)
+    return values.field("id").to_numpy(zero_copy_only=False), unit(vec) if how == "cosine" else vec
+
+
+def unit(vec: np.ndarray) -> np.ndarray:
+    """Rows divided by their norms; rows of zeros stay."""
+    norm = np.sqrt((vec * vec).sum(axis=1, keepdims=True))
+    return np.divide(vec, norm, out=np.zeros_like(vec), where=norm > 0)
 
 
 def minmax(c: Column, *by: str) -> Column:

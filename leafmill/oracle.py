@@ -128,8 +128,8 @@ span AS (SELECT *, min(d) OVER q AS d0, max(d) OVER q AS d1, min(l) OVER q AS l0
 hyb AS (SELECT qid, doc, 0.5 * CASE WHEN d1 - d0 < 1e-9 THEN 1.0 ELSE (d - d0) / nullif(d1 - d0, 0) END + 0.5 * CASE WHEN l1 - l0 < 1e-9 THEN 1.0 ELSE (l - l0) / nullif(l1 - l0, 0) END AS score FROM span)"""
 
 
-def hybrid() -> str:
-    return _HYBRID.format(dense=top("dense", 50), lex=top("lex", 50))
+def hybrid(lexical: int = 50) -> str:
+    return _HYBRID.format(dense=top("dense", 50), lex=top("lex", lexical))
 
 
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import noise as N
 from ..functions import text as T
 from ..operators import chunks as C
+from ..operators import embed as E
 from ..operators import lexical as L
 from ..operators import metrics as M
 from ..operators import retrieval as R
@@ -30,9 +33,9 @@ def expected_pages(pages: DataFrame, questions: DataFrame) -> DataFrame:
     return pages.select("page", "text").join(asked, F.contains(F.col("text"), F.col("q"))).select("qid", "page")
 
 
-def rankings(chunks: DataFrame, questions: DataFrame, config: dict | None = None, k: int = 5) -> DataFrame:
-    """(qid, doc, score, rank) by a retrieval configuration: type dense (TF-IDF cosine), bm25 or hybrid, with a
-    rewriter and a reranker if it names them. Rerankers score the dense candidates, as many as candidate_k;
+def rankings(chunks: DataFrame, questions: DataFrame, config: dict | None = None, k: int = 5, embedder: E.Maker | None = None, scorer: Callable[[], R.PairScorer] | None = None) -> DataFrame:
+    """(qid, doc, score, rank) by a retrieval configuration: type dense (cosine of the embedder's vectors, or of
+    TF-IDF without one), bm25 or hybrid, with a rewriter and a reranker if it names them, which `scorer` is. Rerankers score the dense candidates, as many as candidate_k;
     with rerank_on anything but candidates, the k results."""
     config = config or {}
     kind = config.get("type", "dense")
@@ -41,7 +44,9 @@ def rankings(chunks: DataFrame, questions: DataFrame, config: dict | None = None
         questions = questions.withColumn("text", T.rewritten(F.col("text"), rewriter.get("context_hint", "")))
     docs = chunks.select("doc", "text")
     wanted = int(config.get("candidate_k", max(50, 10 * k)))
-    dense = L.TfIdf(docs).best(questions, wanted) if kind != "bm25" or config.get("reranker") else None
+    dense = None
+    if kind != "bm25" or config.get("reranker"):
+        dense = E.best(docs, questions, embedder, wanted).drop("rank") if embedder else L.TfIdf(docs).best(questions, wanted)
     if kind == "dense":
         scores = dense
     else:
@@ -53,7 +58,7 @@ def rankings(chunks: DataFrame, questions: DataFrame, config: dict | None = None
     if config.get("reranker"):
         pool = R.top_k(dense, wanted) if config.get("rerank_on", "candidates") == "candidates" else best
         pairs = pool.select("qid", "doc").join(docs, "doc").join(questions.select("qid", F.col("text").alias("question")), "qid")
-        best = R.rerank(pairs, k)
+        best = R.rerank(pairs, k, scorer)
     return best.select("qid", "doc", "score", "rank")
 
 
@@ -72,16 +77,24 @@ def tree_rankings(parents: DataFrame, children: DataFrame, questions: DataFrame,
     return R.top_k(lexical if kind == "bm25" else R.hybrid(dense.persist(), lexical, k, lexical_of=lambda pairs: found.scores_of(pairs, questions)), k)
 
 
-def late_rankings(pages: DataFrame, questions: DataFrame, k: int = 5, page_k: int = 12, size: int = 300, overlap: int = 100) -> DataFrame:
-    """(qid, page, sub, score, rank): the best pages by TF-IDF, cut, their pieces ranked by the pages' fit."""
+def late_rankings(pages: DataFrame, questions: DataFrame, k: int = 5, page_k: int = 12, size: int = 300, overlap: int = 100, kind: str = "dense", candidates: int | None = None) -> DataFrame:
+    """(qid, page, sub, score, rank): the best pages, cut, their pieces ranked by the pages' TF-IDF fit. Pages are
+    found by TF-IDF (dense), bm25 or hybrid, whose dense side is the best `candidates`; no more pieces stay."""
+    candidates = candidates or max(50, 10 * k)
     docs = pages.select(F.col("page").alias("doc"), "text")
     index = L.TfIdf(docs)
-    best = R.top_k(index.best(questions, page_k), page_k).select("qid", "doc").persist()
+    if kind == "dense":
+        scores = index.best(questions, page_k)
+    else:
+        found = L.Bm25(docs)
+        lexical = found.best(questions, max(50, 10 * page_k))
+        scores = lexical if kind == "bm25" else R.hybrid(index.best(questions, candidates), lexical, page_k, candidates=candidates, lexical_of=lambda pairs: found.scores_of(pairs, questions))
+    best = R.top_k(scores, page_k).select("qid", "doc").persist()
     subs = R.sub_chunks(best.join(docs, "doc"), size, overlap).withColumn("doc", F.col("page") * (1 << 20) + F.col("sub")).persist()
     # a page that several questions found is cut for each; its pieces are weighed once
     pieces = subs.groupBy("doc").agg(F.first("text").alias("text"))
-    found = index.scores_of(subs, questions, pieces).join(subs.select("qid", "doc", "page", "sub"), ["qid", "doc"])
-    return R.top_k(found, k).select("qid", "page", "sub", "score", "rank")
+    weighed = index.scores_of(subs, questions, pieces).join(subs.select("qid", "doc", "page", "sub"), ["qid", "doc"])
+    return R.top_k(weighed, min(k, candidates)).select("qid", "page", "sub", "score", "rank")
 
 
 def evaluate(pages: DataFrame, questions: DataFrame, chunking: dict, profile: N.Profile = N.BASIC, retrieval: dict | None = None, k: int = 5, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -93,6 +106,17 @@ def evaluate(pages: DataFrame, questions: DataFrame, chunking: dict, profile: N.
     return M.ranking_metrics(ranks), ranks
 
 
+def compared(variants: dict[str, DataFrame], questions: DataFrame, expected: DataFrame, retrieval: dict | None = None, k: int = 5) -> DataFrame:
+    """A row of ranking metrics for each variant of the chunks, by its name."""
+    out = None
+    for name, chunks in variants.items():
+        chunks = chunks.persist()
+        ranks = M.first_ranks(rankings(chunks, questions, retrieval, k), chunks, expected, questions)
+        row = M.ranking_metrics(ranks).withColumn("variant", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def answer_inputs(pages: DataFrame, questions: DataFrame, chunking: dict, k: int = 5, retrieval: dict | None = None) -> DataFrame:
     """(qid, context, context_pages): what a generator is shown for each question."""
     from ..functions import answers as A

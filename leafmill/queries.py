@@ -14,11 +14,13 @@ from .functions import noise as N
 from .functions import text as T
 from .functions import vectors as V
 from .operators import chunks as C
+from .operators import embed as E
 from .operators import generation as G
 from .operators import graph
 from .operators import lexical as L
 from .operators import metrics as M
 from .operators import retrieval as R
+from .operators import store as VS
 from .plans import retrieval as P
 from .sources import readers as S
 
@@ -183,6 +185,11 @@ def chunk_semantic_tf(spark, d):
     return _shown(C.semantic(P.cleaned_pages(S.pages_table(spark, d))))
 
 
+@query()
+def chunk_semantic_embedded(spark, d):
+    return _shown(C.semantic(P.cleaned_pages(S.pages_table(spark, d)), embedder=E.hashed()))
+
+
 @query()
 def chunk_boundary_softpick(spark, d):
     return _shown(C.boundary(P.cleaned_pages(S.pages_table(spark, d))))
@@ -232,6 +239,54 @@ def agreement_at_k(spark, d):
     return R.agreement(best("dot"), best("cosine"), 10)
 
 
+def _nearest_sql(vectors: str, k: int) -> str:
+    pairs = f"(SELECT q.qid, v.doc, {O.cosine('q.vec', 'v.vec')} AS score FROM ({vectors}) v, (SELECT qid, vec FROM ({O.VECTOR_QUERIES}) JOIN ({O.VECTORS}) ON qid = doc) q)"
+    return f"SELECT qid, doc, round(score, 6) AS score, rank FROM ({O.top(pairs, k)})"
+
+
+@query(_nearest_sql(O.VECTORS, 10))
+def ivf_all_probes(spark, d):
+    """Inverted lists, all probed: as exact as without."""
+    store = VS.VectorStore.ingest(S.vectors_table(spark, d), lists=128)
+    return _score(store.query(_vector_queries(spark, d), 10, probes=128), "qid", "doc")
+
+
+@query()
+def ivf_agreement(spark, d):
+    """What 16 of 128 lists find of the exact best ten, for each query."""
+    queries, vectors = _vector_queries(spark, d), S.vectors_table(spark, d)
+    found = VS.VectorStore.ingest(vectors, lists=128).query(queries, 10, probes=16)
+    return R.agreement(R.nearest(queries, vectors, 10), found, 10)
+
+
+@query(_nearest_sql(f"SELECT doc, CASE WHEN doc % 10 = 0 THEN list_reverse(vec) ELSE vec END AS vec FROM ({O.VECTORS}) UNION ALL SELECT doc + 1000000000, list_reverse(vec) FROM ({O.VECTORS}) WHERE doc % 10 = 0", 10))
+def store_upsert(spark, d):
+    """A store after every tenth vector was turned around, and added under a new number too."""
+    vectors = S.vectors_table(spark, d)
+    turned = vectors.where("doc % 10 = 0").select("doc", F.reverse("vec").alias("vec"))
+    store = VS.VectorStore.ingest(vectors).upsert(turned.unionByName(turned.withColumn("doc", F.col("doc") + 1_000_000_000)))
+    return _score(store.query(_vector_queries(spark, d), 10), "qid", "doc")
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _hashed_sql(rows: str) -> str:
+    counts = f"SELECT id, b, count(*)::DOUBLE AS c FROM (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS b FROM (SELECT id, unnest({_WORDS}) AS w FROM ({rows}))) GROUP BY ALL"
+    return f"SELECT id, b, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS c FROM ({counts})"
+
+
+@query(f"""WITH dv AS ({_hashed_sql('SELECT page AS id, text FROM (' + O.PAGES + ')')}), qv AS ({_hashed_sql('SELECT qid AS id, text FROM (' + O.QUESTIONS + ')')}),
+s AS (SELECT qv.id AS qid, dv.id AS doc, sum(dv.c * qv.c) AS s FROM dv JOIN qv USING (b) GROUP BY ALL),
+pairs AS (SELECT qid, doc, coalesce(s, 0.0) AS score FROM (SELECT doc_id AS doc FROM documents) CROSS JOIN (SELECT item_id AS qid FROM benchmark) LEFT JOIN s USING (qid, doc))
+SELECT qid, doc, round(score, 6) AS score, rank FROM ({O.top('pairs', 5)})""")
+def embedded_topk(spark, d):
+    """The best pages of each question by a stand-in's vectors."""
+    pages = S.pages_table(spark, d).select(F.col("page").alias("doc"), "text")
+    return _score(E.best(pages, S.questions_table(spark, d), E.hashed(64), 5), "qid", "doc")
+
+
 @query("SELECT source, count(*)::BIGINT AS n, round(avg(n_chars), 6) AS mean, median(n_chars)::DOUBLE AS median, round(quantile_cont(n_chars, 0.5), 6)::DOUBLE AS p50, round(quantile_cont(n_chars, 0.95), 6)::DOUBLE AS p95, round(quantile_cont(n_chars, 0.99), 6)::DOUBLE AS p99 FROM documents GROUP BY source")
 def latency_percentiles(spark, d):
     found = M.latencies(S.table(spark, d, "documents"), "n_chars", "source")
@@ -327,6 +382,20 @@ def late_topk(spark, d):
     return _score(P.late_rankings(P.cleaned_pages(S.pages_table(spark, d)), S.questions_table(spark, d)), "qid", "page", "sub")
 
 
+def _late_by(kind: str, ctes: str, scores: str) -> None:
+    # both the lexical scores and the late statement have a step named toks
+    pages = f"{ctes}, bestp AS ({O.top(scores, 12)}),\nptoks AS"
+    sql = _LATE.replace(f"bestp AS ({O.top('dense', 12)}),\ntoks AS", pages).replace("FROM toks WHERE len(t) > 0)", "FROM ptoks WHERE len(t) > 0)")
+
+    @query(f"{sql} SELECT qid, doc // 1048576 AS page, doc % 1048576 AS sub, round(score, 6) AS score, rank FROM ({O.top('late', 5)})", f"late_{kind}_topk")
+    def run(spark, d):
+        return _score(P.late_rankings(P.cleaned_pages(S.pages_table(spark, d)), S.questions_table(spark, d), kind=kind), "qid", "page", "sub")
+
+
+_late_by("bm25", O.bm25(), "lex")
+_late_by("hybrid", f"{O.bm25()}, {O.hybrid(120)}", "hyb")
+
+
 _SEEDS = f"vq AS (SELECT qid, vec FROM ({O.VECTOR_QUERIES}) JOIN ({O.VECTORS}) ON qid = doc), base AS (SELECT vq.qid, vecs.doc, {O.cosine('vq.vec', 'vecs.vec')} AS score FROM vecs, vq), seeds AS ({O.top('base', 5)})"
 _EXPAND = f"""WITH {O.KNN}, {_SEEDS},
 hop1 AS (SELECT DISTINCT qid, dst AS doc FROM seeds JOIN knn ON src = doc WHERE nbr_rank <= 4 AND NOT EXISTS (SELECT 1 FROM seeds s WHERE s.qid = seeds.qid AND s.doc = dst)),
@@ -389,6 +458,20 @@ def retrieval_metrics_hybrid(spark, d):
     return _evaluated(spark, d, {"type": "hybrid_bm25_dense"})[0]
 
 
+def _variant(name: str, text: str) -> str:
+    base = f"{_BASE.replace('chunks AS (', 'plain AS (')}, chunks AS (SELECT * REPLACE ({text} AS text) FROM plain)"
+    return f"SELECT '{name}' AS variant, * FROM ({base}, {O.EXPECTED}, {O.bm25()}, {O.ranks('lex')} SELECT {O.METRICS} FROM ranks)"
+
+
+@query(f"{_variant('raw', 'text')} UNION ALL {_variant('augmented', chr(39) + 'Summary: NOT_FOUND' + chr(39) + ' || chr(10) || chr(10) || text')}")
+def variant_comparison(spark, d):
+    """Chunks as they are against chunks with the stub's summary before them, which finds nothing."""
+    pages, questions = P.cleaned_pages(S.pages_table(spark, d)), S.questions_table(spark, d)
+    chunks = P.flat_chunks(pages, NAIVE).persist()
+    variants = {"raw": chunks, "augmented": G.summarised(chunks, G.stub)}
+    return P.compared(variants, questions, P.expected_pages(pages, questions), {"type": "bm25"})
+
+
 _CUT = "CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '…' ELSE {x} END"
 _PIECES = f"string_agg('[p' || page_start || '-p' || page_end || ']' || chr(10) || {_CUT.format(x=O.strip('text'), n=3500)}, chr(10) || chr(10) ORDER BY rank)"
 _CONTEXT = f"""{_BASE}, {O.bm25()}, found AS ({O.top('lex', 5)}), shown AS (SELECT qid, {_PIECES} AS c, list_sort(list_distinct(list(page_start))) AS context_pages FROM found JOIN chunks USING (doc) GROUP BY qid),
