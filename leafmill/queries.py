@@ -253,9 +253,9 @@ def ivf_all_probes(spark, d):
 
 @query()
 def ivf_agreement(spark, d):
-    """What 16 of 128 lists find of the exact best ten, for each query."""
+    """What 64 of 128 lists find of the exact best ten, for each query."""
     queries, vectors = _vector_queries(spark, d), S.vectors_table(spark, d)
-    found = VS.VectorStore.ingest(vectors, lists=128).query(queries, 10, probes=16)
+    found = VS.VectorStore.ingest(vectors, lists=128).query(queries, 10, probes=64)
     return R.agreement(R.nearest(queries, vectors, 10), found, 10)
 
 
