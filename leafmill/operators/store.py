@@ -40,7 +40,7 @@ class VectorStore:
         kept = self.rows.join(new.select("doc"), "doc", "left_anti").select(*self.rows.columns)
         return VectorStore(kept.unionByName(new if self.centroids is None else self._dealt(new)), self.centroids, self.how)
 
-    def query(self, queries: DataFrame, k: int, probes: int = 10, block: int = 4096) -> DataFrame:
+    def query(self, queries: DataFrame, k: int, probes: int = 64, block: int = 4096) -> DataFrame:
         """(qid, doc, score, rank): the k best of each query (qid, vec) in the `probes` cells nearest to it.
 
         A cell is cut into blocks of about `block` vectors, however many it holds; its queries come in blocks too.
