@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import bpe, decontaminate, licenses, linededup, media, pii, secrets, simhash, sql, tokenfiles, toxicity
+from . import bpe, decontaminate, filteraudit, licenses, linededup, media, pii, secrets, simhash, sql, tokenfiles, topk, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -72,6 +72,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), table))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(filteraudit.masks(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
@@ -84,8 +92,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
         "op10_secrets": op10_secrets,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_topk": op12_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": sql.licenses(), "op3_decontamination": sql.decontamination()}
+    return {"op2_licenses": sql.licenses(), "op3_decontamination": sql.decontamination(), "op11_filter_audit": filteraudit.sql(), "op12_topk": topk.sql()}

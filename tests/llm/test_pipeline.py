@@ -29,4 +29,4 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)] == [1] * 10
+    assert "pipeline" in names and [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 13)] == [1] * 12
