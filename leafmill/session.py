@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -50,3 +52,19 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which the driver and all executors see. Where it is unset, a local
+    master has one of its own, removed at exit; a cluster has none, and this raises."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not getattr(context, "_leafmill_folder", None):
+        made = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        context._leafmill_folder = f"file://{made}"
+    return context._leafmill_folder
