@@ -117,8 +117,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, dense: int = 48) -> DataFrame:
-    """For every row of `docs` (doc_id, text): doc_id, hash, fp and component_id, the smallest doc_id that
-    links reach, its own included.
+    """For every row of `docs` (doc_id, text): doc_id, hash, fp, component_id, the smallest doc_id that links
+    reach, its own included, and root, a fingerprint that names the component.
 
     Texts without words, null ones too, have fingerprint 0 and link like any other. Repeated rows and
     doc_ids are rows of their own; null doc_ids never become a component_id unless a component has no
@@ -129,20 +129,22 @@ def classes(docs: DataFrame, dense: int = 48) -> DataFrame:
     roots = components(links(groups.select("fp"), dense))
     linked = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = linked.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
-    named = saved(linked.join(smallest, "root").select(F.col("fp").alias("of"), "component_id"), "components")
-    return prints.join(named, prints.fp == named.of).select("doc_id", "hash", "fp", "component_id")
+    named = saved(linked.join(smallest, "root").select(F.col("fp").alias("of"), "component_id", "root"), "components")
+    return prints.join(named, prints.fp == named.of).select("doc_id", "hash", "fp", "component_id", "root")
 
 
 def deduplicated(docs: DataFrame, dense: int = 48) -> DataFrame:
-    """The rows of `docs` without those whose component has a smaller doc_id: one document of each stays.
+    """One row of `docs` for each component: that of its smallest doc_id.
 
-    Of rows that repeat that doc_id within a component, one stays. Rows without a doc_id can't be told
-    apart; they all stay.
+    Where a component has that doc_id more than once, the row of the smallest text hash stays, one of rows that
+    repeat. Two components may share a doc_id; each keeps a row. Rows without a doc_id can't be told apart; they
+    all stay.
     """
     found = classes(docs, dense).where(F.col("doc_id") == F.col("component_id"))
-    keep = saved(found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("hash").alias("__hash"), F.count("*").alias("__n")), "kept")
+    first = found.groupBy("root", F.col("doc_id").alias("__id")).agg(F.min("hash").alias("__hash"), F.count("*").alias("__n"))
+    keep = saved(first.select("__id", "__hash", "__n"), "kept")
     marked = docs.withColumn("__xx", F.xxhash64("text"))
-    named = marked.join(keep.select("__id", "__hash"), (F.col("doc_id") == F.col("__id")) & (F.col("__xx") == F.col("__hash")), "left_semi").drop("__xx")
+    named = marked.join(keep.select("__id", "__hash"), (F.col("doc_id") == F.col("__id")) & (F.col("__xx") == F.col("__hash")), "left_semi")
     if keep.where(F.col("__n") > 1).limit(1).count():
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+        named = named.dropDuplicates(["doc_id", "__xx"])
+    return named.drop("__xx").unionByName(docs.where(F.col("doc_id").isNull()))
