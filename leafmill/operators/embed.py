@@ -1,4 +1,4 @@
-"""Embedders: plug-ins that turn texts into vectors, made once a task; a hashed stand-in; and their factory."""
+"""Embedders: plug-ins that turn texts into vectors, made once a task; a hashed stand-in; and a registry of them."""
 
 from __future__ import annotations
 
@@ -14,11 +14,6 @@ from pyspark.sql import functions as F
 
 from . import retrieval as R
 
-#: Other names of the type, and the model where none is named.
-TRANSFORMERS = ("sentence_transformers", "st", "sbert")
-DEFAULT_MODEL = "BAAI/bge-small-en-v1.5"
-
-
 class Embedder(Protocol):
     """Vectors of texts, a row for each."""
 
@@ -54,58 +49,43 @@ def hashed(dim: int = 64) -> Maker:
     return make
 
 
-def sentence_transformer(model: str = DEFAULT_MODEL, batch_size: int = 64, normalize: bool = True, device: str = "auto", trust_remote_code: bool = False, max_seq_length: int | None = None) -> Maker:
-    """A sentence-transformers model, loaded where it runs; tasks fail where the library is missing. `auto` takes
-    a GPU if there is one."""
+#: What makes an embedder of each type from a configuration's other keys. Models are plug-ins: whoever has one adds it.
+MAKERS: dict[str, Callable[..., Maker]] = {"hashed": hashed}
+#: Names that mean one type.
+SAME = {"st": "sentence_transformers", "sbert": "sentence_transformers", "sentence_transformer": "sentence_transformers"}
 
-    def make() -> Embedder:
-        from sentence_transformers import SentenceTransformer
 
-        where = device if device != "auto" else "cuda" if _cuda() else "cpu"
-        try:
-            loaded = SentenceTransformer(model, device=where, trust_remote_code=trust_remote_code)
-        except TypeError:  # older releases take it by way of the model's own arguments
-            loaded = SentenceTransformer(model, device=where, model_kwargs={"trust_remote_code": trust_remote_code})
-        if max_seq_length is not None:
-            loaded.max_seq_length = max_seq_length
-        return lambda texts: loaded.encode(texts, batch_size=batch_size, normalize_embeddings=normalize, convert_to_numpy=True, show_progress_bar=False)
-
-    return make
-
-
-def _cuda() -> bool:
-    try:
-        import torch
-    except ImportError:
-        return False
-    return torch.cuda.is_available()
+def register(kind: str, maker: Callable[..., Maker]) -> None:
+    """From now on configurations of this type are made by `maker`, which gets their other keys by name."""
+    MAKERS[kind] = maker
 
 
 def build(config: dict | None) -> Maker | None:
-    """The embedder that a configuration names; None for TF-IDF, which is an index and no embedder."""
-    config = config or {}
-    kind = str(config.get("type", "tfidf")).lower()
+    """The embedder that a configuration names; None for TF-IDF, which is an index. A type that nobody has
+    registered is an error."""
+    keys = dict(config or {})
+    kind = _kind(config)
+    keys.pop("type", None)
     if kind == "tfidf":
         return None
-    if kind == "hashed":
-        return hashed(int(config.get("dim", 64)))
-    if kind in TRANSFORMERS:
-        keys = {"batch_size": int, "device": str, "trust_remote_code": bool, "max_seq_length": lambda n: n}
-        own = {k: f(config[k]) for k, f in keys.items() if k in config}
-        return sentence_transformer(str(config.get("model") or config.get("model_name") or DEFAULT_MODEL), normalize=bool(config.get("normalize_embeddings", True)), **own)
-    raise ValueError(f"no embedder {kind!r}")
+    kind = SAME.get(kind, kind)
+    if kind not in MAKERS:
+        raise ValueError(f"no embedder {kind!r}; there are {sorted(MAKERS)}")
+    return MAKERS[kind](**keys)
 
 
 def for_boundaries(chunking: dict, embedding: dict | None = None) -> Maker:
-    """The embedder of semantic chunking: its own if it names one, else that of retrieval if it is a model, else
-    the default model. TF-IDF is refused."""
-    named = chunking.get("semantic_embedder")
-    if not named and str((embedding or {}).get("type", "tfidf")).lower() in TRANSFORMERS:
-        named = embedding
-    made = build(named or {"type": TRANSFORMERS[0]})
-    if made is None:
-        raise ValueError("semantic chunking needs an embedder and not TF-IDF")
-    return made
+    """The embedder of semantic chunking: its own, else that of retrieval unless it is TF-IDF, else a sentence
+    transformer. TF-IDF can't be its own."""
+    choices = (chunking.get("semantic_embedder"), embedding if _kind(embedding) != "tfidf" else None, {"type": "sentence_transformers"})
+    named = next(c for c in choices if c)
+    if _kind(named) == "tfidf":
+        raise ValueError("semantic chunking compares vectors; TF-IDF has none")
+    return build(named)
+
+
+def _kind(config: dict | None) -> str:
+    return str((config or {}).get("type", "tfidf")).lower()
 
 
 def embedded(text: Column, make: Maker) -> Column:

@@ -1,4 +1,4 @@
-"""Embedders, the vector store, probes, and what generators measure."""
+"""Embedders, the vector store, and what generators measure."""
 
 import math
 import random
@@ -12,7 +12,6 @@ from leafmill.operators import generation as G
 from leafmill.operators import metrics as M
 from leafmill.operators import retrieval as R
 from leafmill.operators import store as VS
-from leafmill.plans import probes
 
 
 def vectors(n, seed=1, dim=8):
@@ -99,17 +98,19 @@ def test_hashed_embedder(spark):
     assert got[1] == E.hashed(32)()(["the cat"])[0].tolist() and not any(got[2]) and not any(got[3])
 
 
-def test_factory(monkeypatch):
+def test_registry(monkeypatch):
     assert E.build(None) is None and E.build({"type": "TFIDF"}) is None
     assert E.build({"type": "hashed", "dim": 4})()(["x"]).shape == (1, 4)
-    with pytest.raises(ValueError, match="embedder"):
-        E.build({"type": "other"})
+    monkeypatch.setattr(E, "MAKERS", dict(E.MAKERS))
+    for config in ({"type": "other"}, {"type": "sbert"}):
+        with pytest.raises(ValueError, match="no embedder"):
+            E.build(config)
     with pytest.raises(ValueError, match="TF-IDF"):
         E.for_boundaries({"semantic_embedder": {"type": "tfidf"}})
-    asked = []
-    monkeypatch.setattr(E, "sentence_transformer", lambda model, **own: asked.append((model, own)) or "made")
-    assert E.for_boundaries({}, {"type": "tfidf", "model": "x"}) == E.for_boundaries({}, {"type": "sbert", "model": "y", "batch_size": 8}) == "made"
-    assert asked == [(E.DEFAULT_MODEL, {"normalize": True}), ("y", {"normalize": True, "batch_size": 8})]
+    E.register("sentence_transformers", lambda **keys: keys)
+    assert E.build({"type": "ST", "model": "m", "batch_size": 8}) == {"model": "m", "batch_size": 8}
+    assert E.for_boundaries({}, {"type": "tfidf", "model": "x"}) == {} and E.for_boundaries({}, {"type": "sbert", "model": "y"}) == {"model": "y"}
+    assert E.for_boundaries({"semantic_embedder": {"type": "st", "model": "z"}}, {"type": "sbert"}) == {"model": "z"}
 
 
 def test_payloads_are_measured_after_warm_up(spark):
@@ -137,19 +138,3 @@ def test_tokens_by_nearest_rank(spark):
     assert [(r.p50_tokens, r.p95_tokens) for r in M.answer_metrics(answers, "variant").collect()] == [(6.0, 11)]
     (none,) = M.answer_metrics(answers.where("false")).collect()
     assert none.n == 0 and none.p95_tokens == -1
-
-
-def test_flood_and_stages(tmp_path):
-    def search(i):
-        if i == 0:
-            raise RuntimeError
-
-    got = probes.flood(search, 2, 100, concurrency=4, seed=3)
-    assert 0.2 < got["error_rate"] < 0.8 and got["qps"] > 0 and got["p50_ms"] <= got["p99_ms"] <= got["max_ms"]
-    assert math.isnan(probes.flood(search, 1, 3)["p50_ms"]) and probes.flood(search, 0, 3)["error_rate"] == 0
-    stages = probes.Stages()
-    for _ in range(2):
-        with stages.stage("index"):
-            (tmp_path / "f").write_bytes(b"x" * (1 << 20))
-    assert stages.seconds["index"] > 0 and stages.peak_mb["index"] > 0 and probes.folder_mb(str(tmp_path)) == 1.0
-    assert probes.first_query_s(lambda: lambda: None) >= 0
