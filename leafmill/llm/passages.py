@@ -13,20 +13,20 @@ Nothing is laid beside anything else: rows are places, and their number grows wi
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructType
 
 from .common import mapped, pieces, saved
 from .decontaminate import word_hashes
 
 WHITE = " \t\r\x0b\f"
 KEY = ["doc_id", "hash"]
-_WHITE = r"' \t\r\u000b\f'"
 _CUT = "array<struct<b: int, e: int>>"
 _SHARD = 4 << 20
 _IS_WORD = np.ones(256, bool)
@@ -70,10 +70,33 @@ def merged(runs: DataFrame, name: str, rest: list[str], single: bool = False) ->
     return later.select(*KEY, F.expr(f"aggregate(at, {zero}, {step}, a -> {close})").alias("cuts"), *rest)
 
 
-def _words(text: str) -> str:
-    """Words with the white space around them, a blank line as one; i, the line; j, their number in it; m, of how many."""
-    inside = f"case when btrim(l, {_WHITE}) = '' then array(l) when l rlike '^\\\\s' then regexp_extract_all(l, '\\\\s*\\\\S+\\\\s*', 0) else split(l, '(?<=\\\\s)(?=\\\\S)') end"
-    return f"flatten(transform(split({text}, '\\n'), (l, i) -> transform(array({inside}), ws -> transform(ws, (x, j) -> named_struct('i', i, 'j', j, 'm', size(ws), 'x', x)))[0]))"
+#: A word with the white space around it, within a line.
+_WORD_AND_SPACE = re.compile(r"[ \t\r\x0b\f]*[^ \t\r\x0b\f]+[ \t\r\x0b\f]*")
+
+
+def left_over(text: str, lines: list[dict], words: list[dict]) -> str:
+    """The lines of a text, each with a line break, without the lines and words that are cut: ranges (b, e) of their
+    numbers, in order and apart. A blank line counts as a word; a line goes whole if one range has all its words."""
+    out, at, n, k = [], 0, 0, 0
+    for i, line in enumerate(text.split("\n")):
+        ends = [m.end() for m in _WORD_AND_SPACE.finditer(line)] or [len(line)]
+        first, n = n, n + len(ends)
+        while at < len(lines) and lines[at]["e"] < i:
+            at += 1
+        if at < len(lines) and lines[at]["b"] <= i:
+            continue
+        while k < len(words) and words[k]["e"] < first:
+            k += 1
+        if k == len(words) or words[k]["b"] >= n:
+            out += line, "\n"
+        elif words[k]["b"] > first or words[k]["e"] < n - 1:
+            begin, own = 0, k
+            while own < len(words) and words[own]["b"] < n:
+                b, e = max(words[own]["b"] - first, 0), min(words[own]["e"] - first, len(ends) - 1)
+                out.append(line[begin : ends[b - 1] if b else 0])
+                begin, own = ends[e], own + 1
+            out += line[begin:], "\n"
+    return "".join(out)
 
 
 class Shard:
@@ -198,18 +221,27 @@ def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None, single
     return merged(runs, "passage", [], single)
 
 
+@F.arrow_udf(StringType())
+def _left_over(text: pa.Array, lines: pa.Array, words: pa.Array) -> pa.Array:
+    own = zip(text.to_pylist(), lines.to_pylist(), words.to_pylist(), strict=True)
+    return pa.array([None if w is None else left_over(t, c or [], w) for t, c, w in own], pa.string())
+
+
 def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> DataFrame:
-    """`docs` without what `found` (doc_id, hash, cuts of lines, words) lists, one row there for a document."""
+    """`docs` without what `found` (doc_id, hash, cuts of lines, words) lists, one row there for a document.
+
+    Lines go by slices between the cuts; where words are cut too, one sweep takes a text's lines, words and cuts
+    in their order. Both take time in proportion to the text.
+    """
     named = found.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__h"), F.col("cuts").alias("__lines"), F.col("words").alias("__words"))
     joined = docs.withColumn("__x", F.xxhash64("text")).join(named.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__h")), "left")
     hit = "(__lines is not null or __words is not null)"
-    line = "(__lines is not null and exists(__lines, c -> y.i between c.b and c.e))"
-    word = "(__words is not null and exists(__words, c -> o between c.b and c.e))"
-    rest = "(__words is not null and exists(__words, c -> c.b <= o - y.j and o <= c.e))"
-    #: Each word left, and the line breaks of lines that aren't gone as a whole.
-    left = f"transform(__all, (y, o) -> case when {line} then '' when not {word} then if(y.j = y.m - 1, concat(y.x, '\\n'), y.x) when y.j = y.m - 1 and not {rest} then '\\n' else '' end)"
-    whole = "array_join(transform(filter(transform(split(text, '\\n'), (l, i) -> named_struct('l', l, 'i', i)), x -> not exists(__lines, c -> x.i between c.b and c.e)), x -> concat(x.l, '\\n')), '')"
-    split = joined.withColumn("__all", F.expr(f"if(__words is not null, {_words('text')}, null)")).withColumn("__left", F.expr(f"case when __words is not null then array_join({left}, '') when __lines is not null then {whole} end"))
+    begin = "if(k = 0, 0, get(__lines, k - 1).e + 1)"
+    gaps = f"transform(sequence(0, size(__lines)), k -> slice(ls, {begin} + 1, greatest(if(k = size(__lines), size(ls), get(__lines, k).b) - {begin}, 0)))"
+    whole = f"transform(transform(array(split(text, '\\n')), ls -> flatten({gaps})), r -> if(size(r) > 0, concat(array_join(r, '\\n'), '\\n'), ''))[0]"
+    touched = F.expr("__words is not null")
+    cut = _left_over(F.when(touched, F.col("text")), F.when(touched, F.col("__lines")), F.col("__words"))
+    split = joined.withColumn("__all", cut).withColumn("__left", F.expr(f"case when __words is not null then __all when __lines is not null then {whole} end"))
     text = F.expr(f"if({hit}, left(__left, greatest(length(__left) - 1, 0)), text)")
     added = {"n_lines", "n_cut", "n_left", "n_chars_cut"} if report else set()
     kept = [c for c in docs.columns if c not in added]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from .operators import metrics as M
 from .operators import retrieval as R
 from .operators import store as VS
 from .plans import retrieval as P
+from .session import shared_dir, spread
+from .sources import pdf as PDF
 from .sources import readers as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +58,27 @@ def _digest(x):
     return F.length(x).alias("n"), F.md5(x).alias("md5")
 
 
+_LINES_A_PAGE = 40
+
+
+@query(f"""WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+texts AS (SELECT doc_id, (i / {_LINES_A_PAGE})::BIGINT + 1 AS page, array_to_string(l[i + 1 : i + {_LINES_A_PAGE}], chr(10)) AS x FROM (SELECT doc_id, l, unnest(range(0, len(l), {_LINES_A_PAGE})) AS i FROM lines))
+SELECT doc_id::VARCHAR AS doc_key, page, length(x)::BIGINT AS n, md5(x) AS md5, false AS damaged FROM texts WHERE doc_id % 100 <> 99
+UNION ALL SELECT doc_id::VARCHAR, NULL, NULL, NULL, true FROM documents WHERE doc_id % 100 = 99""")
+def pdf_pages(spark, d):
+    """All documents as PDF files of 40 lines a page, those whose number ends in 99 without their first bytes, written
+    and read again."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    starts = lambda x: F.sequence(F.lit(1), F.size(x), F.lit(_LINES_A_PAGE))
+    rows = spread(S.table(spark, d, "documents")).select(F.col("doc_id").alias("path"), lines.alias("l"))
+    files = PDF.documents(rows.select("path", F.transform(starts(F.col("l")), lambda i: F.array_join(F.slice("l", i, _LINES_A_PAGE), "\n")).alias("pages")))
+    whole = F.col("path").cast("bigint") % 100 != 99
+    kept = files.select("path", F.when(whole, F.col("content")).otherwise(F.substring("content", 9, 1 << 30)).alias("content"))
+    at = f"{shared_dir(spark)}/pdf/{uuid.uuid4().hex}"
+    kept.write.parquet(at)
+    return PDF.pages(spark.read.parquet(at)).select("doc_key", "page", *_digest(F.col("text")), F.col("error").isNotNull().alias("damaged"))
+
+
 @query(f"SELECT page, length(x)::BIGINT AS n, md5(x) AS md5 FROM (SELECT page, {O.cleaned('text', False)} AS x FROM ({O.PAGES}))")
 def clean_basic(spark, d):
     return S.pages_table(spark, d).select("page", *_digest(N.cleaned(F.col("text"))))
