@@ -1,9 +1,10 @@
 """Lexical indexes as tables: TF-IDF weights and BM25 postings, and scores of many queries in one job.
 
 Documents are rows (doc, text), doc being a key that also breaks ties; queries are rows (qid, text), a stated
-set that is taken in blocks. `best` holds every document against a block of queries at once: a document is
-one row with the weights of the terms that the block asks for, a task adds up sparse products and passes on
-the k best of each query, so pairs of queries and documents never become rows. `scores_of` scores given pairs, and
+set that is taken in blocks. An index keeps each document's terms as one array. `best` takes these arrays in Arrow
+batches where they lie: a batch's terms are looked up at once among those that a block of queries asks for, sparse
+products are added up, and a task passes on the k best of each query. So neither terms nor pairs of queries
+and documents become rows, and nothing is shuffled but results. `scores_of` scores given pairs, and
 `scores` all pairs that share a term, which grow with documents times queries. An index keeps its tables
 persisted, in memory or on disk, as every search reads them; `close` lets them go.
 """
@@ -12,10 +13,11 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -53,31 +55,44 @@ def _first(scores: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([sure, ties])
 
 
-def best_of(queries: DataFrame, asked: DataFrame, weighed: Callable[[DataFrame], DataFrame], k: int, block: int = 512) -> DataFrame:
+#: Of a batch: the row, term and weight of each hit, and the length of each row.
+Hits = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def found_in(lists: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, tf): which of the terms, by number, stand in each row's list, and how often."""
+    place = pc.index_in(lists.flatten(), value_set=terms)
+    known = pc.is_valid(place).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[known]
+    keys, tf = np.unique(row * len(terms) + place.drop_null().to_numpy().astype(np.int64), return_counts=True)
+    return keys // max(len(terms), 1), keys % max(len(terms), 1), tf
+
+
+def best_of(queries: DataFrame, asked: DataFrame, docs: DataFrame, hits: Callable[[list[str]], Hits], k: int, block: int = 512) -> DataFrame:
     """(qid, doc, score): for each query the k best documents of every task, those that share no term with it at 0.
 
-    asked is (qid, term, wq); weighed makes of terms (term, i) one row (doc, hits of (i, w), length) for each
-    document. Queries go to the tasks in blocks of about `block`, as sparse weights.
+    asked is (qid, term, wq), docs is (doc, terms); hits makes, for the terms that a block of about `block`
+    queries asks for, what finds them in a batch of docs. Queries go to the tasks as sparse weights.
     """
-    n = max(1, -(-queries.count() // block))
-    part = lambda df, b: df.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b)
+    rows = asked.select("qid", "term", "wq").toArrow()
+    everyone = sorted(r.qid for r in queries.select("qid").distinct().collect())
+    given: dict = {q: [] for q in everyone}
+    for qid, term, wq in zip(*(rows.column(c).to_pylist() for c in ("qid", "term", "wq")), strict=True):
+        given[qid].append((term, wq))
+    schema = StructType([StructField("qid", queries.schema["qid"].dataType), StructField("doc", docs.schema["doc"].dataType), StructField("score", DoubleType())])
     out = []
-    for b in range(n):
-        qids = sorted(r.qid for r in part(queries.select("qid").distinct(), b).collect())
-        number = {q: j for j, q in enumerate(qids)}
-        rows = sorted((r.term, number[r.qid], r.wq) for r in part(asked, b).collect())
-        terms = sorted({t for t, _, _ in rows})
+    for at in range(0, max(len(everyone), 1), block):
+        qids = everyone[at : at + block]
+        terms = sorted({t for q in qids for t, _ in given[q]})
         place = {t: i for i, t in enumerate(terms)}
-        starts = np.searchsorted([place[t] for t, _, _ in rows], np.arange(len(terms) + 1))
-        of, weights = np.array([j for _, j, _ in rows], np.int64), np.array([w for _, _, w in rows], float)
-        known = queries.sparkSession.createDataFrame([(t, i) for t, i in place.items()], "term string, i int")
-        docs = weighed(known)
-        schema = StructType([StructField("qid", queries.schema["qid"].dataType), StructField("doc", docs.schema["doc"].dataType), StructField("score", DoubleType())])
-        out.append(docs.select("doc", "hits", "length").mapInArrow(_scored(qids, starts, of, weights, k), schema))
+        each = sorted((place[t], j, wq) for j, q in enumerate(qids) for t, wq in given[q])
+        starts = np.searchsorted([i for i, _, _ in each], np.arange(len(terms) + 1))
+        of, weights = np.array([j for _, j, _ in each], np.int64), np.array([w for _, _, w in each], float)
+        out.append(docs.mapInArrow(_scored(qids, starts, of, weights, k, hits(terms)), schema))
     return reduce(DataFrame.unionAll, out)
 
 
-def _scored(qids: list, starts: np.ndarray, of: np.ndarray, weights: np.ndarray, k: int):
+def _scored(qids: list, starts: np.ndarray, of: np.ndarray, weights: np.ndarray, k: int, hits: Hits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] | None = None
         types = None
@@ -85,14 +100,10 @@ def _scored(qids: list, starts: np.ndarray, of: np.ndarray, weights: np.ndarray,
             types = whole.schema.field("doc").type
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                hits = batch.column("hits")
-                flat = hits.flatten()
-                i, w = flat.field("i").to_numpy(), flat.field("w").to_numpy()
-                row = np.repeat(np.arange(len(hits)), hits.value_lengths().to_numpy())
+                row, i, w, length = hits(batch)
                 size = starts[i + 1] - starts[i]
                 index = np.repeat(starts[i] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                sums = np.bincount(np.repeat(row, size) * len(qids) + of[index], np.repeat(w, size) * weights[index], len(hits) * len(qids)).reshape(len(hits), -1)
-                length = batch.column("length").to_numpy(zero_copy_only=False)
+                sums = np.bincount(np.repeat(row, size) * len(qids) + of[index], np.repeat(w, size) * weights[index], batch.num_rows * len(qids)).reshape(batch.num_rows, -1)
                 scores = np.round(np.divide(sums, length[:, None], out=np.zeros_like(sums), where=length[:, None] > 0), 12)
                 docs = np.array(batch.column("doc").to_pylist(), object)
                 found = []
@@ -112,25 +123,34 @@ class TfIdf:
 
     The vocabulary is the `most` commonest grams of the corpus, ties by the gram; idf is
     ln((1 + n) / (1 + df)) + 1; rows of weights have length 1. The vocabulary is bounded by `most`, so it is
-    broadcast.
+    broadcast. All grams are counted where they stand and only the counts shuffled; documents are
+    counted for the vocabulary alone.
     """
 
     def __init__(self, docs: DataFrame, most: int = 60_000):
-        self.counts = term_counts(docs, "doc", grams(F.col("text"))).persist()
-        self.kept = [self.counts]
-        known = self.counts.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-        n = docs.agg(F.count("*").alias("n"))
-        chosen = known.orderBy(F.desc("total"), "term").limit(most)
-        self.idf = chosen.crossJoin(n).select("term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")).persist()
-        self.kept.append(self.idf)
+        self.grams = docs.select("doc", grams(F.coalesce("text", F.lit(""))).alias("g")).persist()
+        n = self.grams.agg(F.count("*").alias("n"))
+        total = self.grams.select(F.explode("g").alias("term")).groupBy("term").agg(F.count("*").alias("total"))
+        chosen = total.orderBy(F.desc("total"), "term").limit(most).select("term").persist()
+        df = self.grams.select(F.explode(F.array_distinct("g")).alias("term")).join(F.broadcast(chosen), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        self.idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")).persist()
+        self.kept = [self.grams, chosen, self.idf]
 
     def close(self) -> None:
         for table in self.kept:
             table.unpersist()
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        """(doc, term, tf) of the documents."""
+        rows = self.grams.select("doc", F.explode_outer("g").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf")).persist()
+        self.kept.append(rows)
+        return rows
+
     def _raw(self, rows: DataFrame | None, key: str) -> DataFrame:
-        counts = self.counts
-        if rows is not None:
+        if rows is None:
+            counts = self.counts
+        else:
             # read twice, for lengths and for scores
             counts = term_counts(rows, key, grams(F.col("text"))).persist()
             self.kept.append(counts)
@@ -145,14 +165,24 @@ class TfIdf:
     def best(self, queries: DataFrame, k: int) -> DataFrame:
         """(qid, doc, score): cosines of every query and at least its k best documents, 0 where they share nothing."""
         asked = self.weights(queries.select("qid", "text"), "qid").withColumnRenamed("weight", "wq")
+        vocabulary = self.idf.toArrow().combine_chunks()
+        names, idf = vocabulary.column("term").combine_chunks(), vocabulary.column("idf").to_numpy()
 
-        def weighed(known: DataFrame) -> DataFrame:
-            idf = self.idf.join(F.broadcast(known), "term", "left")
-            rows = self.counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.col("idf"))
-            hit = F.when(F.col("i").isNotNull(), F.struct("i", "w"))
-            return rows.groupBy("doc").agg(F.collect_list(hit).alias("hits"), F.coalesce(F.sqrt(F.sum(F.col("w") * F.col("w"))), F.lit(0.0)).alias("length"))
+        def hits(terms: list[str]) -> Hits:
+            number = np.full(len(names), -1, np.int64)
+            place = pc.index_in(pa.array(terms, names.type), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+            number[place] = np.arange(len(terms))
 
-        return best_of(queries, asked, weighed, k)
+            def find(batch: pa.RecordBatch):
+                row, term, tf = found_in(batch.column("g"), names)
+                w = tf * idf[term]
+                length = np.sqrt(np.bincount(row, w * w, batch.num_rows))
+                asked = number[term] >= 0
+                return row[asked], number[term[asked]], w[asked], length
+
+            return find
+
+        return best_of(queries, asked, self.grams, hits, k)
 
     def scores_of(self, pairs: DataFrame, queries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
         """(qid, doc, score) of the pairs (qid, doc), 0 where they share nothing; docs (doc, text) are other rows than those fitted on."""
@@ -181,7 +211,7 @@ class Bm25:
     """
 
     def __init__(self, docs: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
-        self.tokens = docs.select("doc", "text").repartition("doc").select("doc", T.tokens(T.normalized(F.coalesce("text", F.lit("")))).alias("t")).persist()
+        self.tokens = docs.select("doc", T.tokens(T.normalized(F.coalesce("text", F.lit("")))).alias("t")).persist()
         size = self.tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_len"))
         df = self.tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(size)
         raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "mean_len").persist()
@@ -207,15 +237,22 @@ class Bm25:
     def best(self, queries: DataFrame, k: int) -> DataFrame:
         """(qid, doc, score): scores of every query and at least its k best documents, 0 where they share nothing."""
         asked = self._asked(queries)
+        one = asked.select("mean_len").first()
+        mean_len, k1, b = one.mean_len if one else 1.0, self.k1, self.b
+
+        def hits(terms: list[str]) -> Hits:
+            names = pa.array(terms, pa.string())
+
+            def find(batch: pa.RecordBatch):
+                lists = batch.column("t")
+                row, term, tf = found_in(lists, names)
+                size = lists.value_lengths().to_numpy(zero_copy_only=False)
+                gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean_len))
+                return row, term, gain, np.ones(batch.num_rows)
 
-        def weighed(known: DataFrame) -> DataFrame:
-            mean = asked.select("mean_len").limit(1)
-            terms = self.tokens.select("doc", F.size("t").alias("len"), F.explode_outer("t").alias("term")).join(F.broadcast(known), "term", "left")
-            rows = terms.groupBy("doc", "len", "i").agg(F.count("*").alias("tf")).crossJoin(F.broadcast(mean))
-            hit = F.when(F.col("i").isNotNull(), F.struct("i", self._gain().alias("w")))
-            return rows.groupBy("doc").agg(F.collect_list(hit).alias("hits"), F.lit(1.0).alias("length"))
+            return find
 
-        return best_of(queries, asked, weighed, k) if asked.limit(1).count() else self.tokens.select("doc").crossJoin(queries.select("qid")).select("qid", "doc", F.lit(0.0).alias("score"))
+        return best_of(queries, asked, self.tokens, hits, k)
 
     def _postings(self, asked: DataFrame) -> DataFrame:
         known = asked.select("term").distinct()

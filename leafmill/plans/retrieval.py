@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import noise as N
 from ..functions import text as T
@@ -26,11 +31,50 @@ def flat_chunks(pages: DataFrame, config: dict, profile: N.Profile = N.BASIC) ->
     return N.without_noise(made[1] if isinstance(made, tuple) else made, profile).withColumn("doc", F.concat_ws("|", "doc_key", "chunk_id"))
 
 
-def expected_pages(pages: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, page): the pages whose text holds a question's text, word for word. Questions are a stated set,
-    a bounded table that every page is held against."""
-    asked = questions.select("qid", F.col("text").alias("q"))
-    return pages.select("page", "text").join(asked, F.contains(F.col("text"), F.col("q"))).select("qid", "page")
+def expected_pages(pages: DataFrame, questions: DataFrame, block: int = 4 << 20) -> DataFrame:
+    """(qid, page): the pages whose text holds a question's text, word for word.
+
+    Questions are a stated set, taken in blocks of `block` characters or one question; a block becomes an
+    automaton in each task, which goes over every page once, however many questions it has. An empty question
+    is held by every page, a null one by none; a page that holds a question twice does so once.
+    """
+    texts: dict[str, list] = {}
+    for r in questions.select("qid", "text").where("text is not null").collect():
+        texts.setdefault(r.text, []).append(r.qid)
+    blocks: list[dict[str, list]] = [{}]
+    size = 0
+    for text in sorted(texts):
+        if size and size + len(text) > block:
+            blocks.append({})
+            size = 0
+        blocks[-1][text] = texts[text]
+        size += len(text)
+    rows = pages.select("page", "text").where("text is not null")
+    schema = StructType([questions.schema["qid"], rows.schema["page"]])
+    return reduce(DataFrame.unionAll, [rows.mapInArrow(_held(own), schema) for own in blocks])
+
+
+def _held(texts: dict[str, list]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(qid, page) of the pages of batches (page, text) that hold one of the texts, given with their qids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for text, qids in texts.items():
+            if text:
+                automaton.add_word(text, qids)
+        automaton.make_automaton()
+        for batch in batches:
+            found: list = []
+            row: list[int] = []
+            for i, text in enumerate(batch.column("text")):
+                own = {id(x): x for _, x in automaton.iter(text.as_py())} if len(automaton) else {}
+                qids = [*itertools.chain.from_iterable(own.values()), *texts.get("", [])]
+                found += qids
+                row += [i] * len(qids)
+            yield pa.RecordBatch.from_arrays([pa.array(found, kind), batch.column("page").take(pa.array(row, pa.int64()))], names=["qid", "page"])
+
+    kind = pa.infer_type(list(itertools.chain.from_iterable(texts.values()))) if texts else pa.null()
+    return run
 
 
 def rankings(chunks: DataFrame, questions: DataFrame, config: dict | None = None, k: int = 5, embedder: E.Maker | None = None, scorer: Callable[[], R.PairScorer] | None = None) -> DataFrame:

@@ -508,13 +508,15 @@ def context_snippets(spark, d):
     return inputs.select("qid", F.length("context").alias("n"), F.md5("context").alias("md5"), F.array_join(F.transform("context_pages", lambda x: x.cast("string")), ",").alias("context_pages"))
 
 
-#: Answers for the citation rules; both engines read them from the statement.
-ANSWERS = ("See [p12] [p3-p1] [p12, p13].", '{"citations": ["p28", "p 14", 7]}', "answer: NOT_FOUND", '{"answer":"NOT_FOUND"}', "  ", "not_found", "Both [p5] and [p7-p9], then [p5].", "nothing cited", '{"citations": ["p3"], "answer": "see [p4]"}')
-_VALUES = "(VALUES " + ", ".join(f"({i}::BIGINT, '{a}')" for i, a in enumerate(ANSWERS)) + ") v(id, a)"
+#: Answers of every form that the citation rules know, made from turns of conversations; both engines can read it.
+_ANSWER = """CASE (conv_id + turn) % 8 WHEN 0 THEN coalesce(text, '') || ' [p' || (turn + 1) || '].' WHEN 1 THEN '[p' || (conv_id % 40 + 3) || '-p' || (turn + 1) || '] ' || coalesce(text, '') || ' [p12, p13]'
+WHEN 2 THEN '{"citations": ["p' || (conv_id % 90) || '", "p 14", 7], "answer": "' || turn || '"}' WHEN 3 THEN coalesce(text, '') || ' answer: NOT_FOUND' WHEN 4 THEN '  ' WHEN 5 THEN 'not_found' WHEN 6 THEN coalesce(text, '')
+ELSE '{"citations": ["p3"], "answer": "see [p' || turn || ']"}' END"""
+_ANSWERS = f"(SELECT conv_id, turn, {_ANSWER} AS a FROM conversations)"
 
 
-def _answers(spark):
-    return spark.createDataFrame([(i, a) for i, a in enumerate(ANSWERS)], "id bigint, a string")
+def _answers(spark, d):
+    return S.table(spark, d, "conversations").select("conv_id", "turn", F.expr(_ANSWER).alias("a"))
 
 
 _CITED = r"""list_distinct(list_concat(
@@ -523,14 +525,14 @@ _CITED = r"""list_distinct(list_concat(
 _MISSING = r"(trim(a) = '' OR upper(trim(a)) = 'NOT_FOUND' OR regexp_matches(a, '(?i)\banswer\s*:\s*NOT_FOUND\b'))"
 
 
-@query(f"SELECT id, array_to_string(list_sort({_CITED}), ',') AS cited FROM {_VALUES}")
+@query(f"SELECT conv_id, turn, array_to_string(list_sort({_CITED}), ',') AS cited FROM {_ANSWERS}")
 def cited_pages(spark, d):
-    return _answers(spark).select("id", F.array_join(F.transform(F.array_sort(A.cited_pages(F.col("a"))), lambda x: x.cast("string")), ",").alias("cited"))
+    return _answers(spark, d).select("conv_id", "turn", F.array_join(F.transform(F.array_sort(A.cited_pages(F.col("a"))), lambda x: x.cast("string")), ",").alias("cited"))
 
 
-@query(f"SELECT id, {_MISSING} AS not_found FROM {_VALUES}")
+@query(f"SELECT conv_id, turn, {_MISSING} AS not_found FROM {_ANSWERS}")
 def not_found(spark, d):
-    return _answers(spark).select("id", A.not_found(F.col("a")).alias("not_found"))
+    return _answers(spark, d).select("conv_id", "turn", A.not_found(F.col("a")).alias("not_found"))
 
 
 @query("SELECT role, count(*)::BIGINT AS n, count(*) FILTER (WHERE trim(text) = '' OR upper(trim(text)) = 'NOT_FOUND')::BIGINT AS missing, round(avg(len(" + O.tokens("text") + ")), 6) AS mean_tokens, median(len(" + O.tokens("text") + "))::DOUBLE AS p50_tokens FROM conversations GROUP BY role")
@@ -539,14 +541,32 @@ def conversation_answers(spark, d):
     return rows.groupBy("role").agg(F.count("*").alias("n"), F.count_if("missing").alias("missing"), F.round(F.avg("t"), 6).alias("mean_tokens"), F.median("t").alias("p50_tokens"))
 
 
-@query(f"SELECT id, len({_CITED}) > 0 AS cites, NOT {_MISSING} AS non_empty, len(list_filter({_CITED}, lambda x: x NOT IN (1, 2, 3, 12, 28)))::BIGINT AS outside FROM {_VALUES}")
-def answer_flags(spark, d):
-    shown = F.array(*[F.lit(x) for x in (1, 2, 3, 12, 28)])
-    cited = A.cited_pages(F.col("a"))
-    return _answers(spark).select("id", (F.size(cited) > 0).alias("cites"), (~A.not_found(F.col("a"))).alias("non_empty"), F.size(F.array_except(cited, shown)).alias("outside"))
+#: An answer to every question: its context, a refusal, pages that it may not have been shown, or the question.
+_REPLY = "CASE qid % 4 WHEN 0 THEN context WHEN 1 THEN ' NOT_FOUND ' WHEN 2 THEN '[p1-p3] ' || text || ' [p' || qid || ']' ELSE text END"
 
 
-@query()
+@query(f"{_CONTEXT}, replies AS (SELECT qid, context_pages, {_REPLY} AS a FROM questions JOIN contexts USING (qid)) SELECT qid, len({_CITED}) > 0 AS cites, NOT {_MISSING} AS non_empty, len(list_filter({_CITED}, lambda x: NOT list_contains(context_pages, x)))::BIGINT AS outside FROM replies")
+def answer_flags(spark, d):
+    """Of answers to all questions: whether they cite and say something, and the pages cited that they weren't shown."""
+    questions = S.questions_table(spark, d)
+    inputs = P.answer_inputs(S.pages_table(spark, d), questions, NAIVE, retrieval={"type": "bm25"})
+    replies = questions.join(inputs, "qid").select("qid", "context_pages", F.expr(_REPLY).alias("a"))
+    cited = A.cited_pages(F.col("a")).cast("array<bigint>")
+    return replies.select("qid", (F.size(cited) > 0).alias("cites"), (~A.not_found(F.col("a"))).alias("non_empty"), F.size(F.array_except(cited, "context_pages")).alias("outside"))
+
+
+#: The stub's answer to every question, judged; `figures` is what all its prompts come to.
+_SHOWN = r"\[p([0-9]+)-p[0-9]+\]"
+_JUDGED = f"""{_CONTEXT}, wanted AS (SELECT qid, list(DISTINCT doc_id) AS expected FROM documents JOIN questions ON contains(documents.text, questions.text) GROUP BY qid),
+asked AS (SELECT qid, context_pages, CASE WHEN regexp_matches(coalesce(context, ''), '{_SHOWN}') THEN 'See the passage. [p' || regexp_extract(context, '{_SHOWN}', 1) || ']' ELSE 'NOT_FOUND' END AS a FROM questions LEFT JOIN contexts USING (qid)),
+judged AS (SELECT {_MISSING} AS missing, {_CITED} AS cited, context_pages, coalesce(expected, []) AS expected, len({O.tokens('a')}) AS tokens, contains(a, '[p') AS supported FROM asked LEFT JOIN wanted USING (qid)),
+figures AS (SELECT count(*)::BIGINT AS n, sum((NOT missing)::INT) / greatest(count(*), 1)::DOUBLE AS non_empty_rate, sum((len(cited) > 0)::INT) / greatest(count(*), 1)::DOUBLE AS cites_rate,
+  sum((len(list_filter(cited, lambda x: NOT list_contains(context_pages, x))) > 0)::INT) / greatest(sum((len(cited) > 0)::INT), 1)::DOUBLE AS hallucination_rate,
+  sum((len(list_intersect(cited, expected)) > 0)::INT) / greatest(sum((len(expected) > 0)::INT), 1)::DOUBLE AS expected_page_hit_rate, median(tokens)::DOUBLE AS p50_tokens,
+  list_sort(list(tokens))[round_even(0.95 * (count(*) - 1), 0)::BIGINT + 1]::BIGINT AS p95_tokens, sum(supported::INT) / count(*)::DOUBLE AS supported, avg(CASE WHEN supported THEN 1 ELSE 2 END)::DOUBLE AS attempts FROM judged)"""
+
+
+@query(f"{_JUDGED} SELECT variant, figures.* EXCLUDE (supported, attempts) FROM figures, (SELECT unnest({list(G.TEMPLATES)!r}) AS variant)")
 def answer_metrics(spark, d):
     """The stub's answers to all questions, scored."""
     pages, questions = S.pages_table(spark, d), S.questions_table(spark, d)
@@ -559,7 +579,8 @@ def answer_metrics(spark, d):
     return M.answer_metrics(judged, "variant")
 
 
-@query()
+@query(f"""{_JUDGED} SELECT 'baseline' AS pipeline, figures.* EXCLUDE (supported, attempts), NULL::DOUBLE AS supported_rate, 1.0::DOUBLE AS avg_attempts FROM figures
+UNION ALL BY NAME SELECT 'multistep' AS pipeline, figures.* EXCLUDE (supported, attempts), supported AS supported_rate, attempts AS avg_attempts FROM figures""")
 def multistep_stub(spark, d):
     """The stub's answers, verified by a stub that supports those with a citation, and repaired."""
     from .plans.multistep import stub_answers
@@ -572,24 +593,55 @@ def safe_names(spark, d):
     return S.table(spark, d, "pages").select("page_id", F.length("url").alias("n_url"), F.length("html").alias("n_html"), T.safe_name(F.col("url")).alias("name"))
 
 
-@query()
+def _html_sql() -> str:
+    x = r"regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g')"
+    x = rf"regexp_replace(regexp_replace({x}, '(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/title)\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    x = rf"list_filter(list_transform(string_split(regexp_replace({x}, '[ \t\r\f]+', ' ', 'g'), chr(10)), lambda l: trim(l)), lambda l: l <> '')"
+    return f"SELECT page_id, length(x)::BIGINT AS n, md5(x) AS md5 FROM (SELECT page_id, array_to_string({x}, chr(10)) AS x FROM pages)"
+
+
+@query(_html_sql())
 def html_pages(spark, d):
     return S.table(spark, d, "pages").select("page_id", *_digest(S.html_text(F.col("html"))))
 
 
-_GOLD_ROWS = [
-    ("p1", '{"a": [1, 2], "b": 3}', ["a"], ["zzz"], [r"\d+"], True, ["a", "c"], {"a": 2}, [1, 2, 3], 0.5),
-    ("p2", "no json, values 4 and 5", ["VALUES"], None, ["("], None, None, None, [4, 5], None),
-    ("p3", "anything", None, None, None, None, None, None, None, None),
-    ("p4", "{broken", None, ["broken"], None, True, ["k"], None, None, None),
-]
+#: What answers are held to, made from a conversation's first turn: its words, patterns of which one doesn't compile, and
+#: for every third conversation JSON and its integers. Every seventh has no gold.
+_WORDS_OF = "string_split(q, ' ')"
 
 
-@query("SELECT * FROM (VALUES ('p1', 8::BIGINT, 7 / 8.0::DOUBLE, true), ('p2', 3::BIGINT, 2 / 3.0::DOUBLE, false), ('p3', 0::BIGINT, -1.0::DOUBLE, false), ('p4', 3::BIGINT, 0.0::DOUBLE, false)) v(id, checks, quality, passed)")
+@query(f"""WITH turns AS (SELECT conv_id, min(text) FILTER (WHERE turn = 0) AS q, min(text) FILTER (WHERE turn = 1) AS t FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id, q, CASE WHEN conv_id % 3 = 0 THEN '{{"n": ' || length(q) || ', "words": [1, 2, ' || conv_id || ']}}' ELSE t END AS x FROM turns WHERE q IS NOT NULL AND t IS NOT NULL),
+c AS (SELECT conv_id, x, conv_id % 7 <> 0 AS gold, conv_id % 3 = 0 AS j, list_slice({_WORDS_OF}, 1, 3) AS must, ['zzz', {_WORDS_OF}[2]] AS mustnt, list_distinct([length(q), 1, 2, conv_id]) AS got, list_distinct([1, 2, conv_id % 50]) AS want FROM r),
+f AS (SELECT *, 2.0::DOUBLE * len(list_intersect(want, got)) / (len(want) + len(got)) AS f1 FROM c),
+s AS (SELECT conv_id, CASE WHEN NOT gold THEN 0 WHEN j THEN len(must) + 2 + 3 + 1 + 3 + 1 + 1 ELSE len(must) + 2 + 3 END AS checks,
+  len(list_filter(must, lambda w: contains(lower(x), lower(w)))) + len(list_filter(mustnt, lambda w: NOT contains(lower(x), lower(w)))) + regexp_matches(x, '(?i)^[A-Z]')::INT + regexp_matches(x, '[0-9]+')::INT
+  + CASE WHEN j THEN 1 + 2 + (conv_id % 2 = 0)::INT + (f1 >= 0.6)::INT ELSE 0 END AS passes FROM f)
+SELECT conv_id, checks::BIGINT AS checks, CASE WHEN checks = 0 THEN -1.0 ELSE passes / checks::DOUBLE END::DOUBLE AS quality, checks > 0 AND passes / checks::DOUBLE >= 0.6 AS passed FROM s""")
 def gold_scores(spark, d):
-    responses = spark.createDataFrame([r[:2] for r in _GOLD_ROWS], "id string, text string")
-    gold = spark.createDataFrame([(r[0], *r[2:]) for r in _GOLD_ROWS[:2] + _GOLD_ROWS[3:]], S.GOLD)
-    return G.gold_scores(responses, gold).select("id", "checks", "quality", "passed")
+    """Answers of conversations, held to what their first turns ask for."""
+    turn = lambda n: F.min(F.when(F.col("turn") == n, F.col("text")))
+    rows = S.table(spark, d, "conversations").groupBy("conv_id").agg(turn(0).alias("q"), turn(1).alias("t")).where("q is not null and t is not null")
+    made = F.concat(F.lit('{"n": '), F.length("q"), F.lit(', "words": [1, 2, '), F.col("conv_id"), F.lit("]}"))
+    of_json = F.col("conv_id") % 3 == 0
+    key = F.col("conv_id").cast("string").alias("id")
+    responses = rows.select(key, "conv_id", F.when(of_json, made).otherwise(F.col("t")).alias("text"))
+    words = F.split("q", " ")
+    only = lambda c: F.when(of_json, c)
+    own = {
+        "expected_contains": F.slice(words, 1, 3),
+        "forbidden_contains": F.array(F.lit("zzz"), F.get(words, F.lit(1))),
+        "expected_regex": F.array(F.lit("^[A-Z]"), F.lit(r"\d+"), F.lit("(")),
+        "expect_json": of_json,
+        "json_required_keys": only(F.array(F.lit("n"), F.lit("words"), F.lit("zzz"))),
+        "json_array_key_len": only(F.create_map(F.lit("words"), F.when(F.col("conv_id") % 2 == 0, 3).otherwise(2))),
+        "expected_int_list": only(F.array(F.lit(1), F.lit(2), (F.col("conv_id") % 50).cast("int"))),
+        "pass_threshold": F.lit(0.6),
+    }
+    gold = rows.where("conv_id % 7 <> 0").select(key, *[v.alias(k) for k, v in own.items()])
+    return G.gold_scores(responses, gold).select("conv_id", "checks", "quality", "passed")
 
 
 @query("SELECT role, count(*) FILTER (WHERE ok)::BIGINT AS ok, count(*) FILTER (WHERE NOT ok)::BIGINT AS errors, coalesce(round(avg(CASE WHEN ok THEN t END), 6), -1.0) AS avg_tokens, coalesce(median(CASE WHEN ok THEN t END), -1.0)::DOUBLE AS p50_total_s, count(*) FILTER (WHERE ok AND turn % 2 = 0)::BIGINT AS scored FROM (SELECT role, turn, trim(text) <> '' AS ok, len(" + O.tokens("text") + ") AS t FROM conversations) GROUP BY role")

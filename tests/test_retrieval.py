@@ -223,3 +223,15 @@ def test_evaluation(spark):
         metrics, ranks = P.evaluate(pages, questions, {"strategy": "naive_tokens", "chunk_size": 50, "overlap": 0}, N.BASIC, {"type": kind}, k=3)
         assert metrics.first().hit_at_1 == 1.0, kind
         assert ranks.count() == 6
+
+
+def test_expected_pages_by_automata(spark):
+    pages = [(i, t) for i, t in enumerate(["the cat sat", "cat", "", None, "the the cat sat on", "Cät ☃ sat", "a.b*c"])]
+    questions = [("q1", "cat"), ("q2", "the cat"), ("q3", ""), ("q4", None), ("q5", "ät ☃"), ("q6", "cat"), ("q7", "nowhere"), ("q8", ".b*"), ("q9", "at s")]
+    want = sorted((q, p) for p, t in pages for q, x in questions if t is not None and x is not None and x in t)
+    frames = spark.createDataFrame(pages, "page bigint, text string"), spark.createDataFrame(questions, "qid string, text string")
+    for block in (1, 8, 1 << 20):
+        assert sorted((r.qid, r.page) for r in P.expected_pages(*frames, block=block).collect()) == want
+    assert P.expected_pages(frames[0], frames[1].limit(0)).collect() == [] and P.expected_pages(frames[0].limit(0), frames[1]).collect() == []
+    plan = P.expected_pages(*frames)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
