@@ -1,8 +1,8 @@
 """Chunkers. Pages are rows (doc_key, page, text); chunks are rows of CHUNK, ordered by `ord` within doc_key.
 
-Windows and sections are column expressions and window functions. Chunkers whose state depends on their own
-output fold over a document's lines or units in order, as a stream: rows are dealt by doc_key, sorted, and
-taken one at a time, so a task holds a chunk or two and not a document.
+Windows and sections are column expressions and window functions. Chunkers whose chunks depend on where they begin
+are cut in blocks, as operators.chains tells, so that one document of any length keeps all tasks busy. Where a plug-in
+is asked for each chunk's end, a document's units are folded in order, as a stream.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import chains
 from . import embed as E
 
 CHUNK = "doc_key string, ord bigint, chunk_id string, text string, page_start bigint, page_end bigint, section_title string, strategy string, chunk_size int, overlap int"
@@ -68,17 +70,24 @@ def tree(pages: DataFrame, parent_max: int = 900, size: int = 450, overlap: int
 
     A parent is its section's first tokens, its children are windows over all of them. Each line knows
     where its tokens stand in the section, and enters the windows that it reaches into, so no row is larger
-    than a window. Sections without tokens have no number.
+    than a window, and no task holds a document or a section. Sections without tokens have no number.
     """
     step = max(1, size - overlap)
-    in_order = Window.partitionBy("doc_key").orderBy("page", "line")
-    marked = lines(pages).withColumn("sec", F.sum(F.col("heading").cast("int")).over(in_order))
+    page = Window.partitionBy("doc_key", "page").orderBy("line")
+    split = lines(pages).withColumn("t", F.when(F.col("heading"), F.array().cast("array<string>")).otherwise(T.tokens(F.col("text"))))
+    # of each line: the headings of its page so far, and the tokens before it on its page
+    split = split.withColumn("k", F.sum(F.col("heading").cast("int")).over(page)).withColumn("u", F.sum(F.size("t")).over(page) - F.size("t")).persist()
+    own = split.groupBy("doc_key", "page").agg(F.sum(F.col("heading").cast("int")).alias("k"), F.sum(F.size("t")).alias("u"), F.max(F.when(F.col("heading"), F.col("u"))).alias("h"))
+    placed = chains.running(own, "doc_key", "page", "k", "u").withColumn("h", F.col("h") + F.col("before_u"))
+    placed = chains.running(placed.select("doc_key", "page", "before_k", "before_u", "h"), "doc_key", "page", "h", how=F.max).drop("h", "all_h")
+    at = lambda c: F.col(f"before_{c}") + F.col(c)
+    # tokens of the document before the last heading, which may stand on an earlier page
+    begun = F.greatest("before_h", F.coalesce(F.max(F.when(F.col("heading"), at("u"))).over(page), F.lit(0)))
+    marked = split.join(placed, ["doc_key", "page"]).select("doc_key", "page", "line", "text", "heading", "t", at("k").alias("sec"), (at("u") - begun).alias("o"))
     titles = marked.where("heading").select("doc_key", "sec", T.heading_title(F.col("text")).alias("section_title"))
-    body = marked.where("not heading").select("doc_key", "sec", "page", "line", T.tokens(F.col("text")).alias("t")).where("size(t) > 0")
-    before = Window.partitionBy("doc_key", "sec").orderBy("page", "line")
-    body = body.withColumn("o", F.sum(F.size("t")).over(before) - F.size("t"))
-    sections = body.groupBy("doc_key", "sec").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"))
-    sections = sections.withColumn("number", F.row_number().over(Window.partitionBy("doc_key").orderBy("sec")) - 1).join(titles, ["doc_key", "sec"], "left")
+    body = marked.where("not heading and size(t) > 0").select("doc_key", "sec", "page", "o", "t")
+    sections = body.groupBy("doc_key", "sec").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.lit(1).alias("one"))
+    sections = chains.running(sections, "doc_key", "sec", "one").select("doc_key", "sec", "page_start", "page_end", F.col("before_one").alias("number")).join(titles, ["doc_key", "sec"], "left")
 
     def gathered(width: int, first: Column, last: Column, every: int) -> DataFrame:
         entered = body.select("doc_key", "sec", "o", "t", F.explode(F.sequence(first, last)).alias("i"))
@@ -122,37 +131,39 @@ def _detokenize(tokens: list[str]) -> str:
     return "".join(w if i == 0 or w in ".,:;?!)]}" or (i == 1 and opened) else " " + w for i, w in enumerate(tokens))
 
 
-def structured(pages: DataFrame, most: int = 800, least: int = 120) -> DataFrame:
+def structured(pages: DataFrame, most: int = 800, least: int = 120, block: int = chains.BLOCK) -> DataFrame:
     """Sections between headings, and wherever `most` tokens have come together.
 
     A section longer than that is cut; what is left below `least` tokens behind a cut is dropped. Headings
     themselves are titles only.
     """
 
-    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
-        title, number, held, first, last = None, 0, [], None, None
-
-        def cut() -> Iterator[tuple]:
-            for part, at in enumerate(range(0, len(held), most)):
-                piece = held[at : at + most]
-                if part and len(piece) < least:
-                    return
-                yield number * _STRIDE + part, f"s{number:04d}_c{part:04d}", _detokenize(piece), first, last, title, "structured_headings", None, None
-
-        for page, _, text, heading, tokens in rows:
-            if not heading:
-                first = page if not held else first
-                last = page
-                held += tokens
-            if held and (heading or len(held) >= most):
-                yield from cut()
-                number, held = number + 1, []
-            if heading:
-                title = text.strip().strip(":")
-        yield from cut()
-
-    rows = lines(pages).withColumn("t", F.when(F.col("heading"), F.array().cast("array<string>")).otherwise(T.tokens(F.col("text"))))
-    return folded(rows, ["page", "line"], fold)
+    def follow(b: chains.Block) -> tuple[np.ndarray, np.ndarray]:
+        own, n = np.arange(b.own), len(b.at)
+        heading = np.array([x is True for x in b.known])
+        heads = np.append(np.flatnonzero(heading), n)
+        full = np.searchsorted(b.sums[1:], b.before[own] + most)
+        head = heads[np.searchsorted(heads, own)]
+        following = np.where(heading[own], own + 1, np.minimum(np.where(head <= full, head, full + 1), n))
+        return following, ~heading[own] & (b.sums[following] > b.before[own])
+
+    def emit(b: chains.Block, start: int, end: int, number: int, title: str | None) -> Iterator[tuple]:
+        full = [i for i in range(start, end) if b.size[i]]
+        held = [t for i in full for t in b.text[i].split("\n")]
+        title = None if title is None else title.strip().strip(":")
+        for part, at in enumerate(range(0, len(held), most)):
+            piece = held[at : at + most]
+            if part and len(piece) < least:
+                return
+            yield number * _STRIDE + part, f"s{number:04d}_c{part:04d}", _detokenize(piece), b.page[full[0]], b.page[end - 1], title, "structured_headings", None, None
+
+    stripped = F.filter(F.transform(F.split(T.normalized(F.coalesce("text", F.lit(""))), "\n"), T.strip), lambda x: x != "")
+    marked = F.transform(stripped, lambda x: F.struct(x.alias("x"), T.is_heading(x).alias("mark")))
+    cut = F.transform(marked, lambda x: F.struct(x["x"].alias("x"), x["mark"].alias("mark"), F.when(x["mark"], F.array().cast("array<string>")).otherwise(T.tokens(x["x"])).alias("t")))
+    # no token holds a line break
+    made = F.transform(cut, lambda x: F.struct(F.when(x["mark"], x["x"]).otherwise(F.array_join(x["t"], "\n")).alias("text"), F.size(x["t"]).alias("size"), x["mark"].alias("mark")))
+    rows = chains.pieces(pages, made, most, block).withColumnRenamed("mark", "known")
+    return chains.chained(rows, follow, emit, CHUNK, most, block)
 
 
 def units(pages: DataFrame) -> DataFrame:
@@ -174,46 +185,45 @@ def term_cosine(before: str, text: str) -> float:
     return sum(n * b[w] for w, n in a.items()) / norm if norm else 0.0
 
 
-def semantic(pages: DataFrame, most: int = 450, least: int = 80, threshold: float = 0.55, similarity: Similarity = term_cosine, embedder: Callable | None = None) -> DataFrame:
+def _unit_pieces(pages: DataFrame, reach: int, block: int) -> DataFrame:
+    made = F.transform(T.units(F.coalesce("text", F.lit(""))), lambda x: F.struct(x.alias("text"), T.token_count(x).alias("size"), F.lit(False).alias("mark")))
+    return chains.pieces(pages, made, reach, block)
+
+
+def semantic(pages: DataFrame, most: int = 450, least: int = 80, threshold: float = 0.55, similarity: Similarity = term_cosine, embedder: Callable | None = None, block: int = chains.BLOCK) -> DataFrame:
     """Units put together until they would pass `most` tokens or turn to something else, both only from
     `least` tokens on. A last chunk of under max(20, least // 2) tokens joins the one before.
 
     With an `embedder`, which operators.embed describes, units are alike by the product of their vectors, made
-    in batches before the fold; else by `similarity` of their texts.
+    in batches before; else by `similarity` of their texts.
     """
-    alike = similarity if embedder is None else lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
 
-    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
-        def grown() -> Iterator[tuple[list[str], int, int, int]]:
-            held, first, last, n, before = [], 0, 0, 0, None
-            for page, _, text, size, this in rows:
-                if held and n >= least and (n + size > most or alike(before, this) < threshold):
-                    yield held, first, last, n
-                    held = []
-                if not held:
-                    first, n = page, 0
-                held.append(text)
-                last, n, before = page, n + size, this
-            if held:
-                yield held, first, last, n
-
-        def row(i: int, held: list[str], first: int, last: int, n: int, name: str) -> tuple:
-            return i * _STRIDE, name, " ".join(held), first, last, None, "semantic_similarity", most, None
-
-        #: The last two chunks wait, as only the end tells which is the last.
-        waiting: list[tuple] = []
-        for i, (held, first, last, n) in enumerate(grown()):
-            waiting.append((i, held, first, last, n, f"s{i:04d}_p{first:04d}-{last:04d}"))
-            if len(waiting) > 2:
-                yield row(*waiting.pop(0))
-        if len(waiting) == 2 and waiting[1][4] < max(20, least // 2):
-            (i, held, first, _, n, name), (_, more, _, last, m, _) = waiting
-            waiting = [(i, held + more, first, last, n + m, name)]
-        for chunk in waiting:
-            yield row(*chunk)
-
-    known = F.col("text") if embedder is None else E.embedded(F.col("text"), embedder)
-    return folded(units(pages).withColumn("known", known), ["page", "unit"], fold)
+    def follow(b: chains.Block) -> tuple[np.ndarray, np.ndarray]:
+        own, n = np.arange(b.own), len(b.at)
+        if embedder is None:
+            alike = np.array([1.0, *(similarity(x, y) for x, y in itertools.pairwise(b.text))])
+        else:
+            vectors = np.array(b.known, float)
+            alike = np.append(1.0, (vectors[1:] * vectors[:-1]).sum(axis=1))
+        turns = np.append(np.flatnonzero(alike < threshold), n)
+        enough = np.maximum(np.searchsorted(b.before, b.before[own] + least), own + 1)
+        full = np.searchsorted(b.sums[1:], b.before[own] + most, "right")
+        return np.minimum(np.maximum(enough, full), turns[np.searchsorted(turns, np.minimum(enough, n))]).clip(max=n), np.ones(b.own, bool)
+
+    def emit(b: chains.Block, start: int, end: int, number: int, _: str | None) -> Iterator[tuple]:
+        first, last = b.page[start], b.page[end - 1]
+        short = number > 0 and b.ends(end) and b.sums[end] - b.before[start] < max(20, least // 2)
+        yield number * _STRIDE, f"s{number:04d}_p{first:04d}-{last:04d}", " ".join(b.text[start:end]), first, last, None, "semantic_similarity", most, None, bool(short)
+
+    reach = max(most, least)
+    rows = _unit_pieces(pages, reach, block)
+    known = F.lit(None).cast("string") if embedder is None else E.embedded(F.col("text"), embedder)
+    chunks = chains.chained(rows.withColumn("known", known), follow, emit, f"{CHUNK}, short boolean", reach, block)
+    # a short last chunk and the one before it, or a chunk by itself
+    place = (F.col("ord") - F.when(F.col("short"), _STRIDE).otherwise(0)).alias("__place")
+    parts = chunks.groupBy("doc_key", place).agg(F.array_sort(F.collect_list(F.struct(*_COLUMNS[1:]))).alias("x"))
+    own = {"text": F.array_join(F.transform("x", lambda x: x["text"]), " "), "page_end": F.element_at("x", -1)["page_end"]}
+    return parts.select("doc_key", *[own.get(c, F.col("x")[0][c]).alias(c) for c in _COLUMNS[1:]])
 
 
 class Chooser(Protocol):
@@ -223,13 +233,16 @@ class Chooser(Protocol):
     def __call__(self, units: list[str], candidates: list[tuple[int, int]], pick: int) -> int | None: ...
 
 
-def boundary(pages: DataFrame, most: int = 450, least: int = 80, window: int = 6, chooser: Chooser | None = None) -> DataFrame:
+def boundary(pages: DataFrame, most: int = 450, least: int = 80, window: int = 6, chooser: Chooser | None = None, block: int = chains.BLOCK) -> DataFrame:
     """Chunks whose ends a chooser picks near where `most` tokens come together.
 
     Ends within `window` units of there with `least` tokens or more are candidates. Without a choice, or
     with one below `least` or above 1.35 times `most` tokens, it is the largest that fits `most`, the first
-    of equals, or else the smallest. A chooser that raises makes no choice.
+    of equals, or else the smallest. A chooser that raises makes no choice. It is asked once for each chunk, so its
+    documents are gone through in order, each in one task; without one they are cut in blocks.
     """
+    if chooser is None and 0 < least <= most:
+        return _unchosen(pages, most, least, window, block)
 
     def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
         held: list[tuple[str, int, int]] = []
@@ -255,6 +268,27 @@ def boundary(pages: DataFrame, most: int = 450, least: int = 80, window: int = 6
     return folded(units(pages), ["page", "unit"], fold)
 
 
+def _unchosen(pages: DataFrame, most: int, least: int, window: int, block: int) -> DataFrame:
+    """boundary() without a chooser."""
+
+    def follow(b: chains.Block) -> tuple[np.ndarray, np.ndarray]:
+        own, sums = np.arange(b.own), b.sums
+        wanted = b.before[own] + most
+        soft = np.searchsorted(sums, wanted)
+        seen = np.minimum(soft, len(sums) - 1)
+        # the last end that fits, and the first one with as many tokens
+        fits = np.where(sums[seen] == wanted, seen, np.maximum(seen - 1, own))
+        lowest = own + np.maximum(1, soft - own - window)
+        end = np.where((fits >= lowest) & (sums[fits] - b.before[own] >= least), np.maximum(np.searchsorted(sums, sums[fits]), lowest), seen)
+        return np.where((soft >= len(sums)) | (int(b.at[0]) + soft >= b.total), seen, end), np.ones(b.own, bool)
+
+    def emit(b: chains.Block, start: int, end: int, number: int, _: str | None) -> Iterator[tuple]:
+        yield (number + 1) * _STRIDE, f"llm_{number + 1:05d}", " ".join(b.text[start:end]), b.page[start], b.page[end - 1], None, "llm_boundary", most, 0
+
+    rows = _unit_pieces(pages, most, block).withColumn("known", F.lit(None).cast("string"))
+    return chains.chained(rows, follow, emit, CHUNK, most, block)
+
+
 def _end(held, soft, reach, most, least, window, chooser) -> int:
     reach(soft + window)
     sums = [0, *itertools.accumulate(x[2] for x in held)]

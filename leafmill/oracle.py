@@ -155,3 +155,71 @@ METRICS = "count(*)::BIGINT AS n, avg((coalesce(first_rank, 1 << 30) <= 1)::DOUB
 
 def ranks(scores: str, k: int = 5) -> str:
     return f"found AS ({top(scores, k)}), ranks AS (SELECT qid, min(rank)::BIGINT AS first_rank FROM questions LEFT JOIN (SELECT qid, rank FROM found JOIN chunks USING (doc) JOIN expected USING (qid) WHERE page BETWEEN page_start AND page_end) USING (qid) GROUP BY qid)"
+
+
+def chain(following: str, real: str = "true") -> str:
+    """CTEs of chunks (doc_key, number, i, j): pieces i to before j of u (doc_key, i, page, x, n, c, total), the next one
+    being `following`, a statement of (doc_key, i, j). Where not `real`, of i and j, no chunk begins."""
+    return f"""nexts AS MATERIALIZED ({following}),
+    steps AS (SELECT doc_key, 1::BIGINT AS i, (SELECT any_value(j) FROM nexts WHERE nexts.doc_key = u.doc_key AND nexts.i = 1) AS j FROM u WHERE u.i = 1 UNION ALL SELECT steps.doc_key, nexts.i, nexts.j FROM steps JOIN nexts ON nexts.doc_key = steps.doc_key AND nexts.i = steps.j),
+    found AS (SELECT doc_key, i, j, row_number() OVER (PARTITION BY doc_key ORDER BY i) - 1 AS number FROM steps WHERE {real})"""
+
+
+#: Units of the cleaned pages in their order: c, the tokens before one; and s (doc_key, t, c), the places between them.
+UNITS = rf"""{LINES},
+    parts AS (SELECT doc_key, page, line, CASE WHEN heading THEN [text] ELSE string_split(regexp_replace(text, '([.!?])[{SPACE}]+', '\1' || chr(1), 'g'), chr(1)) END AS p FROM lines),
+    units AS (SELECT doc_key, page, line, unnest(list_filter(p, lambda x: x <> '')) AS x, generate_subscripts(list_filter(p, lambda x: x <> ''), 1) AS k FROM parts),
+    sized AS (SELECT doc_key, page, x, len({tokens('x')}) AS n, row_number() OVER w AS i FROM units WINDOW w AS (PARTITION BY doc_key ORDER BY page, line, k)),
+    u AS MATERIALIZED (SELECT *, (sum(n) OVER (PARTITION BY doc_key ORDER BY i) - n)::BIGINT AS c, (count(*) OVER (PARTITION BY doc_key))::BIGINT AS total FROM sized),
+    s AS MATERIALIZED (SELECT doc_key, i AS t, c FROM u UNION ALL SELECT doc_key, total + 1, c + n FROM u WHERE i = total),
+    firsts AS (SELECT doc_key, c, min(t) AS t FROM s GROUP BY ALL), ends AS (SELECT doc_key, c + n AS c, min(i) AS t FROM u GROUP BY ALL)"""
+
+
+def boundaries(most: int = 450, least: int = 80, window: int = 6) -> str:
+    """CTEs of chunks by soft boundaries, without a chooser."""
+    following = f"""SELECT doc_key, i, CASE WHEN t IS NULL OR t = total + 1 THEN total + 1 WHEN fits >= low AND fc - c >= least THEN greatest(first, low) ELSE t END AS j
+    FROM (SELECT a.*, {least} AS least, s.c AS fc, firsts.t AS first FROM (SELECT u.doc_key, u.i, u.c, total, f.t, i + greatest(1, f.t - i - {window}) AS low, CASE WHEN f.c = u.c + {most} THEN f.t ELSE greatest(f.t - 1, i) END AS fits
+      FROM u ASOF LEFT JOIN firsts f ON f.doc_key = u.doc_key AND u.c + {most} <= f.c) a LEFT JOIN s ON s.doc_key = a.doc_key AND s.t = a.fits LEFT JOIN firsts ON firsts.doc_key = a.doc_key AND firsts.c = s.c)"""
+    return chain(following)
+
+
+def similarities(alike: str, most: int = 450, least: int = 80, threshold: float = 0.55) -> str:
+    """CTEs of chunks that end where `alike` (doc_key, i, sim), a unit's likeness to the one before, is low."""
+    following = f"""SELECT u.doc_key, u.i, least(greatest(coalesce(e.t, total + 1), coalesce(f.t, total + 1)), coalesce(l.i, total + 1)) AS j
+    FROM (SELECT u.*, coalesce(e.t, total + 1) AS et FROM u ASOF LEFT JOIN firsts e ON e.doc_key = u.doc_key AND u.c + {least} <= e.c) u
+    LEFT JOIN s e ON e.doc_key = u.doc_key AND e.t = u.et ASOF LEFT JOIN ends f ON f.doc_key = u.doc_key AND u.c + {most} + 1 <= f.c
+    ASOF LEFT JOIN (SELECT doc_key, i FROM ({alike}) WHERE sim < {threshold}) l ON l.doc_key = u.doc_key AND u.et <= l.i"""
+    return chain(following)
+
+
+def semantic(alike: str, most: int = 450, least: int = 80) -> str:
+    """A statement of the chunks of similarities(), the short last one put to the one before."""
+    short = max(20, least // 2)
+    return f"""WITH RECURSIVE pages AS ({BASIC}), {UNITS}, {similarities(alike)},
+    texts AS (SELECT found.doc_key, number, min(page) AS page_start, max(page) AS page_end, string_agg(x, ' ' ORDER BY u.i) AS text, sum(n) AS tokens, any_value(j) > any_value(total) AS last FROM found JOIN u ON u.doc_key = found.doc_key AND u.i >= found.i AND u.i < j GROUP BY found.doc_key, number),
+    put AS (SELECT *, number - (number > 0 AND last AND tokens < {short})::INT AS place FROM texts),
+    whole AS (SELECT doc_key, place, printf('s%04d_p%04d-%04d', place, min_by(page_start, number), min_by(page_end, number)) AS chunk_id, min_by(page_start, number) AS page_start, max_by(page_end, number) AS page_end, string_agg(text, ' ' ORDER BY number) AS text FROM put GROUP BY doc_key, place)
+    SELECT doc_key, chunk_id, page_start, page_end, length(text)::BIGINT AS n, md5(text) AS md5 FROM whole"""
+
+
+_SPLIT = f"list_filter(regexp_split_to_array(lower(x), '[{SPACE}]+'), lambda w: w <> '')"
+_COUNTED = "list_sum(list_transform(list_distinct({a}), lambda w: len(list_filter({a}, lambda v: v = w)) * len(list_filter({b}, lambda v: v = w))))"
+#: The cosine of the counts of lower-cased words of a unit and the one before.
+ALIKE_WORDS = f"""SELECT doc_key, i, coalesce({_COUNTED.format(a='a', b='b')} / nullif(sqrt(({_COUNTED.format(a='a', b='a')} * {_COUNTED.format(a='b', b='b')})::DOUBLE), 0), 0.0) AS sim
+    FROM (SELECT doc_key, i, lag(w) OVER (PARTITION BY doc_key ORDER BY i) AS a, w AS b FROM (SELECT doc_key, i, {_SPLIT} AS w FROM u)) WHERE i > 1"""
+
+
+def structured(most: int = 800, least: int = 120) -> str:
+    """A statement of the sections between headings, cut at `most` tokens."""
+    following = f"""SELECT u.doc_key, u.i, CASE WHEN heading THEN u.i + 1 WHEN h IS NOT NULL AND h <= coalesce(f.t, total + 1) THEN h ELSE least(coalesce(f.t, total) + 1, total + 1) END AS j
+    FROM (SELECT *, min(i) FILTER (WHERE heading) OVER (PARTITION BY doc_key ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS h FROM u) u ASOF LEFT JOIN ends f ON f.doc_key = u.doc_key AND u.c + {most} <= f.c"""
+    piece = f"w[part * {most} + 1 : part * {most} + {most}]"
+    return f"""WITH RECURSIVE pages AS ({BASIC}), {LINES},
+    sized AS (SELECT doc_key, page, text AS x, heading, CASE WHEN heading THEN [] ELSE {tokens('text')} END AS t, row_number() OVER (PARTITION BY doc_key ORDER BY page, line) AS i FROM lines),
+    u AS MATERIALIZED (SELECT *, len(t) AS n, (sum(len(t)) OVER (PARTITION BY doc_key ORDER BY i) - len(t))::BIGINT AS c, (count(*) OVER (PARTITION BY doc_key))::BIGINT AS total,
+      last_value(CASE WHEN heading THEN trim(text, ':') END IGNORE NULLS) OVER (PARTITION BY doc_key ORDER BY i) AS title FROM sized JOIN (SELECT doc_key AS dk, i AS di, x AS text FROM sized) ON dk = doc_key AND di = i),
+    ends AS (SELECT doc_key, c + n AS c, min(i) AS t FROM u GROUP BY ALL),
+    {chain(following, "EXISTS (SELECT 1 FROM u WHERE u.doc_key = steps.doc_key AND u.i >= steps.i AND u.i < steps.j AND n > 0)")},
+    held AS (SELECT found.doc_key, number, min(page) FILTER (WHERE n > 0) AS page_start, max(page) AS page_end, any_value(title) AS section_title, flatten(list(t ORDER BY u.i)) AS w FROM found JOIN u ON u.doc_key = found.doc_key AND u.i >= found.i AND u.i < j GROUP BY found.doc_key, number),
+    cut AS (SELECT *, {piece} AS p FROM (SELECT *, unnest(range(0, ((len(w) - 1) / {most})::BIGINT + 1)) AS part FROM held) WHERE part = 0 OR len({piece}) >= {least})
+    SELECT doc_key, printf('s%04d_c%04d', number, part) AS chunk_id, page_start, page_end, section_title, length({detokenized('p')})::BIGINT AS n, md5({detokenized('p')}) AS md5 FROM cut WHERE len(p) > 0"""

@@ -199,22 +199,21 @@ def chunk_tree_children(spark, d):
     return _shown(C.tree(P.cleaned_pages(S.pages_table(spark, d)))[1], "section_title")
 
 
-@query()
+@query(O.structured())
 def chunk_structured(spark, d):
     return _shown(C.structured(P.cleaned_pages(S.pages_table(spark, d))), "section_title")
 
 
-@query()
+@query(O.semantic(O.ALIKE_WORDS))
 def chunk_semantic_tf(spark, d):
     return _shown(C.semantic(P.cleaned_pages(S.pages_table(spark, d))))
 
 
-@query()
-def chunk_semantic_embedded(spark, d):
-    return _shown(C.semantic(P.cleaned_pages(S.pages_table(spark, d)), embedder=E.hashed()))
+_BOUNDARIES = f"""WITH RECURSIVE pages AS ({O.BASIC}), {O.UNITS}, {O.boundaries()}, texts AS (SELECT found.doc_key, number, min(page) AS page_start, max(page) AS page_end, string_agg(x, ' ' ORDER BY u.i) AS text FROM found JOIN u ON u.doc_key = found.doc_key AND u.i >= found.i AND u.i < j GROUP BY found.doc_key, number)
+SELECT doc_key, printf('llm_%05d', number + 1) AS chunk_id, page_start, page_end, length(text)::BIGINT AS n, md5(text) AS md5 FROM texts"""
 
 
-@query()
+@query(_BOUNDARIES)
 def chunk_boundary_softpick(spark, d):
     return _shown(C.boundary(P.cleaned_pages(S.pages_table(spark, d))))
 
@@ -301,6 +300,14 @@ def _hashed_sql(rows: str) -> str:
     return f"SELECT id, b, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS c FROM ({counts})"
 
 
+_ALIKE = f"""WITH hv AS MATERIALIZED ({_hashed_sql("SELECT doc_key || '|' || i AS id, x AS text FROM u")}) SELECT u.doc_key, u.i, coalesce(sim, 0.0) AS sim FROM u LEFT JOIN (SELECT w.doc_key, w.i, sum(a.c * b.c) AS sim FROM u w JOIN hv b ON b.id = w.doc_key || '|' || w.i JOIN hv a ON a.id = w.doc_key || '|' || (w.i - 1) AND a.b = b.b GROUP BY ALL) m ON m.doc_key = u.doc_key AND m.i = u.i WHERE u.i > 1"""
+
+
+@query(O.semantic(_ALIKE))
+def chunk_semantic_embedded(spark, d):
+    return _shown(C.semantic(P.cleaned_pages(S.pages_table(spark, d)), embedder=E.hashed()))
+
+
 @query(f"""WITH dv AS ({_hashed_sql('SELECT page AS id, text FROM (' + O.PAGES + ')')}), qv AS ({_hashed_sql('SELECT qid AS id, text FROM (' + O.QUESTIONS + ')')}),
 s AS (SELECT qv.id AS qid, dv.id AS doc, sum(dv.c * qv.c) AS s FROM dv JOIN qv USING (b) GROUP BY ALL),
 pairs AS (SELECT qid, doc, coalesce(s, 0.0) AS score FROM (SELECT doc_id AS doc FROM documents) CROSS JOIN (SELECT item_id AS qid FROM benchmark) LEFT JOIN s USING (qid, doc))
