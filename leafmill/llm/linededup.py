@@ -9,6 +9,10 @@ stand there for the first time, in the order of doc_id, is deleted; overlapping
 repeated runs. So a line goes exactly if it lies in a run of `least_words` words or more that stands earlier
 in any document, or further up in its own. Each line cut still stands earlier, and so in the end somewhere.
 
+A text that stands whole under a smaller doc_id is a copy: all its lines go if they have `least_words` words, and
+nothing in it stands for the first time, so only its first holder is looked at further. Groups of copies, however large,
+are a row each in the counts.
+
 `passages` does the same for words within lines. Both find their cuts in the texts as they came, and both
 are applied at once. Rows are windows, never pairs of documents or places, and their number grows with the
 input. Equality is that of 64-bit hashes.
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import passages
 from .common import saved
-from .passages import KEY, WHITE, merged, repeated, same
+from .passages import KEY, WHITE, copied, merged, repeated, same
 
 
 def _lines(text: Column) -> Column:
@@ -55,18 +59,27 @@ def cuts(docs: DataFrame, least_words: int = 10) -> DataFrame:
     """(doc_id, hash, cuts, all) of the documents that lose lines: hash is the text's XXH64, cuts are (b, e) of
     line numbers, both inclusive, with the blank lines up to the next, and `all` tells that no line is left but
     blank ones."""
-    return _cuts(docs, least_words)[0]
+    return _cuts(docs, least_words, holders(docs))[0]
+
+
+def holders(docs: DataFrame) -> DataFrame:
+    """(hash, holder, shared) of the texts that several rows have: the first doc_id that has it, null before all."""
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash")).groupBy("hash").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    return saved(rows.where("n > 1").select("hash", F.col("first.doc_id").alias("holder"), F.lit(True).alias("shared")), "holders")
 
 
-def _cuts(docs: DataFrame, least_words: int) -> tuple[DataFrame, bool]:
-    """The cuts, and whether each document with a line has a doc_id of its own, not null."""
+def _cuts(docs: DataFrame, least_words: int, first: DataFrame) -> tuple[DataFrame, bool]:
+    """The cuts, and whether each document with a line has a doc_id of its own, not null. `first` is holders()."""
     frame = docs.select("doc_id", F.xxhash64("text").alias("hash"), _lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    frame = frame.select(*KEY, F.col("lines.i").alias("i"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n"))
     # no filter before it is saved: it would be pushed down, and the lines made twice
-    lines = saved(frame.select(*KEY, F.col("lines.i").alias("i"), F.col("lines.h").alias("h"), F.col("lines.n").alias("n")), "lines").where(F.size("h") > 0)
+    lines = saved(frame.join(first, "hash", "left").select(*KEY, "i", "h", "n", copied().alias("copy")), "lines").where(F.size("h") > 0)
     ids = lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("hash").alias("low"), F.max("hash").alias("high"))
     known = ids.agg(F.max("n").alias("rows"), F.expr("bool_or(doc_id is null or low <> high)").alias("shared")).first()
     if (known["rows"] or 0) > 1:
         lines = saved(lines.dropDuplicates(KEY), "lines")
+    copies, lines = lines.where("copy"), lines.where("not copy")
     enough = least_words * 1000
     reach = lambda part: f"aggregate({part}, 0L, (a, x) -> if(a >= {enough}, a, a + x * 1000L + 1))"
     #: From each line on, and back from each line: 1000 times the words of the window, plus its lines.
@@ -82,7 +95,10 @@ def _cuts(docs: DataFrame, least_words: int) -> tuple[DataFrame, bool]:
     backward = f"transform(filter(transform(back, (a, t) -> named_struct('s', t - cast(a % 1000 as int) + 1, 't', t)), x -> back[x.t] >= {enough} and x.s + ahead[x.s] % 1000 - 1 <> x.t and array_contains(fs, f[x.s])), x -> {window.format(s='x.s', t='x.t')})"
     runs = found.select(*KEY, F.element_at("i", 1).alias("top"), F.element_at("i", -1).alias("end"), F.explode_outer(F.concat(F.expr(forward), F.expr(backward))).alias("x"))
     found = merged(runs.select(*KEY, "top", "end", "x.*"), "line", ["top", "end"])
-    return found.select(*KEY, "cuts", F.expr("size(cuts) = 1 and cuts[0].b = top and cuts[0].e = end").alias("all")), not known["shared"]
+    found = found.select(*KEY, "cuts", F.expr("size(cuts) = 1 and cuts[0].b = top and cuts[0].e = end").alias("all"))
+    whole = copies.where(f"aggregate(n, 0L, (a, x) -> a + x) >= {least_words}")
+    whole = whole.select(*KEY, F.array(F.struct(F.element_at("i", 1).alias("b"), F.element_at("i", -1).alias("e"))).alias("cuts"), F.lit(True).alias("all"))
+    return found.union(whole), not known["shared"]
 
 
 def deduplicated(docs: DataFrame, least_words: int = 10, passage: int | None = 50, report: bool = False, drop: bool = True) -> DataFrame:
@@ -97,11 +113,12 @@ def deduplicated(docs: DataFrame, least_words: int = 10, passage: int | None = 5
     passage that ends a line further down than it began leaves its line break. A null text stays null, other columns
     stay as they are. An empty table gives an empty one.
     """
-    found, single = _cuts(docs, least_words)
+    first = holders(docs)
+    found, single = _cuts(docs, least_words, first)
     lines = saved(found, "line-cuts")
     kind = "array<struct<b: int, e: int>>"
     found = lines.select(*KEY, "cuts", F.lit(None).cast(kind).alias("words"))
     if passage is not None:
-        inside = passages.cuts(docs, passage, lines, single).select(*KEY, F.lit(None).cast(kind).alias("cuts"), F.col("cuts").alias("words"))
+        inside = passages.cuts(docs, passage, lines, single, first).select(*KEY, F.lit(None).cast(kind).alias("cuts"), F.col("cuts").alias("words"))
         found = found.union(inside).groupBy(*KEY).agg(F.first("cuts", True).alias("cuts"), F.first("words", True).alias("words"))
     return passages.without(docs, saved(found, "cuts"), report, drop)

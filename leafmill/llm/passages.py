@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import mapped, pieces, saved
 from .decontaminate import word_hashes
@@ -40,6 +40,11 @@ def same(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.hash") == F.col(f"{b}.hash"))
 
 
+def copied() -> Column:
+    """Whether a row's text has a holder before its doc_id, of the columns holder and shared, null without one."""
+    return F.coalesce("shared", F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col("holder"))
+
+
 def repeated(chosen: DataFrame, name: str) -> DataFrame:
     """Of fingerprints (doc_id, hash, f, n), once for a document: (doc_id, hash, fs) with those that repeat."""
     marks = saved(chosen, f"{name}-fingerprints")
@@ -186,16 +191,19 @@ def around(shard: Shard, least: int, gram: int, prints: list, lost: list) -> tup
     return doc, found.view(np.int64), order[start], order[start + least - 1], again
 
 
-def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None, single: bool = False) -> DataFrame:
+def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None, single: bool = False, first: DataFrame | None = None) -> DataFrame:
     """(doc_id, hash, cuts) of the documents that lose words: hash is the text's XXH64, cuts are (b, e) of
     word numbers, both inclusive, where a blank line counts as a word.
 
     Lines that `gone` (doc_id, hash, cuts, all) lists as cut are passed over: what lies within them stands
     earlier in any case, so no first place is among it. `single` tells that no two documents with words share
-    a doc_id and none is null.
+    a doc_id and none is null. Copies of texts that `first` (hash, holder, shared) lists are passed over too: all
+    their lines are cut.
     """
     gram = max(2 * least // 5, 1)
     texts = docs.where(F.length("text") >= 2 * least - 1).select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    if first is not None:
+        texts = texts.join(first, "hash", "left").where(~copied()).select("doc_id", "hash", "text")
 
     def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", _SHARD):
@@ -221,12 +229,6 @@ def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None, single
     return merged(runs, "passage", [], single)
 
 
-@F.arrow_udf(StringType())
-def _left_over(text: pa.Array, lines: pa.Array, words: pa.Array) -> pa.Array:
-    own = zip(text.to_pylist(), lines.to_pylist(), words.to_pylist(), strict=True)
-    return pa.array([None if w is None else left_over(t, c or [], w) for t, c, w in own], pa.string())
-
-
 def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> DataFrame:
     """`docs` without what `found` (doc_id, hash, cuts of lines, words) lists, one row there for a document.
 
@@ -239,9 +241,15 @@ def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> Data
     begin = "if(k = 0, 0, get(__lines, k - 1).e + 1)"
     gaps = f"transform(sequence(0, size(__lines)), k -> slice(ls, {begin} + 1, greatest(if(k = size(__lines), size(ls), get(__lines, k).b) - {begin}, 0)))"
     whole = f"transform(transform(array(split(text, '\\n')), ls -> flatten({gaps})), r -> if(size(r) > 0, concat(array_join(r, '\\n'), '\\n'), ''))[0]"
-    touched = F.expr("__words is not null")
-    cut = _left_over(F.when(touched, F.col("text")), F.when(touched, F.col("__lines")), F.col("__words"))
-    split = joined.withColumn("__all", cut).withColumn("__left", F.expr(f"case when __words is not null then __all when __lines is not null then {whole} end"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            own = zip(batch.column("text"), batch.column("__lines"), batch.column("__words"), strict=True)
+            left = [left_over(t.as_py(), c.as_py() or [], w.as_py()) if w.is_valid else None for t, c, w in own]
+            yield batch.append_column("__all", pa.array(left, pa.string()))
+
+    cut = mapped(joined, run, StructType([*joined.schema, StructField("__all", StringType())]))
+    split = cut.withColumn("__left", F.expr(f"case when __words is not null then __all when __lines is not null then {whole} end"))
     text = F.expr(f"if({hit}, left(__left, greatest(length(__left) - 1, 0)), text)")
     added = {"n_lines", "n_cut", "n_left", "n_chars_cut"} if report else set()
     kept = [c for c in docs.columns if c not in added]

@@ -77,3 +77,32 @@ def test_white_space_and_what_is_left(frame, odd):
     assert out.columns == frame(odd).columns and {0, 1, 2, 3, 4} <= {r.doc_id for r in out.collect()}
     assert all(re.search(r"\S", r.text or "x") for r in out.where("doc_id > 3").collect())
     assert passages.deduplicated(frame([])).collect() == []
+
+
+def test_what_is_left_over():
+    """Against lists of words, over random texts and cuts."""
+    rng = random.Random(12)
+    for _ in range(300):
+        lines = ["".join(rng.choice(["", " ", "\t"]) + rng.choice(["a", "bb", "é", "c.d"]) + rng.choice([" ", "  ", "\r"]) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 8))]
+        lines = [x if x.strip() else rng.choice(["", " ", " \t"]) for x in lines]
+        split = [re.findall(r"\s*\S+\s*", x) or [x] for x in lines]
+        n = sum(map(len, split))
+
+        def ranges(most):
+            out, at = [], rng.randint(0, 3)
+            while at < most:
+                end = min(at + rng.randint(0, 4), most - 1)
+                out.append({"b": at, "e": end})
+                at = end + rng.randint(2, 5)
+            return out
+
+        gone, cut = ranges(len(lines)) if rng.random() < 0.5 else [], ranges(n)
+        want, o = "", 0
+        for i, own in enumerate(split):
+            first, o = o, o + len(own)
+            if any(c["b"] <= i <= c["e"] for c in gone):
+                continue
+            left = [w for j, w in enumerate(own, first) if not any(c["b"] <= j <= c["e"] for c in cut)]
+            if not any(c["b"] <= first and o - 1 <= c["e"] for c in cut):
+                want += "".join(left) + "\n"
+        assert passages.left_over("\n".join(lines), gone, cut) == want
