@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import pivots
 from . import retrieval as R
 
 
-def knn(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def knn(vectors: DataFrame, k: int, **sizes: int) -> DataFrame:
     """(src, dst, nbr_rank, sim): the k most alike by cosine of every vector (doc, vec), itself aside, ties by doc; exact."""
-    found = R.nearest(vectors.select(F.col("doc").alias("qid"), "vec"), vectors, k, itself=False, block=block)
+    found = pivots.nearest(vectors.select(F.col("doc").alias("qid"), "vec"), vectors, k, itself=False, **sizes)
     return found.select(F.col("qid").alias("src"), F.col("doc").alias("dst"), F.col("rank").alias("nbr_rank"), F.col("score").alias("sim"))
 
 

@@ -128,7 +128,7 @@ def vectors(spark):
 
 def test_knn_in_blocks(vectors):
     rows = {(r.src, r.nbr_rank): r.dst for r in graph.knn(vectors, 5).collect()}
-    assert rows == {(r.src, r.nbr_rank): r.dst for r in graph.knn(vectors, 5, block=9).collect()} and len(rows) == 200
+    assert rows == {(r.src, r.nbr_rank): r.dst for r in graph.knn(vectors, 5, cell_rows=9, block_rows=4).collect()} and len(rows) == 200
     vec = {r.doc: r.vec for r in vectors.collect()}
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
     want = sorted((d for d in vec if d != 7), key=lambda d: -cos(vec[7], vec[d]))[:5]
