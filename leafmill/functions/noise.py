@@ -54,7 +54,7 @@ def cleaned(c: Column, profile: Profile = BASIC) -> Column:
         c = T.dehyphenated(c)
     c = T.newlines(c)
     if profile.collapse_whitespace:
-        c = T.strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+        c = T.strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n"))
     return c
 
 

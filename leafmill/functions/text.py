@@ -8,8 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"\t-\r\x1C-\x1F \x85\p{Z}"
-WORD = r"\p{L}\p{N}_"
+#: For character classes. Single characters below U+0100 are a look-up in a table, categories a call, so those come
+#: first and these last; all separators (category Z) are spelt out.
+_WIDE = "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK = r"\t\x0B\f\r\x1C\x1D\x1E\x1F \x85\xA0" + _WIDE
+SPACE = r"\n" + _BLANK
+WORD = r"a-zA-Z0-9_\p{L}\p{N}"
+#: The same as a string.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TOKEN = rf"[{WORD}]+|[^{WORD}{SPACE}]"
 _CLOSING = (".", ",", ":", ";", "?", "!", ")", "]", "}")
 _OPENING = ("(", "[", "{")
@@ -17,7 +23,7 @@ _OPENING = ("(", "[", "{")
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def newlines(c: Column) -> Column:
@@ -32,9 +38,9 @@ def normalized(c: Column) -> Column:
     """Joins words hyphenated over a line end, makes line ends LF, blanks single, blank lines one at most,
     and strips every line's end and the whole. In this order, so that CR LF after a hyphen is kept, and
     lines that only look blank may leave more than one blank line."""
-    c = F.regexp_replace(newlines(dehyphenated(c)), r"[ \t\x0B\r\f]+", " ")
+    c = F.regexp_replace(newlines(dehyphenated(c)), r"[ \t\x0B\r\f]{2,}|[\t\x0B\r\f]", " ")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    return strip(F.regexp_replace(c, rf"(?:(?!\n)[{SPACE}])+(?=\n|\z)", ""))
+    return strip(F.regexp_replace(c, rf"[{_BLANK}]++(?=\n)", ""))
 
 
 def tokens(c: Column) -> Column:
@@ -50,11 +56,12 @@ def detokenized(t: Column) -> Column:
     """Tokens with one blank between, none before closing punctuation, and none behind an opening bracket
     that is the very first token."""
 
-    def piece(w: Column, i: Column) -> Column:
-        bare = (i == 0) | w.isin(*_CLOSING) | ((i == 1) & F.get(t, F.lit(0)).isin(*_OPENING))
-        return F.when(bare, w).otherwise(F.concat(F.lit(" "), w))
-
-    return F.array_join(F.transform(t, piece), "")
+    # tokens hold no blank, so one before such a character stands before such a token
+    c = F.array_join(t, " ")
+    for mark in _CLOSING:
+        c = F.replace(c, F.lit(f" {mark}"), F.lit(mark))
+    first = F.substring(c, 1, 1)
+    return F.when(first.isin(*_OPENING) & (F.substring(c, 2, 1) == " "), F.concat(first, F.substring(c, 3, 1 << 30))).otherwise(c)
 
 
 def is_heading(line: Column) -> Column:

@@ -40,8 +40,9 @@ def _id(prefix: str, number: Column, digits: int = 4) -> Column:
 def naive(pages: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
     """Token windows of each page, beginning every size - overlap tokens, those within the last one included."""
     step = max(1, size - overlap)
-    tokens = pages.select("doc_key", "page", T.tokens(T.normalized(F.coalesce("text", F.lit("")))).alias("t")).where(F.size("t") > 0)
-    starts = F.sequence(F.lit(0), F.size("t") - 1, F.lit(step))
+    tokens = pages.select("doc_key", "page", T.tokens(T.normalized(F.coalesce("text", F.lit("")))).alias("t"))
+    # no filter on the tokens, which would be pushed down and make them twice
+    starts = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
     windows = tokens.select("doc_key", "page", F.posexplode(F.transform(starts, lambda i: F.slice("t", i + 1, size))).alias("i", "w"))
     chunk_id = F.concat(_id("p", F.col("page")), F.lit("_"), _id("n", F.col("i")))
     return windows.select(*_chunk(doc_key=F.col("doc_key"), ord=F.col("page") * _STRIDE + F.col("i"), chunk_id=chunk_id, text=T.detokenized(F.col("w")), page_start=F.col("page"), page_end=F.col("page"), strategy=F.lit("naive_tokens"), chunk_size=F.lit(size), overlap=F.lit(overlap)))

@@ -1,7 +1,7 @@
 """Lexical indexes as tables: TF-IDF weights and BM25 postings, and scores of many queries in one job.
 
 Documents are rows (doc, text), doc being a key that also breaks ties; queries are rows (qid, text), a stated
-set that is taken in blocks. An index keeps each document's terms as one array. `best` takes these arrays in Arrow
+set that is taken in blocks. An index keeps each document's terms as one text, a line each. `best` takes these in Arrow
 batches where they lie: a batch's terms are looked up at once among those that a block of queries asks for, sparse
 products are added up, and a task passes on the k best of each query. So neither terms nor pairs of queries
 and documents become rows, and nothing is shuffled but results. `scores_of` scores given pairs, and
@@ -32,11 +32,24 @@ def unaccented(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(c), "".join(_MARKED), "".join(_MARKED.values())), r"\p{Mn}", "")
 
 
+def words(c: Column) -> Column:
+    """Words of two characters or more."""
+    return F.regexp_extract_all(unaccented(c), F.lit(rf"[{T.WORD}]{{2,}}"), F.lit(0))
+
+
+def grams_of(w: Column) -> Column:
+    """Words, and pairs of neighbours."""
+    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(w) > 1, F.concat(w, pairs)).otherwise(w)
+
+
 def grams(c: Column) -> Column:
-    """Words of two characters or more, and pairs of neighbours."""
-    words = F.regexp_extract_all(unaccented(c), F.lit(rf"[{T.WORD}]{{2,}}"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
+    return grams_of(words(c))
+
+
+def _listed(c: Column) -> Column:
+    """An array of terms that were joined by line breaks, which none of them holds."""
+    return F.when(c != "", F.split(c, "\n")).otherwise(F.array().cast("array<string>"))
 
 
 def term_counts(rows: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -59,13 +72,26 @@ def _first(scores: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
 Hits = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def found_in(lists: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, tf): which of the terms, by number, stand in each row's list, and how often."""
-    place = pc.index_in(lists.flatten(), value_set=terms)
-    known = pc.is_valid(place).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[known]
-    keys, tf = np.unique(row * len(terms) + place.drop_null().to_numpy().astype(np.int64), return_counts=True)
-    return keys // max(len(terms), 1), keys % max(len(terms), 1), tf
+def split(joined: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The terms of joined texts, and the row of each."""
+    lists = pc.split_pattern(joined, "\n")
+    return lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def neighbours(terms: pa.Array, row: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Pairs of terms that follow each other in a row, and the row of each."""
+    both = row[1:] == row[:-1]
+    mask = pa.array(both)
+    return pc.binary_join_element_wise(terms.slice(0, max(len(terms) - 1, 0)).filter(mask), terms.slice(1).filter(mask), " "), row[1:][both]
+
+
+def found_in(terms: pa.Array, row: np.ndarray, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, tf): which of the known terms, by number, stand in each row, and how often."""
+    place = pc.index_in(terms, value_set=known)
+    valid = pc.is_valid(place).to_numpy(zero_copy_only=False)
+    n = max(len(known), 1)
+    keys, tf = np.unique(row[valid] * n + place.drop_null().to_numpy().astype(np.int64), return_counts=True)
+    return keys // n, keys % n, tf
 
 
 def best_of(queries: DataFrame, asked: DataFrame, docs: DataFrame, hits: Callable[[list[str]], Hits], k: int, block: int = 512) -> DataFrame:
@@ -128,13 +154,14 @@ class TfIdf:
     """
 
     def __init__(self, docs: DataFrame, most: int = 60_000):
-        self.grams = docs.select("doc", grams(F.coalesce("text", F.lit(""))).alias("g")).persist()
-        n = self.grams.agg(F.count("*").alias("n"))
+        self.words = docs.select("doc", F.array_join(words(F.coalesce("text", F.lit(""))), "\n").alias("w")).persist()
+        self.grams = self.words.select("doc", grams_of(_listed(F.col("w"))).alias("g"))
+        n = self.words.agg(F.count("*").alias("n"))
         total = self.grams.select(F.explode("g").alias("term")).groupBy("term").agg(F.count("*").alias("total"))
         chosen = total.orderBy(F.desc("total"), "term").limit(most).select("term").persist()
         df = self.grams.select(F.explode(F.array_distinct("g")).alias("term")).join(F.broadcast(chosen), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
         self.idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")).persist()
-        self.kept = [self.grams, chosen, self.idf]
+        self.kept = [self.words, chosen, self.idf]
 
     def close(self) -> None:
         for table in self.kept:
@@ -174,7 +201,9 @@ class TfIdf:
             number[place] = np.arange(len(terms))
 
             def find(batch: pa.RecordBatch):
-                row, term, tf = found_in(batch.column("g"), names)
+                own, of = split(batch.column("w"))
+                pairs, by = neighbours(own, of)
+                row, term, tf = (np.concatenate(x) for x in zip(found_in(own, of, names), found_in(pairs, by, names), strict=True))
                 w = tf * idf[term]
                 length = np.sqrt(np.bincount(row, w * w, batch.num_rows))
                 asked = number[term] >= 0
@@ -182,7 +211,7 @@ class TfIdf:
 
             return find
 
-        return best_of(queries, asked, self.grams, hits, k)
+        return best_of(queries, asked, self.words, hits, k)
 
     def scores_of(self, pairs: DataFrame, queries: DataFrame, docs: DataFrame | None = None) -> DataFrame:
         """(qid, doc, score) of the pairs (qid, doc), 0 where they share nothing; docs (doc, text) are other rows than those fitted on."""
@@ -211,13 +240,14 @@ class Bm25:
     """
 
     def __init__(self, docs: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
-        self.tokens = docs.select("doc", T.tokens(T.normalized(F.coalesce("text", F.lit("")))).alias("t")).persist()
+        joined = docs.select("doc", F.array_join(T.tokens(T.normalized(F.coalesce("text", F.lit("")))), "\n").alias("t")).persist()
+        self.joined, self.tokens = joined, joined.select("doc", _listed(F.col("t")).alias("t"))
         size = self.tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_len"))
         df = self.tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(size)
         raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "mean_len").persist()
         mean = raw.agg(F.avg("raw").alias("mean"))
         self.idf = raw.crossJoin(mean).select("term", "mean_len", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-        self.kept, self.k1, self.b = (self.tokens, raw), k1, b
+        self.kept, self.k1, self.b = (joined, raw), k1, b
 
     def close(self) -> None:
         for table in self.kept:
@@ -244,15 +274,16 @@ class Bm25:
             names = pa.array(terms, pa.string())
 
             def find(batch: pa.RecordBatch):
-                lists = batch.column("t")
-                row, term, tf = found_in(lists, names)
-                size = lists.value_lengths().to_numpy(zero_copy_only=False)
+                own, of = split(batch.column("t"))
+                row, term, tf = found_in(own, of, names)
+                # an empty text counts one here, and has no hit to be weighed
+                size = np.bincount(of, minlength=batch.num_rows)
                 gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / mean_len))
                 return row, term, gain, np.ones(batch.num_rows)
 
             return find
 
-        return best_of(queries, asked, self.tokens, hits, k)
+        return best_of(queries, asked, self.joined, hits, k)
 
     def _postings(self, asked: DataFrame) -> DataFrame:
         known = asked.select("term").distinct()

@@ -333,7 +333,7 @@ _BASE = f"WITH pages AS ({O.BASIC}), questions AS ({O.QUESTIONS}), {O.windows(30
 
 
 def _flat(spark, d) -> tuple[DataFrame, DataFrame]:
-    return P.flat_chunks(S.pages_table(spark, d), NAIVE).persist(), S.questions_table(spark, d)
+    return P.flat_chunks(S.pages_table(spark, d), NAIVE), S.questions_table(spark, d)
 
 
 @query(f"{_BASE}, {O.tfidf()} SELECT doc, count(*)::BIGINT AS n_terms, round(sum(w), 6) AS total, round(max(w), 6) AS largest FROM dw GROUP BY doc")
