@@ -28,7 +28,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from leafmill.functions import noise as N  # noqa: E402
 from leafmill.operators import metrics as M  # noqa: E402
 from leafmill.plans import retrieval as P  # noqa: E402
-from leafmill.session import ship, spread  # noqa: E402
+from leafmill.session import ship, spread, stored  # noqa: E402
 from leafmill.sources.readers import config as read_config  # noqa: E402
 
 log = logging.getLogger("leaderboard")
@@ -58,7 +58,7 @@ def run(spark: SparkSession, pages_path: str, questions_path: str, out: str, con
     done = []
     for settings in config["runs"]:
         name = str(settings["name"])
-        chunks = P.flat_chunks(pages, settings["chunking"], profile).persist()
+        chunks = stored(P.flat_chunks(pages, settings["chunking"], profile))
         found = P.rankings(chunks, questions, settings.get("retrieval"), k)
         shown = found.join(chunks.select("doc", "page_start", "page_end"), "doc")
         hits = shown.join(expected, "qid").where(F.col("page").between(F.col("page_start"), F.col("page_end"))).select("qid", "rank", F.lit(True).alias("hit")).distinct()
@@ -69,7 +69,6 @@ def run(spark: SparkSession, pages_path: str, questions_path: str, out: str, con
         told = {"strategy": settings["chunking"]["strategy"], "retrieval": (settings.get("retrieval") or {}).get("type", "dense"), "cleaning": profile.name, "k": k} | {c: v for c, v in settings["chunking"].items() if c != "strategy"}
         row = M.ranking_metrics(first).select(*[F.lit(v).alias(c) for c, v in told.items()], F.lit(chunks.count()).alias("n_chunks"), "*")
         _put(row.coalesce(1), name, f"{out}/leaderboard")
-        chunks.unpersist()
         done.append(spark.read.parquet(f"{out}/leaderboard").where(F.col("run") == name).first().asDict())
         log.info("run %s: %d chunks, wrote %d results to %s/ranks; hit@1 %.3f, hit@5 %.3f, mrr %.3f", name, done[-1]["n_chunks"], mine.count(), out, done[-1]["hit_at_1"], done[-1]["hit_at_5"], done[-1]["mrr"])
     expected.unpersist()

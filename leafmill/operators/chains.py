@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import stored
+
 BLOCK = 1 << 16
 
 
@@ -83,8 +85,9 @@ def pieces(pages: DataFrame, made: Column, reach: int, block: int = BLOCK) -> Da
     content. What a block's chunks can reach has to lie in the next one, so blocks are larger than that."""
     block = max(block, reach + 1)
     rows = pages.select("doc_key", F.col("page").cast("bigint").alias("page"), made.alias("p"))
-    # read for the sums and again for the texts; tokens are made once
-    rows = rows.withColumn("n", F.size("p").cast("bigint")).withColumn("m", F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["size"])).withColumn("h", F.xxhash64("p")).persist()
+    # read for the sums and again for the texts, in two passes; tokens are made once
+    rows = rows.withColumn("n", F.size("p").cast("bigint")).withColumn("m", F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x["size"])).withColumn("h", F.xxhash64("p"))
+    rows = stored(rows)
     found = running(rows, "doc_key", "page", "n", "m", tie="h").where("n > 0").select("doc_key", "page", "p", "before_n", "before_m", F.col("all_n").alias("total"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

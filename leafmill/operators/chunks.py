@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import stored
 from . import chains
 from . import embed as E
 
@@ -77,7 +78,8 @@ def tree(pages: DataFrame, parent_max: int = 900, size: int = 450, overlap: int
     page = Window.partitionBy("doc_key", "page").orderBy("line")
     split = lines(pages).withColumn("t", F.when(F.col("heading"), F.array().cast("array<string>")).otherwise(T.tokens(F.col("text"))))
     # of each line: the headings of its page so far, and the tokens before it on its page
-    split = split.withColumn("k", F.sum(F.col("heading").cast("int")).over(page)).withColumn("u", F.sum(F.size("t")).over(page) - F.size("t")).persist()
+    split = split.withColumn("k", F.sum(F.col("heading").cast("int")).over(page)).withColumn("u", F.sum(F.size("t")).over(page) - F.size("t"))
+    split = stored(split)
     own = split.groupBy("doc_key", "page").agg(F.sum(F.col("heading").cast("int")).alias("k"), F.sum(F.size("t")).alias("u"), F.max(F.when(F.col("heading"), F.col("u"))).alias("h"))
     placed = chains.running(own, "doc_key", "page", "k", "u").withColumn("h", F.col("h") + F.col("before_u"))
     placed = chains.running(placed.select("doc_key", "page", "before_k", "before_u", "h"), "doc_key", "page", "h", how=F.max).drop("h", "all_h")

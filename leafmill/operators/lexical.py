@@ -5,8 +5,8 @@ set that is taken in blocks. An index keeps each document's terms as one text, a
 batches where they lie: a batch's terms are looked up at once among those that a block of queries asks for, sparse
 products are added up, and a task passes on the k best of each query. So neither terms nor pairs of queries
 and documents become rows, and nothing is shuffled but results. `scores_of` scores given pairs, and
-`scores` all pairs that share a term, which grow with documents times queries. An index keeps its tables
-persisted, in memory or on disk, as every search reads them; `close` lets them go.
+`scores` all pairs that share a term, which grow with documents times queries. An index writes its terms
+to the shared folder, as every search reads them, and keeps its smaller tables persisted; `close` lets these go.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
+from ..session import stored
 
 _MARKED = {chr(c): d[0] for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFKD", chr(c))) > 1 and all(unicodedata.combining(x) for x in d[1:])}
 
@@ -154,14 +155,14 @@ class TfIdf:
     """
 
     def __init__(self, docs: DataFrame, most: int = 60_000):
-        self.words = docs.select("doc", F.array_join(words(F.coalesce("text", F.lit(""))), "\n").alias("w")).persist()
+        self.words = stored(docs.select("doc", F.array_join(words(F.coalesce("text", F.lit(""))), "\n").alias("w")))
         self.grams = self.words.select("doc", grams_of(_listed(F.col("w"))).alias("g"))
         n = self.words.agg(F.count("*").alias("n"))
         total = self.grams.select(F.explode("g").alias("term")).groupBy("term").agg(F.count("*").alias("total"))
         chosen = total.orderBy(F.desc("total"), "term").limit(most).select("term").persist()
         df = self.grams.select(F.explode(F.array_distinct("g")).alias("term")).join(F.broadcast(chosen), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
         self.idf = df.crossJoin(F.broadcast(n)).select("term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")).persist()
-        self.kept = [self.words, chosen, self.idf]
+        self.kept = [chosen, self.idf]
 
     def close(self) -> None:
         for table in self.kept:
@@ -240,14 +241,14 @@ class Bm25:
     """
 
     def __init__(self, docs: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25):
-        joined = docs.select("doc", F.array_join(T.tokens(T.normalized(F.coalesce("text", F.lit("")))), "\n").alias("t")).persist()
+        joined = stored(docs.select("doc", F.array_join(T.tokens(T.normalized(F.coalesce("text", F.lit("")))), "\n").alias("t")))
         self.joined, self.tokens = joined, joined.select("doc", _listed(F.col("t")).alias("t"))
         size = self.tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean_len"))
         df = self.tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(size)
         raw = df.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "mean_len").persist()
         mean = raw.agg(F.avg("raw").alias("mean"))
         self.idf = raw.crossJoin(mean).select("term", "mean_len", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-        self.kept, self.k1, self.b = (joined, raw), k1, b
+        self.kept, self.k1, self.b = (raw,), k1, b
 
     def close(self) -> None:
         for table in self.kept:

@@ -19,6 +19,7 @@ from ..operators import embed as E
 from ..operators import lexical as L
 from ..operators import metrics as M
 from ..operators import retrieval as R
+from ..session import stored
 
 
 def cleaned_pages(pages: DataFrame, profile: N.Profile = N.BASIC) -> DataFrame:
@@ -109,7 +110,7 @@ def rankings(chunks: DataFrame, questions: DataFrame, config: dict | None = None
 def tree_rankings(parents: DataFrame, children: DataFrame, questions: DataFrame, k: int = 5, parent_k: int = 3, kind: str = "dense") -> DataFrame:
     """Children of each question's best parents, ranked. Parents are weighed by the fit on them, and so are
     children. For bm25 all children compete, and for hybrid the lexical side does."""
-    parents, children = parents.persist(), children.persist()
+    parents, children = stored(parents), stored(children)
     index = L.TfIdf(parents.select("doc", "text"))
     best = R.top_k(index.best(questions, parent_k), parent_k).select("qid", F.col("doc").alias("parent"))
     docs = children.select("doc", "text")
@@ -133,8 +134,9 @@ def late_rankings(pages: DataFrame, questions: DataFrame, k: int = 5, page_k: in
         found = L.Bm25(docs)
         lexical = found.best(questions, max(50, 10 * page_k))
         scores = lexical if kind == "bm25" else R.hybrid(index.best(questions, candidates), lexical, page_k, candidates=candidates, lexical_of=lambda pairs: found.scores_of(pairs, questions))
-    best = R.top_k(scores, page_k).select("qid", "doc").persist()
-    subs = R.sub_chunks(best.join(docs, "doc"), size, overlap).withColumn("doc", F.col("page") * (1 << 20) + F.col("sub")).persist()
+    best = R.top_k(scores, page_k).select("qid", "doc")
+    subs = R.sub_chunks(best.join(docs, "doc"), size, overlap).withColumn("doc", F.col("page") * (1 << 20) + F.col("sub"))
+    subs = stored(subs)
     # a page that several questions found is cut for each; its pieces are weighed once
     pieces = subs.groupBy("doc").agg(F.first("text").alias("text"))
     weighed = index.scores_of(subs, questions, pieces).join(subs.select("qid", "doc", "page", "sub"), ["qid", "doc"])
@@ -144,7 +146,7 @@ def late_rankings(pages: DataFrame, questions: DataFrame, k: int = 5, page_k: in
 def evaluate(pages: DataFrame, questions: DataFrame, chunking: dict, profile: N.Profile = N.BASIC, retrieval: dict | None = None, k: int = 5, expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(metrics, first ranks) of a run: one row, and one for each question. `expected` is (qid, page); by default
     the pages that hold the question's text."""
-    chunks = flat_chunks(pages, chunking, profile).persist()
+    chunks = stored(flat_chunks(pages, chunking, profile))
     best = rankings(chunks, questions, retrieval, k)
     ranks = M.first_ranks(best, chunks, expected if expected is not None else expected_pages(pages, questions), questions)
     return M.ranking_metrics(ranks), ranks
@@ -154,7 +156,7 @@ def compared(variants: dict[str, DataFrame], questions: DataFrame, expected: Dat
     """A row of ranking metrics for each variant of the chunks, by its name."""
     out = None
     for name, chunks in variants.items():
-        chunks = chunks.persist()
+        chunks = stored(chunks)
         ranks = M.first_ranks(rankings(chunks, questions, retrieval, k), chunks, expected, questions)
         row = M.ranking_metrics(ranks).withColumn("variant", F.lit(name))
         out = row if out is None else out.unionByName(row)
@@ -165,7 +167,7 @@ def answer_inputs(pages: DataFrame, questions: DataFrame, chunking: dict, k: int
     """(qid, context, context_pages): what a generator is shown for each question."""
     from ..functions import answers as A
 
-    chunks = flat_chunks(pages, chunking).persist()
+    chunks = stored(flat_chunks(pages, chunking))
     got = rankings(chunks, questions, retrieval, k).join(chunks.select("doc", "page_start", "page_end", "text"), "doc")
     rows = F.collect_list(F.struct("rank", "page_start", "page_end", "text"))
     shown = got.groupBy("qid").agg(A.context(rows).alias("context"))

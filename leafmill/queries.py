@@ -23,7 +23,7 @@ from .operators import metrics as M
 from .operators import retrieval as R
 from .operators import store as VS
 from .plans import retrieval as P
-from .session import shared_dir, spread
+from .session import shared_dir, spread, stored
 from .sources import pdf as PDF
 from .sources import readers as S
 
@@ -498,7 +498,7 @@ def _variant(name: str, text: str) -> str:
 def variant_comparison(spark, d):
     """Chunks as they are against chunks with the stub's summary before them, which finds nothing."""
     pages, questions = P.cleaned_pages(S.pages_table(spark, d)), S.questions_table(spark, d)
-    chunks = P.flat_chunks(pages, NAIVE).persist()
+    chunks = stored(P.flat_chunks(pages, NAIVE))
     variants = {"raw": chunks, "augmented": G.summarised(chunks, G.stub)}
     return P.compared(variants, questions, P.expected_pages(pages, questions), {"type": "bm25"})
 

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -68,3 +69,11 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         context._leafmill_folder = f"file://{made}"
     return context._leafmill_folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder now and read from there: made once however many branches of a plan read it, at
+    the same time too, each the columns that it needs; and what an executor takes along when it is lost isn't in it."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
