@@ -17,7 +17,12 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5 stay. The fit is on labelled documents that aren't held out."""
+    """Documents that score below 0.5 stay. The fit is on labelled documents that aren't held out.
+
+    Null and empty texts score as what they are, texts without words, and so do very long ones as a whole. Rows that
+    repeat fare alike; a row without doc_id is scored and has no label. Other columns stay as they are, whatever their
+    names. An empty table gives an empty one.
+    """
     machine = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.scored(docs, machine, below=0.5)
 
@@ -25,23 +30,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines and passages within lines are cut; documents left without a word by that go.
 
-    Null and empty texts stay; ties and repeated rows go by doc_id, null first, then the text's hash.
+    Null and empty texts stay; ties and repeated rows go by doc_id, null first, then the text's hash. Rows that
+    repeat both are one document. Texts of any length are taken whole, other columns stay, and an empty table gives
+    an empty one.
     """
     return linededup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the smallest doc_id stays."""
+    """Of each group of linked fingerprints the document of the smallest doc_id stays.
+
+    Texts without words, null ones too, are one group. Of rows that repeat one stays; where a doc_id stands in two
+    groups each keeps a row. Rows without doc_id all stay. Other columns stay, and an empty table gives an empty one.
+    """
     return simhash.deduplicated(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a window of a benchmark item occurs go."""
+    """Documents in which a window of a benchmark item occurs go.
+
+    A null or empty text has no words and stays, as does everything if the benchmark is empty; texts are searched
+    whole. Rows that repeat fare alike, rows without doc_id too. Other columns stay, and an empty table gives an empty one.
+    """
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of what they decode to, for each document left."""
+    """doc_id, n_tokens, and digests of the ids and of what they decode to, for each document left.
+
+    A null text is an empty one, which has no ids. Every row has a row, those that repeat or lack a doc_id too. Other
+    columns are left aside, and an empty table gives an empty one.
+    """
     return bpe.encode_documents(docs.select("doc_id", "text"), tokenizer("word_bpe_49k.json"), digests=True)
 
 
