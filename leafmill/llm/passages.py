@@ -13,14 +13,13 @@ Nothing is laid beside anything else: rows are places, and their number grows wi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
 
 from .common import mapped, pieces, saved
 from .decontaminate import word_hashes
@@ -75,33 +74,52 @@ def merged(runs: DataFrame, name: str, rest: list[str], single: bool = False) ->
     return later.select(*KEY, F.expr(f"aggregate(at, {zero}, {step}, a -> {close})").alias("cuts"), *rest)
 
 
-#: A word with the white space around it, within a line.
-_WORD_AND_SPACE = re.compile(r"[ \t\r\x0b\f]*[^ \t\r\x0b\f]+[ \t\r\x0b\f]*")
-
-
-def left_over(text: str, lines: list[dict], words: list[dict]) -> str:
-    """The lines of a text, each with a line break, without the lines and words that are cut: ranges (b, e) of their
-    numbers, in order and apart. A blank line counts as a word; a line goes whole if one range has all its words."""
-    out, at, n, k = [], 0, 0, 0
-    for i, line in enumerate(text.split("\n")):
-        ends = [m.end() for m in _WORD_AND_SPACE.finditer(line)] or [len(line)]
-        first, n = n, n + len(ends)
-        while at < len(lines) and lines[at]["e"] < i:
-            at += 1
-        if at < len(lines) and lines[at]["b"] <= i:
-            continue
-        while k < len(words) and words[k]["e"] < first:
-            k += 1
-        if k == len(words) or words[k]["b"] >= n:
-            out += line, "\n"
-        elif words[k]["b"] > first or words[k]["e"] < n - 1:
-            begin, own = 0, k
-            while own < len(words) and words[own]["b"] < n:
-                b, e = max(words[own]["b"] - first, 0), min(words[own]["e"] - first, len(ends) - 1)
-                out.append(line[begin : ends[b - 1] if b else 0])
-                begin, own = ends[e], own + 1
-            out += line[begin:], "\n"
-    return "".join(out)
+_OWN = r"[ \t\r\x0B\f]*"
+#: Of a line and its break: a word with the white space around it, the last one with the break; a blank line is one.
+_WORD_AND_SPACE = rf"{_OWN}(?:[^ \t\r\x0B\f\n]+{_OWN})?\n|{_OWN}[^ \t\r\x0B\f\n]+{_OWN}"
+
+
+def _bound(x: Column, use) -> Column:
+    """use(x), with x made once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _between(cuts: Column, k: Column, n: Column) -> tuple[Column, Column]:
+    """Where the stretch before cut k begins and ends, that behind the last one for k = size(cuts)."""
+    return F.when(k == 0, F.lit(0)).otherwise(F.get(cuts, k - 1)["e"] + 1), F.when(k == F.size(cuts), n).otherwise(F.get(cuts, k)["b"])
+
+
+def left_over(text: Column, lines: Column, words: Column) -> Column:
+    """The lines of a text, each with a line break, without the lines and words that are cut: arrays of (b, e) of their
+    numbers, in order and apart. A blank line counts as a word; of a line whose end is cut, but not its
+    beginning, the break stays. All is put together from slices, in time in proportion to the text."""
+
+    def tokens(ls: Column) -> Column:
+        """The words of all lines; those of lines that are cut are empty."""
+
+        def stretch(k: Column) -> Column:
+            j = F.floor(k / 2).cast("int")
+            begin, end = _between(lines, j, F.size(ls))
+            gone = k % 2 == 1
+            cut = F.get(lines, j)
+            first, after = F.when(gone, cut["b"]).otherwise(begin), F.when(gone, cut["e"] + 1).otherwise(end)
+            own = F.slice(ls, first + 1, F.greatest(after - first, F.lit(0)))
+            found = lambda x: F.regexp_extract_all(F.concat(x, F.lit("\n")), F.lit(_WORD_AND_SPACE), F.lit(0))
+            return F.transform(own, lambda x: F.when(gone, F.transform(found(x), lambda _: F.lit(""))).otherwise(found(x)))
+
+        return F.flatten(F.flatten(F.transform(F.sequence(F.lit(0), F.size(lines) * 2), stretch)))
+
+    def kept(t: Column) -> Column:
+        def stretch(k: Column) -> Column:
+            begin, end = _between(words, k, F.size(t))
+            cut, before = F.get(words, k - 1), F.get(t, F.get(words, k - 1)["b"] - 1)
+            inside = F.slice(t, cut["b"] + 1, cut["e"] - cut["b"] + 1)
+            torn = (k > 0) & (cut["b"] > 0) & (before != "") & ~F.endswith(before, F.lit("\n")) & F.exists(inside, lambda x: F.endswith(x, F.lit("\n")))
+            return F.concat(F.array(F.when(torn, F.lit("\n")).otherwise("")), F.slice(t, begin + 1, F.greatest(end - begin, F.lit(0))))
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(words)), stretch)), "")
+
+    return _bound(_bound(F.split(text, "\n"), tokens), kept)
 
 
 class Shard:
@@ -232,8 +250,7 @@ def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None, single
 def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> DataFrame:
     """`docs` without what `found` (doc_id, hash, cuts of lines, words) lists, one row there for a document.
 
-    Lines go by slices between the cuts; where words are cut too, one sweep takes a text's lines, words and cuts
-    in their order. Both take time in proportion to the text.
+    Texts whose lines alone are cut are put together from slices of lines, others by left_over().
     """
     named = found.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__h"), F.col("cuts").alias("__lines"), F.col("words").alias("__words"))
     joined = docs.withColumn("__x", F.xxhash64("text")).join(named.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__x") == F.col("__h")), "left")
@@ -241,15 +258,9 @@ def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> Data
     begin = "if(k = 0, 0, get(__lines, k - 1).e + 1)"
     gaps = f"transform(sequence(0, size(__lines)), k -> slice(ls, {begin} + 1, greatest(if(k = size(__lines), size(ls), get(__lines, k).b) - {begin}, 0)))"
     whole = f"transform(transform(array(split(text, '\\n')), ls -> flatten({gaps})), r -> if(size(r) > 0, concat(array_join(r, '\\n'), '\\n'), ''))[0]"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            own = zip(batch.column("text"), batch.column("__lines"), batch.column("__words"), strict=True)
-            left = [left_over(t.as_py(), c.as_py() or [], w.as_py()) if w.is_valid else None for t, c, w in own]
-            yield batch.append_column("__all", pa.array(left, pa.string()))
-
-    cut = mapped(joined, run, StructType([*joined.schema, StructField("__all", StringType())]))
-    split = cut.withColumn("__left", F.expr(f"case when __words is not null then __all when __lines is not null then {whole} end"))
+    nothing = F.array().cast(_CUT)
+    torn = left_over(F.col("text"), F.coalesce("__lines", nothing), F.coalesce("__words", nothing))
+    split = joined.withColumn("__left", F.when(F.expr("__words is not null"), torn).when(F.expr("__lines is not null"), F.expr(whole)))
     text = F.expr(f"if({hit}, left(__left, greatest(length(__left) - 1, 0)), text)")
     added = {"n_lines", "n_cut", "n_left", "n_chars_cut"} if report else set()
     kept = [c for c in docs.columns if c not in added]

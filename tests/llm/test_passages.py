@@ -2,6 +2,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from leafmill.llm import linededup, passages
 from leafmill.llm.queries import op4_line_dedup
@@ -79,10 +80,11 @@ def test_white_space_and_what_is_left(frame, odd):
     assert passages.deduplicated(frame([])).collect() == []
 
 
-def test_what_is_left_over():
+def test_what_is_left_over(spark):
     """Against lists of words, over random texts and cuts."""
     rng = random.Random(12)
-    for _ in range(300):
+    rows, wanted = [], []
+    for k in range(400):
         lines = ["".join(rng.choice(["", " ", "\t"]) + rng.choice(["a", "bb", "é", "c.d"]) + rng.choice([" ", "  ", "\r"]) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 8))]
         lines = [x if x.strip() else rng.choice(["", " ", " \t"]) for x in lines]
         split = [re.findall(r"\s*\S+\s*", x) or [x] for x in lines]
@@ -105,4 +107,9 @@ def test_what_is_left_over():
             left = [w for j, w in enumerate(own, first) if not any(c["b"] <= j <= c["e"] for c in cut)]
             if not any(c["b"] <= first and o - 1 <= c["e"] for c in cut):
                 want += "".join(left) + "\n"
-        assert passages.left_over("\n".join(lines), gone, cut) == want
+        rows.append((k, "\n".join(lines), gone, cut))
+        wanted.append(want)
+    kind = "array<struct<b: int, e: int>>"
+    frame = spark.createDataFrame(rows, f"k int, text string, lines {kind}, words {kind}")
+    got = {r.k: r.left for r in frame.select("k", passages.left_over(F.col("text"), F.col("lines"), F.col("words")).alias("left")).collect()}
+    assert [got[k] for k in range(len(rows))] == wanted

@@ -30,3 +30,16 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and [sum(k.startswith(f"op{n}_") for k in names) for n in range(1, 13)] == [1] * 12
+
+
+def test_stages_take_odd_tables(spark, frame, odd):
+    """Nulls in any column, empty and long texts, repeated rows, clashing columns, and no rows at all."""
+    for docs in (frame(odd), frame([])):
+        columns, n = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF).persist()
+            assert docs.columns == columns and docs.count() <= n, name
+            n = docs.count()
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+        assert last.count() == n
+        assert (n == 0) == (docs.limit(1).count() == 0)
