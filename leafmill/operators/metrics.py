@@ -42,16 +42,54 @@ def mean_or(c: str, empty: float = -1.0) -> Column:
     return F.coalesce(F.avg(c), F.lit(empty))
 
 
+def at_places(rows: DataFrame, c: str, places: dict[str, Column], *by: str, parts: int = 256) -> DataFrame:
+    """A row for each group with values: n, their number, and for each of `places`, a whole number made from n, the
+    value at that place of the sorted values, from 0.
+
+    Equal values are counted first. Cuts from a summary of the different ones divide them into `parts` buckets, whose
+    counts tell in which a place lies; only that bucket is gone through in order. No group comes together in a task.
+    """
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    values = rows.where(F.col(c).isNotNull()).select(key.alias("k"), F.col(c).alias("v")).groupBy("k", "v").agg(F.count("*").alias("n"))
+    cuts = values.groupBy(F.col("k").alias("of")).agg(F.percentile_approx("v", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(100 * parts)).alias("cuts"))
+    dealt = values.join(cuts, F.col("k") == F.col("of")).select("k", "v", "n", F.size(F.filter("cuts", lambda x: x <= F.col("v"))).alias("bucket"))
+    sums = dealt.groupBy("k", "bucket").agg(F.sum("n").alias("m"))
+    group = Window.partitionBy("k")
+    before = F.coalesce(F.sum("m").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sums.select(F.col("k").alias("of"), F.col("bucket").alias("in"), "m", before.alias("before"), F.sum("m").over(group).alias("n"))
+    wanted = placed.select("of", "in", "m", "before", "n", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place.cast("bigint").alias("place")) for name, place in places.items()])).alias("w"))
+    wanted = wanted.where((F.col("w.place") >= F.col("before")) & (F.col("w.place") < F.col("before") + F.col("m")))
+    wanted = wanted.select("of", "in", F.col("n").alias("all"), "w.name", (F.col("w.place") - F.col("before")).alias("left"))
+    met = dealt.join(wanted, (F.col("k") == F.col("of")) & (F.col("bucket") == F.col("in")))
+    order = Window.partitionBy("k", "bucket", "name").orderBy("v")
+    hit = met.withColumn("upto", F.sum("n").over(order)).where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("n") <= F.col("left")))
+    found = hit.groupBy("k").agg(F.max("all").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in places])
+    return found.select(*[F.col("k")[x].alias(x) for x in by], "n", *places)
+
+
 def nearest_rank(rows: DataFrame, c: str, p: float, *by: str) -> DataFrame:
-    """The value at index round(p (n - 1)) of the sorted values, halves to even; -1 for nothing. Values are
-    ranked by a window, not collected."""
-    order = Window.partitionBy(*by).orderBy(c)
-    counted = rows.where(F.col(c).isNotNull()).withColumn("__i", F.row_number().over(order) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
-    return counted.where(F.col("__i") == F.bround(F.lit(p) * (F.col("__n") - 1)).cast("int")).groupBy(*by).agg(F.first(c).alias("value"))
+    """The value at index round(p (n - 1)) of the sorted values, halves to even; a group of none has no row."""
+    return at_places(rows, c, {"value": F.bround(F.lit(p) * (F.col("n") - 1))}, *by).select(*by, "value")
 
 
 def latencies(rows: DataFrame, c: str, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count(c).alias("n"), mean_or(c).alias("mean"), median_or(c).alias("median"), percentile(c, 50).alias("p50"), percentile(c, 95).alias("p95"), percentile(c, 99).alias("p99"))
+    """n, mean, median and exact percentiles p50, p95 and p99, between neighbours in proportion. Without a value mean and
+    median are -1, the others NaN."""
+    at = lambda p: F.lit(p) * (F.col("n") - 1)
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    places = {f"{k}_{end}": f(at(p)) for k, p in shares.items() for end, f in (("low", F.floor), ("high", F.ceil))}
+
+    def between(k: str, p: float) -> Column:
+        low, high, part = F.col(f"{k}_low").cast("double"), F.col(f"{k}_high").cast("double"), at(p) - F.floor(at(p))
+        return F.when(part == 0, low).otherwise(low * (1 - part) + high * part)
+
+    found = at_places(rows, c, places, *by).select(*[F.col(x).alias(f"__{x}") for x in by], *[between(k, p).alias(k) for k, p in shares.items()])
+    plain = rows.groupBy(*by).agg(F.count(c).alias("n"), mean_or(c).alias("mean"))
+    same = F.lit(True)
+    for x in by:
+        same = same & F.col(x).eqNullSafe(F.col(f"__{x}"))
+    nan = F.lit(float("nan"))
+    return plain.join(found, same, "left").select(*by, "n", "mean", F.coalesce("p50", F.lit(-1.0)).alias("median"), *[F.coalesce(k, nan).alias(k) for k in shares])
 
 
 def answer_metrics(answers: DataFrame, *by: str) -> DataFrame:

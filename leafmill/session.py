@@ -71,9 +71,17 @@ def shared_dir(spark: SparkSession) -> str:
     return context._leafmill_folder
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Has Hadoop's file system delete a path when the driver ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written to the shared folder now and read from there: made once however many branches of a plan read it, at
-    the same time too, each the columns that it needs; and what an executor takes along when it is lost isn't in it."""
+    the same time too, each the columns that it needs; and what an executor takes along when it is lost isn't in it.
+    The table goes when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    removed_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.chains import running
 from ..session import spread
 
 GOLD = "id string, expected_contains array<string>, forbidden_contains array<string>, expected_regex array<string>, expect_json boolean, json_required_keys array<string>, json_array_key_len map<string, int>, expected_int_list array<int>, pass_threshold double"
@@ -27,10 +28,25 @@ def jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
     return reader.json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, raw) of text files of any size, a line ending with LF: lines count within a file, from 1, blank ones too.
+
+    Files are read in splits as always. Rows of a split come in order and are counted on, so a line's number is its
+    place within its split, and the lines of the splits before, which a first pass counts: a row for each split.
+    A byte order mark at the beginning of a file goes, and so does the CR of a CR LF.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = rows.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "start", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    line = F.col("before") + F.col("id") - F.col("first") + 1
+    value = F.regexp_replace(F.when((F.col("start") == 0) & (line == 1), F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")), r"\r\z", "")
+    return rows.join(splits, ["file", "start"]).select("file", line.alias("line"), value.alias("raw"))
+
+
 def jsonl_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, errors): the lines that parse, and (line, raw) of those that don't. Lines count within a file, from 1, blank ones too; for that a file is read whole, so this is for small ones."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "raw"))
-    lines = lines.where(T.strip(F.col("raw")) != "").select((F.col("i") + 1).alias("line"), "raw", F.from_json("raw", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    """(rows, errors): the lines that parse, and (line, raw) of those that don't, by numbered_lines(); blank ones are neither."""
+    lines = numbered_lines(spark, path).where(T.strip(F.col("raw")) != "").select("line", "raw", F.from_json("raw", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("x"))
     good = lines.where(F.col("x").isNotNull() & F.col("x._bad").isNull()).select("line", "x.*").drop("_bad")
     return good, lines.where(F.col("x").isNull() | F.col("x._bad").isNotNull()).select("line", "raw")
 
@@ -53,9 +69,10 @@ def gold_index(rows: DataFrame) -> DataFrame:
 
 
 def with_prompt_ids(prompts: DataFrame) -> DataFrame:
-    """Blank ids become P and the prompt's number by `line`. Prompts are a small table, ranked in one place."""
-    number = F.row_number().over(Window.orderBy("line"))
-    return prompts.withColumn("id", F.coalesce(F.nullif(T.strip(F.col("id")), F.lit("")), F.concat(F.lit("P"), number.cast("string"))))
+    """Blank ids become P and the prompt's number, from 1, in the order of the whole numbers `line`, by running sums."""
+    placed = running(prompts.withColumn("__all", F.lit("")).withColumn("__one", F.lit(1)), "__all", "line", "__one")
+    number = (F.col("before___one") + 1).cast("string")
+    return placed.withColumn("id", F.coalesce(F.nullif(T.strip(F.col("id")), F.lit("")), F.concat(F.lit("P"), number))).select(*prompts.columns)
 
 
 def html_text(c: Column) -> Column:

@@ -74,3 +74,37 @@ def test_sinks(spark, tmp_path):
     sinks.write_vectors(spark.createDataFrame([(1, [1.0])], "doc int, vec array<float>"), str(tmp_path / "v"))
     sinks.echo_configs([str(tmp_path / "r" / "report.json")], str(tmp_path / "run"))
     assert os.path.exists(tmp_path / "run" / "report.json")
+
+
+def test_line_numbers_of_a_file_in_many_splits(spark, tmp_path):
+    """As a plain reader counts them, with a byte order mark, CR LF, blank lines and no line end at the end."""
+    import random
+
+    rng = random.Random(3)
+    made = [rng.choice(["", " ", "x" * rng.randint(1, 300), f'{{"a": {i}}}', "ünï \r inside", "broken {"]) for i in range(900)]
+    files = {"one.jsonl": "\ufeff" + "\r\n".join(made), "two.jsonl": "\n".join(made[:50]) + "\n", "empty.jsonl": ""}
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(len(files["one.jsonl"].encode()) // 20))
+    try:
+        rows = readers.numbered_lines(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() >= 1 and spark.read.text(str(tmp_path)).rdd.getNumPartitions() >= 20
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r.file.rsplit("/", 1)[1], []).append((r.line, r.raw))
+        assert sorted(got["one.jsonl"]) == list(enumerate(made, 1))
+        assert sorted(got["two.jsonl"]) == list(enumerate(made[:50], 1)) and "empty.jsonl" not in got
+        good, bad = readers.jsonl_tolerant(spark, str(tmp_path / "one.jsonl"), "a int")
+        assert sorted((r.line, r.a) for r in good.collect()) == [(i, int(x[6:-1])) for i, x in enumerate(made, 1) if x.startswith("{")]
+        assert sorted(r.line for r in bad.collect()) == [i for i, x in enumerate(made, 1) if x.strip() and not x.startswith("{")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_numbers_of_prompts(spark):
+    rows = [(None if i % 3 else f"own{i}", i * 5 + 2, "t") for i in range(700)]
+    frame = spark.createDataFrame(rows, "id string, line bigint, prompt string")
+    got = {r.line: r.id for r in readers.with_prompt_ids(frame).collect()}
+    assert got == {line: own or f"P{n}" for n, (own, line, _) in enumerate(rows, 1)}
+    assert readers.with_prompt_ids(frame).columns == frame.columns
