@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import removed_at_exit
+
 #: Runs of digits, letters and everything beyond ASCII, once A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -62,7 +64,7 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends in files that outlive any executor.
 
-    What was shuffled on the way goes at once, as nothing reads it any more.
+    What was shuffled on the way goes at once, as nothing reads it any more. The table goes when the driver ends.
     """
     path = fresh_path(df.sparkSession, name)
     conf = df.sparkSession.conf
@@ -72,6 +74,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(_CLEAN, before)
+    removed_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -89,12 +92,6 @@ def mapped(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def clear_saved(spark: SparkSession) -> None:
-    """Deletes all that this subpackage has written to the shared folder, through Hadoop's file system."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafmill")
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def filesystem(path: str):
     """(pyarrow file system, path in it) of a URI or local path, for Python code on executors."""
     from pyarrow import fs
