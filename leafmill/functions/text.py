@@ -37,7 +37,14 @@ def dehyphenated(c: Column) -> Column:
 def normalized(c: Column) -> Column:
     """Joins words hyphenated over a line end, makes line ends LF, blanks single, blank lines one at most,
     and strips every line's end and the whole. In this order, so that CR LF after a hyphen is kept, and
-    lines that only look blank may leave more than one blank line."""
+    lines that only look blank may leave more than one blank line. Text of one line and single blanks is as it is."""
+    changes = F.lit(False)
+    for mark in ("\n", "\r", "\t", "\x0b", "\f", "  "):
+        changes = changes | F.contains(c, F.lit(mark))
+    return F.when(changes, _normalized(c)).otherwise(strip(c))
+
+
+def _normalized(c: Column) -> Column:
     c = F.regexp_replace(newlines(dehyphenated(c)), r"[ \t\x0B\r\f]{2,}|[\t\x0B\r\f]", " ")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return strip(F.regexp_replace(c, rf"[{_BLANK}]++(?=\n)", ""))

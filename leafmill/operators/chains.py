@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructType
 
 from ..session import stored
 
@@ -123,9 +123,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, int
             yield key, number, entries, Block(sum(not r[3] for r in held), at, before, size, [r[7] for r in held], [r[8] for r in held], [r[10] for r in held], held[0][6])
 
 
-def chained(rows: DataFrame, follow: Follow, emit: Emit, schema: str, reach: int, size: int = BLOCK) -> DataFrame:
+def chained(rows: DataFrame, follow: Follow, emit: Emit, schema: str, reach: int, size: int = BLOCK, reads: bool = False) -> DataFrame:
     """Chunks that `emit` makes of pieces() with the same reach and size, and a column known. `follow` says how chunks
-    follow each other; title is the text of the last piece before a chunk whose `known` is true."""
+    follow each other, and looks at texts if it `reads`; title is the text of the last piece before a chunk whose `known` is true."""
     size = max(size, reach + 1)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -150,8 +150,10 @@ def chained(rows: DataFrame, follow: Follow, emit: Emit, schema: str, reach: int
             yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.string()), pa.array([number] * n, pa.int64()), pa.array(ats, pa.int64()), pa.array([*ends, *[None] * (n - len(front))], pa.int64()), pa.array([*(count[i] for i in front), *[0] * (n - len(front))], pa.int64()), pa.array(names, pa.string())], names=["doc_key", "block", "at", "leaves", "chunks", "title"])
 
     order = ["doc_key", "block", "kind", "at"]
-    table = dealt.repartition("doc_key", "block").sortWithinPartitions(*order)
-    fronts = table.mapInArrow(leaving, "doc_key string, block bigint, at bigint, leaves bigint, chunks bigint, title string")
+    # the first pass takes no texts along that it doesn't need
+    title = F.when(F.col("known"), F.col("text")) if rows.schema["known"].dataType == BooleanType() else F.lit(None).cast("string")
+    table = dealt if reads else dealt.withColumn("text", title)
+    fronts = table.repartition("doc_key", "block").sortWithinPartitions(*order).mapInArrow(leaving, "doc_key string, block bigint, at bigint, leaves bigint, chunks bigint, title string")
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The pieces at which the chain of a document enters its blocks. Rows come by doc_key and place, titles first."""

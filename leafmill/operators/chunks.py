@@ -221,7 +221,7 @@ def semantic(pages: DataFrame, most: int = 450, least: int = 80, threshold: floa
     reach = max(most, least)
     rows = _unit_pieces(pages, reach, block)
     known = F.lit(None).cast("string") if embedder is None else E.embedded(F.col("text"), embedder)
-    chunks = chains.chained(rows.withColumn("known", known), follow, emit, f"{CHUNK}, short boolean", reach, block)
+    chunks = chains.chained(rows.withColumn("known", known), follow, emit, f"{CHUNK}, short boolean", reach, block, reads=embedder is None)
     # a short last chunk and the one before it, or a chunk by itself
     place = (F.col("ord") - F.when(F.col("short"), _STRIDE).otherwise(0)).alias("__place")
     parts = chunks.groupBy("doc_key", place).agg(F.array_sort(F.collect_list(F.struct(*_COLUMNS[1:]))).alias("x"))

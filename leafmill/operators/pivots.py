@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from . import retrieval as R
 
-CELL_ROWS, MOST_PIVOTS, BLOCK_ROWS = 2048, 1024, 8192
+#: Each cell that a query goes on to is a row, so cells are as large as what a task holds at a time.
+CELL_ROWS, MOST_PIVOTS, BLOCK_ROWS = 8192, 1024, 8192
 #: What rounding may take from a bound.
 _SLACK = 1e-6
 

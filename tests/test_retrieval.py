@@ -179,9 +179,12 @@ def test_answer_metrics(spark):
 
 
 def test_gold(spark):
-    from leafmill import queries
+    from leafmill.sources import readers
 
-    rows = {r.id: (r.checks, r.quality, r.passed) for r in queries.queries()["gold_scores"](spark, "").collect()}
+    answers = [("p1", '{"a": [1, 2], "b": 3}'), ("p2", "no json, values 4 and 5"), ("p3", "anything"), ("p4", "{broken")]
+    gold = [("p1", ["a"], ["zzz"], [r"\d+"], True, ["a", "c"], {"a": 2}, [1, 2, 3], 0.5), ("p2", ["VALUES"], None, ["("], None, None, None, [4, 5], None), ("p4", None, ["broken"], None, True, ["k"], None, None, None)]
+    scored = G.gold_scores(spark.createDataFrame(answers, "id string, text string"), spark.createDataFrame(gold, readers.GOLD))
+    rows = {r.id: (r.checks, r.quality, r.passed) for r in scored.collect()}
     assert rows == {"p1": (8, 0.875, True), "p2": (3, pytest.approx(2 / 3), False), "p3": (0, -1.0, False), "p4": (3, 0.0, False)}
 
 
