@@ -15,6 +15,7 @@ configurations stay on the leaderboard. Runs may have other columns than those b
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import os
 import re
@@ -55,10 +56,15 @@ def run(spark: SparkSession, pages_path: str, questions_path: str, out: str, con
     log.info("read %d pages of %s and %d questions of %s", pages.count(), pages_path, questions.count(), questions_path)
     profile = N.Profile.of(config.get("cleaning"))
     expected = P.expected_pages(P.cleaned_pages(pages, profile), questions).persist()
-    done = []
+    done: list[dict] = []
+    # runs that cut the pages the same way share the chunks
+    cut: dict[str, DataFrame] = {}
     for settings in config["runs"]:
         name = str(settings["name"])
-        chunks = stored(P.flat_chunks(pages, settings["chunking"], profile))
+        way = json.dumps(settings["chunking"], sort_keys=True)
+        if way not in cut:
+            cut[way] = stored(P.flat_chunks(pages, settings["chunking"], profile))
+        chunks = cut[way]
         found = P.rankings(chunks, questions, settings.get("retrieval"), k)
         shown = found.join(chunks.select("doc", "page_start", "page_end"), "doc")
         hits = shown.join(expected, "qid").where(F.col("page").between(F.col("page_start"), F.col("page_end"))).select("qid", "rank", F.lit(True).alias("hit")).distinct()

@@ -37,9 +37,10 @@ def dehyphenated(c: Column) -> Column:
 def normalized(c: Column) -> Column:
     """Joins words hyphenated over a line end, makes line ends LF, blanks single, blank lines one at most,
     and strips every line's end and the whole. In this order, so that CR LF after a hyphen is kept, and
-    lines that only look blank may leave more than one blank line. Text of one line and single blanks is as it is."""
+    lines that only look blank may leave more than one blank line. Text in which no pattern could find anything is only
+    stripped, which is told by plain searches for what each of them needs."""
     changes = F.lit(False)
-    for mark in ("\n", "\r", "\t", "\x0b", "\f", "  "):
+    for mark in ("-\n", "\r", "\t", "\x0b", "\f", "  ", "\n\n\n", *(f"{x}\n" for x in SPACES if x not in "\t\n\x0b\f\r")):
         changes = changes | F.contains(c, F.lit(mark))
     return F.when(changes, _normalized(c)).otherwise(strip(c))
 

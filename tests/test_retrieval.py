@@ -4,10 +4,12 @@ import re
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill.functions import noise as N
+from leafmill.functions import text as T
 from leafmill.operators import generation as G
 from leafmill.operators import graph
 from leafmill.operators import lexical as L
@@ -238,3 +240,35 @@ def test_expected_pages_by_automata(spark):
     assert P.expected_pages(frames[0], frames[1].limit(0)).collect() == [] and P.expected_pages(frames[0].limit(0), frames[1]).collect() == []
     plan = P.expected_pages(*frames)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Cartesian" not in plan
+
+
+def test_terms_are_cut_as_tokens(spark):
+    """All characters of a batch at once, as the patterns cut each text."""
+    texts = ["don't x_1, é²!", "", "日本 -", " \n", "a", "( ( x", "x\x1cy z", "𝒳y😀b", "_", "a b.c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
+    want = {r.doc: (r.t, r.w) for r in rows.select("doc", F.array_join(T.tokens(F.col("text")), "\n").alias("t"), F.array_join(F.regexp_extract_all("text", F.lit(rf"[{T.WORD}]{{2,}}"), F.lit(0)), "\n").alias("w")).collect()}
+    got = L.listed(pa.array(texts)).to_pylist(), L.listed(pa.array(texts), 2).to_pylist()
+    assert dict(enumerate(zip(*got, strict=True))) == want
+    assert L.listed(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_counts_of_terms_leave_each_document_in_place(spark):
+    """What is shuffled for a vocabulary are counts, and weights and scores of pairs need no shuffle of terms."""
+    texts = ["a b a", "b c", "", "a b"]
+    rows = spark.createDataFrame([("\n".join(t.split()),) for t in texts], "w string")
+    counts = {r.term: (r.total, r.df) for r in L.counted(rows, pairs=True, rows=3).collect()}
+    assert counts == {"a": (3, 2), "b": (3, 3), "c": (1, 1), "a b": (2, 2), "b a": (1, 1), "b c": (1, 1)}
+    index = L.TfIdf(spark.createDataFrame([(i, t.replace("a", "aa").replace("b", "bb")) for i, t in enumerate(texts)], "doc int, text string"))
+    plan = index.weights()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+
+
+def test_best_keeps_ties_by_document(spark):
+    """Documents that come late but earlier in order take the place of equals; only those are looked at."""
+    docs = spark.createDataFrame([(f"d{i:04d}", "xx yy" if i % 3 else "zz") for i in reversed(range(2500))], "doc string, text string").coalesce(1)
+    queries = spark.createDataFrame([(1, "xx"), (2, "none"), (3, "zz")], "qid bigint, text string")
+    got = {q: [r.doc for r in R.top_k(L.Bm25(docs).best(queries, 4), 4).where(F.col("qid") == q).orderBy("rank").collect()] for q in (1, 2, 3)}
+    assert got[2] == ["d0000", "d0001", "d0002", "d0003"] and got[3] == ["d0000", "d0003", "d0006", "d0009"]
+    pairs = spark.createDataFrame([(1, "d0001"), (1, "d0000"), (9, "d0001"), (1, "none")], "qid bigint, doc string")
+    got = {(r.qid, r.doc): r.score for r in L.TfIdf(docs).scores_of(pairs, queries).collect()}
+    assert got.pop((1, "d0001")) == pytest.approx(3**-0.5) and set(got.values()) == {0.0} and len(got) == 3
