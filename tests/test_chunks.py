@@ -119,3 +119,9 @@ def test_registry(spark):
     assert len(C.build(frame, {"strategy": "tree_parent_child"})) == 2
     with pytest.raises(ValueError, match="no chunker"):
         C.build(frame, {"strategy": "other"})
+
+
+def test_a_window_that_begins_with_a_bracket(spark):
+    """As the reference puts tokens together: no blank behind an opening bracket that stands first."""
+    frame = spark.createDataFrame([("a", 1, "call (441) 555")], "doc_key string, page int, text string")
+    assert [r.text for r in C.naive(frame, 4, 3).orderBy("ord").collect()] == ["call ( 441)", "(441) 555", "441) 555", ") 555", "555"]
