@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import stored
 from . import pivots
 from . import retrieval as R
 
@@ -29,6 +30,19 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 1, per_node: int = 4)
     return visited
 
 
+def expand_from(seeds: DataFrame, vectors: DataFrame, hops: int = 1, per_node: int = 4, **sizes: int) -> DataFrame:
+    """(qid, doc, hop): as expand() over the edges of knn(), but neighbours are looked for only of the vectors (doc, vec) that a
+    hop sets out from, and no more than `per_node` of each; the rest of the graph isn't made."""
+    visited = frontier = stored(seeds.select("qid", "doc").distinct().withColumn("hop", F.lit(0)))
+    for hop in range(1, hops + 1):
+        asked = stored(vectors.join(frontier.select("doc").distinct(), "doc", "left_semi").select(F.col("doc").alias("qid"), "vec"))
+        edges = pivots.nearest(asked, vectors, per_node, itself=False, **sizes).select(F.col("qid").alias("doc"), F.col("doc").alias("dst"))
+        reached = frontier.join(edges, "doc").select("qid", F.col("dst").alias("doc")).distinct()
+        frontier = stored(reached.join(visited.select("qid", "doc"), ["qid", "doc"], "left_anti").withColumn("hop", F.lit(hop)))
+        visited = visited.unionByName(frontier)
+    return visited
+
+
 def rerank(candidates: DataFrame, seeds: DataFrame, queries: DataFrame, vectors: DataFrame, beta: float = 0.25) -> DataFrame:
     """(qid, doc, score): (1 - beta) cos(q, c) + beta times the graph's signal, clipped to 0..1: the cosine to
     the nearest other seed, 0 at least, plus 0.15 / (1 + hop) for candidates that are no seeds."""

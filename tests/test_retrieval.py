@@ -272,3 +272,13 @@ def test_best_keeps_ties_by_document(spark):
     pairs = spark.createDataFrame([(1, "d0001"), (1, "d0000"), (9, "d0001"), (1, "none")], "qid bigint, doc string")
     got = {(r.qid, r.doc): r.score for r in L.TfIdf(docs).scores_of(pairs, queries).collect()}
     assert got.pop((1, "d0001")) == pytest.approx(3**-0.5) and set(got.values()) == {0.0} and len(got) == 3
+
+
+def test_expansion_makes_only_the_edges_it_follows(spark):
+    """The same as over the whole graph, also where cells and blocks are small."""
+    r = random.Random(5)
+    vectors = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(5)]) for i in range(60)], "doc bigint, vec array<double>")
+    seeds = spark.createDataFrame([(1, 3), (1, 8), (2, 59)], "qid bigint, doc bigint")
+    rows = lambda df: sorted(tuple(x) for x in df.select("qid", "doc", "hop").collect())
+    want = rows(graph.expand(seeds, graph.knn(vectors, 8), 2, 4))
+    assert rows(graph.expand_from(seeds, vectors, 2, 4)) == want == rows(graph.expand_from(seeds, vectors, 2, 4, cell_rows=20, block_rows=10))
