@@ -48,6 +48,14 @@ def cleaned(c: Column, profile: Profile = BASIC) -> Column:
     """A page's text under a profile; null counts as empty. Characters that don't print go first, and CR is
     one of them."""
     c = F.coalesce(c, F.lit(""))
+    if profile.strip_nonprinting and profile.collapse_whitespace:
+        # a text in which no pattern could find anything is only stripped; one search tells
+        changes = c.rlike(r"[\x00-\x09\x0B-\x1F\x7F]|  |\n\n\n" + (r"|-\n" if profile.dehyphenate else ""))
+        return F.when(changes, _cleaned(c, profile)).otherwise(T.strip(c))
+    return _cleaned(c, profile)
+
+
+def _cleaned(c: Column, profile: Profile) -> Column:
     if profile.strip_nonprinting:
         c = F.regexp_replace(c, r"[\x00-\x08\x0B-\x1F\x7F]", "")
     if profile.dehyphenate:

@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import units as U
 from ..session import stored
 from . import chains
-from . import embed as E
+from . import lexical as L
 
 CHUNK = "doc_key string, ord bigint, chunk_id string, text string, page_start bigint, page_end bigint, section_title string, strategy string, chunk_size int, overlap int"
 _COLUMNS = [c.split(" ")[0] for c in CHUNK.split(", ")]
@@ -130,8 +131,10 @@ def folded(rows: DataFrame, order: list[str], fold: Callable[[Iterator[tuple]],
 
 def _detokenize(tokens: list[str]) -> str:
     """As functions.text.detokenized, for folds."""
-    opened = tokens[:1] and tokens[0] in "([{"
-    return "".join(w if i == 0 or w in ".,:;?!)]}" or (i == 1 and opened) else " " + w for i, w in enumerate(tokens))
+    text = " ".join(tokens)
+    for mark in ".,:;?!)]}":
+        text = text.replace(f" {mark}", mark)
+    return text[0] + text[2:] if text[:1] in ("(", "[", "{") and text[1:2] == " " else text
 
 
 def structured(pages: DataFrame, most: int = 800, least: int = 120, block: int = chains.BLOCK) -> DataFrame:
@@ -143,7 +146,7 @@ def structured(pages: DataFrame, most: int = 800, least: int = 120, block: int =
 
     def follow(b: chains.Block) -> tuple[np.ndarray, np.ndarray]:
         own, n = np.arange(b.own), len(b.at)
-        heading = np.array([x is True for x in b.known])
+        heading = b.heading
         heads = np.append(np.flatnonzero(heading), n)
         full = np.searchsorted(b.sums[1:], b.before[own] + most)
         head = heads[np.searchsorted(heads, own)]
@@ -151,7 +154,7 @@ def structured(pages: DataFrame, most: int = 800, least: int = 120, block: int =
         return following, ~heading[own] & (b.sums[following] > b.before[own])
 
     def emit(b: chains.Block, start: int, end: int, number: int, title: str | None) -> Iterator[tuple]:
-        full = [i for i in range(start, end) if b.size[i]]
+        full = (np.flatnonzero(b.size[start:end]) + start).tolist()
         held = [t for i in full for t in b.text[i].split("\n")]
         title = None if title is None else title.strip().strip(":")
         for part, at in enumerate(range(0, len(held), most)):
@@ -160,15 +163,23 @@ def structured(pages: DataFrame, most: int = 800, least: int = 120, block: int =
                 return
             yield number * _STRIDE + part, f"s{number:04d}_c{part:04d}", _detokenize(piece), b.page[full[0]], b.page[end - 1], title, "structured_headings", None, None
 
-    stripped = F.filter(F.transform(F.split(T.normalized(F.coalesce("text", F.lit(""))), "\n"), T.strip), lambda x: x != "")
-    marked = F.transform(stripped, lambda x: F.struct(x.alias("x"), T.is_heading(x).alias("mark")))
-    cut = F.transform(marked, lambda x: F.struct(x["x"].alias("x"), x["mark"].alias("mark"), F.when(x["mark"], F.array().cast("array<string>")).otherwise(T.tokens(x["x"])).alias("t")))
-    # no token holds a line break
-    made = F.transform(cut, lambda x: F.struct(F.when(x["mark"], x["x"]).otherwise(F.array_join(x["t"], "\n")).alias("text"), F.size(x["t"]).alias("size"), x["mark"].alias("mark")))
-    rows = chains.pieces(pages, made, most, block).withColumnRenamed("mark", "known")
+    def cut(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, pa.Array]:
+        """Lines: headings as they are, and the tokens of every other one; no token holds a line break."""
+        each = [U.lines(x) for x in texts]
+        rows = list(itertools.chain.from_iterable(each))
+        marks = [U.is_heading(x) for x in rows]
+        tokens = L.listed(pa.array(["" if m else x for x, m in zip(rows, marks, strict=True)], pa.string())).to_pylist()
+        size = np.array([x.count("\n") + 1 if x else 0 for x in tokens], np.int32)
+        return np.array([len(x) for x in each]), [x if m else t for x, m, t in zip(rows, marks, tokens, strict=True)], size, pa.array(marks, pa.bool_())
+
+    rows = chains.pieces(_normalized(pages), cut, most, block).withColumnRenamed("mark", "known")
     return chains.chained(rows, follow, emit, CHUNK, most, block)
 
 
+def _normalized(pages: DataFrame) -> DataFrame:
+    return pages.select("doc_key", "page", T.normalized(F.coalesce("text", F.lit(""))).alias("text"))
+
+
 def units(pages: DataFrame) -> DataFrame:
     """(doc_key, page, unit, text, n): headings and sentences of the pages, with their token counts."""
     split = pages.select("doc_key", "page", F.posexplode(T.units(F.coalesce("text", F.lit("")))).alias("unit", "text"))
@@ -188,26 +199,82 @@ def term_cosine(before: str, text: str) -> float:
     return sum(n * b[w] for w, n in a.items()) / norm if norm else 0.0
 
 
-def _unit_pieces(pages: DataFrame, reach: int, block: int) -> DataFrame:
-    made = F.transform(T.units(F.coalesce("text", F.lit(""))), lambda x: F.struct(x.alias("text"), T.token_count(x).alias("size"), F.lit(False).alias("mark")))
-    return chains.pieces(pages, made, reach, block)
+def _cosines(texts: list[str], first: np.ndarray) -> np.ndarray:
+    """term_cosine of each text and the one before, none where `first` is set; texts hold no line breaks. All are counted at once."""
+    out = np.full(len(texts), np.nan)
+    each = [x.split() for x in "\n".join(texts).lower().split("\n")] if texts else []
+    words = pa.array(itertools.chain.from_iterable(each), pa.string()).dictionary_encode()
+    many = len(words.dictionary) + 1
+    row = np.repeat(np.arange(len(each)), [len(x) for x in each])
+    keys, counts = np.unique(row * many + words.indices.to_numpy(), return_counts=True)
+    row = keys // many
+    norm = np.bincount(row, counts * counts, len(texts))
+    if len(keys):
+        at = np.searchsorted(keys, keys - many)
+        both = keys[at] == keys - many
+        dots = np.bincount(row[both], (counts[both] * counts[at[both]]), len(texts))
+        size = np.sqrt(norm[1:] * norm[:-1])
+        out[1:] = np.divide(dots[1:], size, out=np.zeros(len(size)), where=size > 0)
+    else:
+        out[1:] = 0.0
+    out[first] = np.nan
+    return out
+
+
+#: How alike each of some texts and the one before it are, none where `first` is set.
+Alike = Callable[[list[str], np.ndarray], np.ndarray]
+
+
+def _alike(similarity: Similarity, embedder: Callable | None) -> Alike:
+    made: list = []
+
+    def products(texts: list[str], first: np.ndarray) -> np.ndarray:
+        if not made:
+            made.append(embedder())
+        out = np.full(len(texts), np.nan)
+        if len(texts):
+            vectors = np.asarray(made[0](texts), dtype=float)
+            out[1:] = (vectors[1:] * vectors[:-1]).sum(axis=1)
+        out[first] = np.nan
+        return out
+
+    def each(texts: list[str], first: np.ndarray) -> np.ndarray:
+        return np.array([np.nan if begins else similarity(texts[i - 1], texts[i]) for i, begins in enumerate(first.tolist())], float)
+
+    return products if embedder is not None else _cosines if similarity is term_cosine else each
+
+
+def _unit_pieces(pages: DataFrame, reach: int, block: int, alike: Alike | None = None) -> DataFrame:
+    """Units as pieces; how alike each is to the one before it on its page is its mark."""
+
+    def cut(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, pa.Array]:
+        each = [U.units(x) for x in texts]
+        counts = np.array([len(x) for x in each], np.int64)
+        rows = list(itertools.chain.from_iterable(each))
+        first = np.zeros(len(rows), bool)
+        first[(np.cumsum(counts) - counts)[counts > 0]] = True
+        marks = pa.nulls(len(rows), pa.float64()) if alike is None else pa.array(alike(rows, first), pa.float64(), from_pandas=True)
+        return counts, rows, L.token_counts(rows), marks
+
+    return chains.pieces(_normalized(pages), cut, reach, block, "double").withColumnRenamed("mark", "known")
 
 
 def semantic(pages: DataFrame, most: int = 450, least: int = 80, threshold: float = 0.55, similarity: Similarity = term_cosine, embedder: Callable | None = None, block: int = chains.BLOCK) -> DataFrame:
     """Units put together until they would pass `most` tokens or turn to something else, both only from
     `least` tokens on. A last chunk of under max(20, least // 2) tokens joins the one before.
 
-    With an `embedder`, which operators.embed describes, units are alike by the product of their vectors, made
-    in batches before; else by `similarity` of their texts.
+    With an `embedder`, which operators.embed describes, units are alike by the product of their vectors; else by
+    `similarity` of their texts. Units of a page are compared where they are cut, in batches, those at pages' ends in blocks.
     """
+    compared = _alike(similarity, embedder)
 
     def follow(b: chains.Block) -> tuple[np.ndarray, np.ndarray]:
         own, n = np.arange(b.own), len(b.at)
-        if embedder is None:
-            alike = np.array([1.0, *(similarity(x, y) for x, y in itertools.pairwise(b.text))])
-        else:
-            vectors = np.array(b.known, float)
-            alike = np.append(1.0, (vectors[1:] * vectors[:-1]).sum(axis=1))
+        alike = b.known.copy()
+        alike[0] = 1.0
+        ends = np.flatnonzero(np.isnan(alike))
+        pairs = [b.text[i] for end in ends.tolist() for i in (end - 1, end)]
+        alike[ends] = compared(pairs, np.arange(len(pairs)) % 2 == 0)[1::2]
         turns = np.append(np.flatnonzero(alike < threshold), n)
         enough = np.maximum(np.searchsorted(b.before, b.before[own] + least), own + 1)
         full = np.searchsorted(b.sums[1:], b.before[own] + most, "right")
@@ -219,9 +286,7 @@ def semantic(pages: DataFrame, most: int = 450, least: int = 80, threshold: floa
         yield number * _STRIDE, f"s{number:04d}_p{first:04d}-{last:04d}", " ".join(b.text[start:end]), first, last, None, "semantic_similarity", most, None, bool(short)
 
     reach = max(most, least)
-    rows = _unit_pieces(pages, reach, block)
-    known = F.lit(None).cast("string") if embedder is None else E.embedded(F.col("text"), embedder)
-    chunks = chains.chained(rows.withColumn("known", known), follow, emit, f"{CHUNK}, short boolean", reach, block, reads=embedder is None)
+    chunks = chains.chained(_unit_pieces(pages, reach, block, compared), follow, emit, f"{CHUNK}, short boolean", reach, block)
     # a short last chunk and the one before it, or a chunk by itself
     place = (F.col("ord") - F.when(F.col("short"), _STRIDE).otherwise(0)).alias("__place")
     parts = chunks.groupBy("doc_key", place).agg(F.array_sort(F.collect_list(F.struct(*_COLUMNS[1:]))).alias("x"))
@@ -288,7 +353,7 @@ def _unchosen(pages: DataFrame, most: int, least: int, window: int, block: int)
     def emit(b: chains.Block, start: int, end: int, number: int, _: str | None) -> Iterator[tuple]:
         yield (number + 1) * _STRIDE, f"llm_{number + 1:05d}", " ".join(b.text[start:end]), b.page[start], b.page[end - 1], None, "llm_boundary", most, 0
 
-    rows = _unit_pieces(pages, most, block).withColumn("known", F.lit(None).cast("string"))
+    rows = _unit_pieces(pages, most, block).withColumn("known", F.lit(None).cast("string"))  # nothing is compared
     return chains.chained(rows, follow, emit, CHUNK, most, block)
 
 

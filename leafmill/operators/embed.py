@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import itertools
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -21,8 +21,8 @@ class Embedder(Protocol):
 
 
 Maker = Callable[[], Embedder]
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+#: UTF-8 with A-Z in lower case, and a blank for what is no digit, letter or beyond ASCII.
+_BYTES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
 
 def hashed(dim: int = 64) -> Maker:
@@ -31,18 +31,20 @@ def hashed(dim: int = 64) -> Maker:
 
     def make() -> Embedder:
         #: Buckets of words met, forgotten when there are many.
-        known: dict[str, int] = {}
+        known: dict[bytes, int] = {}
 
         def embed(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dim))
-            for row, text in zip(out, texts, strict=True):
-                for word in _WORD.findall(text.translate(_LOWER)):
-                    if word not in known:
-                        if len(known) > 100_000:
-                            known.clear()
-                        known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
-                    row[known[word]] += 1
-            return R.unit(out)
+            each = [text.encode().translate(_BYTES).split() for text in texts]
+            words = list(itertools.chain.from_iterable(each))
+            new = set(words) - known.keys()
+            if len(known) + len(new) > 400_000:
+                known.clear()
+                new = set(words)
+            for word in new:
+                known[word] = int.from_bytes(hashlib.md5(word).digest()[:4]) % dim
+            row = np.repeat(np.arange(len(texts)), [len(x) for x in each])
+            place = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            return R.unit(np.bincount(row * dim + place, minlength=len(texts) * dim).reshape(len(texts), dim).astype(float))
 
         return embed
 
