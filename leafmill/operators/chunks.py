@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions import units as U
@@ -42,12 +43,20 @@ def _id(prefix: str, number: Column, digits: int = 4) -> Column:
 def naive(pages: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
     """Token windows of each page, beginning every size - overlap tokens, those within the last one included."""
     step = max(1, size - overlap)
-    tokens = pages.select("doc_key", "page", T.tokens(T.normalized(F.coalesce("text", F.lit("")))).alias("t"))
-    # no filter on the tokens, which would be pushed down and make them twice
-    starts = F.when(F.size("t") > 0, F.sequence(F.lit(0), F.size("t") - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    windows = tokens.select("doc_key", "page", F.posexplode(F.transform(starts, lambda i: F.slice("t", i + 1, size))).alias("i", "w"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chains.slices(whole, "text"):
+                tokens = [x.split("\n") if x else [] for x in L.listed(batch.column("text")).to_pylist()]
+                rows = [(i, n, _detokenize(t[at : at + size])) for i, t in enumerate(tokens) for n, at in enumerate(range(0, len(t), step))]
+                row, number, text = zip(*rows, strict=True) if rows else ((), (), ())
+                of = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(number, pa.int32()), pa.array(text, pa.string())], names=["doc_key", "page", "i", "w"])
+
+    normal = _normalized(pages)
+    windows = normal.mapInArrow(cut, StructType([normal.schema["doc_key"], normal.schema["page"], *StructType.fromDDL("i int, w string").fields]))
     chunk_id = F.concat(_id("p", F.col("page")), F.lit("_"), _id("n", F.col("i")))
-    return windows.select(*_chunk(doc_key=F.col("doc_key"), ord=F.col("page") * _STRIDE + F.col("i"), chunk_id=chunk_id, text=T.detokenized(F.col("w")), page_start=F.col("page"), page_end=F.col("page"), strategy=F.lit("naive_tokens"), chunk_size=F.lit(size), overlap=F.lit(overlap)))
+    return windows.select(*_chunk(doc_key=F.col("doc_key"), ord=F.col("page") * _STRIDE + F.col("i"), chunk_id=chunk_id, text=F.col("w"), page_start=F.col("page"), page_end=F.col("page"), strategy=F.lit("naive_tokens"), chunk_size=F.lit(size), overlap=F.lit(overlap)))
 
 
 def page_index(pages: DataFrame, strategy: str = "page_index") -> DataFrame:
