@@ -63,9 +63,12 @@ def token_count(c: Column) -> Column:
 def detokenized(t: Column) -> Column:
     """Tokens with one blank between, none before closing punctuation, and none behind an opening bracket
     that is the very first token."""
+    return closed_up(F.array_join(t, " "))
 
+
+def closed_up(c: Column) -> Column:
+    """detokenized() of tokens that are joined by blanks."""
     # tokens hold no blank, so one before such a character stands before such a token
-    c = F.array_join(t, " ")
     for mark in _CLOSING:
         c = F.replace(c, F.lit(f" {mark}"), F.lit(mark))
     first = F.substring(c, 1, 1)

@@ -15,7 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -85,42 +85,78 @@ def tree(pages: DataFrame, parent_max: int = 900, size: int = 450, overlap: int
     than a window, and no task holds a document or a section. Sections without tokens have no number.
     """
     step = max(1, size - overlap)
-    page = Window.partitionBy("doc_key", "page").orderBy("line")
-    split = lines(pages).withColumn("t", F.when(F.col("heading"), F.array().cast("array<string>")).otherwise(T.tokens(F.col("text"))))
-    # of each line: the headings of its page so far, and the tokens before it on its page
-    split = split.withColumn("k", F.sum(F.col("heading").cast("int")).over(page)).withColumn("u", F.sum(F.size("t")).over(page) - F.size("t"))
-    split = stored(split)
-    own = split.groupBy("doc_key", "page").agg(F.sum(F.col("heading").cast("int")).alias("k"), F.sum(F.size("t")).alias("u"), F.max(F.when(F.col("heading"), F.col("u"))).alias("h"))
+    split = stored(_page_lines(pages))
+    own = split.groupBy("doc_key", "page").agg(F.max("k").alias("k"), F.sum("n").alias("u"), F.max("h").alias("h"))
     placed = chains.running(own, "doc_key", "page", "k", "u").withColumn("h", F.col("h") + F.col("before_u"))
     placed = chains.running(placed.select("doc_key", "page", "before_k", "before_u", "h"), "doc_key", "page", "h", how=F.max).drop("h", "all_h")
     at = lambda c: F.col(f"before_{c}") + F.col(c)
     # tokens of the document before the last heading, which may stand on an earlier page
-    begun = F.greatest("before_h", F.coalesce(F.max(F.when(F.col("heading"), at("u"))).over(page), F.lit(0)))
-    marked = split.join(placed, ["doc_key", "page"]).select("doc_key", "page", "line", "text", "heading", "t", at("k").alias("sec"), (at("u") - begun).alias("o"))
+    begun = F.greatest("before_h", F.coalesce(F.col("before_u") + F.col("h"), F.lit(0)))
+    marked = split.join(placed, ["doc_key", "page"]).select("doc_key", "page", "line", "text", "heading", "t", "n", at("k").alias("sec"), (at("u") - begun).alias("o"))
     titles = marked.where("heading").select("doc_key", "sec", T.heading_title(F.col("text")).alias("section_title"))
-    body = marked.where("not heading and size(t) > 0").select("doc_key", "sec", "page", "o", "t")
+    body = marked.where("not heading and n > 0").select("doc_key", "sec", "page", "o", "t", "n")
     sections = body.groupBy("doc_key", "sec").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.lit(1).alias("one"))
     sections = chains.running(sections, "doc_key", "sec", "one").select("doc_key", "sec", "page_start", "page_end", F.col("before_one").alias("number")).join(titles, ["doc_key", "sec"], "left")
 
     def gathered(width: int, first: Column, last: Column, every: int) -> DataFrame:
-        entered = body.select("doc_key", "sec", "o", "t", F.explode(F.sequence(first, last)).alias("i"))
-        lo, hi = F.greatest("o", F.col("i") * every), F.least(F.col("o") + F.size("t"), F.col("i") * every + width)
-        part = entered.select("doc_key", "sec", "i", F.struct("o", F.slice("t", (lo - F.col("o") + 1).cast("int"), (hi - lo).cast("int")).alias("t")).alias("part"), (hi - lo).alias("n")).where("n > 0")
+        entered = body.select("doc_key", "sec", "o", "t", "n", F.explode(F.sequence(first, last)).alias("i"))
+        lo, hi = F.greatest("o", F.col("i") * every), F.least(F.col("o") + F.col("n"), F.col("i") * every + width)
+        some = F.array_join(F.slice(F.split("t", "\n"), (lo - F.col("o") + 1).cast("int"), (hi - lo).cast("int")), "\n")
+        part = entered.where(hi > lo).select("doc_key", "sec", "i", F.struct("o", F.when(hi - lo == F.col("n"), F.col("t")).otherwise(some).alias("t")).alias("part"))
         whole = part.groupBy("doc_key", "sec", "i").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-        return whole.select("doc_key", "sec", "i", F.flatten(F.transform("parts", lambda x: x["t"])).alias("w")).join(sections, ["doc_key", "sec"])
+        return whole.select("doc_key", "sec", "i", F.replace(F.array_join(F.transform("parts", lambda x: x["t"]), "\n"), F.lit("\n"), F.lit(" ")).alias("w")).join(sections, ["doc_key", "sec"])
 
-    common = {"doc_key": F.col("doc_key"), "text": T.detokenized(F.col("w")), "page_start": F.col("page_start"), "page_end": F.col("page_end"), "section_title": F.col("section_title")}
+    common = {"doc_key": F.col("doc_key"), "text": T.closed_up(F.col("w")), "page_start": F.col("page_start"), "page_end": F.col("page_end"), "section_title": F.col("section_title")}
     parent_id = _id("p", F.col("number"))
     heads = gathered(parent_max, F.lit(0), F.lit(0), parent_max)
     parents = heads.select(*_chunk(ord=F.col("number") * _STRIDE, chunk_id=parent_id, strategy=F.lit("tree_parent"), **common))
     first = F.greatest(F.lit(0), F.ceil((F.col("o") - (size - 1)) / step)).cast("int")
-    last = F.floor((F.col("o") + F.size("t") - 1) / step).cast("int")
+    last = F.floor((F.col("o") + F.col("n") - 1) / step).cast("int")
     windows = gathered(size, first, last, step)
     child_id = F.concat(parent_id, F.lit("/"), _id("c", F.col("i")))
     children = windows.select(*_chunk(ord=F.col("number") * _STRIDE + F.col("i"), chunk_id=child_id, strategy=F.lit("tree_child"), chunk_size=F.lit(size), overlap=F.lit(overlap), **common), parent_id.alias("parent_id"))
     return parents, children
 
 
+def _page_lines(pages: DataFrame) -> DataFrame:
+    """Lines as lines() has them, headings with their text and others with their tokens `t`, joined by line breaks, `n` of them. Of each: the headings of
+    its page so far (k), the tokens before it on its page (u), and those before the last heading there so far (h), if any.
+    Rows that repeat a page are one page, line by line."""
+    normal = _normalized(pages)
+    rows = normal.groupBy("doc_key", "page").agg(F.collect_list("text").alias("texts"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                each = [U.lines(x[0] if len(x) == 1 else "\n".join(_merged(x))) for x in batch.column("texts").to_pylist()]
+                rows = list(itertools.chain.from_iterable(each))
+                if not rows:
+                    continue
+                of = np.repeat(np.arange(len(each)), [len(x) for x in each])
+                first = np.searchsorted(of, of)
+                heading = np.array([U.is_heading(x) for x in rows])
+                tokens = L.listed(pa.array(["" if m else x for x, m in zip(rows, heading.tolist(), strict=True)], pa.string()))
+                n = np.array([x.count("\n") + 1 if x else 0 for x in tokens.to_pylist()], np.int64)
+                before = np.cumsum(n) - n
+                u, k = before - before[first], np.cumsum(heading) - (np.cumsum(heading) - heading)[first]
+                last = np.maximum.accumulate(np.where(heading, np.arange(len(rows)), -1))
+                own = pa.array(of)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(own), batch.column(1).take(own), pa.array(np.arange(len(rows)) - first, pa.int32()), pa.array([x if m else None for x, m in zip(rows, heading.tolist(), strict=True)], pa.string()), pa.array(heading), tokens, pa.array(n), pa.array(k), pa.array(u), pa.array(u[last], mask=last < first)],
+                    names=["doc_key", "page", "line", "text", "heading", "t", "n", "k", "u", "h"],
+                )
+
+    own = StructType.fromDDL("line int, text string, heading boolean, t string, n bigint, k bigint, u bigint, h bigint")
+    return rows.mapInArrow(cut, StructType([normal.schema["doc_key"], normal.schema["page"], *own.fields]))
+
+
+def _merged(texts: list[str]) -> list[str]:
+    """The first lines of all texts, then the second ones, and so on."""
+    every = sorted((i, x) for text in texts for i, x in enumerate(text.split("\n")))
+    return [x for _, x in every]
+
+
 def folded(rows: DataFrame, order: list[str], fold: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
     """Chunks that `fold` makes of each doc_key's rows, which come in order, without doc_key."""
     dealt = rows.repartition("doc_key").sortWithinPartitions("doc_key", *order)

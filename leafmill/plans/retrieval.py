@@ -109,7 +109,9 @@ def rankings(chunks: DataFrame, questions: DataFrame, config: dict | None = None
 
 def tree_rankings(parents: DataFrame, children: DataFrame, questions: DataFrame, k: int = 5, parent_k: int = 3, kind: str = "dense") -> DataFrame:
     """Children of each question's best parents, ranked. Parents are weighed by the fit on them, and so are
-    children. For bm25 all children compete, and for hybrid the lexical side does."""
+    children. For bm25 all children compete, so parents aren't looked at, and for hybrid the lexical side does."""
+    if kind == "bm25":
+        return R.top_k(L.Bm25(children.select("doc", "text")).best(questions, max(50, 10 * k)), k)
     parents, children = stored(parents), stored(children)
     index = L.TfIdf(parents.select("doc", "text"))
     best = R.top_k(index.best(questions, parent_k), parent_k).select("qid", F.col("doc").alias("parent"))
@@ -119,7 +121,7 @@ def tree_rankings(parents: DataFrame, children: DataFrame, questions: DataFrame,
         return R.top_k(dense, k)
     found = L.Bm25(docs)
     lexical = found.best(questions, max(50, 10 * k))
-    return R.top_k(lexical if kind == "bm25" else R.hybrid(dense.persist(), lexical, k, lexical_of=lambda pairs: found.scores_of(pairs, questions)), k)
+    return R.top_k(R.hybrid(dense.persist(), lexical, k, lexical_of=lambda pairs: found.scores_of(pairs, questions)), k)
 
 
 def late_rankings(pages: DataFrame, questions: DataFrame, k: int = 5, page_k: int = 12, size: int = 300, overlap: int = 100, kind: str = "dense", candidates: int | None = None) -> DataFrame:

@@ -48,3 +48,19 @@ def test_batches_are_alike_as_pairs():
     first = [True, False, False, False, False, False, True]
     got = C._cosines(texts, np.array(first)).tolist()
     assert [None if math.isnan(x) else x for x in got] == [None if f else C.term_cosine(texts[i - 1], x) for i, (f, x) in enumerate(zip(first, texts, strict=True))]
+
+
+def test_rows_that_repeat_a_page_are_one_page(spark):
+    pages = spark.createDataFrame([("a", 1, "x y\nHead:\nz"), ("a", 1, "v w"), ("a", 2, "(u")], "doc_key string, page bigint, text string")
+    rows = C._page_lines(pages).orderBy("page", "line").collect()
+    assert [(r.page, r.text, r.t, r.n, r.k, r.u, r.h) for r in rows] == [(1, None, "v\nw", 2, 0, 0, None), (1, None, "x\ny", 2, 0, 2, None), (1, "Head:", "", 0, 1, 4, 4), (1, None, "z", 1, 1, 4, 4), (2, None, "(\nu", 2, 0, 0, None)]
+
+
+def test_lexical_trees_leave_parents_alone(spark):
+    """They were made and fitted to for nothing."""
+    from leafmill.plans import retrieval as P
+
+    children = spark.createDataFrame([(f"d{i}", "p", f"word{i} other") for i in range(4)], "doc string, parent string, text string")
+    questions = spark.createDataFrame([(1, "word2")], "qid bigint, text string")
+    broken = spark.range(1).select(F.raise_error(F.lit("read")).cast("string").alias("doc"), F.lit("x").alias("text"))
+    assert P.tree_rankings(broken, children, questions, kind="bm25").first().doc == "d2"
