@@ -112,7 +112,7 @@ def answer_metrics(answers: DataFrame, *by: str) -> DataFrame:
         out += [(count(F.col("supported")) / n).alias("supported_rate"), F.avg("attempts").alias("avg_attempts")]
     late = nearest_rank(answers, "tokens", 0.95, *by).withColumnRenamed("value", "p95_tokens")
     found = answers.groupBy(*by).agg(*out)
-    return (found.join(late, list(by), "left") if by else found.crossJoin(late)).fillna(-1, ["p95_tokens"])
+    return (found.join(late, list(by), "left") if by else found.join(late, F.lit(True), "left")).fillna(-1, ["p95_tokens"])
 
 
 def context_pages(chunks: DataFrame) -> DataFrame:
