@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
@@ -29,6 +30,8 @@ from pyspark.sql.types import DoubleType, StructType
 from .common import mapped, pieces, saved
 
 _FIND = re.compile(r"[^\W\d_]+").findall
+#: Rows of texts or of pairs that the fit lays out at once, and terms that it looks up at once: it runs in the driver.
+_BLOCK, _TERMS = 256, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -95,19 +98,30 @@ def telling_pairs(labels: np.ndarray, rows: np.ndarray, columns: np.ndarray, n:
     """Columns, of n, of the pairs whose texts' labels differ most from what both columns say by themselves."""
     if n < 2:
         return np.empty(0, np.int64)
-    held = np.zeros((len(labels), n), np.float32)
-    held[rows, columns] = 1
-    p = labels.mean()
-    both = held.T @ held
-    off = held.T @ (held * (labels - p).astype(np.float32)[:, None])
-    alone = np.diag(off) / np.maximum(np.diag(both), 1)
-    z = np.abs(off - both * (alone[:, None] + alone[None, :])) / np.sqrt(np.maximum(both, 1) * p * (1 - p))
-    # terms that stand together only are one term
-    z[(both < settings.least_rows) | (both > 0.9 * np.minimum(np.diag(both)[:, None], np.diag(both)[None, :]))] = 0
-    z = np.triu(z, 1)
-    at = np.argsort(-z, axis=None, kind="stable")[: settings.pairs]
-    at = at[z.reshape(-1)[at] >= settings.deviations]
-    return np.unique(np.stack(np.unravel_index(at, z.shape)))
+    both, bad = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    order = np.argsort(rows, kind="stable")
+    begin = np.searchsorted(rows[order], np.arange(0, len(labels) + _BLOCK, _BLOCK))
+    for k, (a, b) in enumerate(zip(begin[:-1], begin[1:])):
+        part = labels[k * _BLOCK : (k + 1) * _BLOCK].astype(np.float32)
+        held = np.zeros((len(part), n), np.float32)
+        held[rows[order[a:b]] - k * _BLOCK, columns[order[a:b]]] = 1
+        both += held.T @ held
+        bad += held.T @ (held * part[:, None])
+    p, seen = labels.mean(), np.diag(both).copy()
+    alone = np.diag(bad) / np.maximum(seen, 1) - p
+    found, most = [], []
+    for a in range(0, n, _BLOCK):
+        each = both[a : a + _BLOCK]
+        z = np.abs(bad[a : a + _BLOCK] - each * (p + alone[a : a + _BLOCK, None] + alone[None, :])) / np.sqrt(np.maximum(each, 1) * p * (1 - p))
+        # terms that stand together only are one term
+        z[(each < settings.least_rows) | (each > 0.9 * np.minimum(seen[a : a + _BLOCK, None], seen[None, :]))] = 0
+        z = np.triu(z, 1 + a)
+        at = np.flatnonzero(z >= settings.deviations)
+        found.append(at + a * n)
+        most.append(z.reshape(-1)[at])
+    at, z = np.concatenate(found), np.concatenate(most)
+    at = at[np.argsort(-z, kind="stable")[: settings.pairs]]
+    return np.unique(np.stack(np.unravel_index(at, (n, n))))
 
 
 def _gradients(machine: Machine, rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, settings: Settings) -> tuple[float, np.ndarray, np.ndarray]:
@@ -127,18 +141,23 @@ def fit(labels: np.ndarray, rows: np.ndarray, buckets: np.ndarray, settings: Set
     if not n or labels.min() == labels.max():
         always = float(labels.mean()) if n else 0.0
         return Machine(settings.bits, np.empty(0, np.int64), float(np.log((always * n + 1) / ((1 - always) * n + 1))), np.zeros(0), np.zeros((0, settings.factors)))
-    known, inverse = np.unique(buckets, return_inverse=True)
-    seen, bad = np.bincount(inverse), np.bincount(inverse, labels[rows])
+    known = np.unique(buckets)
+    inverse, seen, bad = np.empty(len(buckets), np.int32), np.zeros(len(known), np.int64), np.zeros(len(known))
+    for a in range(0, len(buckets), _TERMS):
+        own = np.searchsorted(known, buckets[a : a + _TERMS])
+        inverse[a : a + _TERMS] = own
+        seen += np.bincount(own, minlength=len(known))
+        bad += np.bincount(own, labels[rows[a : a + _TERMS]], len(known))
     p = labels.mean()
     chi = np.where(seen >= settings.least_rows, (bad - p * seen) ** 2 / (p * (1 - p) * seen), -1)
     chosen = np.argsort(-chi, kind="stable")[: min(settings.features, int((chi >= 0).sum()))]
     common = np.argsort(-seen, kind="stable")[: min(settings.candidates, int((seen >= settings.least_rows).sum()))]
-    rank = np.full(len(known), -1)
+    rank = np.full(len(known), -1, np.int32)
     rank[common] = np.arange(len(common))
     looked = rank[inverse] >= 0
     paired = telling_pairs(labels, rows[looked], rank[inverse][looked], len(common), settings)
     chosen = np.union1d(chosen, common[paired])
-    place = np.full(len(known), -1)
+    place = np.full(len(known), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     keep = place[inverse] >= 0
     rows, columns = rows[keep], place[inverse][keep]
@@ -186,19 +205,23 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     # a doc_id may repeat without end: the bound on rows holds for texts too
     found = saved(mapped(texts, run, "label double, at bigint, terms array<int>").orderBy("at", "label").limit(settings.sample), "terms")
     often = found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= settings.least_rows)
-    known = np.sort(np.array([x.term for x in often.orderBy(F.col("n").desc(), "term").limit(settings.vocabulary).select("term").collect()], np.int32))
+    known = np.sort(often.orderBy(F.col("n").desc(), "term").limit(settings.vocabulary).select("term").toArrow()["term"].to_numpy().astype(np.int32))
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [np.intersect1d(x.values.to_numpy(), known, assume_unique=True).astype("<i4").tobytes() for x in batch.column("terms")]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("at"), pa.array(kept, pa.binary())], names=["label", "at", "terms"])
 
-    got = mapped(found, looked_up, "label double, at bigint, terms binary").toPandas().sort_values(["at", "label", "terms"], kind="stable")
-    parts = [np.frombuffer(x, "<i4") for x in got.terms]
-    rows = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
-    buckets = np.concatenate(parts) if parts else np.empty(0, np.int32)
-    labels = got.label.to_numpy(float)
-    del got, parts
+    got = mapped(found, looked_up, "label double, at bigint, terms binary").toArrow().sort_by([(c, "ascending") for c in ("at", "label", "terms")])
+    sizes = pc.binary_length(got["terms"]).to_numpy() // 4
+    rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    buckets, at = np.empty(len(rows), np.int32), 0
+    for x in got["terms"]:
+        own = np.frombuffer(x.as_buffer(), "<i4")
+        buckets[at : at + len(own)] = own
+        at += len(own)
+    labels = got["label"].to_numpy()
+    del got
     return fit(labels, rows, buckets, settings)
 
 

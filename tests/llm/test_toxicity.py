@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -105,3 +106,18 @@ def test_rows_are_bounded_even_if_doc_ids_repeat(spark, frame, monkeypatch):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)] * 20, "doc_id bigint, toxic int")
     toxicity.train(docs, labels, toxicity.Settings(sample=50))
     assert sizes == [50]
+
+
+def test_the_fit_takes_little_of_the_drivers_memory():
+    """A sample of full size: 6,000 texts of 400 terms, 20,000 in all."""
+    rng = np.random.default_rng(6)
+    labels = (rng.random(6000) < 0.2).astype(float)
+    rows = np.repeat(np.arange(6000, dtype=np.int32), 400)
+    buckets = (20_000 * rng.random(len(rows)) ** 2).astype(np.int32)
+    tracemalloc.start()
+    try:
+        machine = toxicity.fit(labels, rows, buckets, toxicity.Settings(epochs=1))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(machine.buckets) >= 512 and most < 110 << 20
