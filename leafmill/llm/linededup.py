@@ -94,7 +94,7 @@ def _cuts(docs: DataFrame, least_words: int, first: DataFrame) -> tuple[DataFram
     forward = f"transform(filter(transform(ahead, (a, s) -> named_struct('s', s, 't', s + cast(a % 1000 as int) - 1)), x -> ahead[x.s] >= {enough} and array_contains(fs, f[x.s])), x -> {window.format(s='x.s', t='x.t')})"
     backward = f"transform(filter(transform(back, (a, t) -> named_struct('s', t - cast(a % 1000 as int) + 1, 't', t)), x -> back[x.t] >= {enough} and x.s + ahead[x.s] % 1000 - 1 <> x.t and array_contains(fs, f[x.s])), x -> {window.format(s='x.s', t='x.t')})"
     runs = found.select(*KEY, F.element_at("i", 1).alias("top"), F.element_at("i", -1).alias("end"), F.explode_outer(F.concat(F.expr(forward), F.expr(backward))).alias("x"))
-    found = merged(runs.select(*KEY, "top", "end", "x.*"), "line", ["top", "end"])
+    found = merged(runs.select(*KEY, "top", "end", "x.*"), ["top", "end"])
     found = found.select(*KEY, "cuts", F.expr("size(cuts) = 1 and cuts[0].b = top and cuts[0].e = end").alias("all"))
     whole = copies.where(f"aggregate(n, 0L, (a, x) -> a + x) >= {least_words}")
     whole = whole.select(*KEY, F.array(F.struct(F.element_at("i", 1).alias("b"), F.element_at("i", -1).alias("e"))).alias("cuts"), F.lit(True).alias("all"))
@@ -119,6 +119,6 @@ def deduplicated(docs: DataFrame, least_words: int = 10, passage: int | None = 5
     kind = "array<struct<b: int, e: int>>"
     found = lines.select(*KEY, "cuts", F.lit(None).cast(kind).alias("words"))
     if passage is not None:
-        inside = passages.cuts(docs, passage, lines, single, first).select(*KEY, F.lit(None).cast(kind).alias("cuts"), F.col("cuts").alias("words"))
+        inside = passages.cuts(docs, passage, lines, first).select(*KEY, F.lit(None).cast(kind).alias("cuts"), F.col("cuts").alias("words"))
         found = found.union(inside).groupBy(*KEY).agg(F.first("cuts", True).alias("cuts"), F.first("words", True).alias("words"))
     return passages.without(docs, saved(found, "cuts"), report, drop)

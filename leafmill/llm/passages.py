@@ -1,37 +1,28 @@
 """Passages that repeat word for word, wherever they begin and end.
 
 A word that lies in `least` consecutive words that stand earlier, in a document before or further up in the
-same one, is cut. Two steps find them all. First, texts are winnowed: of every `least` - `gram` + 1
-consecutive hashes of `gram` words the smallest is a fingerprint, so two places of `least` equal words have one
-in common. Then only the runs of `least` words around a repeated fingerprint are hashed, and each that isn't
-the first place of its hash is cut. Hashes of runs are differences of running sums, for all words of a
-shard of texts at once; they are made in Arrow batches, as DataFrame functions take too long for that (see the
-README). What repeats, and which place is first, is found by DataFrame joins.
+same one, is cut. Two steps find them all, with DataFrame functions only. First, the places of a text's fingerprints are
+chosen by what stands there: words whose hash, with that of the next, is divisible by `_RATE`, and, where none is among the next
+`least` - `gram` + 1 words, every word. Whether a word is one depends on no word further on than these, so two places of
+`least` equal words have the same fingerprints, one at least, each the hash of `gram` words. Then, of the documents with a fingerprint that
+repeats, the runs of `least` words whose fingerprints all repeat are hashed, and each that isn't the first place of its hash is cut.
 
 Nothing is laid beside anything else: rows are places, and their number grows with the input.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, LongType, StructType
+from pyspark.sql.types import LongType
 
-from .common import mapped, pieces, saved
-from .decontaminate import word_hashes
+from .common import saved
 
 WHITE = " \t\r\x0b\f"
 KEY = ["doc_id", "hash"]
 _CUT = "array<struct<b: int, e: int>>"
-_SHARD = 4 << 20
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[[9, 10, 11, 12, 13, 32]] = False
-_BASE = 0x9E3779B97F4A7C15
-_MIX = np.uint64(0xD6E8FEB86659FD93)
+#: One word of so many is a place of a fingerprint.
+_RATE = 10
 
 
 def same(a: str, b: str) -> Column:
@@ -51,23 +42,15 @@ def repeated(chosen: DataFrame, name: str) -> DataFrame:
     return saved(marks.join(often, "f", "left_semi").groupBy(*KEY).agg(F.collect_set("f").alias("fs")), f"{name}-places")
 
 
-def merged(runs: DataFrame, name: str, rest: list[str], single: bool = False) -> DataFrame:
+def merged(runs: DataFrame, rest: list[str]) -> DataFrame:
     """Of runs (doc_id, hash, r, b, e), r their hash: (doc_id, hash, cuts), all but the first place of each
     joined into ranges (b, e) that neither touch nor overlap. Columns of `rest` are a document's own.
 
-    With `single` no two documents share a doc_id, which then tells which comes first, and a column `again`
-    tells whether the run stands further up in its document: the same result, without sorting to aggregate.
+    Rows that repeat doc_id and hash are one document, and one place.
     """
-    runs = saved(runs.where("r is not null"), f"{name}-runs")
-    if single:
-        first = runs.groupBy("r").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-        here = (F.col("doc_id") == F.col("first")) & ~F.col("again")
-    else:
-        first = runs.groupBy("r").agg(F.min(F.struct(*KEY, "b")).alias("first"), F.count("*").alias("n"))
-        here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")) & (F.col("b") == F.col("first.b"))
-    first = first.where("n > 1").select("r", "first")
+    place = F.rank().over(Window.partitionBy("r").orderBy(*KEY, "b"))
     own = [F.first(c).alias(c) for c in rest]
-    later = runs.join(first, "r").where(~here).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("b", "e"))).alias("at"), *own)
+    later = runs.where("r is not null").withColumn("place", place).where("place > 1").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("b", "e"))).alias("at"), *own)
     zero = f"named_struct('runs', cast(array() as {_CUT}), 'b', 0, 'e', -2)"
     close = "if(a.e < 0, a.runs, array_append(a.runs, named_struct('b', a.b, 'e', a.e)))"
     step = f"(a, x) -> if(a.e >= 0 and x.b <= a.e + 1, named_struct('runs', a.runs, 'b', a.b, 'e', greatest(a.e, x.e)), named_struct('runs', {close}, 'b', x.b, 'e', x.e))"
@@ -122,129 +105,94 @@ def left_over(text: Column, lines: Column, words: Column) -> Column:
     return _bound(_bound(F.split(text, "\n"), tokens), kept)
 
 
-class Shard:
-    """Texts with the hashes of their words."""
-
-    def __init__(self, texts: list[str | None]):
-        coded = [(t or "").encode() for t in texts]
-        self.data = np.frombuffer(b"\n".join(coded), np.uint8)
-        self.hashes, self.begins, _ = word_hashes(self.data, _IS_WORD)
-        self.offsets = np.cumsum([0, *(len(x) + 1 for x in coded)])
-        #: Of each text the number of its first word, one more for the end; of each word its text.
-        self.first = np.searchsorted(self.begins, self.offsets)
-        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(self.hashes), _BASE, np.uint64)]))
-        self.powers, self.sums = powers, np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * powers[:-1])])
-
-    def runs(self, n: int) -> np.ndarray:
-        """Hashes of the runs of n words from each word on, those beyond the end of a text too."""
-        m = max(len(self.hashes) - n + 1, 0)
-        # the sums grow by powers of the base, so its inverse powers make runs comparable
-        back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(m - 1, 0), pow(_BASE, -1, 1 << 64), np.uint64)]))[:m]
-        h = (self.sums[n : n + m] - self.sums[:m]) * back
-        return (h ^ (h >> np.uint64(32))) * _MIX
-
-    def inside(self, n: int) -> np.ndarray:
-        """Whether the run of n words from a word on ends in its text."""
-        m = max(len(self.hashes) - n + 1, 0)
-        return np.arange(m) + n <= self.first[self.doc[:m] + 1]
-
-    def own(self, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Hashes told apart by text."""
-        return (hashes ^ (doc.astype(np.uint64) * np.uint64(_BASE))) * _MIX
-
-
-def winnowed(shard: Shard, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, fingerprint, 2 if it stands there more than once, else 1) of a shard's fingerprints."""
-    hashes, width = shard.runs(gram), least - gram + 1
-    inside = shard.inside(least)
-    if not inside.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-    low, reach = hashes, 1
-    while 2 * reach <= width:
-        low, reach = np.minimum(low[:-reach], low[reach:]), 2 * reach
-    minima = np.minimum(low[: len(inside)], low[width - reach :][: len(inside)])[inside]
-    doc = shard.doc[: len(inside)][inside]
-    _, at = np.unique(shard.own(minima, doc), return_index=True)
-    at.sort()
-    whole = shard.inside(gram)
-    keys, counts = np.unique(shard.own(hashes[whole], shard.doc[: len(whole)][whole]), return_counts=True)
-    n = counts[np.searchsorted(keys, shard.own(minima[at], doc[at]))]
-    return doc[at], minima[at].view(np.int64), np.minimum(n, 2).astype(np.int32)
-
-
-def around(shard: Shard, least: int, gram: int, prints: list, lost: list) -> tuple[np.ndarray, ...]:
-    """(text, hash, b, e, again) of the runs of `least` words that hold one of the text's repeated fingerprints,
-    but for those within the lines lost: b and e number words, a blank line counting as one, and again tells
-    whether the run stands among them further up in its text."""
-    hashes, inside = shard.runs(gram), shard.inside(least)
-    of = np.repeat(np.arange(len(prints)), [len(x) for x in prints])
-    known = np.unique(shard.own(np.concatenate([np.asarray(x, np.int64) for x in prints] or [np.empty(0, np.int64)]).view(np.uint64), of))
-    mine = shard.own(hashes, shard.doc[: len(hashes)])
-    at = np.searchsorted(known, mine)
-    at[at == len(known)] = 0
-    hit = np.flatnonzero((known[at] == mine) & shard.inside(gram)) if len(known) and len(mine) else np.empty(0, np.int64)
-    marks = np.zeros(len(shard.hashes) + 1, np.int64)
-    np.add.at(marks, np.maximum(hit + gram - least, 0), 1)
-    np.add.at(marks, hit + 1, -1)
-    breaks = np.concatenate([[0], np.cumsum(shard.data == 10)])
-    line = (breaks[shard.begins] - breaks[shard.offsets[:-1]][shard.doc]) if len(shard.begins) else shard.begins
-    gone = np.zeros(len(line) + 1, np.int64)
-    for k, ranges in enumerate(lost):
-        own = line[shard.first[k] : shard.first[k + 1]]
-        for c in ranges or ():
-            gone[shard.first[k] + np.searchsorted(own, c["b"], "left")] += 1
-            gone[shard.first[k] + np.searchsorted(own, c["e"], "right")] -= 1
-    left = np.concatenate([[0], np.cumsum(np.cumsum(gone[:-1]) == 0)])
-    m = len(inside)
-    start = np.flatnonzero((np.cumsum(marks)[:m] > 0) & inside & (left[least : least + m] > left[:m]))
-    begins = np.ones(len(line), bool)
-    begins[1:] = (line[1:] != line[:-1]) | (shard.doc[1:] != shard.doc[:-1])
-    filled = np.cumsum(begins)
-    head = shard.first[:-1][shard.doc]
-    # lines without a word before this one: its line's number, less the lines with words before
-    order = np.arange(len(line)) - head + line - (filled - filled[head]) if len(line) else line
-    doc, found, again = shard.doc[start], shard.runs(least)[start], np.ones(len(start), bool)
-    again[np.unique(shard.own(found, doc), return_index=True)[1]] = False
-    return doc, found.view(np.int64), order[start], order[start + least - 1], again
-
-
-def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None, single: bool = False, first: DataFrame | None = None) -> DataFrame:
+def _hashes(text: Column) -> Column:
+    """The hashes of a text's words; a text without a word has one, the hash of nothing."""
+    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for c in ("  ", "\n", *WHITE[1:]):
+        odd = odd | F.contains(text, F.lit(c))
+    plain = F.when(odd, F.btrim(F.regexp_replace(text, r"[ \t\n\r\x0B\f]+", " "))).otherwise(text)
+    return F.transform(F.split(plain, " "), lambda x: F.xxhash64(x))
+
+
+def _clear(marks: Column, n: Column, width: int) -> Column:
+    """Where `width` places of n begin that hold none of the marks, which are in order."""
+
+    def between(bounds: Column) -> Column:
+        wide = F.filter(F.transform(bounds, lambda x, i: F.struct(x.alias("a"), F.get(bounds, i + 1).alias("b"))), lambda x: x["b"] - x["a"] > width)
+        return F.flatten(F.transform(wide, lambda x: F.sequence(x["a"] + 1, x["b"] - width)))
+
+    return _bound(F.concat(F.array(F.lit(-1)), marks, F.array(n)), between)
+
+
+def _chosen(h: Column, after: Column) -> Column:
+    """Whether a word of hash h is a place by itself, before a word of hash `after`; words alone are too unlike in number."""
+    return h.bitwiseXOR(F.shiftright(after, 1)) % _RATE == 0
+
+
+def _places(w: Column, least: int, gram: int) -> Column:
+    """The places of fingerprints among word hashes w, in order."""
+    chosen = F.array_compact(F.transform(w, lambda h, k: F.when(_chosen(h, F.get(w, k + 1)), k)))
+    reach = least - gram + 1
+    every = _bound(chosen, lambda at: F.concat(at, _clear(at, F.size(w), reach)))
+    return F.when(F.size(w) >= least, F.filter(F.array_sort(every), lambda k: k <= F.size(w) - gram))
+
+
+def _numbers(text: Column) -> Column:
+    """The number of each word of a text in which a blank line counts as a word."""
+
+    def lines(text: Column) -> Column:
+        words = lambda x: F.when(F.btrim(x, F.lit(WHITE)) == "", F.array(F.lit(False))).otherwise(F.transform(_hashes(x), lambda _: F.lit(True)))
+        return F.flatten(F.transform(F.split(text, "\n"), words))
+
+    return F.array_compact(F.transform(lines(text), lambda x, i: F.when(x, i)))
+
+
+def _within(text: Column, lost: Column, least: int) -> Column:
+    """Where `least` words begin that lie within the same lost lines."""
+    words = F.transform(F.split(text, "\n"), lambda x: F.when(F.btrim(x, F.lit(WHITE)) == "", 0).otherwise(F.size(_hashes(x))))
+    ahead = F.reduce(words, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+
+    def inside(first: Column) -> Column:
+        wide = F.filter(F.transform(lost, lambda c: F.struct(F.get(first, c["b"]).alias("b"), F.get(first, c["e"] + 1).alias("end"))), lambda x: x["end"] - x["b"] >= least)
+        return F.flatten(F.transform(wide, lambda x: F.sequence(x["b"], x["end"] - least)))
+
+    return _bound(ahead, inside)
+
+
+def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None, first: DataFrame | None = None) -> DataFrame:
     """(doc_id, hash, cuts) of the documents that lose words: hash is the text's XXH64, cuts are (b, e) of
     word numbers, both inclusive, where a blank line counts as a word.
 
     Lines that `gone` (doc_id, hash, cuts, all) lists as cut are passed over: what lies within them stands
-    earlier in any case, so no first place is among it. `single` tells that no two documents with words share
-    a doc_id and none is null. Copies of texts that `first` (hash, holder, shared) lists are passed over too: all
-    their lines are cut.
+    earlier in any case, so no first place is among it. Copies of texts that `first` (hash, holder, shared) lists are
+    passed over too: all their lines are cut.
     """
-    gram = max(2 * least // 5, 1)
+    gram = max(least // 4, 2)
     texts = docs.where(F.length("text") >= 2 * least - 1).select("doc_id", F.xxhash64("text").alias("hash"), "text")
     if first is not None:
         texts = texts.join(first, "hash", "left").where(~copied()).select("doc_id", "hash", "text")
-
-    def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", _SHARD):
-            doc, f, n = winnowed(Shard(batch.column("text").to_pylist()), least, gram)
-            doc = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(doc), batch.column("hash").take(doc), pa.array(f), pa.array(n)], names=[*KEY, "f", "n"])
-
-    key = [texts.schema["doc_id"], texts.schema["hash"]]
-    places = repeated(mapped(texts, winnow, StructType([*key]).add("f", LongType()).add("n", IntegerType())), "passage").alias("p")
+    marks = texts.select(*KEY, _hashes(F.col("text")).alias("w")).withColumn("k", _places(F.col("w"), least, gram))
+    # not explode: the arrays would be made a second time for a filter on their size
+    marks = marks.select(*KEY, F.explode_outer(F.expr(f"transform(k, x -> named_struct('k', x, 'f', xxhash64(slice(w, x + 1, {gram}))))")).alias("x"))
+    marks = marks.where("x is not null").select(*KEY, "x.k", "x.f").withColumn("n", F.count("*").over(Window.partitionBy("f")))
+    places = saved(marks.where("n > 1").groupBy(*KEY).agg(F.collect_list("k").alias("known")), "passage-places").alias("p")
     if gone is None:
         places = places.withColumn("lost", F.lit(None).cast(_CUT))
     else:
-        places = places.join(gone.alias("l"), same("p", "l"), "left").where("not coalesce(l.all, false)").select("p.doc_id", "p.hash", "fs", F.col("cuts").alias("lost"))
-    found = texts.alias("t").join(places.alias("s").hint("shuffle_hash"), same("t", "s")).select("t.doc_id", "t.hash", "text", "fs", "lost")
-
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", _SHARD):
-            doc, r, b, e, again = around(Shard(batch.column("text").to_pylist()), least, gram, batch.column("fs").to_pylist(), batch.column("lost").to_pylist())
-            doc = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(doc), batch.column("hash").take(doc), pa.array(r), pa.array(b, pa.int32()), pa.array(e, pa.int32()), pa.array(again)], names=[*KEY, "r", "b", "e", "again"])
-
-    runs = mapped(found, lay, StructType([*key]).add("r", LongType()).add("b", IntegerType()).add("e", IntegerType()).add("again", BooleanType()))
-    return merged(runs, "passage", [], single)
+        places = places.join(gone.alias("l"), same("p", "l"), "left").where("not coalesce(l.all, false)").select("p.doc_id", "p.hash", "known", F.col("cuts").alias("lost"))
+    found = texts.alias("t").join(places.alias("s").hint("shuffle_hash"), same("t", "s")).select("t.doc_id", "t.hash", "text", "known", "lost")
+    blank = F.col("text").rlike(rf"(?:^|\n){_OWN}\n")
+    found = found.select(*KEY, "text", "known", "lost", _hashes(F.col("text")).alias("w"), F.when(blank, _numbers(F.col("text"))).alias("i"))
+    found = found.withColumn("new", F.array_except(_places(F.col("w"), least, gram), F.col("known")))
+    # each run ends in its text; whether a place is one hangs on two words by their own hashes, else on `reach` and one more
+    reach, chosen = least - gram + 1, lambda k: F.coalesce(_chosen(F.get("w", k), F.get("w", k + 1)), F.lit(False))
+    starts = _clear(F.filter("new", chosen), F.size("w") - gram + 1, reach)
+    other = F.filter("new", lambda k: ~chosen(k))
+    starts = F.when(F.size(other) == 0, starts).otherwise(F.array_intersect(starts, _clear(other, F.size("w") - reach, gram - 1)))
+    found = found.withColumn("s", F.when(F.col("lost").isNull(), starts).otherwise(F.array_except(starts, _within(F.col("text"), F.col("lost"), least))))
+    at = lambda x: f"if(i is null, {x}, i[{x}])"
+    runs = f"transform(s, x -> named_struct('r', xxhash64(slice(w, x + 1, {least})), 'b', {at('x')}, 'e', {at(f'x + {least - 1}')}))"
+    return merged(found.select(*KEY, F.explode_outer(F.expr(runs)).alias("x")).select(*KEY, "x.*"), [])
 
 
 def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> DataFrame:

@@ -113,3 +113,15 @@ def test_what_is_left_over(spark):
     frame = spark.createDataFrame(rows, f"k int, text string, lines {kind}, words {kind}")
     got = {r.k: r.left for r in frame.select("k", passages.left_over(F.col("text"), F.col("lines"), F.col("words")).alias("left")).collect()}
     assert [got[k] for k in range(len(rows))] == wanted
+
+
+def test_no_python_on_the_executors(spark, frame, tmp_path, monkeypatch):
+    docs = documents(5, 40)
+    frame(docs).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(frame([])), name, refused)
+    assert sum(r.n_chars_cut > 0 for r in op4_line_dedup(spark, str(tmp_path)).collect()) > 5
