@@ -174,8 +174,10 @@ def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None, first:
     marks = texts.select(*KEY, _hashes(F.col("text")).alias("w")).withColumn("k", _places(F.col("w"), least, gram))
     # not explode: the arrays would be made a second time for a filter on their size
     marks = marks.select(*KEY, F.explode_outer(F.expr(f"transform(k, x -> named_struct('k', x, 'f', xxhash64(slice(w, x + 1, {gram}))))")).alias("x"))
-    marks = marks.where("x is not null").select(*KEY, "x.k", "x.f").withColumn("n", F.count("*").over(Window.partitionBy("f")))
-    places = saved(marks.where("n > 1").groupBy(*KEY).agg(F.collect_list("k").alias("known")), "passage-places").alias("p")
+    marks = saved(marks.where("x is not null").select(*KEY, "x.k", "x.f"), "passage-fingerprints")
+    # not a window: a partition of a join that one fingerprint fills can be split
+    often = marks.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
+    places = saved(marks.join(often, "f", "left_semi").groupBy(*KEY).agg(F.collect_list("k").alias("known")), "passage-places").alias("p")
     if gone is None:
         places = places.withColumn("lost", F.lit(None).cast(_CUT))
     else:
