@@ -39,19 +39,25 @@ def _lines(text: Column) -> Column:
         full = F.filter(trimmed, lambda x: x["x"] != F.lit(""))
         return F.transform(full, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["x"]).alias("h"), words(x["x"]).alias("n")))
 
-    blanks = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    def blanks(x: Column) -> Column:
+        return F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+
+    def runs(x: Column) -> Column:
+        """The words of a line, with more than one blank between them perhaps."""
+        return F.when(F.contains(x, F.lit("  ")), F.size(F.array_remove(F.split(x, " "), ""))).otherwise(blanks(x))
+
     beyond = lambda x: F.floor((F.octet_length(x) - F.length(x)) / 6).cast("int")
     odd = F.lit(False)
-    for c in ("  ", *WHITE[1:]):
+    for c in WHITE[1:]:
         odd = odd | F.contains(text, F.lit(c))
     split = lines(lambda x: F.btrim(x, F.lit(WHITE)), lambda x: F.greatest(F.size(F.split(x, r"\s+")), beyond(x)))
-    plain, wide = lines(F.trim, blanks), lines(F.trim, lambda x: F.greatest(blanks(x), beyond(x)))
+    plain, wide = lines(F.trim, runs), lines(F.trim, lambda x: F.greatest(runs(x), beyond(x)))
     return F.when(odd, split).when(F.octet_length(text) == F.length(text), plain).otherwise(wide)
 
 
 def _fingerprints(hashes: str, fs: str) -> str:
     """SQL for the fingerprints `fs` of a document: f, and n, 2 if it stands in `hashes`, of which they are, twice or more, else 1."""
-    twice = f"transform(array(array_sort({hashes})), q -> array_distinct(filter(q, (x, i) -> i > 0 and x = q[greatest(i - 1, 0)])))[0]"
+    twice = f"transform(array(sort_array({hashes})), q -> array_distinct(filter(q, (x, i) -> i > 0 and x = q[greatest(i - 1, 0)])))[0]"
     return f"transform(array({twice}), q -> transform(array_distinct(array_compact({fs})), x -> named_struct('f', x, 'n', if(array_contains(q, x), 2, 1))))[0]"
 
 

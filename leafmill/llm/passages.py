@@ -21,8 +21,8 @@ from .common import saved
 WHITE = " \t\r\x0b\f"
 KEY = ["doc_id", "hash"]
 _CUT = "array<struct<b: int, e: int>>"
-#: One word of so many is a place of a fingerprint.
-_RATE = 10
+#: One word of ten is a place of a fingerprint: one whose pairs() is below this.
+_LOW = -(1 << 63) + (1 << 64) // 10
 
 
 def same(a: str, b: str) -> Column:
@@ -50,7 +50,7 @@ def merged(runs: DataFrame, rest: list[str]) -> DataFrame:
     """
     place = F.rank().over(Window.partitionBy("r").orderBy(*KEY, "b"))
     own = [F.first(c).alias(c) for c in rest]
-    later = runs.where("r is not null").withColumn("place", place).where("place > 1").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("b", "e"))).alias("at"), *own)
+    later = runs.where("r is not null").withColumn("place", place).where("place > 1").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("at"), *own)
     zero = f"named_struct('runs', cast(array() as {_CUT}), 'b', 0, 'e', -2)"
     close = "if(a.e < 0, a.runs, array_append(a.runs, named_struct('b', a.b, 'e', a.e)))"
     step = f"(a, x) -> if(a.e >= 0 and x.b <= a.e + 1, named_struct('runs', a.runs, 'b', a.b, 'e', greatest(a.e, x.e)), named_struct('runs', {close}, 'b', x.b, 'e', x.e))"
@@ -59,7 +59,8 @@ def merged(runs: DataFrame, rest: list[str]) -> DataFrame:
 
 _OWN = r"[ \t\r\x0B\f]*"
 #: Of a line and its break: a word with the white space around it, the last one with the break; a blank line is one.
-_WORD_AND_SPACE = rf"{_OWN}(?:[^ \t\r\x0B\f\n]+{_OWN})?\n|{_OWN}[^ \t\r\x0B\f\n]+{_OWN}"
+#: The kinds of characters are apart, so nothing that matched is ever given back.
+_WORD_AND_SPACE = rf"{_OWN}+[^ \t\r\x0B\f\n]++{_OWN}+\n?|{_OWN}+\n"
 
 
 def _bound(x: Column, use) -> Column:
@@ -105,13 +106,19 @@ def left_over(text: Column, lines: Column, words: Column) -> Column:
     return _bound(_bound(F.split(text, "\n"), tokens), kept)
 
 
-def _hashes(text: Column) -> Column:
-    """The hashes of a text's words; a text without a word has one, the hash of nothing."""
-    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
-    for c in ("  ", "\n", *WHITE[1:]):
+def _split(text: Column) -> Column:
+    """The words of a text."""
+    odd = F.lit(False)
+    for c in WHITE[1:]:
         odd = odd | F.contains(text, F.lit(c))
-    plain = F.when(odd, F.btrim(F.regexp_replace(text, r"[ \t\n\r\x0B\f]+", " "))).otherwise(text)
-    return F.transform(F.split(plain, " "), lambda x: F.xxhash64(x))
+    # a pattern, or a table of characters, takes longer than one replacement, and few texts need it
+    plain = F.when(odd, F.translate(text, WHITE[1:] + "\n", " " * len(WHITE))).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def _hashes(text: Column) -> Column:
+    """The hashes of a text's words."""
+    return F.transform(_split(text), lambda x: F.xxhash64(x))
 
 
 def _clear(marks: Column, n: Column, width: int) -> Column:
@@ -124,24 +131,32 @@ def _clear(marks: Column, n: Column, width: int) -> Column:
     return _bound(F.concat(F.array(F.lit(-1)), marks, F.array(n)), between)
 
 
-def _chosen(h: Column, after: Column) -> Column:
-    """Whether a word of hash h is a place by itself, before a word of hash `after`; words alone are too unlike in number."""
-    return h.bitwiseXOR(F.shiftright(after, 1)) % _RATE == 0
+def _pairs(w: Column) -> Column:
+    """Of each word hash, that with the next; words alone are too unlike in number. The last is null."""
+    return F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: a.bitwiseXOR(b))
 
 
-def _places(w: Column, least: int, gram: int) -> Column:
-    """The places of fingerprints among word hashes w, in order."""
-    chosen = F.array_compact(F.transform(w, lambda h, k: F.when(_chosen(h, F.get(w, k + 1)), k)))
-    reach = least - gram + 1
-    every = _bound(chosen, lambda at: F.concat(at, _clear(at, F.size(w), reach)))
-    return F.when(F.size(w) >= least, F.filter(F.array_sort(every), lambda k: k <= F.size(w) - gram))
+def _places(c: Column, reach: int, gram: int) -> Column:
+    """The places of fingerprints among words of which c are the pairs."""
+    chosen = F.array_compact(F.transform(c, lambda x, k: F.when(x < _LOW, k)))
+    every = _bound(chosen, lambda at: F.concat(at, _clear(at, F.size(c), reach)))
+    return F.filter(every, lambda k: k <= F.size(c) - gram)
+
+
+def _is_place(least: int, reach: int, gram: int) -> str:
+    """SQL for the same of a row: whether word k, whose pair is x, is a place. The first few words tell mostly, so the
+    others are looked at last; there is no lambda, as lambdas aren't compiled, and no condition of c alone, for which Spark
+    would make c a second time, before its rows."""
+    parts = [(a, min(a, reach - a)) for a in (8 << i for i in range(10)) if a < reach]
+    clear = " and ".join(f"coalesce(array_min(slice(c, k + 1 + {a}, {n})) >= {_LOW}L, true)" for a, n in [(0, min(8, reach)), *parts])
+    return f"k <= if(size(c) >= {least}, size(c) - {gram}, -1) and (x < {_LOW}L or k <= size(c) - {reach} and {clear})"
 
 
 def _numbers(text: Column) -> Column:
     """The number of each word of a text in which a blank line counts as a word."""
 
     def lines(text: Column) -> Column:
-        words = lambda x: F.when(F.btrim(x, F.lit(WHITE)) == "", F.array(F.lit(False))).otherwise(F.transform(_hashes(x), lambda _: F.lit(True)))
+        words = lambda x: F.when(F.btrim(x, F.lit(WHITE)) == "", F.array(F.lit(False))).otherwise(F.transform(_split(x), lambda _: F.lit(True)))
         return F.flatten(F.transform(F.split(text, "\n"), words))
 
     return F.array_compact(F.transform(lines(text), lambda x, i: F.when(x, i)))
@@ -149,7 +164,7 @@ def _numbers(text: Column) -> Column:
 
 def _within(text: Column, lost: Column, least: int) -> Column:
     """Where `least` words begin that lie within the same lost lines."""
-    words = F.transform(F.split(text, "\n"), lambda x: F.when(F.btrim(x, F.lit(WHITE)) == "", 0).otherwise(F.size(_hashes(x))))
+    words = F.transform(F.split(text, "\n"), lambda x: F.when(F.btrim(x, F.lit(WHITE)) == "", 0).otherwise(F.size(_split(x))))
     ahead = F.reduce(words, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
 
     def inside(first: Column) -> Column:
@@ -171,13 +186,14 @@ def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None, first:
     texts = docs.where(F.length("text") >= 2 * least - 1).select("doc_id", F.xxhash64("text").alias("hash"), "text")
     if first is not None:
         texts = texts.join(first, "hash", "left").where(~copied()).select("doc_id", "hash", "text")
-    marks = texts.select(*KEY, _hashes(F.col("text")).alias("w")).withColumn("k", _places(F.col("w"), least, gram))
-    # not explode: the arrays would be made a second time for a filter on their size
-    marks = marks.select(*KEY, F.explode_outer(F.expr(f"transform(k, x -> named_struct('k', x, 'f', xxhash64(slice(w, x + 1, {gram}))))")).alias("x"))
-    marks = saved(marks.where("x is not null").select(*KEY, "x.k", "x.f"), "passage-fingerprints")
+    reach = least - gram + 1
+    words = texts.select(*KEY, _hashes(F.col("text")).alias("w")).withColumn("c", _pairs(F.col("w")))
+    # outer, as the arrays would be made a second time for a filter on their size
+    marks = words.select(*KEY, "w", "c", F.posexplode_outer("c").alias("k", "x")).where(_is_place(least, reach, gram))
+    marks = saved(marks.select(*KEY, "k", F.expr(f"xxhash64(slice(w, k + 1, {gram}))").alias("f")), "passage-fingerprints")
     # not a window: a partition of a join that one fingerprint fills can be split
     often = marks.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    places = saved(marks.join(often, "f", "left_semi").groupBy(*KEY).agg(F.collect_list("k").alias("known")), "passage-places").alias("p")
+    places = saved(marks.join(often.hint("shuffle_hash"), "f", "left_semi").groupBy(*KEY).agg(F.collect_list("k").alias("known")), "passage-places").alias("p")
     if gone is None:
         places = places.withColumn("lost", F.lit(None).cast(_CUT))
     else:
@@ -185,16 +201,17 @@ def cuts(docs: DataFrame, least: int = 50, gone: DataFrame | None = None, first:
     found = texts.alias("t").join(places.alias("s").hint("shuffle_hash"), same("t", "s")).select("t.doc_id", "t.hash", "text", "known", "lost")
     blank = F.col("text").rlike(rf"(?:^|\n){_OWN}\n")
     found = found.select(*KEY, "text", "known", "lost", _hashes(F.col("text")).alias("w"), F.when(blank, _numbers(F.col("text"))).alias("i"))
-    found = found.withColumn("new", F.array_except(_places(F.col("w"), least, gram), F.col("known")))
+    found = found.withColumn("c", _pairs(F.col("w"))).withColumn("new", F.array_except(_places(F.col("c"), reach, gram), F.col("known")))
     # each run ends in its text; whether a place is one hangs on two words by their own hashes, else on `reach` and one more
-    reach, chosen = least - gram + 1, lambda k: F.coalesce(_chosen(F.get("w", k), F.get("w", k + 1)), F.lit(False))
-    starts = _clear(F.filter("new", chosen), F.size("w") - gram + 1, reach)
-    other = F.filter("new", lambda k: ~chosen(k))
+    new, chosen = F.sort_array("new"), lambda k: F.coalesce(F.get("c", k) < _LOW, F.lit(False))
+    starts = _clear(F.filter(new, chosen), F.size("w") - gram + 1, reach)
+    other = F.filter(new, lambda k: ~chosen(k))
     starts = F.when(F.size(other) == 0, starts).otherwise(F.array_intersect(starts, _clear(other, F.size("w") - reach, gram - 1)))
     found = found.withColumn("s", F.when(F.col("lost").isNull(), starts).otherwise(F.array_except(starts, _within(F.col("text"), F.col("lost"), least))))
-    at = lambda x: f"if(i is null, {x}, i[{x}])"
-    runs = f"transform(s, x -> named_struct('r', xxhash64(slice(w, x + 1, {least})), 'b', {at('x')}, 'e', {at(f'x + {least - 1}')}))"
-    return merged(found.select(*KEY, F.explode_outer(F.expr(runs)).alias("x")).select(*KEY, "x.*"), [])
+    at = lambda x: F.expr(f"if(i is null, {x}, i[{x}])")
+    runs = found.select(*KEY, "w", "i", F.explode_outer("s").alias("x")).where("x is not null")
+    runs = runs.select(*KEY, F.expr(f"xxhash64(slice(w, x + 1, {least}))").alias("r"), at("x").alias("b"), at(f"x + {least - 1}").alias("e"))
+    return merged(runs, [])
 
 
 def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> DataFrame:
@@ -217,7 +234,7 @@ def without(docs: DataFrame, found: DataFrame, report: bool, drop: bool) -> Data
     cut = split.withColumn("__text", text)
     out = [F.col("__text").alias("text") if c == "text" else F.col(c) for c in kept]
     if report:
-        lines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+        lines = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit("\n"), F.lit("")))
         before = (lines(F.coalesce("text", F.lit(""))) + 1).cast(LongType())
         after = F.when(F.expr(hit), lines(F.col("__left"))).otherwise(before).cast(LongType())
         chars = F.coalesce(F.length("text") - F.length("__text"), F.lit(0)).cast(LongType())

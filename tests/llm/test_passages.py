@@ -125,3 +125,19 @@ def test_no_python_on_the_executors(spark, frame, tmp_path, monkeypatch):
     for name in ("mapInArrow", "mapInPandas"):
         monkeypatch.setattr(type(frame([])), name, refused)
     assert sum(r.n_chars_cut > 0 for r in op4_line_dedup(spark, str(tmp_path)).collect()) > 5
+
+
+def test_places_of_rows_are_those_of_arrays(spark):
+    """Both forms tell the same places, for texts with and without words that are places by themselves."""
+    rng = random.Random(13)
+    texts = ["again " * n for n in (49, 50, 51, 120)] + [" ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(30, 400))) for _ in range(60)]
+    low = [f"v{i}" for i in range(2)]
+    texts += [" ".join(rng.choice(low) for _ in range(n)) for n in (60, 200)]
+    w = spark.createDataFrame(list(enumerate(texts)), "d int, text string").select("d", passages._hashes(F.col("text")).alias("w"))
+    frame = w.withColumn("c", passages._pairs(F.col("w")))
+    arrays = frame.where("size(c) >= 50").select("d", F.explode(passages._places(F.col("c"), 39, 12)).alias("k"))
+    rows = frame.select("d", "c", F.posexplode_outer("c").alias("k", "x")).where(passages._is_place(50, 39, 12)).select("d", "k")
+    want = sorted(map(tuple, arrays.collect()))
+    assert len(want) > 500 and sorted(map(tuple, rows.collect())) == want
+    counts = {d: sum(1 for e, _ in want if e == d) for d in range(4)}
+    assert counts == {0: 0, 1: 12, 2: 13, 3: 82}
