@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from leafmill.functions import noise as N  # noqa: E402
+from leafmill.operators import lexical as L  # noqa: E402
 from leafmill.operators import metrics as M  # noqa: E402
 from leafmill.plans import retrieval as P  # noqa: E402
 from leafmill.session import ship, spread, stored  # noqa: E402
@@ -55,18 +56,20 @@ def run(spark: SparkSession, pages_path: str, questions_path: str, out: str, con
     k = int(config.get("k", 5))
     log.info("read %d pages of %s and %d questions of %s", pages.count(), pages_path, questions.count(), questions_path)
     profile = N.Profile.of(config.get("cleaning"))
-    expected = P.expected_pages(P.cleaned_pages(pages, profile), questions).persist()
+    ready = P.prepared(pages, profile)
+    expected = P.expected_pages(ready, questions).persist()
     done: list[dict] = []
-    # runs that cut the pages the same way share the chunks
+    # all runs share the cleaned pages and their tokens, and those that cut them the same way the chunks
     cut: dict[str, DataFrame] = {}
     for settings in config["runs"]:
         name = str(settings["name"])
         way = json.dumps(settings["chunking"], sort_keys=True)
         if way not in cut:
-            cut[way] = stored(P.flat_chunks(pages, settings["chunking"], profile))
+            cut[way] = stored(P.flat_chunks(pages, settings["chunking"], profile, ready))
         chunks = cut[way]
-        found = P.rankings(chunks, questions, settings.get("retrieval"), k)
-        shown = found.join(chunks.select("doc", "page_start", "page_end"), "doc")
+        # k rows for each question, which meet the chunks where these lie
+        found = stored(P.rankings(chunks, questions, settings.get("retrieval"), k))
+        shown = (F.broadcast(found) if found.count() <= L.FEW_PAIRS else found).join(chunks.select("doc", "page_start", "page_end"), "doc")
         hits = shown.join(expected, "qid").where(F.col("page").between(F.col("page_start"), F.col("page_end"))).select("qid", "rank", F.lit(True).alias("hit")).distinct()
         ranks = shown.join(hits, ["qid", "rank"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
         _put(ranks.select("qid", "rank", "doc", "score", "page_start", "page_end", "hit"), name, f"{out}/ranks")

@@ -49,8 +49,10 @@ def cleaned(c: Column, profile: Profile = BASIC) -> Column:
     one of them."""
     c = F.coalesce(c, F.lit(""))
     if profile.strip_nonprinting and profile.collapse_whitespace:
-        # a text in which no pattern could find anything is only stripped; one search tells
-        changes = c.rlike(r"[\x00-\x09\x0B-\x1F\x7F]|  |\n\n\n" + (r"|-\n" if profile.dehyphenate else ""))
+        # a text in which no pattern could find anything is only stripped; searches tell, one for a character and plain ones for the rest
+        changes = c.rlike(r"[\x00-\x09\x0B-\x1F\x7F]")
+        for mark in ("  ", "\n\n\n", *(["-\n"] if profile.dehyphenate else [])):
+            changes = changes | F.contains(c, F.lit(mark))
         return F.when(changes, _cleaned(c, profile)).otherwise(T.strip(c))
     return _cleaned(c, profile)
 

@@ -40,29 +40,71 @@ def _id(prefix: str, number: Column, digits: int = 4) -> Column:
     return F.format_string(f"{prefix}%0{digits}d", number)
 
 
+def tokenized(pages: DataFrame) -> DataFrame:
+    """`pages` with `t`, the tokens of the normalised text, joined by line breaks: for those who cut the same pages in several ways."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chains.slices(whole, "normal"):
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], L.listed(batch.column("normal"))], names=[*batch.schema.names[:-1], "t"])
+
+    normal = pages.withColumn("normal", T.normalized(F.coalesce("text", F.lit(""))))
+    return normal.mapInArrow(run, StructType([*pages.schema.fields, *StructType.fromDDL("t string").fields]))
+
+
 def naive(pages: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
-    """Token windows of each page, beginning every size - overlap tokens, those within the last one included."""
-    step = max(1, size - overlap)
+    """Token windows of each page, beginning every size - overlap tokens, those within the last one included. Of pages with
+    tokens, as tokenized() has them, the windows have theirs too."""
+    step, known = max(1, size - overlap), "t" in pages.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chains.slices(whole, "text"):
-                tokens = [x.split("\n") if x else [] for x in L.listed(batch.column("text")).to_pylist()]
-                rows = [(i, n, _detokenize(t[at : at + size])) for i, t in enumerate(tokens) for n, at in enumerate(range(0, len(t), step))]
-                row, number, text = zip(*rows, strict=True) if rows else ((), (), ())
-                of = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(number, pa.int32()), pa.array(text, pa.string())], names=["doc_key", "page", "i", "w"])
+            for batch in chains.slices(whole, whole.schema.names[2]):
+                row, number, text, tokens = _windows(batch.column(2) if known else L.listed(batch.column(2)), size, step)
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(number, pa.int32()), text, *([tokens] if known else [])], names=["doc_key", "page", "i", "w", *(["t"] if known else [])])
 
-    normal = _normalized(pages)
-    windows = normal.mapInArrow(cut, StructType([normal.schema["doc_key"], normal.schema["page"], *StructType.fromDDL("i int, w string").fields]))
+    texts = pages.select("doc_key", "page", "t") if known else _normalized(pages)
+    windows = texts.mapInArrow(cut, StructType([texts.schema["doc_key"], texts.schema["page"], *StructType.fromDDL("i int, w string" + ", t string" * known).fields]))
     chunk_id = F.concat(_id("p", F.col("page")), F.lit("_"), _id("n", F.col("i")))
-    return windows.select(*_chunk(doc_key=F.col("doc_key"), ord=F.col("page") * _STRIDE + F.col("i"), chunk_id=chunk_id, text=F.col("w"), page_start=F.col("page"), page_end=F.col("page"), strategy=F.lit("naive_tokens"), chunk_size=F.lit(size), overlap=F.lit(overlap)))
+    return windows.select(*_chunk(doc_key=F.col("doc_key"), ord=F.col("page") * _STRIDE + F.col("i"), chunk_id=chunk_id, text=F.col("w"), page_start=F.col("page"), page_end=F.col("page"), strategy=F.lit("naive_tokens"), chunk_size=F.lit(size), overlap=F.lit(overlap)), *(["t"] if known else []))
+
+
+def _windows(joined: pa.Array, size: int, step: int) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """(row, number, text, tokens) of the windows of texts of joined tokens. All texts are closed up at once, and a window is what
+    stands there from its first token to its last."""
+    texts = ["" if x is None else x for x in joined.to_pylist()]
+    rows = np.array([i for i, x in enumerate(texts) if x], np.int64)
+    whole = "\n".join(x for x in texts if x).encode("utf-8", "surrogatepass")
+    if not len(rows):
+        return rows, rows, pa.array([], pa.string()), pa.array([], pa.string())
+    b = np.frombuffer(whole, np.uint8)
+    breaks = np.flatnonzero(b == 10)
+    begin, end = np.append(0, breaks + 1), np.append(breaks, len(b))
+    shut = (end - begin == 1) & np.isin(b[begin], np.frombuffer(b".,:;?!)]}", np.uint8))
+    shut[0] = False
+    stays = np.ones(len(b), bool)
+    stays[begin[shut] - 1] = False
+    closed = np.where(b == 10, np.uint8(32), b)[stays].tobytes()
+    gone = np.cumsum(shut)
+    # the tokens of each text, and of each window
+    n = np.array([texts[i].count("\n") + 1 for i in rows.tolist()], np.int64)
+    many = -(-n // step)
+    of = np.repeat(np.arange(len(rows)), many)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    base = np.cumsum(n) - n
+    first = base[of] + number * step
+    last = np.minimum(first + size, base[of] + n[of]) - 1
+    tokens = [whole[x:y] for x, y in zip(begin[first].tolist(), end[last].tolist(), strict=True)]
+    text = [closed[x:y] for x, y in zip((begin - gone)[first].tolist(), (end - gone)[last].tolist(), strict=True)]
+    text = [x[:1] + x[2:] if x[:2] in (b"( ", b"[ ", b"{ ") else x for x in text]
+    return rows[of], number, *(pa.array(x, pa.binary()).view(pa.string()) for x in (text, tokens))
 
 
 def page_index(pages: DataFrame, strategy: str = "page_index") -> DataFrame:
     """One chunk for each page, its text as it is."""
     page = F.col("page")
-    return pages.select(*_chunk(doc_key=F.col("doc_key"), ord=page * _STRIDE, chunk_id=F.concat(F.lit("page/"), page.cast("string")), text=F.coalesce("text", F.lit("")), page_start=page, page_end=page, strategy=F.lit(strategy)))
+    return pages.select(*_chunk(doc_key=F.col("doc_key"), ord=page * _STRIDE, chunk_id=F.concat(F.lit("page/"), page.cast("string")), text=F.coalesce("text", F.lit("")), page_start=page, page_end=page, strategy=F.lit(strategy)), *(["t"] if "t" in pages.columns else []))
 
 
 def late(pages: DataFrame) -> DataFrame:

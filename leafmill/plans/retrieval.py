@@ -26,9 +26,16 @@ def cleaned_pages(pages: DataFrame, profile: N.Profile = N.BASIC) -> DataFrame:
     return pages.select("doc_key", "page", N.cleaned(F.col("text"), profile).alias("text"))
 
 
-def flat_chunks(pages: DataFrame, config: dict, profile: N.Profile = N.BASIC) -> DataFrame:
-    """(doc, ...) chunks of cleaned pages without noise; trees give their children. `doc`, doc_key and chunk_id, orders ties."""
-    made = C.build(cleaned_pages(pages, profile), config)
+def prepared(pages: DataFrame, profile: N.Profile = N.BASIC) -> DataFrame:
+    """Cleaned pages and their tokens, stored: cleaned and cut into tokens once for all ways to chunk them. Windows and pages keep the
+    tokens, so that their indexes need not cut their texts again."""
+    return stored(C.tokenized(cleaned_pages(pages, profile)))
+
+
+def flat_chunks(pages: DataFrame, config: dict, profile: N.Profile = N.BASIC, ready: DataFrame | None = None) -> DataFrame:
+    """(doc, ...) chunks of cleaned pages without noise; trees give their children. `doc`, doc_key and chunk_id, orders ties.
+    `ready` is what prepared() has made of the pages, if it has."""
+    made = C.build(cleaned_pages(pages, profile) if ready is None else ready, config)
     return N.without_noise(made[1] if isinstance(made, tuple) else made, profile).withColumn("doc", F.concat_ws("|", "doc_key", "chunk_id"))
 
 
@@ -88,6 +95,8 @@ def rankings(chunks: DataFrame, questions: DataFrame, config: dict | None = None
     if rewriter.get("type") == "heuristic":
         questions = questions.withColumn("text", T.rewritten(F.col("text"), rewriter.get("context_hint", "")))
     docs = chunks.select("doc", "text")
+    # chunks that were stored with their tokens
+    tokens = chunks.select("doc", "t") if "t" in chunks.columns else docs
     wanted = int(config.get("candidate_k", max(50, 10 * k)))
     dense = None
     if kind != "bm25" or config.get("reranker"):
@@ -95,7 +104,7 @@ def rankings(chunks: DataFrame, questions: DataFrame, config: dict | None = None
     if kind == "dense":
         scores = dense
     else:
-        index = L.Bm25(docs)
+        index = L.Bm25(tokens)
         lexical = index.best(questions, max(wanted, 50, 10 * k))
         weights = [float(config.get(c, 0.5)) for c in ("dense_weight", "bm25_weight")]
         scores = lexical if kind == "bm25" else R.hybrid(dense, lexical, k, *weights, candidates=wanted, lexical_of=lambda pairs: index.scores_of(pairs, questions))

@@ -21,6 +21,23 @@ def test_naive_keeps_tails(spark):
     assert rows == [("p0001_n0000", "a b c d", 1), ("p0001_n0001", "c d e f", 1), ("p0001_n0002", "e f g h", 1), ("p0001_n0003", "g h i j", 1), ("p0001_n0004", "i j", 1)]
 
 
+def test_windows_keep_their_tokens(spark):
+    """Windows of pages that were cut into tokens once are those of the pages, and an index of their tokens is that of their texts."""
+    from leafmill.operators import lexical as L
+
+    texts = ["( a) b, c! ((d e) f-\ng é.", "", None, " ".join("pqrst" * 4), "[x", "b (441) ,c ."]
+    own = pages(spark, *texts)
+    for size, overlap in ((3, 1), (2, 0), (50, 10), (1, 5)):
+        known = C.naive(C.tokenized(own), size, overlap)
+        assert got(known, "chunk_id", "text", "page_end") == got(C.naive(own, size, overlap), "chunk_id", "text", "page_end")
+        assert got(known, "t") == got(known.withColumn("t", F.array_join(T.tokens(F.col("text")), "\n")), "t")
+        assert got(known.withColumn("w", T.detokenized(F.split("t", "\n"))), "w") == got(known, "text")
+    docs = known.withColumn("doc", F.col("chunk_id")).localCheckpoint()
+    asked = spark.createDataFrame([(1, "b c (d"), (2, "é")], "qid bigint, text string")
+    scores = lambda rows: sorted(tuple(r) for r in L.Bm25(rows).best(asked, 50).collect())
+    assert scores(docs.select("doc", "t")) == scores(docs.select("doc", "text")) != []
+
+
 def test_pages(spark):
     assert got(C.page_index(pages(spark, "a\r\nb", None)), "chunk_id", "text", "strategy") == [("page/1", "a\r\nb", "page_index"), ("page/2", "", "page_index")]
     assert {r[0] for r in got(C.late(pages(spark, "a")), "strategy")} == {"late_chunking"}

@@ -155,6 +155,17 @@ def test_leaderboard(spark, tmp_path, compare, caplog):
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
 
 
+def test_runs_share_pages_and_tokens(compare, monkeypatch):
+    """Pages are cleaned and cut into tokens once for all runs, and indexes of tokens don't cut the chunks again."""
+    from leafmill.operators import chunks, lexical
+
+    cut = []
+    for module, name in ((chunks, "tokenized"), (chunks, "_normalized"), (lexical, "joined")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name: cut.append(n) or f(*a))
+    assert len(compare([RUNS[0], RUNS[0] | {"name": "other", "chunking": RUNS[0]["chunking"] | {"chunk_size": 40}}, {"name": "pages", "chunking": {"strategy": "page_index"}, "retrieval": {"type": "bm25"}}])) == 3
+    assert cut == ["tokenized"]
+
+
 def test_names_of_runs(compare):
     for names in (["a/b"], ["x", "x"], [""]):
         with pytest.raises(ValueError):
