@@ -13,8 +13,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
+from . import chains
+from . import lexical as L
 
 
 def ranked(scores: DataFrame) -> DataFrame:
@@ -118,8 +121,25 @@ def pairs_within(queries: DataFrame, children: DataFrame, parents: DataFrame) ->
 
 
 def sub_chunks(pages: DataFrame, size: int = 300, overlap: int = 100) -> DataFrame:
-    """(qid, page, sub, text): pieces of the pages (qid, doc, text) found."""
-    return pages.select("qid", F.col("doc").alias("page"), F.posexplode(T.token_windows(F.col("text"), size, overlap)).alias("sub", "text"))
+    """(page, sub, text), and what other columns there are: pieces of the pages (doc, text) found, as functions.text.token_windows
+    has them. A page is cut into tokens once, in a batch, and not for each of its pieces."""
+    step = max(1, size - overlap)
+    more = [c for c in pages.columns if c not in ("doc", "text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chains.slices(whole, "text"):
+                tokens = [None if x is None else x.split("\n") if x else [] for x in L.listed(batch.column("text")).to_pylist()]
+                rows = [(i, sub, " ".join(t[at : at + size])) for i, t in enumerate(tokens) if t for sub, at in enumerate(range(0, max(0, -(-(len(t) - size) // step)) * step + 1, step))]
+                rows += [(i, 0, None) for i, t in enumerate(tokens) if t is None]
+                of, sub, text = zip(*rows, strict=True) if rows else ((), (), ())
+                own = batch.select([*more, "doc"]).take(pa.array(of, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(sub, pa.int32()), pa.array(text, pa.string())], names=[*more, "page", "sub", "text"])
+
+    if size <= 0:
+        return pages.select(*more, F.col("doc").alias("page"), F.lit(0).alias("sub"), "text")
+    kept = [pages.schema[c] for c in more] + [StructField("page", pages.schema["doc"].dataType), *StructType.fromDDL("sub int, text string").fields]
+    return pages.select(*more, "doc", "text").mapInArrow(run, StructType(kept))
 
 
 class PairScorer(Protocol):

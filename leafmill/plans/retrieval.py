@@ -145,11 +145,13 @@ def late_rankings(pages: DataFrame, questions: DataFrame, k: int = 5, page_k: in
         found = L.Bm25(docs)
         lexical = found.best(questions, max(50, 10 * page_k))
         scores = lexical if kind == "bm25" else R.hybrid(index.best(questions, candidates), lexical, page_k, candidates=candidates, lexical_of=lambda pairs: found.scores_of(pairs, questions))
-    best = R.top_k(scores, page_k).select("qid", "doc")
-    subs = R.sub_chunks(best.join(docs, "doc"), size, overlap).withColumn("doc", F.col("page") * (1 << 20) + F.col("sub"))
-    subs = stored(subs)
-    # a page that several questions found is cut for each; its pieces are weighed once
-    pieces = subs.groupBy("doc").agg(F.first("text").alias("text"))
+    best = stored(R.top_k(scores, page_k).select("qid", "doc"))
+    # a few pages for each question, which are sent to where the texts lie; one that several found is cut and weighed once
+    few = best.select("doc").distinct()
+    cut = R.sub_chunks(docs.join(F.broadcast(few) if best.count() <= L.FEW_PAIRS else few, "doc", "left_semi"), size, overlap)
+    cut = stored(cut.withColumn("doc", F.col("page") * (1 << 20) + F.col("sub")))
+    subs = best.select("qid", F.col("doc").alias("page")).join(cut.select("doc", "page", "sub"), "page")
+    pieces = cut.groupBy("doc").agg(F.first("text").alias("text"))
     weighed = index.scores_of(subs, questions, pieces).join(subs.select("qid", "doc", "page", "sub"), ["qid", "doc"])
     return R.top_k(weighed, min(k, candidates)).select("qid", "page", "sub", "score", "rank")
 
